@@ -1,0 +1,217 @@
+"""Operator 6: secret scan with a recursive decoding worklist."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import re
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.arrow import map_batches, texts, tuned
+
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+#: Maximal runs; shorter ones fail, so the length is part of the pattern.
+HEX = re.compile(r"[0-9a-f]{24,}")
+#: A word that holds percent escapes, a run of Unicode escapes, and a run of base64 of 16 characters or more.
+PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
+ESCAPE = re.compile(r"[^\s\"'<>]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]+;)[^\s\"'<>]*")
+ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]+);|&#([0-9]+);")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+URLSAFE = str.maketrans("-_", "+/")
+
+
+def scan(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the base patterns in one layer, in code points, end exclusive."""
+    found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    return found + [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
+
+
+class Layer:
+    """A text unwrapped from the document; ``at[i]`` and ``to[i]`` are the span that its character i came from."""
+
+    __slots__ = ("at", "text", "to")
+
+    def __init__(self, text: str, at: list[int], to: list[int]):
+        self.text, self.at, self.to = text, at, to
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return min(self.at[start:end]), max(self.to[start:end])
+
+
+def part(text: str, layer: Layer | None, start: int, end: int) -> Layer:
+    """A piece of a layer, or of the document itself where ``layer`` is None."""
+    if layer is None:
+        return Layer(text[start:end], list(range(start, end)), list(range(start + 1, end + 1)))
+    return Layer(text[start:end], layer.at[start:end], layer.to[start:end])
+
+
+def replaced(piece: Layer, pattern: re.Pattern, decode) -> Layer | None:
+    """The piece with each match of ``pattern`` replaced by what ``decode`` makes of it."""
+    out, at, to, done = [], [], [], 0
+    for m in pattern.finditer(piece.text):
+        got = decode(m)
+        if got is None:
+            continue
+        out.append(piece.text[done : m.start()])
+        at += piece.at[done : m.start()]
+        to += piece.to[done : m.start()]
+        span = piece.span(m.start(), m.end())
+        out.append(got)
+        at += [span[0]] * len(got)
+        to += [span[1]] * len(got)
+        done = m.end()
+    if not done:
+        return None
+    return Layer("".join(out) + piece.text[done:], at + piece.at[done:], to + piece.to[done:])
+
+
+def from_percent(m: re.Match) -> str | None:
+    try:
+        return bytes.fromhex(m[0].replace("%", "")).decode()
+    except UnicodeDecodeError:
+        return bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
+
+
+def from_escape(m: re.Match) -> str | None:
+    code = int(m[1] or m[2] or m[3] or "0", 16) if m[4] is None else int(m[4])
+    return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+
+
+def readable(raw: bytes) -> str | None:
+    """Text if the bytes are UTF-8 without control characters other than white space."""
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return None
+    return text if text and all(c >= " " or c in "\t\n\r\f" for c in text) and "\x7f" not in text else None
+
+
+def inflate(raw: bytes) -> bytes | None:
+    """gzip or zlib content; None if it is neither."""
+    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+        try:
+            return zlib.decompressobj(47).decompress(raw)
+        except zlib.error:
+            return None
+    return None
+
+
+def from_base64(piece: Layer) -> Layer | None:
+    body = piece.text.rstrip("=").translate(URLSAFE)
+    if len(body) % 4 == 1:
+        return None
+    try:
+        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+    start, end = piece.span(0, len(piece.text))
+    whole = False
+    while (more := inflate(raw)) is not None and more != raw:  # compressed layers within each other
+        raw, whole = more, True
+    text = readable(raw)
+    if text is None:
+        return None
+    if whole:
+        return Layer(text, [start] * len(text), [end] * len(text))
+    at, to, byte = [], [], 0
+    for c in text:  # byte k comes from characters 4k/3 to 4(k+1)/3 of the encoded run
+        more = len(c.encode())
+        first, last = byte * 4 // 3, min(len(body), -(-(byte + more) * 4 // 3))
+        at.append(piece.at[first])
+        to.append(piece.to[last - 1])
+        byte += more
+    return Layer(text, at, to)
+
+
+def unwrap(text: str, layer: Layer | None):
+    """The layers directly inside a text."""
+    if "%" in text:
+        for m in PERCENT.finditer(text):
+            yield replaced(part(text, layer, *m.span()), PERCENT_RUN, from_percent)
+    if "\\" in text or "&#" in text:
+        for m in ESCAPE.finditer(text):
+            yield replaced(part(text, layer, *m.span()), ESCAPE_UNIT, from_escape)
+    for m in BASE64.finditer(text):
+        yield from_base64(part(text, layer, *m.span()))
+
+
+def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """(base spans, all spans, layers) of a document, each span as (start, end, kind) in the document's code points.
+
+    The worklist holds layers; each is scanned, then unwrapped one step. It ends when no layer is left; a layer whose
+    text was already unwrapped at the same place is dropped, so content that decodes to itself ends too.
+    """
+    base = scan(text)
+    found, seen, work, layers = set(base), set(), [(text, None)], 0
+    while work:
+        here, layer = work.pop()
+        for inner in unwrap(here, layer):
+            if inner is None or not inner.text:
+                continue
+            key = (inner.text, inner.at[0], inner.to[-1])
+            if key in seen or inner.text == here:
+                continue
+            seen.add(key)
+            layers += 1
+            for start, end, kind in scan(inner.text):
+                a, b = inner.span(start, end)
+                found.add((a, b, kind))
+            work.append((inner.text, inner))
+    return base, sorted(found, key=lambda x: (x[0], x[2], x[1])), layers
+
+
+def said(spans) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, base and spans (arrays of kind, start, end) and the number of decoded layers of every row of ``docs``.
+
+    A null or empty text has no spans. Repeated rows each give a row, other columns are ignored, an empty table
+    gives an empty result, and texts are scanned whole. Spans found inside a decoded layer are given as the span of
+    the document's characters that they were decoded from; one that equals another of its kind is given once.
+    """
+    tuned(spark)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batch):
+        base, spans, layers = [], [], []
+        for text in texts(batch):
+            own, every, n = find_secrets(text)
+            base.append([{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted(own, key=lambda x: (x[0], x[2]))])
+            spans.append([{"kind": KINDS[k], "start": a, "end": b} for a, b, k in every])
+            layers.append(n)
+        return pa.table({"doc_id": batch.column("doc_id"), "base": pa.array(base, kind), "spans": pa.array(spans, kind), "n_layers": pa.array(layers, pa.int64())})
+
+    spans = "array<struct<kind:string,start:long,end:long>>"
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"doc_id long, base {spans}, spans {spans}, n_layers long")
+
+
+def secret_digest(found: DataFrame) -> DataFrame:
+    """The digest columns of op6 from ``secret_spans``."""
+    line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), "n_layers")
+
+
+def redact(text: str, mark: str = "[SECRET]") -> str:
+    """A text with every span of ``find_secrets`` replaced; overlapping spans become one mark."""
+    out, done = [], 0
+    for a, b, _ in find_secrets(text)[1]:
+        if b <= done:
+            continue
+        if a >= done:
+            out += [text[done:a], mark]
+        done = b
+    return "".join(out) + text[done:]
+
+
