@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.lz_fingerprint import fingerprints
+from graphloom.llm.packing import pack_documents
 from graphloom.llm.secrets import secret_digest, secret_spans
 from graphloom.llm.token_counts import token_counts
 from graphloom.session import table
@@ -17,3 +19,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(spark, table(spark, sf_dir, "documents")))
+
+
+def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(spark, table(spark, sf_dir, "documents"))
