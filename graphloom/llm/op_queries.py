@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.language_id import language_ids
 from graphloom.llm.lz_fingerprint import fingerprints
 from graphloom.llm.packing import pack_documents
-from graphloom.llm.secrets import secret_digest, secret_spans
+from graphloom.llm.secret_scan import secret_digest, secret_spans
 from graphloom.llm.token_counts import token_counts
 from graphloom.session import table
 
@@ -27,3 +28,7 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(spark, table(spark, sf_dir, "documents"))
