@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.language_id import language_ids
 from graphloom.llm.lz_fingerprint import fingerprints
+from graphloom.llm.mixing import mix_sources
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.secret_scan import secret_digest, secret_spans
 from graphloom.llm.token_counts import token_counts
@@ -32,3 +33,7 @@ def op4_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
