@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.html_text import extract_pages
 from graphloom.llm.language_id import language_ids
 from graphloom.llm.lz_fingerprint import fingerprints
 from graphloom.llm.mixing import mix_sources
@@ -37,3 +38,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
