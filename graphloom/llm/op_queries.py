@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.embedding_dedup import near_duplicates
 from graphloom.llm.html_text import extract_pages
 from graphloom.llm.language_id import language_ids
 from graphloom.llm.lz_fingerprint import fingerprints
