@@ -9,6 +9,7 @@ from graphloom.llm.html_text import extract_pages
 from graphloom.llm.language_id import language_ids
 from graphloom.llm.lz_fingerprint import fingerprints
 from graphloom.llm.mixing import mix_sources
+from graphloom.llm.ngram_join import near_copies
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.secret_scan import secret_digest, secret_spans
 from graphloom.llm.token_counts import token_counts
@@ -47,3 +48,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op1_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(spark, table(spark, sf_dir, "documents"))
