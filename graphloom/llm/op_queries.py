@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm.embedding_dedup import near_duplicates
 from graphloom.llm.html_text import extract_pages
 from graphloom.llm.language_id import language_ids
+from graphloom.llm.line_dedup import without_repeated_lines
 from graphloom.llm.lz_fingerprint import fingerprints
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.ngram_join import near_copies
@@ -52,3 +53,7 @@ def op9_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
