@@ -1,15 +1,65 @@
-"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, source mixing, packing."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing of sources, best-two-fit packing."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import language_id, line_dedup, mixing, ngram_join, packing
 from graphloom.session import Scratch, table
 
-STAGES: list = []
-#: Stages of the pipeline decode, cluster and pack; SQL cannot express them.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those that the classifier rejects go.
+
+    The classifier learns from the labelled documents that aren't held out. A text that is null, or has no letter, or is far
+    from every language, goes.
+    """
+    model = language_id.fit(spark, docs.where(~F.coalesce(language_id.held_out(), F.lit(False))))
+    return language_id.identify(spark, docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one; a document of which nothing is left goes."""
+    rows = line_dedup.without_repeated_lines(spark, docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near copies."""
+    groups = ngram_join.near_copies(spark, docs.select(*COLUMNS))
+    return docs.select(*COLUMNS).join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    Of a source's documents in shuffled order the mix takes whole ones but for the last, which counts as taken.
+    """
+    rows = mixing.mix_sources(spark, docs.select(*COLUMNS)).where("taken > 0")
+    times = rows.select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    return docs.select(*COLUMNS).join(times, "doc_id").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token sequences of the documents that are left: a row a piece."""
+    return packing.pack_documents(spark, docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("language_id", identified),
+    ("line_dedup", fresh_lines),
+    ("ngram_join", one_of_each),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+#: SQL cannot express clustering, tokenizing and packing; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in turn to ``documents``; each is written as Parquet and read again by the next."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
