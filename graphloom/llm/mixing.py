@@ -59,7 +59,7 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int = BLOCK, chunk:
     slots_needed() slots; where its points fall short of that by a few, the missing ones follow at the end.
     ``targets`` has source_id, source_size, target, low and high (the stretch, as 32-bit points) and is broadcast: one row a source.
     """
-    slots = targets.agg(F.coalesce(F.sum(slots_needed(block)), F.lit(0)).cast("long").alias("n"))
+    slots = targets.agg(F.coalesce(F.sum(slots_needed(block)), F.lit(0)).cast("long").alias("n")).where("n > 0")
     numbered = slots.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk)))).alias("chunk"), "n")
     points = numbered.repartition("chunk").select("chunk", "n", F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("n"), (F.col("chunk") + 1) * chunk) - 1, F.lit(1).cast("long"))).alias("slot")).where(F.col("slot") < F.col("n"))
     points = points.withColumn("point", F.pmod(F.col("slot") * F.lit(GOLDEN_32).cast("long"), F.lit(1 << 32)))
