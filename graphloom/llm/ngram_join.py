@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrow import slices, text_bytes, tuned
+from graphloom.llm.arrow import map_groups, slices, text_bytes, tuned
 from graphloom.llm.components import connected
 from graphloom.llm.hashing import set_key, shingle_sets, word_chunks
 from graphloom.llm.signature_tree import SignatureTree, bitmap, link_sets, similar, stacked
@@ -58,6 +58,17 @@ def shingle_rows(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key1 long, key2 long, sig binary, tokens array<long>")
 
 
+def set_bytes(values: np.ndarray) -> bytes:
+    """The high 48 bits of sorted hashes: enough to compare two sets, and a quarter less to move."""
+    return np.unique(values >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def bytes_set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``wanted`` (rep, key1, key2 and more) with ``set``: the sorted shingle hashes, as bytes, of that document."""
     joined = wanted.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
@@ -70,37 +81,41 @@ def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 sets = list(batch_sets(batch, size))
                 # Where an id occurs with several texts, only the one that the key is of stays.
                 own = [set_key(s) == k for s, k in zip(sets, zip(batch.column("key1").to_pylist(), batch.column("key2").to_pylist()))]
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(own)) for c in kept] + [pa.array([s.tobytes() for s, ok in zip(sets, own) if ok], pa.binary())], names=[*kept, "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(own)) for c in kept] + [pa.array([set_bytes(s) for s, ok in zip(sets, own) if ok], pa.binary())], names=[*kept, "set"])
 
     return joined.mapInArrow(run, ", ".join(f"{c} {fields[c]}" for c in kept) + ", set binary")
 
 
-def tree_links(grouped, percent: int) -> DataFrame:
-    """Links of each group's (rep, set) rows by one signature tree."""
-
-    def join(frame):
-        import pandas as pd
-
-        frame = frame.drop_duplicates("rep").sort_values("rep")
-        links = link_sets(frame["rep"].tolist(), [np.frombuffer(x, np.uint64) for x in frame["set"]], percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+def tree_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links of the (rep, set) rows of each (token, salt) by one signature tree."""
 
-    return grouped.applyInPandas(join, "a long, b long")
+    def join(table, bucket):
+        reps = table.column("rep").to_numpy()
+        order = np.lexsort((reps, bucket))
+        order = order[np.append(True, (np.diff(reps[order]) != 0) | (np.diff(bucket[order]) != 0))]
+        sets = table.column("set").take(order).to_pylist()
+        links = link_sets(reps[order].tolist(), [bytes_set(x) for x in sets], bucket[order], percent)
+        return {"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())}
 
+    return map_groups(rows.select("token", "salt", "rep", "set"), ["token", "salt"], join, "a long, b long")
 
-def tree_pairs(grouped, percent: int) -> DataFrame:
-    """Pairs of different components that the bitmaps of a group's (rep, n, sig, component) rows can't tell apart."""
 
-    def join(frame):
-        import pandas as pd
+def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that the bitmaps of a cell's (token, kind, i, j, rep, n, sig, component) rows can't tell apart."""
 
-        frame = frame.drop_duplicates("rep").sort_values("rep")
-        codes = pd.factorize(frame["component"])[0]
-        a, b, _ = SignatureTree(stacked(list(frame["sig"])), frame["n"].to_numpy(), codes).pairs(percent)
-        reps = frame["rep"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(reps[a], reps[b]), "b": np.maximum(reps[a], reps[b])})
+    def join(table, bucket):
+        reps = table.column("rep").to_numpy()
+        order = np.lexsort((reps, bucket))
+        order = order[np.append(True, (np.diff(reps[order]) != 0) | (np.diff(bucket[order]) != 0))]
+        codes = np.unique(table.column("component").to_numpy()[order], return_inverse=True)[1]
+        sigs = stacked(table.column("sig").take(order).to_pylist())
+        a, b, _ = SignatureTree(sigs, table.column("n").to_numpy()[order], codes, bucket[order]).pairs(percent)
+        reps = reps[order]
+        pairs = np.unique(np.stack([np.minimum(reps[a], reps[b]), np.maximum(reps[a], reps[b])]), axis=1)
+        return {"a": pa.array(pairs[0]), "b": pa.array(pairs[1])}
 
-    return grouped.applyInPandas(join, "a long, b long")
+    cells = rows.select("token", F.col("cell.kind").alias("kind"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "rep", "n", "sig", "component")
+    return map_groups(cells, ["token", "kind", "i", "j"], join, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -110,7 +125,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
+                ok = [similar(bytes_set(x), bytes_set(y), percent) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
@@ -130,11 +145,11 @@ def dealt_buckets(rows: DataFrame, most: int) -> DataFrame:
     rows = rows.withColumn("_ko", blocks_o).withColumn("_km", blocks_m)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(other, F.col("_ko")).otherwise(F.col("_km")))).cast("int"))
     upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).cast("int").alias("kind"), i.alias("i"), j.alias("j"))
     own = F.col("_own")
-    of_main = F.transform(upto(F.col("_ko")), lambda o: cell("mo", own, o))
-    of_other = F.concat(F.transform(upto(F.col("_km")), lambda m: cell("mo", m, own)), F.transform(upto(F.col("_ko")), lambda o: cell("oo", F.least(own, o), F.greatest(own, o))))
-    cells = F.when(F.col("_ko") == 0, F.array(cell("all", F.lit(0), F.lit(0)))).when(other, of_other).otherwise(of_main)
+    of_main = F.transform(upto(F.col("_ko")), lambda o: cell(1, own, o))
+    of_other = F.concat(F.transform(upto(F.col("_km")), lambda m: cell(1, m, own)), F.transform(upto(F.col("_ko")), lambda o: cell(2, F.least(own, o), F.greatest(own, o))))
+    cells = F.when(F.col("_ko") == 0, F.array(cell(0, F.lit(0), F.lit(0)))).when(other, of_other).otherwise(of_main)
     return rows.withColumn("cell", F.explode(cells)).drop("_n", "_o", "_ko", "_km", "_own")
 
 
@@ -177,13 +192,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent:
     seats = seats.select("token", "salt", "rep").unionByName(seats.select("token", "salt", F.col("lead").alias("rep"))).distinct()
     keys = classes.select("rep", "key1", "key2")
     seats = scratch.write(seats.join(keys, "rep"), "seats")
-    first = scratch.write(tree_links(with_sets(docs, seats, size).groupBy("token", "salt"), percent), "links1")
+    first = scratch.write(tree_links(with_sets(docs, seats, size), percent), "links1")
 
     labels = connected(scratch, first, "cc1").withColumnRenamed("node", "rep")
     placed = inside.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("rep") == F.col("lead"), F.col("component"))).alias("lead_component")).where("low <> high")
     open_ = placed.join(mixed.select("token", "lead_component"), "token").join(classes.select("rep", "n", "sig"), "rep").select("token", "rep", "component", "lead_component", "n", "sig")
-    pairs = scratch.write(tree_pairs(dealt_buckets(open_, WIDE_TREE).groupBy("token", "cell"), percent).distinct(), "pairs")
+    pairs = scratch.write(tree_pairs(dealt_buckets(open_, WIDE_TREE), percent).distinct(), "pairs")
     links = first
     if not pairs.isEmpty():
         asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(keys, "rep")

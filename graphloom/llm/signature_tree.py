@@ -22,21 +22,25 @@ def stacked(bitmaps: list[bytes]) -> np.ndarray:
 
 
 class SignatureTree:
-    """Nodes hold the OR and the AND of the bitmaps below, the range of set sizes, and the group if it is one for all.
+    """Trees over the sets of many buckets, one a bucket, that are traversed at once.
 
-    The leaves are the sets in order of (group, size); each node above stands for FANOUT neighbours.
+    Nodes hold the OR and the AND of the bitmaps below, the range of set sizes, and the group if it is one for all.
+    The leaves are a bucket's sets in order of (group, size); each node above stands for up to FANOUT neighbours.
     """
 
-    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
-        self.order = np.lexsort((sizes, groups))
-        either, size, group = bitmaps[self.order], sizes[self.order].astype(np.int64), groups[self.order].astype(np.int64)
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, groups: np.ndarray, buckets: np.ndarray):
+        self.order = np.lexsort((sizes, groups, buckets))
+        either, size, group, bucket = bitmaps[self.order], sizes[self.order].astype(np.int64), groups[self.order].astype(np.int64), buckets[self.order]
         self.levels = [(either, either, size, size, group)]
-        while len(either) > 1:
+        self.below: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]  # children of a node: from, to
+        while (bucket[1:] == bucket[:-1]).any():
             either, every, low, high, group = self.levels[-1]
-            at = np.arange(0, len(either), FANOUT)
-            first, last = np.minimum.reduceat(group, at), np.maximum.reduceat(group, at)
-            self.levels.append((np.bitwise_or.reduceat(either, at, axis=0), np.bitwise_and.reduceat(every, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.where(first == last, first, -1)))
-            either = self.levels[-1][0]
+            first = np.searchsorted(bucket, bucket)
+            at = np.flatnonzero((np.arange(bucket.size) - first) % FANOUT == 0)
+            least, most = np.minimum.reduceat(group, at), np.maximum.reduceat(group, at)
+            self.levels.append((np.bitwise_or.reduceat(either, at, axis=0), np.bitwise_and.reduceat(every, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.where(least == most, least, -1)))
+            self.below.append((at, np.append(at[1:], bucket.size)))
+            bucket = bucket[at]
 
     def reach(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """(whether a pair of sets below nodes i and j can be similar enough, the largest overlap that any pair can have).
@@ -45,33 +49,35 @@ class SignatureTree:
         below j has. Similar sets overlap in percent / (100 + percent) of their summed sizes at least.
         """
         either, every, low, high, group = self.levels[level]
-        most = np.minimum(high[i] - np.bitwise_count(every[i] & ~either[j]).sum(axis=1, dtype=np.int64), high[j] - np.bitwise_count(every[j] & ~either[i]).sum(axis=1, dtype=np.int64))
-        ok = (most * (100 + percent) >= percent * (low[i] + low[j])) & (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
-        return ok & ((group[i] != group[j]) | (group[i] < 0)), most
+        ok = (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i]) & ((group[i] != group[j]) | (group[i] < 0))
+        most = np.zeros(len(i), np.int64)
+        x, y = i[ok], j[ok]
+        most[ok] = np.minimum(high[x] - np.bitwise_count(every[x] & ~either[y]).sum(axis=1, dtype=np.int64), high[y] - np.bitwise_count(every[y] & ~either[x]).sum(axis=1, dtype=np.int64))
+        return ok & (most * (100 + percent) >= percent * (low[i] + low[j])), most
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, largest overlap) of all pairs of sets that the bitmaps can't tell apart, of different groups only."""
+        """(a, b, largest overlap) of all pairs of sets of a bucket that the bitmaps can't tell apart, of different groups only."""
         top = len(self.levels) - 1
-        work, found = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))], []
+        roots = np.arange(len(self.levels[top][2]))
+        work, found, step = [(top, roots, roots)], [], np.arange(FANOUT)
         while work:
             level, i, j = work.pop()
             if len(i) > CHUNK:
                 half = len(i) // 2
                 work += [(level, i[:half], j[:half]), (level, i[half:], j[half:])]
                 continue
-            ok, most = self.reach(level, i, j, percent)
             if level == 0:
-                ok &= i < j
-                found.append((self.order[i[ok]], self.order[j[ok]], most[ok]))
-                continue
+                i, j = i[i < j], j[i < j]
+            ok, most = self.reach(level, i, j, percent)
             i, j = i[ok], j[ok]
-            if not i.size:
-                continue
-            below, step = len(self.levels[level - 1][2]), np.arange(FANOUT)
-            a = np.repeat(i[:, None] * FANOUT + step, FANOUT, axis=1).ravel()
-            b = np.tile(j[:, None] * FANOUT + step, (1, FANOUT)).ravel()
-            there = (a < below) & (b < below) & (a <= b)
-            work.append((level - 1, a[there], b[there]))
+            if level == 0:
+                found.append((self.order[i], self.order[j], most[ok]))
+            elif i.size:
+                begin, end = self.below[level]
+                a = np.broadcast_to((begin[i, None] + step)[:, :, None], (i.size, FANOUT, FANOUT))
+                b = np.broadcast_to((begin[j, None] + step)[:, None, :], (i.size, FANOUT, FANOUT))
+                there = (a < end[i, None, None]) & (b < end[j, None, None]) & (a <= b)
+                work.append((level - 1, a[there], b[there]))
         if not found:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found))
@@ -86,14 +92,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (a.size + b.size - both)
 
 
-def link_sets(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (id, id) that join all sets of one task that a chain of similar pairs joins; verified, without loops."""
+def link_sets(ids: list[int], sets: list[np.ndarray], buckets: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (id, id) that join all sets of a bucket that a chain of similar pairs joins; verified, without loops."""
     from graphloom.llm.components import Groups
 
     n = len(ids)
     if n < 2:
         return []
-    tree = SignatureTree(stacked([bitmap(s) for s in sets]), np.array([s.size for s in sets]), np.arange(n))
+    tree = SignatureTree(stacked([bitmap(s) for s in sets]), np.array([s.size for s in sets]), np.arange(n), buckets)
     a, b, most = tree.pairs(percent)
     joined, links = Groups(n), []
     for k in np.argsort(-most, kind="stable"):
