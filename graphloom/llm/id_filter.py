@@ -1,4 +1,4 @@
-"""A filter of fixed size for ids, to leave most rows of a large table out before a join."""
+"""Filters of bounded size for keys, to leave most rows of a large table out before a join."""
 
 from __future__ import annotations
 
@@ -9,45 +9,88 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.hashing import mix
 
-#: Bits of the filter (1 MB whatever the number of ids) and hashes of an id.
-BITS, HASHES = 23, 3
+#: Bits of a filter: 2**23 (1 MB) up to 2**27 (16 MB), by the number of keys; and hashes of a key.
+BITS, MOST_BITS, HASHES = 23, 27, 3
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    h = mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([(mix(h + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64) for k in range(HASHES)])
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return np.stack([(mix(hashes + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(HASHES)])
 
 
-def maybe_in(ids: DataFrame, column: str):
-    """A function of a column that is true for every id of ``ids`` (one long column) and for few others.
+def _filter(keys: DataFrame) -> tuple:
+    """(broadcast bytes, bits) of a filter of one column of long keys: each task sends its own, and they are OR-ed in parts.
 
-    It never says no to an id that is there, so a join behind it stays exact; where there are more ids than its size
-    serves it lets more rows through.
+    There are eight bits a key while MOST_BITS allow it; with more keys it lets more rows through, and never fewer.
     """
+    n = keys.count()
+    bits = min(MOST_BITS, max(BITS, (8 * n).bit_length()))
+    parts = 16
 
     def add(batches):
-        bits = np.zeros(1 << BITS, bool)
+        own = np.zeros(1 << bits, bool)
         for batch in batches:
-            bits[_places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
+            own[_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits).ravel()] = True
+        cut = np.packbits(own).reshape(parts, -1)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "bits": [x.tobytes() for x in cut]})
 
     def join(batches):
-        total = np.zeros(1 << (BITS - 3), np.uint8)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                total |= np.frombuffer(raw, np.uint8)
-        yield pa.RecordBatch.from_pydict({"bits": [total.tobytes()]})
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(raw, np.uint8)
+                total[part] = total[part] | x if part in total else x
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "bits": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+
+    schema = "part int, bits binary"
+    few = keys.coalesce(min(32, max(1, keys.rdd.getNumPartitions())))
+    rows = few.mapInArrow(add, schema).repartition(parts, "part").mapInArrow(join, schema).collect()
+    out = np.zeros((parts, (1 << (bits - 3)) // parts), np.uint8)
+    for r in rows:
+        out[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out.tobytes()), bits
+
+
+def _test(held, bits: int, hashes: np.ndarray) -> np.ndarray:
+    raw, out = np.frombuffer(held.value, np.uint8), np.ones(hashes.size, bool)
+    for at in _places(hashes, bits):
+        out &= (raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
-    rows = ids.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(add, "bits binary").coalesce(1).mapInArrow(join, "bits binary").collect()
-    held = ids.sparkSession.sparkContext.broadcast(bytes(rows[0].bits) if rows else bytes(1 << (BITS - 3)))
+
+def maybe_in(ids: DataFrame, column: str):
+    """A function of a column that is true for every id of ``ids`` (one long column) and for few others.
+
+    It never says no to an id that is there, so a join behind it stays exact.
+    """
+    held, bits = _filter(ids.select(F.col(column).cast("long").alias("id")).where("id is not null"))
 
     @F.pandas_udf("boolean")
     def test(x):
         import pandas as pd
 
-        bits = np.frombuffer(held.value, np.uint8)
         known = x.notna().to_numpy()
-        at = _places(x.fillna(0).to_numpy().astype(np.int64))
-        return pd.Series(known & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0))
+        return pd.Series(known & _test(held, bits, x.fillna(0).to_numpy().astype(np.int64).view(np.uint64)))
 
     return test
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit key of (long, int) pairs."""
+    return mix(mix(a.astype(np.int64).view(np.uint64)) ^ b.astype(np.int64).view(np.uint64))
+
+
+def maybe_among(pairs: DataFrame):
+    """A function of two arrays that is true for every pair of ``pairs`` (a long, an int column) and for few others."""
+
+    def keys(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"key": pa.array(pair_hash(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))).view(np.int64))})
+
+    held, bits = _filter(pairs.mapInArrow(keys, "key long"))
+    return lambda a, b: _test(held, bits, pair_hash(a, b))
+
+
+def maybe_token(tokens: DataFrame):
+    """A function of an array of longs that is true for every one of ``tokens`` (a long column) and for few others."""
+    held, bits = _filter(tokens)
+    return lambda x: _test(held, bits, x.view(np.uint64))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import slices, text_bytes, tuned
-from graphloom.llm.hashing import mix, word_chunks, words
-from graphloom.llm.id_filter import maybe_in
+from graphloom.llm.hashing import bytes_set, mix, set_bytes, word_chunks, words
+from graphloom.llm.id_filter import maybe_among, maybe_in, maybe_token
 from graphloom.llm.signature_tree import similar
 from graphloom.llm.sketch import count_sketch, slot
 from graphloom.session import Scratch
@@ -39,28 +40,49 @@ def need(n_a, n_b, percent: int):
     return -(-percent * (n_a + n_b) // (100 + percent))
 
 
+def rarity(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """20 bits that grow with a word's count: the order by rarity, in steps of less than one part in 2000."""
+    return (counts[slot(hashes)].astype(np.float32).view(np.uint32) >> np.uint32(11)).astype(np.uint64)
+
+
+def by_rarity(line: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order by (line, rank, hash): one order of words for the whole corpus."""
+    if line.size and int(line[-1]) < 1 << 20:
+        key = line.astype(np.uint64) << np.uint64(44) | rank << np.uint64(24) | hashes >> np.uint64(40)
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        if (hashes[order[1:]][same] == hashes[order[:-1]][same]).all():
+            return order
+    return np.lexsort((hashes, rank, line))
+
+
 def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -> DataFrame:
-    """One row a line of ``least_words`` distinct words or more: its place, size, key, 64-bit bitmap and prefix tokens, rarest first."""
-    noise = int(np.median(counts))
+    """One row a line of ``least_words`` distinct words or more: its place, size, key, 64-bit bitmap and prefix tokens, rarest first.
+
+    A line that repeats an earlier one of the same batch has no tokens and a key of its own: a line that very many documents have is
+    brought together once a batch, and its repeats are spread evenly.
+    """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def chunk(raw, offsets, ids):
         at, row, number = line_offsets(raw, offsets)
         hashed, where = words(raw, at)
         size = np.diff(where)
-        of = np.repeat(np.arange(size.size), size)
-        count = held.value[slot(hashed)].astype(np.int64)
-        order = np.lexsort((hashed, (of << 32) | count))
-        h, of, count = hashed[order], of[order], count[order]
+        lines = np.flatnonzero(size >= least_words)
+        if not lines.size:
+            return None
+        place_of = np.full(size.size, -1)
+        place_of[lines] = np.arange(lines.size)
+        of = np.repeat(place_of, size)
+        h, of = hashed[of >= 0], of[of >= 0]
+        order = by_rarity(of, rarity(held.value, h), h)
+        h, of = h[order], of[order]
         new = np.ones(h.size, bool)
         new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-        h, of, count = h[new], of[new], count[new]
-        n = np.bincount(of, minlength=size.size)
+        h, of = h[new], of[new]
+        n = np.bincount(of, minlength=lines.size)
         keep = n >= least_words
-        inside = keep[of]
-        h, of, count, n_all = h[inside], of[inside], count[inside], n
-        lines = np.flatnonzero(keep)
-        n = n_all[lines]
+        h, lines, n = h[keep[of]], lines[keep], n[keep]
         if not lines.size:
             return None
         begin = np.cumsum(n) - n
@@ -70,12 +92,16 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
             key1 = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), begin).view(np.int64)
             key2 = np.add.reduceat(mix(h ^ np.uint64(0x14057B7EF767814F)), begin).view(np.int64)
         sig = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), begin).view(np.int64)
-        prefix = place < np.repeat(take, n)
-        cut = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-        blocks = np.maximum(1, -(-np.maximum(count[prefix] - noise, 0) // BLOCK)).astype(np.int32)
-        return pa.RecordBatch.from_pydict(
-            {"doc_id": pa.array(ids[row[lines]], pa.int64()), "line": pa.array(number[lines], pa.int32()), "n": pa.array(n, pa.int32()), "key1": pa.array(key1), "key2": pa.array(key2), "sig": pa.array(sig), "tokens": pa.ListArray.from_arrays(cut, h[prefix].view(np.int64)), "blocks": pa.ListArray.from_arrays(cut, blocks)}
-        )
+        doc, number = ids[row[lines]], number[lines]
+        order = np.lexsort((number, doc, key2, key1))
+        again = np.zeros(lines.size, bool)
+        again[order[1:]] = (key1[order[1:]] == key1[order[:-1]]) & (key2[order[1:]] == key2[order[:-1]])
+        key1[again] = mix(doc[again].astype(np.int64).view(np.uint64) + number[again].astype(np.uint64) * np.uint64(31)).view(np.int64)
+        key2[again] = 0
+        prefix = (place < np.repeat(take, n)) & ~np.repeat(again, n)
+        cut = np.concatenate([[0], np.cumsum(np.where(again, 0, take))]) * 8
+        tokens = pa.Array.from_buffers(pa.binary(), lines.size, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h[prefix]))])
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "key1": pa.array(key1), "key2": pa.array(key2), "sig": pa.array(sig), "tokens": tokens})
 
     def run(batches):
         for whole in batches:
@@ -90,7 +116,38 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
                         yield out
                     at = to
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, n int, key1 long, key2 long, sig long, tokens array<long>, blocks array<int>")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, n int, key1 long, key2 long, sig long, tokens binary")
+
+
+def line_classes(lines: DataFrame) -> DataFrame:
+    """doc_id, line, n, sig and tokens of every line; tokens are null for all but the first line of those with equal word sets."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartition(parts, "key1", "key2").sortWithinPartitions("key1", "key2", "doc_id", "line")
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            k1, k2 = batch.column("key1").to_numpy(), batch.column("key2").to_numpy()
+            if not k1.size:
+                continue
+            first = np.ones(k1.size, bool)
+            first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            first[0] = last != (k1[0], k2[0])
+            last = (k1[-1], k2[-1])
+            tokens = batch.column("tokens")
+            first &= pc.binary_length(tokens).to_numpy(zero_copy_only=False) > 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "line", "n", "sig")), pc.if_else(pa.array(first), tokens, pa.scalar(None, tokens.type))], names=["doc_id", "line", "n", "sig", "tokens"])
+
+    return dealt.mapInArrow(run, "doc_id long, line int, n int, sig long, tokens binary")
+
+
+def posting_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """token, place, n, doc_id, line and sig of every prefix token of a batch of classes."""
+    raw, offsets = text_bytes(batch, "tokens")
+    size = np.diff(offsets) // 8
+    begin = offsets[:-1] // 8
+    out = {c: np.repeat(batch.column(c).to_numpy(), size) for c in ("n", "doc_id", "line", "sig")}
+    return out | {"token": np.frombuffer(raw.tobytes(), np.uint64), "place": np.arange(int(size.sum())) - np.repeat(begin, size)}
 
 
 def later_first(doc, line, n, place, sig, cell, percent: int, most: int):
@@ -132,23 +189,39 @@ PAIR = "doc_b long, line_b int, doc_a long, line_a int"
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """First-round pairs (b later, a earlier) of classes that share a prefix token; a null a marks a b that has had more."""
-    split = F.explode(F.arrays_zip("tokens", "blocks", F.sequence(F.lit(0), F.size("tokens") - 1).alias("place")))
-    posts = classes.select("doc_id", "line", "n", "sig", split.alias("x")).select("doc_id", "line", "n", "sig", F.col("x.tokens").alias("token"), F.col("x.blocks").alias("k"), F.col("x.place").cast("int").alias("place"))
-    own = F.pmod(F.xxhash64("doc_id", "line"), F.col("k")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.least(own, o) * F.col("k") + F.greatest(own, o))
-    posts = posts.select("token", F.explode(F.when(F.col("k") > 1, cells).otherwise(F.array(F.lit(0)))).alias("cell"), "n", "place", "doc_id", "line", "sig")
+    """First-round pairs (b later, a earlier) of classes that share a prefix token; a null a marks a b that has had more.
+
+    A token that more than BLOCK classes have in their prefixes is dealt into pairs of blocks.
+    """
+    counts = count_sketch(classes.select("tokens"), lambda batch: [np.frombuffer(text_bytes(batch, "tokens")[0].tobytes(), np.uint64)])
+    noise = int(np.median(counts))
+    held = classes.sparkSession.sparkContext.broadcast(counts)
+
+    def post(batches):
+        for whole in batches:
+            for batch in slices(whole, 1 << 14):
+                col = posting_columns(batch)
+                k = np.maximum(1, -(-np.maximum(held.value[slot(col["token"])].astype(np.int64) - noise, 0) // BLOCK))
+                own = (mix(col["doc_id"].view(np.uint64) + col["line"].astype(np.uint64) * np.uint64(31)) % k.astype(np.uint64)).astype(np.int64)
+                at = np.repeat(np.arange(k.size), k)
+                other = np.arange(at.size) - np.repeat(np.cumsum(k) - k, k)
+                cell = np.minimum(own[at], other) * k[at] + np.maximum(own[at], other)
+                token = np.where(cell > 0, mix(col["token"][at] + cell.astype(np.uint64)), col["token"][at])
+                order = col["n"][at].astype(np.int64) << 32 | col["place"][at]
+                yield pa.RecordBatch.from_pydict({"token": pa.array(token.view(np.int64)), "size": pa.array(order), "doc_id": pa.array(col["doc_id"][at]), "line": pa.array(col["line"][at]), "sig": pa.array(col["sig"][at])})
+
+    posts = classes.select("doc_id", "line", "n", "sig", "tokens").mapInArrow(post, "token long, size long, doc_id long, line int, sig long")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    dealt = posts.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "n", "doc_id", "line")
+    dealt = posts.repartition(parts, "token").sortWithinPartitions("token", "size")
 
     def run(batches):
         held: list[pa.Table] = []
 
         def pairs(table):
-            col = {c: table.column(c).to_numpy() for c in ("token", "cell", "n", "place", "doc_id", "line", "sig")}
-            starts = np.ones(len(col["n"]), np.int64)
-            starts[1:] = (col["token"][1:] != col["token"][:-1]) | (col["cell"][1:] != col["cell"][:-1])
-            b, a, more = later_first(col["doc_id"], col["line"], col["n"].astype(np.int64), col["place"].astype(np.int64), col["sig"].view(np.uint64), np.cumsum(starts), percent, FIRST_ROUND)
+            col = {c: table.column(c).to_numpy() for c in ("token", "size", "doc_id", "line", "sig")}
+            starts = np.ones(len(col["token"]), np.int64)
+            starts[1:] = col["token"][1:] != col["token"][:-1]
+            b, a, more = later_first(col["doc_id"], col["line"], col["size"] >> 32, col["size"] & 0xFFFFFFFF, col["sig"].view(np.uint64), np.cumsum(starts), percent, FIRST_ROUND)
             doc, line = col["doc_id"], col["line"]
             none = [None] * more.size
             if b.size or more.size:
@@ -161,8 +234,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             if rows < 1 << 16:
                 continue
             table = pa.concat_tables(held)
-            token, cell = table.column("token").to_numpy(), table.column("cell").to_numpy()
-            cut = np.flatnonzero((token != token[-1]) | (cell != cell[-1]))
+            token = table.column("token").to_numpy()
+            cut = np.flatnonzero(token != token[-1])
             whole = int(cut[-1]) + 1 if cut.size else 0  # the last token's run may go on
             if whole:
                 yield from pairs(table.slice(0, whole))
@@ -175,10 +248,27 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, PAIR)
 
 
-def second_round(classes: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+def postings(classes: DataFrame, wanted=None) -> DataFrame:
+    """A row for each prefix token of each class; of ``wanted`` tokens only, where that is given."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, 1 << 14):
+                col = posting_columns(batch)
+                if wanted is not None:
+                    ok = wanted(col["token"])
+                    col = {c: x[ok] for c, x in col.items()}
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(col["doc_id"]), "line": pa.array(col["line"]), "n": pa.array(col["n"]), "sig": pa.array(col["sig"]), "place": pa.array(col["place"].astype(np.int32)), "token": pa.array(col["token"].view(np.int64))})
+
+    return classes.select("doc_id", "line", "n", "sig", "tokens").mapInArrow(run, "doc_id long, line int, n int, sig long, place int, token long")
+
+
+def second_round(classes: DataFrame, open_: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs (b later, a earlier) of the classes of ``open_`` (doc_b, line_b)."""
-    posts = classes.select("doc_id", "line", "n", "sig", F.posexplode("tokens").alias("place", "token"))
-    b = posts.join(open_.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")), ["doc_id", "line"]).select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("place").alias("place_b"), "token")
+    asked = classes.join(open_.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")), ["doc_id", "line"], "left_semi")
+    asked = scratch.write(postings(asked), "open-postings")
+    b = asked.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("place").alias("place_b"), "token")
+    posts = postings(classes, maybe_token(asked.select("token")))
     least = F.ceil((F.col("n") + F.col("n_b")) * percent / (100 + percent))
     fits = (F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= least) & (F.greatest("n", "n_b") * percent <= F.least("n", "n_b") * 100)
     fits &= (F.col("n") - F.bit_count(F.col("sig").bitwiseAND(F.bitwise_not("sig_b"))) >= least) & (F.col("n_b") - F.bit_count(F.col("sig_b").bitwiseAND(F.bitwise_not("sig"))) >= least)
@@ -186,36 +276,39 @@ def second_round(classes: DataFrame, open_: DataFrame, percent: int) -> DataFram
     return b.join(posts, "token").where(fits & earlier).select("doc_b", "line_b", F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a")).distinct()
 
 
-def matched(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """(doc_b, line_b) of the pairs whose lines' word sets are similar; only the texts that pairs name are moved."""
+def line_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """doc_id, line and words (the set, as bytes) of all lines that pairs name, and of few others; no other texts are moved."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")), F.struct(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")))).alias("x")).select("x.*")
-    asked = scratch.write(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), f"{name}-asked")
-    there = maybe_in(asked, "doc_id")
-    rows = docs.where(there(F.col("doc_id"))).join(asked, "doc_id")
+    asked = scratch.write(ends.distinct(), f"{name}-asked")
+    wanted = maybe_among(asked.select("doc_id", "line"))
 
     def sets(batches):
         for whole in batches:
             for batch in slices(whole):
-                out = {"doc_id": [], "line": [], "words": []}
-                for doc, text, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lines"))):
-                    cut = (text or "").split("\n")
-                    own = sorted(x for x in lines if x < len(cut))
-                    raw = [cut[x].encode() for x in own]
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-                    for _, hashed, where in word_chunks(np.frombuffer(b"".join(raw), np.uint8), offsets):
-                        out["words"] += [np.unique(hashed[a:b]).tobytes() for a, b in zip(where[:-1], where[1:])]
-                    out["doc_id"] += [doc] * len(own)
-                    out["line"] += own
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "line": pa.array(out["line"], pa.int32()), "words": pa.array(out["words"], pa.binary())})
-
-    found = scratch.write(rows.select("doc_id", "text", "lines").mapInArrow(sets, "doc_id long, line int, words binary"), f"{name}-sets")
-    side = lambda x: found.select(F.col("doc_id").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}"))
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                raw, offsets = text_bytes(batch)
+                at, row, number = line_offsets(raw, offsets)
+                doc, number = ids[row], number.astype(np.int32)
+                own = np.flatnonzero(wanted(doc, number))
+                size = at[own + 1] - at[own]
+                begin = np.concatenate([[0], np.cumsum(size)])
+                taken = raw[np.arange(int(begin[-1])) + np.repeat(at[own] - begin[:-1], size)]
+                found = [set_bytes(np.sort(hashed[a:b])) for _, hashed, where in word_chunks(taken, begin) for a, b in zip(where[:-1], where[1:])]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[own], pa.int64()), "line": pa.array(number[own], pa.int32()), "words": pa.array(found, pa.binary())})
+
+    # What the filter lets through beyond the lines asked for is dropped by the joins of matched().
+    return scratch.write(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sets, "doc_id long, line int, words binary"), f"{name}-sets")
+
+
+def matched(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_b, line_b) of the pairs whose lines' word sets are similar."""
+    side = lambda x: sets.select(F.col("doc_id").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}"))
     joined = pairs.join(side("b"), ["doc_b", "line_b"]).join(side("a"), ["doc_a", "line_a"]).select("doc_b", "line_b", "words_b", "words_a")
 
     def check(batches):
         for whole in batches:
             for batch in slices(whole):
-                ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("words_b").to_pylist(), batch.column("words_a").to_pylist())]
+                ok = [similar(bytes_set(x), bytes_set(y), percent) for x, y in zip(batch.column("words_b").to_pylist(), batch.column("words_a").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("doc_b", "line_b")], names=["doc_b", "line_b"])
 
     return scratch.write(joined.mapInArrow(check, "doc_b long, line_b int").distinct(), f"{name}-matched")
@@ -240,20 +333,23 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT,
             yield hashed
 
     counts = count_sketch(docs.select("text"), hashes)
-    lines = scratch.write(line_rows(docs, counts, percent, least_words), "lines")
-    firsts = lines.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "line", "n", "sig", "tokens", "blocks")).alias("x"))
-    classes = scratch.write(firsts.select("key1", "key2", "x.*"), "classes")
-    members = scratch.write(lines.select("doc_id", "line", "key1", "key2"), "members")
-    scratch.drop("lines")
-
-    met = scratch.write(candidates(classes, percent).distinct(), "met")
-    gone = matched(docs, met.where("doc_a is not null"), percent, scratch, "first")
-    open_ = scratch.write(met.where("doc_a is null").select("doc_b", "line_b").distinct().join(gone, ["doc_b", "line_b"], "left_anti"), "open")
+    lines = scratch.write(line_classes(line_rows(docs, counts, percent, least_words)), "lines")
+    classes = lines.where("tokens is not null")
+
+    b, pair = ["doc_b", "line_b"], ["doc_b", "line_b", "doc_a", "line_a"]
+    met = scratch.write(candidates(classes, percent).groupBy(*pair).agg(F.count("*").alias("votes")), "met")
+    known = met.where("doc_a is not null")
+    sets = line_sets(docs, known, scratch, "first")
+    # The earlier line that shares most prefix tokens goes first; the other candidates matter only where that one doesn't match.
+    best = scratch.write(known.groupBy(*b).agg(F.max(F.struct("votes", "doc_a", "line_a")).alias("x")).select(*b, "x.doc_a", "x.line_a"), "best")
+    gone = matched(best, sets, percent, scratch, "best")
+    other = scratch.write(known.select(*pair).join(best, pair, "left_anti").join(gone, b, "left_anti"), "other")
+    gone = gone.unionByName(matched(other, sets, percent, scratch, "other"))
+    open_ = scratch.write(met.where("doc_a is null").select(*b).distinct().join(gone, b, "left_anti"), "open")
     if not open_.isEmpty():
-        rest = scratch.write(second_round(classes, open_, percent).join(met.where("doc_a is not null"), ["doc_b", "line_b", "doc_a", "line_a"], "left_anti"), "rest")
-        gone = gone.unionByName(matched(docs, rest, percent, scratch, "second"))
-    state = classes.select("key1", "key2", F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b")).join(gone.withColumn("gone", F.lit(True)), ["doc_b", "line_b"], "left")
-    every = members.join(state, ["key1", "key2"]).where(F.coalesce("gone", F.lit(False)) | (F.col("doc_id") != F.col("doc_b")) | (F.col("line") != F.col("line_b")))
+        rest = scratch.write(second_round(classes, open_, percent, scratch).join(known.select(*pair), pair, "left_anti"), "rest")
+        gone = gone.unionByName(matched(rest, line_sets(docs, rest, scratch, "second"), percent, scratch, "rest"))
+    every = lines.where("tokens is null").select("doc_id", "line").unionByName(gone.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")))
     return every.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
@@ -266,6 +362,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int =
     """
     scratch = Scratch(spark, "lines")
     found = scratch.write(repeated_lines(spark, docs, percent, least_words, scratch), "repeated")
+    scratch.drop("lines", "met", "best", "other", "open", "open-postings", "rest", *(f"{x}-{y}" for x in ("first", "second", "best", "other", "rest") for y in ("asked", "sets", "matched")))
     kept = docs.drop("n_lines", "n_removed", "_id", "_lines")
     there = maybe_in(found, "doc_id")
     marked = kept.withColumn("_id", F.col("doc_id").cast("long"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import map_groups, slices, text_bytes, tuned
 from graphloom.llm.components import connected
-from graphloom.llm.hashing import set_key, shingle_sets, word_chunks
+from graphloom.llm.hashing import bytes_set, set_bytes, set_key, shingle_sets, word_chunks
 from graphloom.llm.signature_tree import SignatureTree, bitmap, link_sets, similar, stacked
 from graphloom.llm.sketch import count_sketch, slot
 from graphloom.session import Scratch
@@ -58,17 +58,6 @@ def shingle_rows(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key1 long, key2 long, sig binary, tokens array<long>")
 
 
-def set_bytes(values: np.ndarray) -> bytes:
-    """The high 48 bits of sorted hashes: enough to compare two sets, and a quarter less to move."""
-    return np.unique(values >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def bytes_set(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``wanted`` (rep, key1, key2 and more) with ``set``: the sorted shingle hashes, as bytes, of that document."""
     joined = wanted.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
