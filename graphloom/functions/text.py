@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.functions.keys import col
 
@@ -68,7 +69,7 @@ def redact_private(text) -> Column:
     return F.regexp_replace(col(text), r"(?is)<private>.*?</private>", "[REDACTED]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _masked(texts):
     def mask(x, depth):
         if depth > 5:

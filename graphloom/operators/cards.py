@@ -71,7 +71,7 @@ def within_budget(sections: DataFrame, most: int) -> DataFrame:
     """Leading sections (card, seq, text) of each card while their tokens sum to ``most`` at the most; the first always stays."""
     total = F.sum(estimated_tokens("text")).over(Window.partitionBy("card").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     first = F.min("seq").over(Window.partitionBy("card"))
-    return sections.withColumn("tokens", total).where((F.col("tokens") <= most) | (F.col("seq") == first))
+    return sections.withColumn("tokens", total).withColumn("_first", first).where((F.col("tokens") <= most) | (F.col("seq") == F.col("_first"))).drop("_first")
 
 
 def retry_candidates(failures: DataFrame) -> DataFrame:

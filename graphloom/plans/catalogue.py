@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from graphloom.plans import graph_queries, rule_queries, table_queries
+
 
 def queries():
-    return {}
+    return {**graph_queries.FOUND.queries, **table_queries.FOUND.queries, **rule_queries.FOUND.queries}
 
 
 def oracle_sql():
-    return {}
+    return {**graph_queries.FOUND.sql, **table_queries.FOUND.sql, **rule_queries.FOUND.sql}
