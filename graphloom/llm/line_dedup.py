@@ -18,7 +18,7 @@ from graphloom.session import Scratch
 #: Least similarity in percent, and words that a line must have to be compared at all.
 PERCENT, LEAST_WORDS = 80, 5
 #: Candidates that a line keeps of each token in the first round; the lines that this leaves open are joined whole after it.
-FIRST_ROUND = 2
+FIRST_ROUND = 16
 #: Lines of a token that one task compares; a token that more lines have is dealt into pairs of blocks.
 BLOCK = 4096
 
@@ -57,7 +57,7 @@ def by_rarity(line: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndar
 
 
 def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -> DataFrame:
-    """One row a line of ``least_words`` distinct words or more: its place, size, key, 64-bit bitmap and prefix tokens, rarest first.
+    """One row a line of ``least_words`` distinct words or more: its place, size, key, 128-bit bitmap (sig, sig2) and prefix tokens, rarest first.
 
     A line that repeats an earlier one of the same batch has no tokens and a key of its own: a line that very many documents have is
     brought together once a batch, and its repeats are spread evenly.
@@ -91,7 +91,8 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
         with np.errstate(over="ignore"):
             key1 = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), begin).view(np.int64)
             key2 = np.add.reduceat(mix(h ^ np.uint64(0x14057B7EF767814F)), begin).view(np.int64)
-        sig = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), begin).view(np.int64)
+        bit, high = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) > 0
+        sig, sig2 = (np.bitwise_or.reduceat(np.where(own, bit, np.uint64(0)), begin).view(np.int64) for own in (~high, high))
         doc, number = ids[row[lines]], number[lines]
         order = np.lexsort((number, doc, key2, key1))
         again = np.zeros(lines.size, bool)
@@ -101,7 +102,7 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
         prefix = (place < np.repeat(take, n)) & ~np.repeat(again, n)
         cut = np.concatenate([[0], np.cumsum(np.where(again, 0, take))]) * 8
         tokens = pa.Array.from_buffers(pa.binary(), lines.size, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h[prefix]))])
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "key1": pa.array(key1), "key2": pa.array(key2), "sig": pa.array(sig), "tokens": tokens})
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "key1": pa.array(key1), "key2": pa.array(key2), "sig": pa.array(sig), "sig2": pa.array(sig2), "tokens": tokens})
 
     def run(batches):
         for whole in batches:
@@ -116,7 +117,7 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
                         yield out
                     at = to
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, n int, key1 long, key2 long, sig long, tokens binary")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, n int, key1 long, key2 long, sig long, sig2 long, tokens binary")
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
@@ -136,9 +137,9 @@ def line_classes(lines: DataFrame) -> DataFrame:
             last = (k1[-1], k2[-1])
             tokens = batch.column("tokens")
             first &= pc.binary_length(tokens).to_numpy(zero_copy_only=False) > 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "line", "n", "sig")), pc.if_else(pa.array(first), tokens, pa.scalar(None, tokens.type))], names=["doc_id", "line", "n", "sig", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "line", "n", "sig", "sig2")), pc.if_else(pa.array(first), tokens, pa.scalar(None, tokens.type))], names=["doc_id", "line", "n", "sig", "sig2", "tokens"])
 
-    return dealt.mapInArrow(run, "doc_id long, line int, n int, sig long, tokens binary")
+    return dealt.mapInArrow(run, "doc_id long, line int, n int, sig long, sig2 long, tokens binary")
 
 
 def posting_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -146,11 +147,11 @@ def posting_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     raw, offsets = text_bytes(batch, "tokens")
     size = np.diff(offsets) // 8
     begin = offsets[:-1] // 8
-    out = {c: np.repeat(batch.column(c).to_numpy(), size) for c in ("n", "doc_id", "line", "sig")}
+    out = {c: np.repeat(batch.column(c).to_numpy(), size) for c in ("n", "doc_id", "line", "sig", "sig2")}
     return out | {"token": np.frombuffer(raw.tobytes(), np.uint64), "place": np.arange(int(size.sum())) - np.repeat(begin, size)}
 
 
-def later_first(doc, line, n, place, sig, cell, percent: int, most: int):
+def later_first(doc, line, n, place, sig, sig2, cell, percent: int, most: int):
     """(later, earlier, open) rows of candidate pairs of a run sorted by (cell, n).
 
     Row i meets row i + d of its cell for d = 1, 2, ... while the sizes allow it, all rows at once. A pair passes if the tokens left
@@ -170,8 +171,9 @@ def later_first(doc, line, n, place, sig, cell, percent: int, most: int):
             break
         least = need(n[i], n[j], percent)
         fits = np.minimum(n[i] - place[i], n[j] - place[j]) >= least
-        fits &= n[i] - np.bitwise_count(sig[i] & ~sig[j]) >= least
-        fits &= n[j] - np.bitwise_count(sig[j] & ~sig[i]) >= least
+        i, j, least = i[fits], j[fits], least[fits]
+        fits = n[i] - np.bitwise_count(sig[i] & ~sig[j]) - np.bitwise_count(sig2[i] & ~sig2[j]) >= least
+        fits &= n[j] - np.bitwise_count(sig[j] & ~sig[i]) - np.bitwise_count(sig2[j] & ~sig2[i]) >= least
         i, j = i[fits], j[fits]
         i_later = (doc[i] > doc[j]) | (doc[i] == doc[j]) & (line[i] > line[j])
         late, early = np.where(i_later, i, j), np.where(i_later, j, i)
@@ -208,9 +210,9 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
                 cell = np.minimum(own[at], other) * k[at] + np.maximum(own[at], other)
                 token = np.where(cell > 0, mix(col["token"][at] + cell.astype(np.uint64)), col["token"][at])
                 order = col["n"][at].astype(np.int64) << 32 | col["place"][at]
-                yield pa.RecordBatch.from_pydict({"token": pa.array(token.view(np.int64)), "size": pa.array(order), "doc_id": pa.array(col["doc_id"][at]), "line": pa.array(col["line"][at]), "sig": pa.array(col["sig"][at])})
+                yield pa.RecordBatch.from_pydict({"token": pa.array(token.view(np.int64)), "size": pa.array(order), "doc_id": pa.array(col["doc_id"][at]), "line": pa.array(col["line"][at]), "sig": pa.array(col["sig"][at]), "sig2": pa.array(col["sig2"][at])})
 
-    posts = classes.select("doc_id", "line", "n", "sig", "tokens").mapInArrow(post, "token long, size long, doc_id long, line int, sig long")
+    posts = classes.select("doc_id", "line", "n", "sig", "sig2", "tokens").mapInArrow(post, "token long, size long, doc_id long, line int, sig long, sig2 long")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
     dealt = posts.repartition(parts, "token").sortWithinPartitions("token", "size")
 
@@ -218,10 +220,10 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         held: list[pa.Table] = []
 
         def pairs(table):
-            col = {c: table.column(c).to_numpy() for c in ("token", "size", "doc_id", "line", "sig")}
+            col = {c: table.column(c).to_numpy() for c in ("token", "size", "doc_id", "line", "sig", "sig2")}
             starts = np.ones(len(col["token"]), np.int64)
             starts[1:] = col["token"][1:] != col["token"][:-1]
-            b, a, more = later_first(col["doc_id"], col["line"], col["size"] >> 32, col["size"] & 0xFFFFFFFF, col["sig"].view(np.uint64), np.cumsum(starts), percent, FIRST_ROUND)
+            b, a, more = later_first(col["doc_id"], col["line"], col["size"] >> 32, col["size"] & 0xFFFFFFFF, col["sig"].view(np.uint64), col["sig2"].view(np.uint64), np.cumsum(starts), percent, FIRST_ROUND)
             doc, line = col["doc_id"], col["line"]
             none = [None] * more.size
             if b.size or more.size:
@@ -258,20 +260,21 @@ def postings(classes: DataFrame, wanted=None) -> DataFrame:
                 if wanted is not None:
                     ok = wanted(col["token"])
                     col = {c: x[ok] for c, x in col.items()}
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(col["doc_id"]), "line": pa.array(col["line"]), "n": pa.array(col["n"]), "sig": pa.array(col["sig"]), "place": pa.array(col["place"].astype(np.int32)), "token": pa.array(col["token"].view(np.int64))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(col["doc_id"]), "line": pa.array(col["line"]), "n": pa.array(col["n"]), "sig": pa.array(col["sig"]), "sig2": pa.array(col["sig2"]), "place": pa.array(col["place"].astype(np.int32)), "token": pa.array(col["token"].view(np.int64))})
 
-    return classes.select("doc_id", "line", "n", "sig", "tokens").mapInArrow(run, "doc_id long, line int, n int, sig long, place int, token long")
+    return classes.select("doc_id", "line", "n", "sig", "sig2", "tokens").mapInArrow(run, "doc_id long, line int, n int, sig long, sig2 long, place int, token long")
 
 
 def second_round(classes: DataFrame, open_: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs (b later, a earlier) of the classes of ``open_`` (doc_b, line_b)."""
     asked = classes.join(open_.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")), ["doc_id", "line"], "left_semi")
     asked = scratch.write(postings(asked), "open-postings")
-    b = asked.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("place").alias("place_b"), "token")
+    b = asked.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("sig2").alias("sig2_b"), F.col("place").alias("place_b"), "token")
     posts = postings(classes, maybe_token(asked.select("token")))
     least = F.ceil((F.col("n") + F.col("n_b")) * percent / (100 + percent))
     fits = (F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= least) & (F.greatest("n", "n_b") * percent <= F.least("n", "n_b") * 100)
-    fits &= (F.col("n") - F.bit_count(F.col("sig").bitwiseAND(F.bitwise_not("sig_b"))) >= least) & (F.col("n_b") - F.bit_count(F.col("sig_b").bitwiseAND(F.bitwise_not("sig"))) >= least)
+    lacks = lambda x, y: F.bit_count(F.col(f"sig{x}").bitwiseAND(F.bitwise_not(f"sig{y}"))) + F.bit_count(F.col(f"sig2{x}").bitwiseAND(F.bitwise_not(f"sig2{y}")))
+    fits &= (F.col("n") - lacks("", "_b") >= least) & (F.col("n_b") - lacks("_b", "") >= least)
     earlier = (F.col("doc_id") < F.col("doc_b")) | (F.col("doc_id") == F.col("doc_b")) & (F.col("line") < F.col("line_b"))
     return b.join(posts, "token").where(fits & earlier).select("doc_b", "line_b", F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a")).distinct()
 
