@@ -93,7 +93,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hashed, np.searchsorted(starts, offsets)
 
 
-def word_chunks(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 21):
+def word_chunks(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 19):
     """(first row, hashes, word offsets) of runs of whole rows of about ``most`` bytes, to bound what is in memory."""
     rows, at = offsets.size - 1, 0
     while at < rows:

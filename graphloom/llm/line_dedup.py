@@ -111,7 +111,7 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
                 raw, offsets = text_bytes(batch)
                 at = 0
                 while at < len(ids):
-                    to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 21), side="right")) - 1)
+                    to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 19), side="right")) - 1)
                     out = chunk(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], ids[at:to])
                     if out is not None:
                         yield out
