@@ -154,26 +154,30 @@ def posting_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 def later_first(doc, line, n, place, sig, sig2, cell, percent: int, most: int):
     """(later, earlier, open) rows of candidate pairs of a run sorted by (cell, n).
 
-    Row i meets row i + d of its cell for d = 1, 2, ... while the sizes allow it, all rows at once. A pair passes if the tokens left
-    after its places (positional filter) and the bitmaps allow the overlap that it needs. The later row of a pair
-    takes ``most`` candidates; ``open`` rows have had more.
+    Row i meets row i + d of its cell for d = 1, 2, ... while the sizes allow it, all rows at once. A row whose place leaves too few
+    tokens for any row of its size or more starts no pair. A pair passes if the tokens left after its places (positional
+    filter) and the bitmaps allow the overlap that it needs. The later row of a pair takes ``most`` candidates; ``open`` rows have had more.
     """
     size, later_of, earlier_of = len(doc), [], []
     met = np.zeros(size, np.int32)
-    active, d = np.arange(size - 1), 1
-    while active.size:
-        active = active[active + d < size]
-        i, j = active, active + d
-        ok = (cell[i] == cell[j]) & (100 * n[i] >= percent * n[j])
-        active = i[ok]
-        i, j = active, active + d
-        if not i.size:
+    n = n.astype(np.int64)
+    key = cell.astype(np.int64) << 32
+    reach = np.searchsorted(key | n, key | 100 * n // percent, side="right") - 1 - np.arange(size)
+    # left >= need(n, n') is own >= least', where left is the number of tokens from the place on.
+    own, least = (n - place) * (100 + percent) - percent * n, percent * n
+    starts = np.flatnonzero((reach > 0) & (own >= least))
+    starts = starts[np.argsort(-reach[starts], kind="stable")]
+    reach, own_i, least_i, d = -reach[starts], own[starts], least[starts], 1
+    while True:
+        active = int(np.searchsorted(reach, -d, side="right"))
+        if not active:
             break
-        least = need(n[i], n[j], percent)
-        fits = np.minimum(n[i] - place[i], n[j] - place[j]) >= least
-        i, j, least = i[fits], j[fits], least[fits]
-        fits = n[i] - np.bitwise_count(sig[i] & ~sig[j]) - np.bitwise_count(sig2[i] & ~sig2[j]) >= least
-        fits &= n[j] - np.bitwise_count(sig[j] & ~sig[i]) - np.bitwise_count(sig2[j] & ~sig2[i]) >= least
+        j = starts[:active] + d
+        fits = np.flatnonzero((own_i[:active] >= least[j]) & (own[j] >= least_i[:active]))
+        i, j = starts[fits], j[fits]
+        common = need(n[i], n[j], percent)
+        fits = n[i] - np.bitwise_count(sig[i] & ~sig[j]) - np.bitwise_count(sig2[i] & ~sig2[j]) >= common
+        fits &= n[j] - np.bitwise_count(sig[j] & ~sig[i]) - np.bitwise_count(sig2[j] & ~sig2[i]) >= common
         i, j = i[fits], j[fits]
         i_later = (doc[i] > doc[j]) | (doc[i] == doc[j]) & (line[i] > line[j])
         late, early = np.where(i_later, i, j), np.where(i_later, j, i)
