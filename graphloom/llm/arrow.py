@@ -61,7 +61,7 @@ def map_groups(df: DataFrame, keys: list[str], f, schema: str, rows: int = 1 <<
     """``f`` of tables that hold whole groups of equal ``keys``, many small ones at once, in the order of the keys.
 
     A table ends with the first group that ends after ``rows`` rows or ``size`` bytes, so memory follows the largest group only.
-    ``f`` gives a dict of columns or None. Groups share calls, which for small groups costs far less than a call for each.
+    ``f`` gives dicts of columns, one after the other. Groups share calls, which for small groups costs far less than a call for each.
     """
     names = [x.split()[0] for x in schema.split(",")]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -78,8 +78,7 @@ def map_groups(df: DataFrame, keys: list[str], f, schema: str, rows: int = 1 <<
         held, n, mb = [], 0, 0
 
         def done(table):
-            out = f(table, np.cumsum(starts(table)))
-            if out is not None:
+            for out in f(table, np.cumsum(starts(table))):
                 yield from pa.table({c: out[c] for c in names}).to_batches()
 
         for batch in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.arrow import map_groups, slices, text_bytes, tuned
 from graphloom.llm.components import connected
 from graphloom.llm.hashing import bytes_set, set_bytes, set_key, shingle_sets, word_chunks
-from graphloom.llm.signature_tree import SignatureTree, bitmap, link_sets, similar, stacked
+from graphloom.llm.signature_tree import SignatureTree, bitmap, bucket_runs, link_sets, similar, stacked
 from graphloom.llm.sketch import count_sketch, slot
 from graphloom.session import Scratch
 
@@ -82,9 +82,12 @@ def tree_links(rows: DataFrame, percent: int) -> DataFrame:
         reps = table.column("rep").to_numpy()
         order = np.lexsort((reps, bucket))
         order = order[np.append(True, (np.diff(reps[order]) != 0) | (np.diff(bucket[order]) != 0))]
-        sets = table.column("set").take(order).to_pylist()
-        links = link_sets(reps[order].tolist(), [bytes_set(x) for x in sets], bucket[order], percent)
-        return {"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())}
+        bucket = bucket[order]
+        for begin, end in bucket_runs(bucket):
+            own = order[begin:end]
+            sets = [bytes_set(x) for x in table.column("set").take(own).to_pylist()]
+            links = link_sets(reps[own].tolist(), sets, bucket[begin:end], percent)
+            yield {"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())}
 
     return map_groups(rows.select("token", "salt", "rep", "set"), ["token", "salt"], join, "a long, b long")
 
@@ -98,10 +101,10 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         order = order[np.append(True, (np.diff(reps[order]) != 0) | (np.diff(bucket[order]) != 0))]
         codes = np.unique(table.column("component").to_numpy()[order], return_inverse=True)[1]
         sigs = stacked(table.column("sig").take(order).to_pylist())
-        a, b, _ = SignatureTree(sigs, table.column("n").to_numpy()[order], codes, bucket[order]).pairs(percent)
+        tree = SignatureTree(sigs, table.column("n").to_numpy()[order], codes, bucket[order])
         reps = reps[order]
-        pairs = np.unique(np.stack([np.minimum(reps[a], reps[b]), np.maximum(reps[a], reps[b])]), axis=1)
-        return {"a": pa.array(pairs[0]), "b": pa.array(pairs[1])}
+        for a, b, _ in tree.pairs(percent):
+            yield {"a": pa.array(np.minimum(reps[a], reps[b])), "b": pa.array(np.maximum(reps[a], reps[b]))}
 
     cells = rows.select("token", F.col("cell.kind").alias("kind"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "rep", "n", "sig", "component")
     return map_groups(cells, ["token", "kind", "i", "j"], join, "a long, b long")

@@ -6,8 +6,8 @@ import numpy as np
 
 BITS = 1024
 FANOUT = 8
-#: Pairs of nodes that are bounded at once, to limit memory.
-CHUNK = 1 << 15
+#: Pairs of nodes that are bounded at once, and pairs of sets whose trees are traversed together, to limit memory.
+CHUNK, TOGETHER = 1 << 13, 1 << 20
 
 
 def bitmap(values: np.ndarray) -> bytes:
@@ -55,11 +55,14 @@ class SignatureTree:
         most[ok] = np.minimum(high[x] - np.bitwise_count(every[x] & ~either[y]).sum(axis=1, dtype=np.int64), high[y] - np.bitwise_count(every[y] & ~either[x]).sum(axis=1, dtype=np.int64))
         return ok & (most * (100 + percent) >= percent * (low[i] + low[j])), most
 
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, largest overlap) of all pairs of sets of a bucket that the bitmaps can't tell apart, of different groups only."""
+    def pairs(self, percent: int):
+        """(a, b, largest overlap) of all pairs of sets of a bucket that the bitmaps can't tell apart, of different groups only.
+
+        They come in parts of at most CHUNK pairs, so that no more than a few parts of each level are held.
+        """
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top][2]))
-        work, found, step = [(top, roots, roots)], [], np.arange(FANOUT)
+        work, step = [(top, roots, roots)], np.arange(FANOUT)
         while work:
             level, i, j = work.pop()
             if len(i) > CHUNK:
@@ -71,16 +74,14 @@ class SignatureTree:
             ok, most = self.reach(level, i, j, percent)
             i, j = i[ok], j[ok]
             if level == 0:
-                found.append((self.order[i], self.order[j], most[ok]))
+                if i.size:
+                    yield self.order[i], self.order[j], most[ok]
             elif i.size:
                 begin, end = self.below[level]
                 a = np.broadcast_to((begin[i, None] + step)[:, :, None], (i.size, FANOUT, FANOUT))
                 b = np.broadcast_to((begin[j, None] + step)[:, None, :], (i.size, FANOUT, FANOUT))
                 there = (a < end[i, None, None]) & (b < end[j, None, None]) & (a <= b)
                 work.append((level - 1, a[there], b[there]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -92,6 +93,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (a.size + b.size - both)
 
 
+def bucket_runs(buckets: np.ndarray, most: int = TOGETHER):
+    """(from, to) of runs of whole buckets of rows in order of their bucket, of ``most`` pairs of a bucket's rows or a bucket more."""
+    if not buckets.size:
+        return
+    at = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+    squares = np.cumsum(np.diff(np.append(at, buckets.size)) ** 2) // most
+    cut = at[np.append(True, squares[1:] != squares[:-1])].tolist()
+    yield from zip(cut, [*cut[1:], buckets.size])
+
+
 def link_sets(ids: list[int], sets: list[np.ndarray], buckets: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (id, id) that join all sets of a bucket that a chain of similar pairs joins; verified, without loops."""
     from graphloom.llm.components import Groups
@@ -100,7 +111,10 @@ def link_sets(ids: list[int], sets: list[np.ndarray], buckets: np.ndarray, perce
     if n < 2:
         return []
     tree = SignatureTree(stacked([bitmap(s) for s in sets]), np.array([s.size for s in sets]), np.arange(n), buckets)
-    a, b, most = tree.pairs(percent)
+    found = list(tree.pairs(percent))
+    if not found:
+        return []
+    a, b, most = (np.concatenate(x) for x in zip(*found))
     joined, links = Groups(n), []
     for k in np.argsort(-most, kind="stable"):
         x, y = int(a[k]), int(b[k])
