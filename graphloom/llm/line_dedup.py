@@ -60,7 +60,7 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
     """One row a line of ``least_words`` distinct words or more: its place, size, key, 128-bit bitmap (sig, sig2) and prefix tokens, rarest first.
 
     A line that repeats an earlier one of the same batch has no tokens and a key of its own: a line that very many documents have is
-    brought together once a batch, and its repeats are spread evenly.
+    brought together once a batch, and its repeats are spread evenly. Equal lines at one place, of rows that occur twice, are one line.
     """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -95,14 +95,20 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
         sig, sig2 = (np.bitwise_or.reduceat(np.where(own, bit, np.uint64(0)), begin).view(np.int64) for own in (~high, high))
         doc, number = ids[row[lines]], number[lines]
         order = np.lexsort((number, doc, key2, key1))
-        again = np.zeros(lines.size, bool)
-        again[order[1:]] = (key1[order[1:]] == key1[order[:-1]]) & (key2[order[1:]] == key2[order[:-1]])
+        again, twin = np.zeros(lines.size, bool), np.zeros(lines.size, bool)
+        same = (key1[order[1:]] == key1[order[:-1]]) & (key2[order[1:]] == key2[order[:-1]])
+        at_first = (doc[order[1:]] == doc[order[:-1]]) & (number[order[1:]] == number[order[:-1]])
+        twin[order[1:]] = same & at_first
+        # The class's first place, as often as it occurs, is no repeat; all later places are.
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        first_of = np.repeat(order[starts], np.diff(np.append(starts, order.size)))
+        again[order] = (doc[order] != doc[first_of]) | (number[order] != number[first_of])
         key1[again] = mix(doc[again].astype(np.int64).view(np.uint64) + number[again].astype(np.uint64) * np.uint64(31)).view(np.int64)
         key2[again] = 0
         prefix = (place < np.repeat(take, n)) & ~np.repeat(again, n)
         cut = np.concatenate([[0], np.cumsum(np.where(again, 0, take))]) * 8
         tokens = pa.Array.from_buffers(pa.binary(), lines.size, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h[prefix]))])
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "key1": pa.array(key1), "key2": pa.array(key2), "sig": pa.array(sig), "sig2": pa.array(sig2), "tokens": tokens})
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "key1": pa.array(key1), "key2": pa.array(key2), "sig": pa.array(sig), "sig2": pa.array(sig2), "tokens": tokens}).filter(pa.array(~twin))
 
     def run(batches):
         for whole in batches:
@@ -133,11 +139,15 @@ def line_classes(lines: DataFrame) -> DataFrame:
                 continue
             first = np.ones(k1.size, bool)
             first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-            first[0] = last != (k1[0], k2[0])
-            last = (k1[-1], k2[-1])
+            first[0] = last is None or last[:2] != (k1[0], k2[0])
+            doc, line = batch.column("doc_id").to_numpy(), batch.column("line").to_numpy()
+            twin = np.zeros(k1.size, bool)  # the line before once more, of a row that occurs twice
+            twin[1:] = ~first[1:] & (doc[1:] == doc[:-1]) & (line[1:] == line[:-1])
+            twin[0] = last == (k1[0], k2[0], doc[0], line[0])
+            last = (k1[-1], k2[-1], doc[-1], line[-1])
             tokens = batch.column("tokens")
             first &= pc.binary_length(tokens).to_numpy(zero_copy_only=False) > 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "line", "n", "sig", "sig2")), pc.if_else(pa.array(first), tokens, pa.scalar(None, tokens.type))], names=["doc_id", "line", "n", "sig", "sig2", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "line", "n", "sig", "sig2")), pc.if_else(pa.array(first), tokens, pa.scalar(None, tokens.type))], names=["doc_id", "line", "n", "sig", "sig2", "tokens"]).filter(pa.array(~twin))
 
     return dealt.mapInArrow(run, "doc_id long, line int, n int, sig long, sig2 long, tokens binary")
 

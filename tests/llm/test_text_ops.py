@@ -287,3 +287,13 @@ def test_line_dedup_edge_cases(spark, odd):
     assert len(got) == len(ROWS) and by[3].text is None and by[4].text == "" and by[2].text == "" and by[9].text == "" and by[1].text == BASE
     assert by[11].n_removed == 899 and by[None].text == BASE and by[1].n == "clash"
     assert line_dedup.without_repeated_lines(spark, odd.limit(0)).count() == 0
+
+
+def test_line_dedup_keeps_a_repeated_row(spark):
+    """Rows that occur twice, in one batch and in several, keep what one of them keeps."""
+    rows = [(1, "one two three four five six\nseven eight nine ten eleven twelve"), (2, "a b c d e f\none two three four five six\na b c d e f"), (3, "some other line of six words")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(parts)
+        got = line_dedup.without_repeated_lines(spark, df).collect()
+        want = [(1, rows[0][1], 0), (2, "a b c d e f", 2), (3, rows[2][1], 0)]
+        assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(want * 3)
