@@ -59,7 +59,7 @@ def by_rarity(line: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndar
 def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -> DataFrame:
     """One row a line of ``least_words`` distinct words or more: its place, size, key, 128-bit bitmap (sig, sig2) and prefix tokens, rarest first.
 
-    A line that repeats an earlier one of the same batch has no tokens and a key of its own: a line that very many documents have is
+    A line that repeats an earlier one of the same batch has null tokens and a key of its own: a line that very many documents have is
     brought together once a batch, and its repeats are spread evenly. Equal lines at one place, of rows that occur twice, are one line.
     """
     held = docs.sparkSession.sparkContext.broadcast(counts)
@@ -87,7 +87,8 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
             return None
         begin = np.cumsum(n) - n
         place = np.arange(h.size) - np.repeat(begin, n)
-        take = n - -(-percent * n // 100) + 1
+        # A set too small for a similar one of another size matches only its equal, which its key finds: it needs no tokens.
+        take = np.where(100 * n >= percent * (n + 1), n - -(-percent * n // 100) + 1, 0)
         with np.errstate(over="ignore"):
             key1 = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), begin).view(np.int64)
             key2 = np.add.reduceat(mix(h ^ np.uint64(0x14057B7EF767814F)), begin).view(np.int64)
@@ -107,7 +108,8 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
         key2[again] = 0
         prefix = (place < np.repeat(take, n)) & ~np.repeat(again, n)
         cut = np.concatenate([[0], np.cumsum(np.where(again, 0, take))]) * 8
-        tokens = pa.Array.from_buffers(pa.binary(), lines.size, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h[prefix]))])
+        valid = pa.py_buffer(np.packbits(~again, bitorder="little"))
+        tokens = pa.Array.from_buffers(pa.binary(), lines.size, [valid, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h[prefix]))])
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "key1": pa.array(key1), "key2": pa.array(key2), "sig": pa.array(sig), "sig2": pa.array(sig2), "tokens": tokens}).filter(pa.array(~twin))
 
     def run(batches):
@@ -127,7 +129,10 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
-    """doc_id, line, n, sig and tokens of every line; tokens are null for all but the first line of those with equal word sets."""
+    """doc_id, line, n, sig and tokens of every line; tokens are null for all but the first line of those with equal word sets.
+
+    First lines without tokens match no other class and are left out.
+    """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lines.repartition(parts, "key1", "key2").sortWithinPartitions("key1", "key2", "doc_id", "line")
 
@@ -146,8 +151,9 @@ def line_classes(lines: DataFrame) -> DataFrame:
             twin[0] = last == (k1[0], k2[0], doc[0], line[0])
             last = (k1[-1], k2[-1], doc[-1], line[-1])
             tokens = batch.column("tokens")
-            first &= pc.binary_length(tokens).to_numpy(zero_copy_only=False) > 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "line", "n", "sig", "sig2")), pc.if_else(pa.array(first), tokens, pa.scalar(None, tokens.type))], names=["doc_id", "line", "n", "sig", "sig2", "tokens"]).filter(pa.array(~twin))
+            first &= tokens.is_valid().to_numpy(zero_copy_only=False)
+            alone = first & (pc.binary_length(tokens).fill_null(0).to_numpy(zero_copy_only=False) == 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "line", "n", "sig", "sig2")), pc.if_else(pa.array(first), tokens, pa.scalar(None, tokens.type))], names=["doc_id", "line", "n", "sig", "sig2", "tokens"]).filter(pa.array(~twin & ~alone))
 
     return dealt.mapInArrow(run, "doc_id long, line int, n int, sig long, sig2 long, tokens binary")
 

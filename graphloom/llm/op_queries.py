@@ -56,4 +56,5 @@ def op1_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeated_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    """Every line that has a word is compared."""
+    return without_repeated_lines(spark, table(spark, sf_dir, "documents"), least_words=1).select("doc_id", "text", "n_lines", "n_removed")

@@ -297,3 +297,16 @@ def test_line_dedup_keeps_a_repeated_row(spark):
         got = line_dedup.without_repeated_lines(spark, df).collect()
         want = [(1, rows[0][1], 0), (2, "a b c d e f", 2), (3, rows[2][1], 0)]
         assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(want * 3)
+
+
+def test_line_dedup_query_compares_short_lines(spark, tmp_path):
+    """Lines of one to four distinct words too; four words match the five that hold them."""
+    from graphloom.llm.op_queries import op8_line_dedup
+
+    rows = [(1, "Menu\nSubscribe to our newsletter\n\na b a b c d"), (2, "menu\nsubscribe to our newsletter now\n \nb c d"), (3, "日本語のテキスト\nour newsletter subscribe to"), (4, "日本語のテキスト\nb d c\na b c\n\nMenu menu")]
+    rows += [(10 + k, f"short {k % 7}\nword{k % 5} x y z" + " q" * (k % 2) + "\n\n" + " ".join("pqrst"[: 1 + k % 5])) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    gone = brute_lines(rows, least=1)
+    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(gone.get(d, ()))) for d, t in rows}
+    got = op8_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == want and sum(r.n_removed for r in got) == sum(map(len, gone.values()))
