@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import re
 import zlib
 
@@ -18,11 +19,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs; shorter ones fail, so the length is part of the pattern.
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A word that holds percent escapes, a run of Unicode escapes, and a run of base64 of 16 characters or more.
-PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
-ESCAPE = re.compile(r"[^\s\"'<>]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]+;)[^\s\"'<>]*")
+#: A Unicode escape, a run of base64 of 16 characters or more, such runs over several lines, and a run of percent escapes.
 ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]+);|&#([0-9]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}")
+BREAK = re.compile(r"\r?\n[ \t]*")
 PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 URLSAFE = str.maketrans("-_", "+/")
 
@@ -132,16 +133,102 @@ def from_base64(piece: Layer) -> Layer | None:
     return Layer(text, at, to)
 
 
+def slice_of(piece: Layer, start: int, end: int) -> Layer:
+    return Layer(piece.text[start:end], piece.at[start:end], piece.to[start:end])
+
+
+def readable_until(body: str) -> int:
+    """How many characters of a base64 body decode to text before the first byte that is none; all, where it is compressed."""
+    done, size, raw = 0, 24, b""
+    while done < len(body):
+        chunk = body[done : done + size]
+        chunk = chunk[: len(chunk) - (len(chunk) % 4 == 1)]
+        raw += base64.b64decode(chunk + "=" * (-len(chunk) % 4))
+        if not done and inflate(raw):
+            return len(body)
+        done, size = done + size, size * 2
+        try:
+            text, bad = raw.decode(), len(raw)
+        except UnicodeDecodeError as e:
+            text, bad = raw[: e.start].decode(), e.start
+            if e.reason == "unexpected end of data" and done < len(body):
+                bad = len(raw)
+        control = re.search(r"[^\t\n\r\f -\x7e\x80-\U0010ffff]", text)
+        if control:
+            bad = len(text[: control.start()].encode())
+        if bad < len(raw):
+            return bad * 4 // 3
+    return len(body)
+
+
+def between_boundaries(piece: Layer):
+    """Layers of the parts of a run that begin after, or end before, a "/", "-" or "_": paths and prefixes around base64."""
+    body = piece.text.rstrip("=")
+    cuts = [m.start() for m in re.finditer("[/_-]", body)]
+    plain, over = body.translate(URLSAFE), 0
+    for start in [0] + [c + 1 for c in cuts]:
+        if start < over or len(body) - start < 16:
+            continue
+        until = start + readable_until(plain[start : start + 24])
+        if until < min(start + 16, len(body)):
+            continue
+        until = start + readable_until(plain[start:])
+        ends = [len(piece.text)] if until >= len(body) else []
+        at = bisect.bisect_right(cuts, until + 2)
+        ends += [c for c in reversed(cuts[max(0, at - 2) : at]) if c - start >= 16]
+        for end in ends:
+            got = from_base64(slice_of(piece, start, end))
+            if got is not None:
+                yield got
+                over = end
+                break
+
+
+def joined_lines(piece: Layer):
+    """Layers of base64 that is wrapped over lines.
+
+    Taken together are all lines of the piece, and lines of one length with the first shorter one after them or
+    without it; the first of them may be shorter too, where other text stands before it.
+    """
+    lines, at = [], 0
+    for m in BREAK.finditer(piece.text):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, len(piece.text)))
+    size = [b - a for a, b in lines]
+    groups, k = {(0, len(lines))}, 1
+    while k < len(lines):
+        end = k
+        while end < len(lines) and size[end] == size[k]:
+            end += 1
+        for first in (k - 1, k):
+            groups.update({(first, end), (first, min(end + 1, len(lines)))})
+        k = end
+    if size[0] == size[1]:
+        end = next((k for k, x in enumerate(size) if x != size[0]), len(size))
+        groups.update({(0, end), (0, min(end + 1, len(lines)))})
+    for first, end in sorted(groups):
+        if end - first > 1:
+            own = [slice_of(piece, *x) for x in lines[first:end]]
+            one = Layer("".join(x.text for x in own), [y for x in own for y in x.at], [y for x in own for y in x.to])
+            yield from_base64(one)
+
+
 def unwrap(text: str, layer: Layer | None):
     """The layers directly inside a text."""
-    if "%" in text:
-        for m in PERCENT.finditer(text):
-            yield replaced(part(text, layer, *m.span()), PERCENT_RUN, from_percent)
-    if "\\" in text or "&#" in text:
-        for m in ESCAPE.finditer(text):
-            yield replaced(part(text, layer, *m.span()), ESCAPE_UNIT, from_escape)
+    whole = lambda: part(text, layer, 0, len(text))
+    if PERCENT_RUN.search(text):
+        yield replaced(whole(), PERCENT_RUN, from_percent)
+    if ESCAPE_UNIT.search(text):
+        yield replaced(whole(), ESCAPE_UNIT, from_escape)
     for m in BASE64.finditer(text):
-        yield from_base64(part(text, layer, *m.span()))
+        piece = part(text, layer, *m.span())
+        got = from_base64(piece)
+        yield got
+        if got is None:
+            yield from between_boundaries(piece)
+    for m in WRAPPED.finditer(text):
+        yield from joined_lines(part(text, layer, *m.span()))
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:

@@ -310,3 +310,31 @@ def test_line_dedup_query_compares_short_lines(spark, tmp_path):
     want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(gone.get(d, ()))) for d, t in rows}
     got = op8_line_dedup(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.text for r in got} == want and sum(r.n_removed for r in got) == sum(map(len, gone.values()))
+
+
+def test_secrets_of_which_a_part_is_encoded():
+    import base64
+    import gzip
+    import random
+
+    rng = random.Random(7)
+    plain = "api_key=Zx81kq02LmN"
+    long = " ".join(f"{rng.getrandbits(60):x}".replace("a", "z") for _ in range(40)) + " " + plain
+
+    def wrap(raw, n, end="\n"):
+        x = base64.b64encode(raw).decode()
+        return end.join(x[k : k + n] for k in range(0, len(x), n))
+
+    hidden = [
+        '{"password": "\\u0068unter2hunter"}', "pass\\u0077ord = hunter22x", "token: %5A%78%38%31kq02LmN",
+        wrap(gzip.compress(long.encode()), 76, "\r\n"), wrap(long.encode(), 64), wrap(long.encode(), 64).replace("\n", "\n  ") + "\nRegards\nBob",
+        "https://a.b/files/" + base64.b64encode(b"see " + plain.encode()).decode(), base64.b64encode(b"see  " + plain.encode()).decode().rstrip("=") + "/\u00e9/x",
+        "run_id-" + base64.b64encode(plain.encode()).decode().rstrip("=") + "/raw_part",
+    ]
+    for text in hidden:
+        base, spans, _ = secret_scan.find_secrets(f"before\n{text} after")
+        assert any(k == 0 for *_, k in spans), text
+        assert all(7 <= a < b <= 7 + len(text) for a, b, _ in spans)
+        assert not base
+    text = "x: pass\\u0077ord = hunter22x."
+    assert secret_scan.find_secrets(text)[1] == [(3, len(text), 0)]
