@@ -27,35 +27,59 @@ CLOSES = {
 OUTSIDE = frozenset("nav navigation navbar menu sidebar footer header masthead banner contentinfo complementary breadcrumb breadcrumbs pagination pager toolbar widget search login signup register share sharing social related recommended recommendations popular trending tags meta byline".split())
 NEVER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert newsletter subscribe subscription popup modal overlay comment comments disqus reply replies respond dialog paywall hidden".split())
 INSIDE = frozenset("article content main story post entry body text prose".split())
+#: The share of a page's text outside links from which an element is no boilerplate, though its name or a part of a class says so.
+SHARE = 0.7
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 HINT_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def hinted_out(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it is hidden or no part of an article."""
+def hinted_out(tag: str, attributes: str) -> int:
+    """2 if an element's attributes say that it is hidden or no part of an article, 1 if a part of a class hints at it, else 0.
+
+    A NEVER word inside a longer token ("overflow-hidden", "comments-open") is a hint only; a token of INSIDE words
+    without one ("entry-content") outweighs it.
+    """
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return 0
     hints: set[str] = set()
+    hinted = inside = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 2
         if name in ("class", "id", "role"):
-            hints.update(w.lower() for w in HINT_WORD.findall(value))
-    return bool(hints & NEVER) or bool(hints & OUTSIDE) and not hints & INSIDE
+            for token in value.split():
+                if token.lower() in NEVER:
+                    return 2
+                own = {w.lower() for w in HINT_WORD.findall(token)}
+                hinted |= bool(own & NEVER)
+                inside |= bool(own & INSIDE) and not own & (NEVER | OUTSIDE)
+                hints |= own
+    if hints & OUTSIDE and not hints & INSIDE:
+        return 2
+    return int(hinted and not inside)
 
 
 class Page:
     """The element tree of a page with its blocks of text; elements are numbered in page order, parents first."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, spared: frozenset[int] = frozenset()):
+        self.spared, self.weak, self.said = spared, {}, 0  # weak: characters outside links of elements that are out by a hint
         self.parent, self.tag, self.out = [-1], ["#page"], [False]
+        self.strong, self.above = [False], [0]  # out for good; the nearest element that is out by a hint, 0 for none
         self.blocks: list[tuple[int, str, int]] = []  # (element, text, characters inside links)
         self.stack, self.linked, self.run, self.link_chars, self.owner = [0], 0, [], 0, 0
         self.read(html)
 
+    def dominating(self) -> frozenset[int]:
+        """The elements that are out by a hint but hold the better part of the page's text."""
+        for k in sorted(self.weak, reverse=True):
+            if above := self.above[self.parent[k]]:
+                self.weak[above] += self.weak[k]
+        return frozenset(k for k, size in self.weak.items() if size and size >= SHARE * self.said)
+
     def flush(self) -> None:
         """End the block that is open."""
         if self.run:
@@ -66,6 +90,11 @@ class Page:
 
     def say(self, raw: str) -> None:
         here = self.stack[-1]
+        if not self.linked and not self.strong[here]:
+            size = len(raw.strip())
+            self.said += size
+            if self.above[here]:
+                self.weak[self.above[here]] += size
         if self.out[here]:
             return
         if not self.run:
@@ -105,8 +134,14 @@ class Page:
         inside = tag == "header" and not any(self.tag[k] in ("article", "main") for k in self.stack)
         self.parent.append(top)
         self.tag.append(tag)
-        self.out.append(self.out[top] or tag in DROPPED or inside or hinted_out(tag, attributes))
-        self.stack.append(len(self.tag) - 1)
+        here, hint = len(self.tag) - 1, hinted_out(tag, attributes)
+        strong, weak = inside or hint == 2 or tag in DROPPED and tag != "form", hint == 1 or tag == "form"
+        self.strong.append(self.strong[top] or strong)
+        self.out.append(self.out[top] or strong or weak and here not in self.spared)
+        if weak and not self.strong[here]:
+            self.weak[here] = 0
+        self.above.append(here if here in self.weak else self.above[top])
+        self.stack.append(here)
         self.linked += tag == "a"
 
     def end(self, tag: str) -> None:
@@ -184,8 +219,10 @@ def main_blocks(page: Page) -> list[str]:
         for k in range(1, n):
             if page.parent[k] == page.parent[best] and k != best and not page.out[k]:
                 density = links[k] / chars[k] if chars[k] else 1.0
-                if final[k] >= max(2.0, 0.2 * final[best]) or page.tag[k] == "p" and chars[k] >= 80 and density < 0.25:
+                if final[k] >= max(2.0, 0.2 * final[best]) or page.tag[k] not in HEADINGS and chars[k] >= 80 and density < 0.25:
                     kept.add(k)
+        last = max(kept)
+        kept.update(k for k in range(min(kept) + 1, last) if page.parent[k] == page.parent[best] and page.tag[k] in HEADINGS and not page.out[k])
     inside = [False] * n
     for k in range(n):
         inside[k] = k in kept or page.parent[k] >= 0 and inside[page.parent[k]]
@@ -193,7 +230,11 @@ def main_blocks(page: Page) -> list[str]:
 
 
 def main_text(html: str | None) -> str:
-    return "\n".join(main_blocks(Page(html))) if html else ""
+    if not html:
+        return ""
+    page = Page(html)
+    spared = page.dominating()
+    return "\n".join(main_blocks(Page(html, spared) if spared else page))
 
 
 def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -29,3 +29,17 @@ def test_odd_pages(spark):
 def test_pages_table(spark, sf_dir):
     rows = extract_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
     assert rows and all(r.n_chars == len(r.text) and "<" not in r.text[:1] for r in rows)
+
+
+def test_hints_that_do_not_drop_an_article():
+    from graphloom.llm.html_text import main_text
+
+    body = "".join(f"<p>Paragraph {k} of the article has words, commas, and a length that counts for something here.</p>" for k in range(4))
+    rest = "<div class='comment-list'><p>Nice one, thanks for it all.</p></div>"
+    for opening, close in (("<div class='entry-content overflow-hidden'>", "</div>"), ("<div class='post comments-open'>", "</div>"), ("<div class='wrap overflow-hidden'>", "</div>"), ("<form action='x'><div>", "</div></form>")):
+        got = main_text(f"<html><body>{opening}{body}{close}{rest}</body></html>")
+        assert got.count("Paragraph") == 4 and "Nice" not in got, opening
+    assert main_text(f"<html><body><div class='hidden'>{body}</div></body></html>") == ""
+    end = "One closing paragraph, which stands alone in its section but is still a part of the text above it."
+    got = main_text(f"<html><body><div><section>{body * 4}</section><h2>The end</h2><section><p>{end}</p></section></div></body></html>")
+    assert got.endswith(f"The end\n{end}")
