@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import language_id, line_dedup, mixing, ngram_join, packing
@@ -37,10 +37,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice.
 
     Of a source's documents in shuffled order the mix takes whole ones but for the last, which counts as taken.
+    Each row has a decision of its own: rows of one id, source and number of words, null ids too, take theirs in turn.
     """
-    rows = mixing.mix_sources(spark, docs.select(*COLUMNS)).where("taken > 0")
-    times = rows.select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return docs.select(*COLUMNS).join(times, "doc_id").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    own = ["doc_id", "source", "size"]
+    rows = mixing.mix_sources(spark, docs.select(*COLUMNS)).withColumn("_nth", F.row_number().over(Window.partitionBy(*own).orderBy("taken"))).where("taken > 0")
+    times = rows.select(*[F.col(c).alias(f"_{c}") for c in own], F.col("_nth").alias("_row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    kept = docs.select(*COLUMNS, mixing.word_count().alias("size")).withColumn("_nth", F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64("text"))))
+    same = F.col("_nth") == F.col("_row")
+    for c in own:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return kept.join(times, same).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

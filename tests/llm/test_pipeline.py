@@ -39,3 +39,20 @@ def test_clean_documents_stay(spark, sf_dir):
     rows = language_id.language_ids(spark, docs).join(docs, "doc_id").where("lang is not null and n_chars > 100").collect()
     right = [r for r in rows if r.lang == r.lang_pred]
     assert sum(r.doc_id in kept for r in right) >= 0.99 * len(right)
+
+
+def test_mixing_of_null_and_repeated_ids(spark, sf_dir):
+    """Every row is taken as often as the mix says: no null id is lost and no repeated one multiplied."""
+    from graphloom.llm import mixing
+
+    text = lambda k: " ".join(f"w{k}_{j}" for j in range(200))
+    rows = [(None if k < 5 else 7 if k < 9 else 100 + k, text(0 if k in (5, 6) else k), "en", "abc"[k % 3], 9) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {}
+    for r in mixing.mix_sources(spark, docs).collect():
+        key = (r.doc_id, r.source)
+        want[key] = want.get(key, 0) + -(-r.taken // r.size)
+    got = {}
+    for r in corpus_pipeline.mixed(spark, docs, sf_dir).collect():
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+    assert got == {k: n for k, n in want.items() if n} and any(d is None for d, _ in got)
