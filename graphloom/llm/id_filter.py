@@ -74,6 +74,12 @@ def maybe_in(ids: DataFrame, column: str):
     return test
 
 
+def maybe_id(ids: DataFrame):
+    """A function of an array of longs that is true for every id of ``ids`` (one long column) and for few others."""
+    held, bits = _filter(ids)
+    return lambda x: _test(held, bits, x.astype(np.int64).view(np.uint64))
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit key of (long, int) pairs."""
     return mix(mix(a.astype(np.int64).view(np.uint64)) ^ b.astype(np.int64).view(np.uint64))

@@ -4,21 +4,46 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 1024
+#: Bits of the trees' bitmaps, and of the widest bitmap of a large set, which has two bits a token up to there.
+BITS, MOST_BITS = 1024, 1 << 17
 FANOUT = 8
 #: Pairs of nodes that are bounded at once, and pairs of sets whose trees are traversed together, to limit memory.
 CHUNK, TOGETHER = 1 << 13, 1 << 20
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """The token bitmap of a set of 64-bit hashes."""
-    bits = np.zeros(BITS, bool)
-    bits[(values & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+    """The token bitmap of a set of 64-bit hashes: BITS wide or, where the set is large, the first power of two of twice its size."""
+    width = min(MOST_BITS, max(BITS, 1 << (2 * values.size - 1).bit_length())) if values.size else BITS
+    bits = np.zeros(width, bool)
+    bits[(values & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def stacked(bitmaps: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), BITS // 64)
+def fold(raw: bytes, width: int) -> np.ndarray:
+    """A bitmap brought down to a narrower width: bit k stands for all k + i * width."""
+    return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, width // 64), axis=0)
+
+
+def folded(bitmaps: list[bytes], width: int = BITS) -> np.ndarray:
+    if all(len(x) * 8 == width for x in bitmaps):
+        return np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), width // 64)
+    return np.stack([fold(x, width) for x in bitmaps])
+
+
+def wide_fit(bitmaps: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the bitmaps of the pairs (a, b), at the width that both have, allow the overlap that similar sets need."""
+    widths = np.array([8 * len(x) for x in bitmaps])
+    width, ok = np.minimum(widths[a], widths[b]), np.ones(a.size, bool)
+    for w in np.unique(width[width > BITS]).tolist():
+        at = np.flatnonzero(width == w)
+        own, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        x, i, j = folded([bitmaps[k] for k in own], w), place[: at.size], place[at.size :]
+        for cut in range(0, at.size, max(1, (1 << 24) // w)):
+            k = at[cut : cut + max(1, (1 << 24) // w)]
+            u, v = x[i[cut : cut + k.size]], x[j[cut : cut + k.size]]
+            most = np.minimum(sizes[a[k]] - np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64), sizes[b[k]] - np.bitwise_count(v & ~u).sum(axis=1, dtype=np.int64))
+            ok[k] = most * (100 + percent) >= percent * (sizes[a[k]] + sizes[b[k]])
+    return ok
 
 
 class SignatureTree:
@@ -110,8 +135,11 @@ def link_sets(ids: list[int], sets: list[np.ndarray], buckets: np.ndarray, perce
     n = len(ids)
     if n < 2:
         return []
-    tree = SignatureTree(stacked([bitmap(s) for s in sets]), np.array([s.size for s in sets]), np.arange(n), buckets)
-    found = list(tree.pairs(percent))
+    sizes, bitmaps = np.array([s.size for s in sets]), [bitmap(s) for s in sets]
+    tree, found = SignatureTree(folded(bitmaps), sizes, np.arange(n), buckets), []
+    for a, b, most in tree.pairs(percent):
+        ok = wide_fit(bitmaps, sizes, a, b, percent)
+        found.append((a[ok], b[ok], most[ok]))
     if not found:
         return []
     a, b, most = (np.concatenate(x) for x in zip(*found))
