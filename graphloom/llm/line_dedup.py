@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import slices, text_bytes, tuned
 from graphloom.llm.hashing import bytes_set, mix, set_bytes, word_chunks, words
-from graphloom.llm.id_filter import maybe_among, maybe_in, maybe_token
+from graphloom.llm.id_filter import maybe_among, maybe_token
 from graphloom.llm.signature_tree import similar
 from graphloom.llm.sketch import count_sketch, slot
 from graphloom.session import Scratch
@@ -21,6 +21,10 @@ PERCENT, LEAST_WORDS = 80, 5
 FIRST_ROUND = 16
 #: Lines of a token that one task compares; a token that more lines have is dealt into pairs of blocks.
 BLOCK = 4096
+#: Bytes of a token's hash that are kept with a line, and low bits of a posting's key, which hold the line's size.
+TOKEN_BYTES, SIZE_BITS = 5, 30
+#: Slots for the line keys that a task has posted, and keys that it has posted twice, which it posts no third time.
+SEEN_BITS, HELD_KEYS = 22, 65_536
 
 
 def line_offsets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,15 +60,53 @@ def by_rarity(line: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndar
     return np.lexsort((hashes, rank, line))
 
 
+def token_bytes(hashes: np.ndarray) -> np.ndarray:
+    """The high TOKEN_BYTES bytes of each hash, end to end."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BYTES :])
+
+
+def bytes_token(raw: np.ndarray) -> np.ndarray:
+    """The hashes, their low bytes 0, of what token_bytes() gave."""
+    out = np.zeros((raw.size // TOKEN_BYTES, 8), np.uint8)
+    out[:, 8 - TOKEN_BYTES :] = raw.reshape(-1, TOKEN_BYTES)
+    return out.view("<u8").ravel()
+
+
+class Posted:
+    """The keys that a task has posted more than once, with the place of one posting each, in a table of bounded size."""
+
+    def __init__(self):
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
+        self.known = [np.zeros(0, np.int64)] * 4  # key1 in order, key2, doc, line
+
+    def check(self, key1, key2, doc, line) -> np.ndarray:
+        """Which of these distinct keys were posted with an earlier place; the others count as posted now."""
+        known1, known2, known_doc, known_line = self.known
+        at = np.minimum(np.searchsorted(known1, key1), max(known1.size - 1, 0))
+        here = (known1[at] == key1) & (known2[at] == key2) if known1.size else np.zeros(key1.size, bool)
+        earlier = here.copy()
+        earlier[here] = (known_doc[at[here]] < doc[here]) | (known_doc[at[here]] == doc[here]) & (known_line[at[here]] < line[here])
+        place = (mix(key1.view(np.uint64)) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+        new = np.flatnonzero(self.seen[place] & ~here)
+        self.seen[place] = True
+        if new.size:
+            if known1.size + new.size > HELD_KEYS:
+                self.__init__()
+            both = [np.concatenate([x, y[new].astype(np.int64)]) for x, y in zip(self.known, (key1, key2, doc, line))]
+            order = np.argsort(both[0], kind="stable")
+            self.known = [x[order] for x in both]
+        return earlier
+
+
 def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -> DataFrame:
     """One row a line of ``least_words`` distinct words or more: its place, size, key, 128-bit bitmap (sig, sig2) and prefix tokens, rarest first.
 
-    A line that repeats an earlier one of the same batch has null tokens and a key of its own: a line that very many documents have is
-    brought together once a batch, and its repeats are spread evenly. Equal lines at one place, of rows that occur twice, are one line.
+    A line that repeats an earlier one of the same task has null tokens and bitmaps and a key of its own: a line that very many documents
+    have is brought together about twice a task, and its repeats are spread evenly. Equal lines at one place, of rows that occur twice, are one line.
     """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def chunk(raw, offsets, ids):
+    def chunk(raw, offsets, ids, posted):
         at, row, number = line_offsets(raw, offsets)
         hashed, where = words(raw, at)
         size = np.diff(where)
@@ -104,15 +146,18 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
         starts = np.flatnonzero(np.concatenate([[True], ~same]))
         first_of = np.repeat(order[starts], np.diff(np.append(starts, order.size)))
         again[order] = (doc[order] != doc[first_of]) | (number[order] != number[first_of])
+        earlier = posted.check(*(x[order[starts]] for x in (key1, key2, doc, number)))
+        again[order[np.repeat(earlier, np.diff(np.append(starts, order.size)))]] = True
         key1[again] = mix(doc[again].astype(np.int64).view(np.uint64) + number[again].astype(np.uint64) * np.uint64(31)).view(np.int64)
         key2[again] = 0
         prefix = (place < np.repeat(take, n)) & ~np.repeat(again, n)
-        cut = np.concatenate([[0], np.cumsum(np.where(again, 0, take))]) * 8
+        cut = np.concatenate([[0], np.cumsum(np.where(again, 0, take))]) * TOKEN_BYTES
         valid = pa.py_buffer(np.packbits(~again, bitorder="little"))
-        tokens = pa.Array.from_buffers(pa.binary(), lines.size, [valid, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h[prefix]))])
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "key1": pa.array(key1), "key2": pa.array(key2), "sig": pa.array(sig), "sig2": pa.array(sig2), "tokens": tokens}).filter(pa.array(~twin))
+        tokens = pa.Array.from_buffers(pa.binary(), lines.size, [valid, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(token_bytes(h[prefix]))])
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "key1": pa.array(key1), "key2": pa.array(key2), "sig": pa.array(sig, mask=again), "sig2": pa.array(sig2, mask=again), "tokens": tokens}).filter(pa.array(~twin))
 
     def run(batches):
+        posted = Posted()
         for whole in batches:
             for batch in slices(whole):
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -120,7 +165,7 @@ def line_rows(docs: DataFrame, counts: np.ndarray, percent: int, least_words: in
                 at = 0
                 while at < len(ids):
                     to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 19), side="right")) - 1)
-                    out = chunk(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], ids[at:to])
+                    out = chunk(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], ids[at:to], posted)
                     if out is not None:
                         yield out
                     at = to
@@ -161,10 +206,21 @@ def line_classes(lines: DataFrame) -> DataFrame:
 def posting_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """token, place, n, doc_id, line and sig of every prefix token of a batch of classes."""
     raw, offsets = text_bytes(batch, "tokens")
-    size = np.diff(offsets) // 8
-    begin = offsets[:-1] // 8
+    size = np.diff(offsets) // TOKEN_BYTES
+    begin = offsets[:-1] // TOKEN_BYTES
     out = {c: np.repeat(batch.column(c).to_numpy(), size) for c in ("n", "doc_id", "line", "sig", "sig2")}
-    return out | {"token": np.frombuffer(raw.tobytes(), np.uint64), "place": np.arange(int(size.sum())) - np.repeat(begin, size)}
+    return out | {"token": bytes_token(raw), "place": np.arange(int(size.sum())) - np.repeat(begin, size)}
+
+
+def token_blocks(counts: np.ndarray):
+    """A function of (tokens, docs, lines): into how many blocks each token's lines are dealt, and the line's own block."""
+    noise = int(np.median(counts))
+
+    def blocks(held, col):
+        k = np.maximum(1, -(-np.maximum(held[slot(col["token"])].astype(np.int64) - noise, 0) // BLOCK))
+        return k, (mix(col["doc_id"].view(np.uint64) + col["line"].astype(np.uint64) * np.uint64(31)) % k.astype(np.uint64)).astype(np.int64)
+
+    return blocks
 
 
 def later_first(doc, line, n, place, sig, sig2, cell, percent: int, most: int):
@@ -210,68 +266,73 @@ def later_first(doc, line, n, place, sig, sig2, cell, percent: int, most: int):
 PAIR = "doc_b long, line_b int, doc_a long, line_a int"
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
+def token_counts(classes: DataFrame) -> np.ndarray:
+    return count_sketch(classes.select("tokens"), lambda batch: [bytes_token(text_bytes(batch, "tokens")[0])])
+
+
+def candidates(classes: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """First-round pairs (b later, a earlier) of classes that share a prefix token; a null a marks a b that has had more.
 
-    A token that more than BLOCK classes have in their prefixes is dealt into pairs of blocks.
+    A token that more than BLOCK classes have in their prefixes is dealt into pairs of blocks. A posting's key is one long, the token's
+    high bits and the line's size: the cells come together and are sorted by size by this one number.
     """
-    counts = count_sketch(classes.select("tokens"), lambda batch: [np.frombuffer(text_bytes(batch, "tokens")[0].tobytes(), np.uint64)])
-    noise = int(np.median(counts))
-    held = classes.sparkSession.sparkContext.broadcast(counts)
+    held, blocks = classes.sparkSession.sparkContext.broadcast(counts), token_blocks(counts)
+    low = np.uint64(SIZE_BITS)
 
     def post(batches):
         for whole in batches:
             for batch in slices(whole, 1 << 14):
                 col = posting_columns(batch)
-                k = np.maximum(1, -(-np.maximum(held.value[slot(col["token"])].astype(np.int64) - noise, 0) // BLOCK))
-                own = (mix(col["doc_id"].view(np.uint64) + col["line"].astype(np.uint64) * np.uint64(31)) % k.astype(np.uint64)).astype(np.int64)
+                k, own = blocks(held.value, col)
                 at = np.repeat(np.arange(k.size), k)
                 other = np.arange(at.size) - np.repeat(np.cumsum(k) - k, k)
                 cell = np.minimum(own[at], other) * k[at] + np.maximum(own[at], other)
                 token = np.where(cell > 0, mix(col["token"][at] + cell.astype(np.uint64)), col["token"][at])
-                order = col["n"][at].astype(np.int64) << 32 | col["place"][at]
-                yield pa.RecordBatch.from_pydict({"token": pa.array(token.view(np.int64)), "size": pa.array(order), "doc_id": pa.array(col["doc_id"][at]), "line": pa.array(col["line"][at]), "sig": pa.array(col["sig"][at]), "sig2": pa.array(col["sig2"][at])})
+                key = token >> low << low | col["n"][at].astype(np.uint64)
+                place = col["line"][at].astype(np.int64) << 32 | col["place"][at]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "doc_id": pa.array(col["doc_id"][at]), "at": pa.array(place), "sig": pa.array(col["sig"][at]), "sig2": pa.array(col["sig2"][at])})
 
-    posts = classes.select("doc_id", "line", "n", "sig", "sig2", "tokens").mapInArrow(post, "token long, size long, doc_id long, line int, sig long, sig2 long")
+    posts = classes.select("doc_id", "line", "n", "sig", "sig2", "tokens").mapInArrow(post, "key long, doc_id long, at long, sig long, sig2 long")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    dealt = posts.repartition(parts, "token").sortWithinPartitions("token", "size")
+    dealt = posts.repartition(parts, F.shiftrightunsigned("key", SIZE_BITS)).sortWithinPartitions("key")
 
     def run(batches):
-        held: list[pa.Table] = []
+        kept: list[pa.Table] = []
 
         def pairs(table):
-            col = {c: table.column(c).to_numpy() for c in ("token", "size", "doc_id", "line", "sig", "sig2")}
-            starts = np.ones(len(col["token"]), np.int64)
-            starts[1:] = col["token"][1:] != col["token"][:-1]
-            b, a, more = later_first(col["doc_id"], col["line"], col["size"] >> 32, col["size"] & 0xFFFFFFFF, col["sig"].view(np.uint64), col["sig2"].view(np.uint64), np.cumsum(starts), percent, FIRST_ROUND)
-            doc, line = col["doc_id"], col["line"]
+            key, doc, at, sig, sig2 = (table.column(c).to_numpy() for c in ("key", "doc_id", "at", "sig", "sig2"))
+            token, line = key >> SIZE_BITS, (at >> 32).astype(np.int32)
+            starts = np.ones(len(key), np.int64)
+            starts[1:] = token[1:] != token[:-1]
+            b, a, more = later_first(doc, line, key & (1 << SIZE_BITS) - 1, at & 0xFFFFFFFF, sig.view(np.uint64), sig2.view(np.uint64), np.cumsum(starts), percent, FIRST_ROUND)
             none = [None] * more.size
             if b.size or more.size:
                 yield pa.RecordBatch.from_pydict({"doc_b": pa.array(np.concatenate([doc[b], doc[more]])), "line_b": pa.array(np.concatenate([line[b], line[more]])), "doc_a": pa.concat_arrays([pa.array(doc[a]), pa.array(none, pa.int64())]), "line_a": pa.concat_arrays([pa.array(line[a]), pa.array(none, pa.int32())])})
 
         rows = 0
         for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
+            kept.append(pa.Table.from_batches([batch]))
             rows += batch.num_rows
             if rows < 1 << 16:
                 continue
-            table = pa.concat_tables(held)
-            token = table.column("token").to_numpy()
+            table = pa.concat_tables(kept)
+            token = table.column("key").to_numpy() >> SIZE_BITS
             cut = np.flatnonzero(token != token[-1])
             whole = int(cut[-1]) + 1 if cut.size else 0  # the last token's run may go on
             if whole:
                 yield from pairs(table.slice(0, whole))
-                held, rows = [table.slice(whole)], table.num_rows - whole
+                kept, rows = [table.slice(whole)], table.num_rows - whole
             else:
-                held = [table]
+                kept = [table]
         if rows:
-            yield from pairs(pa.concat_tables(held))
+            yield from pairs(pa.concat_tables(kept))
 
     return dealt.mapInArrow(run, PAIR)
 
 
-def postings(classes: DataFrame, wanted=None) -> DataFrame:
-    """A row for each prefix token of each class; of ``wanted`` tokens only, where that is given."""
+def postings(classes: DataFrame, counts: np.ndarray, every: bool, wanted=None) -> DataFrame:
+    """A row for each prefix token of each class, of ``wanted`` tokens only where that is given, in the line's own block of the token, or in ``every`` one."""
+    held, blocks = classes.sparkSession.sparkContext.broadcast(counts), token_blocks(counts)
 
     def run(batches):
         for whole in batches:
@@ -280,23 +341,26 @@ def postings(classes: DataFrame, wanted=None) -> DataFrame:
                 if wanted is not None:
                     ok = wanted(col["token"])
                     col = {c: x[ok] for c, x in col.items()}
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(col["doc_id"]), "line": pa.array(col["line"]), "n": pa.array(col["n"]), "sig": pa.array(col["sig"]), "sig2": pa.array(col["sig2"]), "place": pa.array(col["place"].astype(np.int32)), "token": pa.array(col["token"].view(np.int64))})
+                k, own = blocks(held.value, col)
+                at = np.repeat(np.arange(k.size), k) if every else np.arange(k.size)
+                block = np.arange(at.size) - np.repeat(np.cumsum(k) - k, k) if every else own
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(col["doc_id"][at]), "line": pa.array(col["line"][at]), "n": pa.array(col["n"][at]), "sig": pa.array(col["sig"][at]), "sig2": pa.array(col["sig2"][at]), "place": pa.array(col["place"][at].astype(np.int32)), "token": pa.array(col["token"][at].view(np.int64)), "block": pa.array(block.astype(np.int32))})
 
-    return classes.select("doc_id", "line", "n", "sig", "sig2", "tokens").mapInArrow(run, "doc_id long, line int, n int, sig long, sig2 long, place int, token long")
+    return classes.select("doc_id", "line", "n", "sig", "sig2", "tokens").mapInArrow(run, "doc_id long, line int, n int, sig long, sig2 long, place int, token long, block int")
 
 
-def second_round(classes: DataFrame, open_: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """All pairs (b later, a earlier) of the classes of ``open_`` (doc_b, line_b)."""
+def second_round(classes: DataFrame, open_: DataFrame, counts: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs (b later, a earlier) of the classes of ``open_`` (doc_b, line_b). A hot token's lines meet block by block."""
     asked = classes.join(open_.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")), ["doc_id", "line"], "left_semi")
-    asked = scratch.write(postings(asked), "open-postings")
-    b = asked.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("sig2").alias("sig2_b"), F.col("place").alias("place_b"), "token")
-    posts = postings(classes, maybe_token(asked.select("token")))
+    asked = scratch.write(postings(asked, counts, True), "open-postings")
+    b = asked.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("sig2").alias("sig2_b"), F.col("place").alias("place_b"), "token", "block")
+    posts = postings(classes, counts, False, maybe_token(asked.select("token")))
     least = F.ceil((F.col("n") + F.col("n_b")) * percent / (100 + percent))
     fits = (F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= least) & (F.greatest("n", "n_b") * percent <= F.least("n", "n_b") * 100)
     lacks = lambda x, y: F.bit_count(F.col(f"sig{x}").bitwiseAND(F.bitwise_not(f"sig{y}"))) + F.bit_count(F.col(f"sig2{x}").bitwiseAND(F.bitwise_not(f"sig2{y}")))
     fits &= (F.col("n") - lacks("", "_b") >= least) & (F.col("n_b") - lacks("_b", "") >= least)
     earlier = (F.col("doc_id") < F.col("doc_b")) | (F.col("doc_id") == F.col("doc_b")) & (F.col("line") < F.col("line_b"))
-    return b.join(posts, "token").where(fits & earlier).select("doc_b", "line_b", F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a")).distinct()
+    return b.join(posts, ["token", "block"]).where(fits & earlier).select("doc_b", "line_b", F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a")).distinct()
 
 
 def line_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -360,7 +424,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT,
     classes = lines.where("tokens is not null")
 
     b, pair = ["doc_b", "line_b"], ["doc_b", "line_b", "doc_a", "line_a"]
-    met = scratch.write(candidates(classes, percent).groupBy(*pair).agg(F.count("*").alias("votes")), "met")
+    spread = token_counts(classes)
+    met = scratch.write(candidates(classes, spread, percent).groupBy(*pair).agg(F.count("*").alias("votes")), "met")
     known = met.where("doc_a is not null")
     sets = line_sets(docs, known, scratch, "first")
     # The earlier line that shares most prefix tokens goes first; the other candidates matter only where that one doesn't match.
@@ -370,7 +435,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT,
     gone = gone.unionByName(matched(other, sets, percent, scratch, "other"))
     open_ = scratch.write(met.where("doc_a is null").select(*b).distinct().join(gone, b, "left_anti"), "open")
     if not open_.isEmpty():
-        rest = scratch.write(second_round(classes, open_, percent, scratch).join(known.select(*pair), pair, "left_anti"), "rest")
+        rest = scratch.write(second_round(classes, open_, spread, percent, scratch).join(known.select(*pair), pair, "left_anti"), "rest")
         gone = gone.unionByName(matched(rest, line_sets(docs, rest, scratch, "second"), percent, scratch, "rest"))
     every = lines.where("tokens is null").select("doc_id", "line").unionByName(gone.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")))
     return every.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
@@ -387,15 +452,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int =
     found = scratch.write(repeated_lines(spark, docs, percent, least_words, scratch), "repeated")
     scratch.drop("lines", "met", "best", "other", "open", "open-postings", "rest", *(f"{x}-{y}" for x in ("first", "second", "best", "other", "rest") for y in ("asked", "sets", "matched")))
     kept = docs.drop("n_lines", "n_removed", "_id", "_lines")
-    there = maybe_in(found, "doc_id")
-    marked = kept.withColumn("_id", F.col("doc_id").cast("long"))
-    whole = F.split("text", "\n", -1)
-    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(whole)), F.lit(0)).alias("n_lines")
     columns = [c for c in kept.columns if c != "text"]
-    touched = marked.where(there(F.col("_id"))).join(found.select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines")), "_id", "left")
-    left = F.array_join(F.filter(whole, lambda x, i: ~F.array_contains("_lines", i)), "\n")
+    # The list of lines grows with the corpus, so it is merged with the texts and never broadcast.
+    joined = kept.withColumn("_id", F.col("doc_id").cast("long")).join(found.select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines")).hint("merge"), "_id", "left")
+    n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i)), "\n")
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)
-    changed = touched.select(*columns, text.alias("text"), n_lines, F.coalesce(F.size("_lines"), F.lit(0)).alias("n_removed"))
-    same = marked.where(~F.coalesce(there(F.col("_id")), F.lit(False))).select(*columns, "text", n_lines, F.lit(0).alias("n_removed"))
-    order = [*kept.columns, "n_lines", "n_removed"]
-    return changed.select(order).unionByName(same.select(order))
+    return joined.select(*columns, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).alias("n_removed")).select(*kept.columns, "n_lines", "n_removed")
