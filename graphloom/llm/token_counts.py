@@ -60,13 +60,13 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None,
     common = frequent_pretokens(docs, frequent)
     lengths = worker_pretokens(path, "count")
     tag = uuid.uuid4().hex
-    tier = spark.sparkContext.broadcast(("\x00".join(common), bytes(min(255, len(lengths.ids(x))) for x in common)))
+    tier = spark.sparkContext.broadcast((common, bytes(min(255, len(lengths.ids(x))) for x in common)))
 
     def count(batches):
         cache = worker_pretokens(path, "count")
         if getattr(cache, "tier", None) != tag:
             names, sizes = tier.value
-            cache.preload({x: n for x, n in zip(names.split("\x00"), sizes) if x and n < 255})
+            cache.preload({x: n for x, n in zip(names, sizes) if n < 255})
             cache.tier = tag
         get = cache.__getitem__
         for whole in batches:
