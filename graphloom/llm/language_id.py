@@ -17,6 +17,8 @@ from graphloom.llm.hashing import mix
 SLOTS = 4096
 #: Labelled documents a language that the centroids are fitted on, at most, and centroids a language.
 SAMPLE, CLUSTERS = 400, 4
+#: Languages that a model may have: it is held by the driver and broadcast, 64 kB a language. More are an error.
+LANGUAGES = 2048
 #: A text is rejected when its cosine to the nearest centroid is below this share of the least one that the
 #: fitted documents of that centroid have.
 REACH = 0.5
@@ -33,7 +35,7 @@ def letters(text: str) -> str:
 def gram_counts(text: str) -> np.ndarray | None:
     """Counts of hashed grams of 1, 2 and 3 characters; None if the text has no letter."""
     clean = letters(text)
-    if len(clean) <= 2:
+    if not any(map(str.isalpha, clean)):  # \w has numbers such as "½" and "Ⅷ" too
         return None
     codes = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     pairs = codes[:-1] << np.uint64(21) | codes[1:]
@@ -129,16 +131,19 @@ def fit(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE, clusters
 
     Document frequencies count all of its rows. The centroids are fitted on at most ``sample`` documents a language, those with the
     smallest hashes of doc_id and text; each language is clustered by its own task, and ``clusters`` vectors of it
-    come back. Ties between languages go to the first by name.
+    come back. Ties between languages go to the first by name. More than LANGUAGES languages are an error. Repeated rows count as
+    often as they occur; other columns are ignored; without labelled rows the model is empty and every text ``und``.
     """
     tuned(spark)
     labelled = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     seen, total = document_frequencies(labelled)
     idf = np.log((1 + total) / (1 + seen)) + 1
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     # A hash threshold leaves about 1.5 * sample rows of each language, before any text is moved.
-    share = F.least(F.lit(1.0), F.lit(1.5 * sample + 50) / F.col("_n"))
-    picked = labelled.join(F.broadcast(counts.select("lang", share.alias("_share")).limit(10_000)), "lang").withColumn("_at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    shares = spark.createDataFrame([(r.lang, min(1.0, (1.5 * sample + 50) / r.n)) for r in counts], "lang string, _share double")
+    picked = labelled.join(F.broadcast(shares), "lang").withColumn("_at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
     picked = picked.where(F.col("_at") < F.col("_share") * float(1 << 40))
 
     def cluster(key, frame):
@@ -187,7 +192,9 @@ def held_out(doc_id="doc_id"):
 def language_ids(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row, learnt from the rows that are not held out.
 
-    A null doc_id counts as not held out. Ids, sources and labels are no inputs of a prediction.
+    A null doc_id counts as not held out. Ids, sources and labels are no inputs of a prediction. A text that is null or has no letter
+    (Unicode category L) is ``und``; repeated rows each give a row with equal values; other columns are ignored; an
+    empty table gives an empty result, and one without labels ``und`` for all.
     """
     out = F.coalesce(held_out(), F.lit(False))
     model = fit(spark, docs.where(~out))
