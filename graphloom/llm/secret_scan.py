@@ -5,8 +5,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import bz2
+import codecs
+import hashlib
+import lzma
 import re
 import zlib
+from array import array
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +32,9 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A
 BREAK = re.compile(r"\r?\n[ \t]*")
 PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 URLSAFE = str.maketrans("-_", "+/")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f]")
+#: Bytes of a compressed layer that are inflated at once, and characters of one window that the next begins with.
+WINDOW, OVERLAP = 1 << 20, 1 << 16
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -37,42 +46,49 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text unwrapped from the document; ``at[i]`` and ``to[i]`` are the span that its character i came from."""
+    """A text unwrapped from the document; ``at[i]`` and ``to[i]`` are the span that its character i came from.
 
-    __slots__ = ("at", "text", "to")
+    The characters of a compressed layer all came from one ``span``, which is held once.
+    """
+
+    __slots__ = ("at", "one", "text", "to")
 
-    def __init__(self, text: str, at: list[int], to: list[int]):
-        self.text, self.at, self.to = text, at, to
+    def __init__(self, text: str, at: array | None, to: array | None, one: tuple[int, int] | None = None):
+        self.text, self.at, self.to, self.one = text, at, to, one
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return min(self.at[start:end]), max(self.to[start:end])
+        return self.one or (min(self.at[start:end]), max(self.to[start:end]))
+
+    def slice(self, start: int, end: int) -> Layer:
+        if self.one:
+            return Layer(self.text[start:end], None, None, self.one)
+        return Layer(self.text[start:end], self.at[start:end], self.to[start:end])
 
 
 def part(text: str, layer: Layer | None, start: int, end: int) -> Layer:
     """A piece of a layer, or of the document itself where ``layer`` is None."""
     if layer is None:
-        return Layer(text[start:end], list(range(start, end)), list(range(start + 1, end + 1)))
-    return Layer(text[start:end], layer.at[start:end], layer.to[start:end])
+        return Layer(text[start:end], array("q", range(start, end)), array("q", range(start + 1, end + 1)))
+    return layer.slice(start, end)
 
 
 def replaced(piece: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The piece with each match of ``pattern`` replaced by what ``decode`` makes of it."""
-    out, at, to, done = [], [], [], 0
+    out, at, to, done = [], array("q"), array("q"), 0
     for m in pattern.finditer(piece.text):
         got = decode(m)
         if got is None:
             continue
-        out.append(piece.text[done : m.start()])
-        at += piece.at[done : m.start()]
-        to += piece.to[done : m.start()]
-        span = piece.span(m.start(), m.end())
-        out.append(got)
-        at += [span[0]] * len(got)
-        to += [span[1]] * len(got)
+        out += [piece.text[done : m.start()], got]
+        if not piece.one:
+            first, last = piece.span(m.start(), m.end())
+            at += piece.at[done : m.start()] + array("q", [first]) * len(got)
+            to += piece.to[done : m.start()] + array("q", [last]) * len(got)
         done = m.end()
     if not done:
         return None
-    return Layer("".join(out) + piece.text[done:], at + piece.at[done:], to + piece.to[done:])
+    text = "".join(out) + piece.text[done:]
+    return Layer(text, None, None, piece.one) if piece.one else Layer(text, at + piece.at[done:], to + piece.to[done:])
 
 
 def from_percent(m: re.Match) -> str | None:
@@ -93,20 +109,78 @@ def readable(raw: bytes) -> str | None:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and all(c >= " " or c in "\t\n\r\f" for c in text) and "\x7f" not in text else None
+    return text if text and not CONTROL.search(text) else None
 
 
-def inflate(raw: bytes) -> bytes | None:
-    """gzip or zlib content; None if it is neither."""
+def inflater(raw: bytes):
+    """A decompressor of gzip, zlib, bzip2 or xz content; None for other bytes. Raw deflate has no mark of its own and is not unwrapped."""
     if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-        try:
-            return zlib.decompressobj(47).decompress(raw)
-        except zlib.error:
-            return None
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def from_base64(piece: Layer) -> Layer | None:
+DAMAGED = (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError)
+
+
+def opens(raw: bytes) -> bool:
+    """Whether bytes are, or begin, compressed content."""
+    inside = inflater(raw)
+    try:
+        return inside is not None and len(inside.decompress(raw, 64)) > 0
+    except DAMAGED:
+        return False
+
+
+def inflated(chunks, inside):
+    """The content of compressed chunks, WINDOW bytes at a time; truncated content as far as it goes."""
+    for chunk in chunks:
+        while not inside.eof:
+            out = inside.decompress(chunk, WINDOW)
+            yield out
+            chunk = getattr(inside, "unconsumed_tail", b"")
+            if not chunk and (len(out) < WINDOW if hasattr(inside, "unconsumed_tail") else inside.needs_input):
+                break
+
+
+def content(raw: bytes):
+    """The chunks inside compressed bytes, or inside compressed content within each other; None if they aren't compressed or never end."""
+    chunks, heads = iter([raw]), set()
+    while True:
+        head = next((x for x in chunks if x), b"")
+        chunks = chain([head], chunks)
+        if not opens(head):
+            return chunks if heads else None
+        if head in heads:
+            return None
+        heads.add(head)
+        chunks = inflated(chunks, inflater(head))
+
+
+def text_windows(raw: bytes):
+    """Texts that cover the text inside compressed bytes, each with the last OVERLAP characters of the one before.
+
+    Memory doesn't follow the content's size. DAMAGED errors say that the content is no text.
+    """
+    decoder, held = codecs.getincrementaldecoder("utf-8")(), ""
+    for chunk in content(raw) or ():
+        new = decoder.decode(chunk)
+        if CONTROL.search(new):
+            raise ValueError("no text")
+        held += new
+        if len(held) > WINDOW:
+            yield held
+            held = held[-OVERLAP:]
+    held += decoder.decode(b"", True)
+    if held:
+        yield held
+
+
+def from_base64(piece: Layer):
+    """The layers of a base64 run: one text, or the windows of compressed content; None if it decodes to no text."""
     body = piece.text.rstrip("=").translate(URLSAFE)
     if len(body) % 4 == 1:
         return None
@@ -114,27 +188,26 @@ def from_base64(piece: Layer) -> Layer | None:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    start, end = piece.span(0, len(piece.text))
-    whole = False
-    while (more := inflate(raw)) is not None and more != raw:  # compressed layers within each other
-        raw, whole = more, True
     text = readable(raw)
     if text is None:
-        return None
-    if whole:
-        return Layer(text, [start] * len(text), [end] * len(text))
-    at, to, byte = [], [], 0
+        if not opens(raw):
+            return None
+        own = piece.span(0, len(piece.text))
+        try:
+            some = sum(1 for _ in text_windows(raw))
+        except DAMAGED:
+            return None
+        return (Layer(x, None, None, own) for x in text_windows(raw)) if some else None
+    if piece.one:
+        return [Layer(text, None, None, piece.one)]
+    at, to, byte = array("q"), array("q"), 0
     for c in text:  # byte k comes from characters 4k/3 to 4(k+1)/3 of the encoded run
         more = len(c.encode())
         first, last = byte * 4 // 3, min(len(body), -(-(byte + more) * 4 // 3))
         at.append(piece.at[first])
         to.append(piece.to[last - 1])
         byte += more
-    return Layer(text, at, to)
-
-
-def slice_of(piece: Layer, start: int, end: int) -> Layer:
-    return Layer(piece.text[start:end], piece.at[start:end], piece.to[start:end])
+    return [Layer(text, at, to)]
 
 
 def readable_until(body: str) -> int:
@@ -144,7 +217,7 @@ def readable_until(body: str) -> int:
         chunk = body[done : done + size]
         chunk = chunk[: len(chunk) - (len(chunk) % 4 == 1)]
         raw += base64.b64decode(chunk + "=" * (-len(chunk) % 4))
-        if not done and inflate(raw):
+        if not done and opens(raw):
             return len(body)
         done, size = done + size, size * 2
         try:
@@ -177,9 +250,9 @@ def between_boundaries(piece: Layer):
         at = bisect.bisect_right(cuts, until + 2)
         ends += [c for c in reversed(cuts[max(0, at - 2) : at]) if c - start >= 16]
         for end in ends:
-            got = from_base64(slice_of(piece, start, end))
+            got = from_base64(piece.slice(start, end))
             if got is not None:
-                yield got
+                yield from got
                 over = end
                 break
 
@@ -209,24 +282,24 @@ def joined_lines(piece: Layer):
         groups.update({(0, end), (0, min(end + 1, len(lines)))})
     for first, end in sorted(groups):
         if end - first > 1:
-            own = [slice_of(piece, *x) for x in lines[first:end]]
-            one = Layer("".join(x.text for x in own), [y for x in own for y in x.at], [y for x in own for y in x.to])
-            yield from_base64(one)
+            own = [piece.slice(*x) for x in lines[first:end]]
+            text = "".join(x.text for x in own)
+            if piece.one:
+                one = Layer(text, None, None, piece.one)
+            else:
+                one = Layer(text, array("q", chain.from_iterable(x.at for x in own)), array("q", chain.from_iterable(x.to for x in own)))
+            yield from from_base64(one) or ()
 
 
 def unwrap(text: str, layer: Layer | None):
-    """The layers directly inside a text."""
-    whole = lambda: part(text, layer, 0, len(text))
-    if PERCENT_RUN.search(text):
-        yield replaced(whole(), PERCENT_RUN, from_percent)
-    if ESCAPE_UNIT.search(text):
-        yield replaced(whole(), ESCAPE_UNIT, from_escape)
+    """The layers directly inside a text, one at a time."""
+    for run, decode in ((PERCENT_RUN, from_percent), (ESCAPE_UNIT, from_escape)):
+        if run.search(text) and (inner := replaced(part(text, layer, 0, len(text)), run, decode)):
+            yield inner
     for m in BASE64.finditer(text):
         piece = part(text, layer, *m.span())
         got = from_base64(piece)
-        yield got
-        if got is None:
-            yield from between_boundaries(piece)
+        yield from between_boundaries(piece) if got is None else got
     for m in WRAPPED.finditer(text):
         yield from joined_lines(part(text, layer, *m.span()))
 
@@ -234,25 +307,27 @@ def unwrap(text: str, layer: Layer | None):
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """(base spans, all spans, layers) of a document, each span as (start, end, kind) in the document's code points.
 
-    The worklist holds layers; each is scanned, then unwrapped one step. It ends when no layer is left; a layer whose
-    text was already unwrapped at the same place is dropped, so content that decodes to itself ends too.
+    The worklist holds the layers that are being unwrapped, the innermost last; each layer that comes of it is scanned and goes on
+    the list. It ends when no layer is left; a layer whose text was already unwrapped at the same place is dropped, so
+    content that decodes to itself ends too.
     """
     base = scan(text)
-    found, seen, work, layers = set(base), set(), [(text, None)], 0
+    found, seen, work, layers = set(base), set(), [(text, unwrap(text, None))], 0
     while work:
-        here, layer = work.pop()
-        for inner in unwrap(here, layer):
-            if inner is None or not inner.text:
-                continue
-            key = (inner.text, inner.at[0], inner.to[-1])
-            if key in seen or inner.text == here:
-                continue
-            seen.add(key)
-            layers += 1
-            for start, end, kind in scan(inner.text):
-                a, b = inner.span(start, end)
-                found.add((a, b, kind))
-            work.append((inner.text, inner))
+        here, inside = work[-1]
+        inner = next(inside, None)
+        if inner is None:
+            work.pop()
+            continue
+        if not inner.text or inner.text == here:
+            continue
+        key = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *(inner.one or (inner.at[0], inner.to[-1])))
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        found.update((*inner.span(start, end), kind) for start, end, kind in scan(inner.text))
+        work.append((inner.text, unwrap(inner.text, inner)))
     return base, sorted(found, key=lambda x: (x[0], x[2], x[1])), layers
 
 
@@ -300,5 +375,3 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
             out += [text[done:a], mark]
         done = b
     return "".join(out) + text[done:]
-
-
