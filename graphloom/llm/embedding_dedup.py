@@ -9,31 +9,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrow import map_batches, slices, tuned
-from graphloom.llm.components import Groups, connected
+from graphloom.llm.arrow import map_batches, map_groups, slices, tuned
+from graphloom.llm.components import connected
 from graphloom.session import Scratch
 
 #: Passes, neighbours that a row is compared with in each, and bits of a pass's concatenated hash.
-PASSES, WINDOW, BITS = 8, 48, 62
-#: Vectors of a component that one task compares with each other.
+PASSES, WINDOW, BITS = 12, 64, 40
+#: Bits of a vector's signature, by which candidates are chosen from a window.
+SIGNATURE = 256
+#: Classes of a component that one task compares with each other.
 BLOCK = 1024
 SEED = 20_240_917
+#: Signatures of cosine ``least`` differ in a share of their bits that follows a binomial; a pair beyond so many deviations is no candidate.
+DEVIATIONS = 6.0
 
 
-def planes(dim: int, pass_: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim, pass_]).standard_normal((dim, BITS))
+def planes(dim: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim]).standard_normal((dim, PASSES * BITS))
 
 
-def projection_keys(x: np.ndarray, pass_: int) -> np.ndarray:
-    """Concatenated one-bit hashes of each row, the first bit highest: their order is lexicographic."""
-    bits = (x @ planes(x.shape[1], pass_) > 0).astype(np.int64)
-    return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+def unit(vectors: list) -> np.ndarray:
+    """Rows of unit length in double precision; shorter vectors are padded with zeros."""
+    width = max(map(len, vectors))
+    x = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        x[k, : len(v)] = v
+    x /= np.abs(x).max(axis=1, keepdims=True)  # keeps squares in range
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def by_dim(vectors: list):
+    """(rows, matrix of unit rows) of each length among ``vectors``."""
+    rows: dict[int, list[int]] = {}
+    for k, v in enumerate(vectors):
+        rows.setdefault(len(v), []).append(k)
+    for own in rows.values():
+        yield own, unit([vectors[k] for k in own])
 
 
 def vector_classes(spark: SparkSession, vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(all rows as vec_id, label, dim, digest or null; one row a class of equal vectors of a label: rep, n, vector)."""
+    """(all rows as vec_id, label, digest or null; one row a class of equal vectors of a label: rep, label, dim, digest, n, vector).
+
+    Vectors stay as the table has them, single precision where it is so.
+    """
     tuned(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
 
     def run(batch):
         digests = []
@@ -44,159 +65,246 @@ def vector_classes(spark: SparkSession, vectors: DataFrame, scratch: Scratch) ->
             digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() if ok else None)
         return pa.table({"vec_id": batch.column("vec_id"), "label": batch.column("label"), "vector": batch.column("vector"), "digest": pa.array(digests, pa.string())})
 
-    marked = scratch.write(map_batches(rows, run, "vec_id long, label long, vector array<double>, digest string"), "marked")
+    marked = scratch.write(map_batches(rows, run, f"vec_id long, label long, vector array<{kind}>, digest string"), "marked")
     classes = marked.where("digest is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = scratch.write(classes.select("rep", "label", F.size("vector").alias("dim"), "digest", "n", "vector"), "classes")
-    return marked.select("vec_id", "label", "digest"), classes
+    keyed = scratch.write(marked.select("vec_id", "label", "digest"), "keyed")
+    scratch.drop("marked")
+    return keyed, classes
 
 
-def unit(vectors: list) -> np.ndarray:
-    """Rows of unit length in double precision; shorter vectors are padded with zeros."""
-    width = max(map(len, vectors))
-    x = np.zeros((len(vectors), width))
-    for k, v in enumerate(vectors):
-        x[k, : len(v)] = v
-    x /= np.abs(x).max(axis=1, keepdims=True)  # keeps squares in range
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def label_centres(classes: DataFrame) -> DataFrame:
+    """label, dim and centre (the mean of the unit vectors) of each; summed up in the tasks first."""
 
+    def sums(batches):
+        held: dict[tuple[int, int], list] = {}
 
-def window_links(ids, groups, vectors, window: int, least: float, fresh: int = 0) -> list[tuple[int, int]]:
-    """Links of a sorted run of rows with the ``window`` rows before each, as a spanning forest; pairs of rows before ``fresh`` are known."""
-    x, n = unit(vectors), len(ids)
-    groups = np.array(groups)
-    links, joined = [], Groups(n)
-    for at in range(fresh, n, 256):
-        to, low = min(n, at + 256), max(0, at - window)
-        near = x[at:to] @ x[low:to].T >= least
-        i, j = np.nonzero(near)
-        i, j = i + at, j + low
-        ok = (j < i) & (i - j <= window) & (groups[i] == groups[j])
-        for a, b in zip(i[ok].tolist(), j[ok].tolist()):
-            if joined.join(a, b):
-                links.append((ids[b], ids[a]))
-    return links
-
-
-def sorted_pass(classes: DataFrame, pass_: int, window: int, least: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) found by one pass.
-
-    Rows are sorted by (label, dim, concatenated hashes, rep) over the cluster by ranges. A task keeps the last ``window``
-    rows that it has read; the first and last ``window`` rows of each range meet in a second step, so that the rows
-    compared are the same wherever the ranges are cut.
+        def out():
+            keys = list(held)
+            return pa.RecordBatch.from_pydict({"label": pa.array([k for k, _ in keys], pa.int64()), "dim": pa.array([d for _, d in keys], pa.int32()), "n": pa.array([held[k][0] for k in keys], pa.int64()), "total": pa.array([held[k][1].tolist() for k in keys], pa.list_(pa.float64()))})
+
+        for whole in batches:
+            for batch in slices(whole):
+                labels = batch.column("label").to_numpy()
+                for own, x in by_dim(batch.column("vector").to_pylist()):
+                    names, at = np.unique(labels[own], return_inverse=True)
+                    for k, name in enumerate(names.tolist()):
+                        seen = held.setdefault((name, x.shape[1]), [0, np.zeros(x.shape[1])])
+                        seen[0] += int((at == k).sum())
+                        seen[1] += x[at == k].sum(axis=0)
+                if len(held) > 512:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    parts = classes.select("label", "vector").mapInArrow(sums, "label long, dim int, n long, total array<double>")
+    each = parts.select("label", "dim", F.posexplode("total").alias("k", "x")).groupBy("label", "dim", "k").agg(F.sum("x").alias("x"))
+    counts = parts.groupBy("label", "dim").agg(F.sum("n").alias("n"))
+    whole = each.groupBy("label", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda y: y["x"]).alias("total"))
+    return whole.join(counts, ["label", "dim"]).select("label", "dim", F.transform("total", lambda y: y / F.col("n")).alias("centre"))
+
+
+def projected(classes: DataFrame, centres: DataFrame, passes: int) -> DataFrame:
+    """A row for each class and pass: pass, label, dim, key, rep and sig.
+
+    A bit says on which side of a random plane a vector lies. The planes of ``key`` (a pass's bits, the first bit highest) go through the
+    centre of the vector's label, so that labels whose vectors are close together are spread as well as others; those of ``sig`` go
+    through 0, so that the share of bits in which two signatures differ follows from their vectors' angle.
     """
 
-    def key(batch):
-        vectors = batch.column("vector").to_pylist()
-        keys = np.zeros(len(vectors), np.int64)
-        by_dim: dict[int, list[int]] = {}
-        for k, v in enumerate(vectors):
-            by_dim.setdefault(len(v), []).append(k)
-        for own in by_dim.values():
-            keys[own] = projection_keys(unit([vectors[k] for k in own]), pass_)
-        return pa.table({"rep": batch.column("rep"), "label": batch.column("label"), "dim": batch.column("dim"), "key": pa.array(keys), "vector": batch.column("vector")})
-
-    keyed = map_batches(classes.select("rep", "label", "dim", "vector"), key, "rep long, label long, dim int, key long, vector array<double>")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(parts, "label", "dim", "key", "rep").sortWithinPartitions("label", "dim", "key", "rep")
-    out = "a long, b long, part int, place long, label long, dim int, vector array<double>"
-    types = [("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("vector", pa.list_(pa.float64()))]
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                vectors, centres_ = batch.column("vector").to_pylist(), batch.column("centre").to_pylist()
+                bits, plain = np.zeros((len(vectors), PASSES * BITS), bool), np.zeros((len(vectors), SIGNATURE), bool)
+                for own, x in by_dim(vectors):
+                    at = planes(x.shape[1])
+                    bits[own] = (x - np.array([centres_[k] for k in own])) @ at > 0
+                    plain[own] = x @ at[:, :SIGNATURE] > 0
+                sigs = [r.tobytes() for r in np.packbits(plain, axis=1)]
+                power = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+                for k in range(passes):
+                    key = bits[:, k * BITS : (k + 1) * BITS].astype(np.int64) @ power
+                    yield pa.RecordBatch.from_pydict({"pass": pa.array(np.full(len(vectors), k, np.int32)), "label": batch.column("label"), "dim": batch.column("dim"), "key": pa.array(key), "rep": batch.column("rep"), "sig": pa.array(sigs, pa.binary())})
+
+    joined = classes.join(centres, ["label", "dim"]).select("rep", "label", "dim", "vector", "centre")
+    return joined.mapInArrow(run, "pass int, label long, dim int, key long, rep long, sig binary")
+
+
+def most_bits(least: float) -> int:
+    """Bits in which the signatures of vectors of cosine ``least`` may differ."""
+    share = np.arccos(min(1.0, max(-1.0, least))) / np.pi
+    return int(np.ceil(share * SIGNATURE + DEVIATIONS * np.sqrt(SIGNATURE * share * (1 - share))))
+
+
+def windows(rep, group, sig, fresh: int, window: int, most: int):
+    """(i, j) of the rows from ``fresh`` on and the ``window`` rows before each, of one group, whose signatures differ in at most ``most`` bits."""
+    found = []
+    for d in range(1, min(window, rep.size - 1) + 1):
+        j = np.arange(max(fresh, d), rep.size)
+        i = j - d
+        same = group[i] == group[j]
+        i, j = i[same], j[same]
+        near = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64) <= most
+        found.append((i[near], j[near]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def columns_of(batch):
+    """(rep, group, sig as words) of sorted rows; a group is a run of equal (pass, label, dim)."""
+    p, label, dim = (batch.column(c).to_numpy() for c in ("pass", "label", "dim"))
+    group = [p.astype(np.int64) << 32 | dim.astype(np.int64), label]
+    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(len(p), -1)
+    return batch.column("rep").to_numpy(), np.stack(group, axis=1).view([("a", np.int64), ("b", np.int64)]).ravel(), sig.view(np.uint64)
+
+
+ROW = "pass int, label long, dim int, key long, rep long, sig binary"
+COLUMNS = ("pass", "label", "dim", "key", "rep", "sig")
+
+
+def candidates(rows: DataFrame, window: int, most: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of rows that stand within ``window`` places of each other in a pass's order and whose signatures are near.
+
+    Rows are sorted by (pass, label, dim, key, rep) over the cluster by ranges; a task keeps the last ``window`` rows that it has
+    read. The first and last ``window`` rows of each range are handed on with their places in the whole order; those within ``window`` places
+    of a cut, from as many short ranges as it takes, are compared in a second step. So the pairs are the same wherever the ranges are cut.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ("pass", "label", "dim", "key", "rep")
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("pass", pa.int32()), ("label", pa.int64()), ("dim", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("sig", pa.binary())])
+
+    def pairs(rep, i, j):
+        a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(a.size, f.type) for f in list(schema)[2:])], schema=schema)
+
+    def edge(table, first, part):
+        n = table.num_rows
+        return pa.Table.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(first + np.arange(n)), *(table.column(c) for c in COLUMNS)], schema=schema)
 
     def compare(batches):
         from pyspark import TaskContext
 
-        part, carry, count = TaskContext.get().partitionId(), [], 0
+        part, carry, count = TaskContext.get().partitionId(), None, 0
+        for whole in batches:
+            for batch in slices(whole, 4096):
+                if not batch.num_rows:
+                    continue
+                new = pa.Table.from_batches([batch]).select(COLUMNS)
+                if count < window:
+                    yield from edge(new.slice(0, window - count), count, part).to_batches()
+                both = pa.concat_tables([carry, new]).combine_chunks() if carry is not None else new
+                rep, group, sig = columns_of(both)
+                i, j = windows(rep, group, sig, both.num_rows - new.num_rows, window, most)
+                if i.size:
+                    yield pairs(rep, i, j)
+                carry, count = both.slice(max(0, both.num_rows - window)), count + new.num_rows
+        if carry is not None:
+            # The rows that were not given as first ones; the last row always is, so that the end of the range is known.
+            begin = min(max(count - carry.num_rows, window), count - 1)
+            yield from edge(carry.slice(begin - (count - carry.num_rows)), begin, part).to_batches()
+
+    found = scratch.write(dealt.mapInArrow(compare, "a long, b long, part int, place long, " + ROW), "windows")
+    edges = found.where("b is null").drop("a", "b")
+    sizes = {r.part: r.n for r in edges.groupBy("part").agg((F.max("place") + 1).alias("n")).collect()}  # one number a range
+    starts = dict(zip(sorted(sizes), np.concatenate([[0], np.cumsum([sizes[p] for p in sorted(sizes)])]).tolist()))
+    cuts = np.array(sorted(starts.values()))[1:]
+
+    def seams(batches):
+        for batch in batches:
+            rank = np.array([starts[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("place").to_numpy()
+            low, high = np.searchsorted(cuts, rank - window, side="right"), np.searchsorted(cuts, rank + window, side="right")
+            at = np.repeat(np.arange(rank.size), high - low)
+            seam = np.arange(at.size) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[at]
+            rows_ = batch.select(list(COLUMNS)).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(cuts[seam] if at.size else np.zeros(0, np.int64)), pa.array(rank[at]), *rows_.columns], names=["seam", "rank", *COLUMNS])
+
+    def across(table, bucket):
+        rank, seam = table.column("rank").to_numpy(), table.column("seam").to_numpy()
+        order_ = np.lexsort((rank, bucket))
+        order_ = order_[np.append(True, (np.diff(rank[order_]) != 0) | (np.diff(bucket[order_]) != 0))]
+        rep, group, sig = columns_of(table.take(pa.array(order_)).combine_chunks())
+        rank, seam = rank[order_], seam[order_]
+        i, j = windows(rep, group, sig, 0, 2 * window, most)
+        ok = (seam[i] == seam[j]) & (rank[i] < seam[i]) & (rank[j] >= seam[j]) & (rank[j] - rank[i] <= window)
+        yield {"a": pa.array(np.minimum(rep[i[ok]], rep[j[ok]])), "b": pa.array(np.maximum(rep[i[ok]], rep[j[ok]]))}
+
+    joined = map_groups(edges.mapInArrow(seams, "seam long, rank long, " + ROW), ["seam"], across, "a long, b long")
+    return found.where("b is not null").select("a", "b").unionByName(joined).distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose vectors have a cosine of ``least`` or more in double precision; only vectors of candidates move."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("vector").alias(f"vector_{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "vector_a", "vector_b")
+
+    def run(batch):
+        x, y = unit(batch.column("vector_a").to_pylist()), unit(batch.column("vector_b").to_pylist())
+        ok = pa.array((x * y).sum(axis=1) >= least)
+        return pa.table({c: batch.column(c).filter(ok) for c in ("a", "b")})
 
-        def table(rows):
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, types)], names=[n for n, _ in types])
+    return map_batches(joined, run, "a long, b long")
 
-        for whole in batches:
-            for batch in slices(whole, 2048):
-                new = list(zip(*(batch.column(c).to_pylist() for c in ("rep", "label", "dim", "vector"))))
-                rows = carry + new
-                links = window_links([r[0] for r in rows], [hash((r[1], r[2])) for r in rows], [r[3] for r in rows], window, least, len(carry))
-                edge = [(r[0], None, part, count + k, r[1], r[2], r[3]) for k, r in enumerate(new) if count + k < window]
-                if links or edge:
-                    yield table([(a, b, None, None, None, None, None) for a, b in links] + edge)
-                carry, count = rows[-window:], count + len(new)
-        last = [(r[0], None, part, count - len(carry) + k, r[1], r[2], r[3]) for k, r in enumerate(carry) if count - len(carry) + k >= window]
-        if last:
-            yield table(last)
-
-    found = scratch.write(dealt.mapInArrow(compare, out), f"pass{pass_}")
-    # Ranges next to each other: the last rows of one with the first rows of the next that has any.
-    edges = found.where("b is null").select(F.col("a").alias("rep"), "part", "place", "label", "dim", "vector")
-    sizes = edges.groupBy("part").agg(F.max("place").alias("end"))
-    there = [r.part for r in sizes.select("part").orderBy("part").collect()]  # one number a range
-    after = F.create_map(*[F.lit(x) for pair in zip(there, there[1:]) for x in pair]) if len(there) > 1 else None
-    links = found.where("b is not null").select("a", "b")
-    if after is None:
-        return links
-    edges = edges.join(F.broadcast(sizes), "part")
-    tails = edges.where(F.col("place") > F.col("end") - window).withColumn("seam", F.col("part"))
-    before = F.create_map(*[F.lit(x) for pair in zip(there[1:], there) for x in pair])
-    heads = edges.where(F.col("place") < window).withColumn("seam", before[F.col("part")])
-    seams = tails.unionByName(heads).where("seam is not null").where(F.col("seam") != F.lit(there[-1])).select("seam", "part", "place", "rep", "label", "dim", "vector")
-
-    def join_seam(frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["part", "place"])
-        links = window_links(frame["rep"].tolist(), [hash(x) for x in zip(frame["label"], frame["dim"])], frame["vector"].tolist(), window, least)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return links.unionByName(seams.groupBy("seam").applyInPandas(join_seam, "a long, b long"))
-
-
-def count_links(classes: DataFrame, least: float) -> DataFrame:
+
+def count_links(grouped: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """rep and linked (vectors of other classes of the component that are linked directly), from rep, n, component, vector.
 
-    Components of up to BLOCK classes are one task's work; larger ones are dealt into blocks that are compared two by two.
+    Components are dealt into blocks of about BLOCK classes by the hash of rep; each pair of blocks is a cell with a task's work, whichever component it is of.
     """
-    sizes = classes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = classes.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    large = scratch.write(sizes.where("blocks > 1"), "large")  # few: written, so that the planner knows whether it can be broadcast
+    dealt = grouped.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pair = lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"))
     dealt = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
-
-    def count(frame):
-        import pandas as pd
-
-        x, n = unit(frame["vector"].tolist()), frame["n"].to_numpy(np.int64)
-        own, width = frame["own"].to_numpy(), frame["vector"].map(len).to_numpy()
-        across = own.min() != own.max()
-        linked = np.zeros(len(n), np.int64)
-        for at in range(0, len(n), 256):
-            near = (x[at : at + 256] @ x.T >= least) & (width[at : at + 256, None] == width)
-            near &= own[at : at + 256, None] != own if across else np.arange(at, at + len(near))[:, None] != np.arange(len(n))
-            linked[at : at + 256] = near @ n
-        return pd.DataFrame({"rep": frame["rep"], "linked": linked})
-
-    counted = dealt.select("component", "pair", "rep", "n", "own", "vector").groupBy("component", "pair").applyInPandas(count, "rep long, linked long")
+    cells = dealt.select("component", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "n", "own", "vector")
+
+    def count(table, bucket):
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+        for begin, end in zip(cut, [*cut[1:], table.num_rows]):
+            cell = table.slice(begin, end - begin)
+            vectors, n, own = cell.column("vector").to_pylist(), cell.column("n").to_numpy(), cell.column("own").to_numpy()
+            x, width = unit(vectors), np.array([len(v) for v in vectors])
+            across = own.min() != own.max()
+            linked = np.zeros(len(n), np.int64)
+            for at in range(0, len(n), 256):
+                near = (x[at : at + 256] @ x.T >= least) & (width[at : at + 256, None] == width)
+                near &= own[at : at + 256, None] != own if across else np.arange(at, at + len(near))[:, None] != np.arange(len(n))
+                linked[at : at + 256] = near @ n
+            yield {"rep": cell.column("rep"), "linked": pa.array(linked)}
+
+    counted = map_groups(cells, ["component", "i", "j"], count, "rep long, linked long")
     return counted.groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.98, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding, label).
 
-    Equal vectors of a label are one class. Each pass sorts the classes by fresh random hashes and compares each with
-    its neighbours; pairs with cosine >= ``least`` in double precision are joined across passes. Within each
-    component found every pair is then compared, so ``n_links`` is exact there and no group is limited by the window.
+    Equal vectors of a label are one class. Each pass sorts the classes by other random hashes; each is compared with
+    its neighbours by the hash bits of all passes, and candidates by their cosine in double precision. Pairs of ``least`` or more are joined
+    across passes. Within each component found every pair is then compared, so ``n_links`` is exact there and no group is limited by
+    the window. A link is missed only where its two vectors stand more than ``window`` places apart in every pass and no
+    chain of other links joins them.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and those without a label, are linked
     with nothing and kept; so are vectors of another length than the rest of their label. Repeated rows (one vec_id twice with equal
     vectors) each give a row and count as links; other columns are ignored; an empty table gives an empty result.
     """
+    if passes > PASSES:
+        raise ValueError(f"at most {PASSES} passes")
     scratch = Scratch(spark, "vectors")
-    marked, classes = vector_classes(spark, vectors, scratch)
-    links = None
-    for k in range(passes):
-        found = sorted_pass(classes, k, window, least, scratch)
-        links = found if links is None else links.unionByName(found)
-    labels = connected(scratch, links)
-    grouped = classes.join(labels.withColumnRenamed("node", "rep"), "rep")
-    linked = count_links(grouped, least)
-    per_class = classes.select("label", "digest", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "rep", "left")
+    keyed, classes = vector_classes(spark, vectors, scratch)
+    centres = scratch.write(label_centres(classes), "centres")
+    found = scratch.write(candidates(projected(classes, centres, passes), window, most_bits(least), scratch), "candidates")
+    scratch.drop("windows")
+    links = scratch.write(verified(found, classes, least), "links")
+    labels = scratch.write(connected(scratch, links).withColumnRenamed("node", "rep"), "labels")
+    linked = count_links(classes.join(labels, "rep"), least, scratch)
+    per_class = classes.select("label", "digest", "rep", "n").join(labels, "rep", "left").join(linked, "rep", "left")
     per_class = per_class.select("label", "digest", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = marked.join(per_class, ["label", "digest"], "left")
+    out = keyed.join(per_class, ["label", "digest"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
