@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -27,39 +28,55 @@ CLOSES = {
 OUTSIDE = frozenset("nav navigation navbar menu sidebar footer header masthead banner contentinfo complementary breadcrumb breadcrumbs pagination pager toolbar widget search login signup register share sharing social related recommended recommendations popular trending tags meta byline".split())
 NEVER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert newsletter subscribe subscription popup modal overlay comment comments disqus reply replies respond dialog paywall hidden".split())
 INSIDE = frozenset("article content main story post entry body text prose".split())
-#: The share of a page's text outside links from which an element is no boilerplate, though its name or a part of a class says so.
+#: Words that make a class a state of the page ("no-sidebar", "has-header-image", "comments-open"), and classes of what can't be seen.
+STATES = frozenset("no not has with without hide show open closed enabled disabled layout".split())
+UNSEEN = frozenset("hidden is-hidden visually-hidden d-none screen-reader-text".split())
+#: Words of NEVER that only count as a whole class, since parts of other names have them ("overflow-hidden", "alert-icon").
+WHOLE = frozenset("hidden alert overlay ad reply replies".split())
+#: The share of a page's text outside links from which an element is no boilerplate, though its name or its class says so.
 SHARE = 0.7
+#: Ancestors that a block passes points to.
+LEVELS = 8
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other, so that no value is taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+ASKED = frozenset("class id role hidden aria-hidden style".split())
+UNSTYLED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HINT_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def hinted_out(tag: str, attributes: str) -> int:
-    """2 if an element's attributes say that it is hidden or no part of an article, 1 if a part of a class hints at it, else 0.
+    """2 if an element can't be seen or its class, id or role says that it is no part of an article, 1 if a part of one hints at it, else 0.
 
-    A NEVER word inside a longer token ("overflow-hidden", "comments-open") is a hint only; a token of INSIDE words
-    without one ("entry-content") outweighs it.
+    A whole name of NEVER says so, one of OUTSIDE too where no other name is of INSIDE words. A part of a longer name ("site-footer") hints
+    at it, unless another part makes it a state of the page, or the element has a name of INSIDE words without such a part.
     """
     if tag in ("html", "body", "article", "main") or not attributes:
         return 0
-    hints: set[str] = set()
-    hinted = inside = False
+    outside = hinted = inside = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name not in ASKED:
+            continue
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSTYLED.search(value):
             return 2
-        if name in ("class", "id", "role"):
-            for token in value.split():
-                if token.lower() in NEVER:
-                    return 2
-                own = {w.lower() for w in HINT_WORD.findall(token)}
-                hinted |= bool(own & NEVER)
-                inside |= bool(own & INSIDE) and not own & (NEVER | OUTSIDE)
-                hints |= own
-    if hints & OUTSIDE and not hints & INSIDE:
-        return 2
-    return int(hinted and not inside)
+        if name in ("style", "aria-hidden"):
+            continue
+        for token in value.split():
+            whole = token.lower()
+            if whole in UNSEEN:
+                return 2
+            own = {w.lower() for w in HINT_WORD.findall(token)}
+            if whole in NEVER:
+                return 2
+            if whole in OUTSIDE:
+                outside = True
+            elif not own & STATES:
+                marked = own & (NEVER | OUTSIDE) - WHOLE
+                hinted |= bool(marked & NEVER) or bool(marked) and not own & INSIDE
+                inside |= bool(own & INSIDE) and not marked
+    return 2 if outside and not inside else int(outside or hinted and not inside)
 
 
 class Page:
@@ -71,6 +88,7 @@ class Page:
         self.strong, self.above = [False], [0]  # out for good; the nearest element that is out by a hint, 0 for none
         self.blocks: list[tuple[int, str, int]] = []  # (element, text, characters inside links)
         self.stack, self.linked, self.run, self.link_chars, self.owner = [0], 0, [], 0, 0
+        self.block, self.there = [0], Counter()  # the nearest block element of each; how many of each name are open
         self.read(html)
 
     def dominating(self) -> frozenset[int]:
@@ -98,9 +116,7 @@ class Page:
         if self.out[here]:
             return
         if not self.run:
-            while self.tag[here] not in BLOCKS and here:
-                here = self.parent[here]
-            self.owner = here
+            self.owner = self.block[here]
         text = unescape(raw) if "&" in raw else raw
         self.run.append(text)
         if self.linked:
@@ -109,9 +125,12 @@ class Page:
     def pop_to(self, at: int) -> None:
         for k in self.stack[at:]:
             self.linked -= self.tag[k] == "a"
+            self.there[self.tag[k]] -= 1
         del self.stack[at:]
 
     def close(self, names, until) -> None:
+        if not any(self.there[x] for x in names):
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             tag = self.tag[self.stack[at]]
             if tag in names:
@@ -131,9 +150,11 @@ class Page:
             if tag in ("br", "hr"):
                 self.run += [" "] if self.run else []
             return
-        inside = tag == "header" and not any(self.tag[k] in ("article", "main") for k in self.stack)
+        inside = tag == "header" and not self.there["article"] and not self.there["main"]
         self.parent.append(top)
         self.tag.append(tag)
+        self.there[tag] += 1
+        self.block.append(len(self.tag) - 1 if tag in BLOCKS else self.block[top])
         here, hint = len(self.tag) - 1, hinted_out(tag, attributes)
         strong, weak = inside or hint == 2 or tag in DROPPED and tag != "form", hint == 1 or tag == "form"
         self.strong.append(self.strong[top] or strong)
@@ -154,20 +175,23 @@ class Page:
             self.close({tag}, BLOCKS)
 
     def read(self, html: str) -> None:
-        at = 0
-        while m := TOKEN.search(html, at):
+        at, last = 0, html.rfind(">") + 1  # no markup ends behind the last ">"
+        while m := TOKEN.search(html, at, last):
             if m.start() > at:
                 self.say(html[at : m.start()])
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(html)
+                    break
                 continue
             if m[1] or m[4]:
                 self.end(tag)
                 continue
             attributes = m[3] if m[2] else m[6]
             if tag in RAW:
-                over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+                over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at, last)
                 at = over.end() if over else len(html)
                 continue
             if tag == "body":
@@ -181,51 +205,66 @@ class Page:
         self.flush()
 
 
+def block_score(page: Page, element: int, text: str) -> float:
+    """A point for a paragraph, one for each comma and up to three for its length; headings score nothing."""
+    if page.tag[element] in HEADINGS:
+        return 0.0
+    return (1.0 if len(text) >= 25 else 0.25) + text.count(",") + min(len(text) / 100, 3.0)
+
+
 def main_blocks(page: Page) -> list[str]:
     """The blocks of the best container and of its siblings that belong to it.
 
-    A block gives a point for itself, one for each comma and up to three for its length to the element that holds
-    it, half to the next ancestor and ever less to those above. An element's points are discounted by the
-    share of its text that is inside links. The best element is the one with most points left, the first of equals, or the
-    article or main element around it.
+    A block gives its score to the element that holds it, half to the next ancestor and ever less to those above, up to LEVELS. An
+    element's points are discounted by the share of its text that is inside links. The best element is the one with most points left,
+    the first of equals, or the article or main element around it. Where it holds no h1, the last one before it that stands beside
+    it or one of its ancestors is its title.
     """
     n = len(page.tag)
     points, chars, links = [0.0] * n, [0] * n, [0] * n
     for element, text, linked in page.blocks:
-        tag = page.tag[element]
-        score = 0.0 if tag in HEADINGS else (1.0 if len(text) >= 25 else 0.25) + text.count(",") + min(len(text) / 100, 3.0)
-        above = page.parent[element] if tag in PARAGRAPHS and element else element
-        level = 0
-        while above >= 0:
+        score = block_score(page, element, text)
+        above = page.parent[element] if page.tag[element] in PARAGRAPHS and element else element
+        for level in range(LEVELS):
+            if above < 0:
+                break
             points[above] += score / (1, 2)[level] if level < 2 else score / (3 * level)
-            above, level = page.parent[above], level + 1
-        above = element
-        while above >= 0:
-            chars[above] += len(text)
-            links[above] += linked
             above = page.parent[above]
+        chars[element] += len(text)
+        links[element] += linked
+    for k in range(n - 1, 0, -1):  # children come after their parents
+        chars[page.parent[k]] += chars[k]
+        links[page.parent[k]] += links[k]
     final = [p * (1 - links[k] / chars[k]) if chars[k] else 0.0 for k, p in enumerate(points)]
     best = max(range(n), key=lambda k: (final[k], -k), default=0)
     if final[best] <= 0:
         return []
-    above = best
-    while above > 0:
-        if page.tag[above] in ("article", "main"):
-            best = above
-            break
+    lineage, above = [best], page.parent[best]
+    while above >= 0:
+        lineage.append(above)
         above = page.parent[above]
+    around = next((k for k in lineage if page.tag[k] in ("article", "main")), best)
+    lineage = lineage[lineage.index(around) :]
+    best = around
     kept = {best}
-    if page.parent[best] > 0:
-        for k in range(1, n):
-            if page.parent[k] == page.parent[best] and k != best and not page.out[k]:
-                density = links[k] / chars[k] if chars[k] else 1.0
-                if final[k] >= max(2.0, 0.2 * final[best]) or page.tag[k] not in HEADINGS and chars[k] >= 80 and density < 0.25:
-                    kept.add(k)
-        last = max(kept)
-        kept.update(k for k in range(min(kept) + 1, last) if page.parent[k] == page.parent[best] and page.tag[k] in HEADINGS and not page.out[k])
+    beside = [k for k in range(1, n) if page.parent[k] == page.parent[best] and k != best and not page.out[k]] if page.parent[best] > 0 else []
+    for k in beside:
+        density = links[k] / chars[k] if chars[k] else 1.0
+        if final[k] >= max(2.0, 0.2 * final[best]) or page.tag[k] not in HEADINGS and chars[k] >= 80 and density < 0.25:
+            kept.add(k)
+    first, last = min(kept), max(kept)
+    kept.update(k for k in beside if first < k < last and page.tag[k] in HEADINGS)
+    for k in reversed([k for k in beside if k < first]):  # headings right before it
+        if page.tag[k] not in HEADINGS:
+            break
+        kept.add(k)
     inside = [False] * n
     for k in range(n):
         inside[k] = k in kept or page.parent[k] >= 0 and inside[page.parent[k]]
+    if not any(inside[k] and page.tag[k] == "h1" for k in range(n)):
+        own = set(lineage)
+        title = max((k for k in range(1, min(kept)) if page.tag[k] == "h1" and page.parent[k] in own and not page.out[k]), default=0)
+        inside[title] = title > 0
     return [text for element, text, _ in page.blocks if inside[element]]
 
 

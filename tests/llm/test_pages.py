@@ -43,3 +43,80 @@ def test_hints_that_do_not_drop_an_article():
     end = "One closing paragraph, which stands alone in its section but is still a part of the text above it."
     got = main_text(f"<html><body><div><section>{body * 4}</section><h2>The end</h2><section><p>{end}</p></section></div></body></html>")
     assert got.endswith(f"The end\n{end}")
+
+
+PARAS = [f"Paragraph {k} of the article has words, commas, and a length that counts for something in the end." for k in range(4)]
+BODY = "".join(f"<p>{x}</p>" for x in PARAS)
+OPENINGS = [
+    "<div class='overflow-hidden rounded'>", "<div class='no-sidebar'>", "<div class='with-comments'>", "<div class='post has-comments'>", "<div id='page' class='hfeed has-header-image'>",
+    "<div data-id='nav'>", "<div title='a hidden gem'>", "<div data-role=menu class=wrap>", "<div class='entry-content'>", "<div class='col-md-8 content'>", "<section id='main-content'>", "<article>", "<main>",
+    "<main class='site-main has-sidebar'>", "<div class='layout-sidebar-right'>", "<form action='x'><div>", "<div class='td-post-content tagdiv-type'>", "<div id=story class='story comments-enabled'>", "<div>", "<table><tr><td>",
+    "<div class='prose alert-free'>", "<center>", "<section class='u-hide-ads'>",
+]
+BOILERPLATE = [
+    "<nav><ul><li><a href='/'>Home, news, and more of the links here</a></li></ul></nav>", "<div class='cookie-notice'><p>We use cookies, all of them, and ask you to accept, please.</p></div>", "<footer><p>All rights reserved, by us, since long ago, and for ever.</p></footer>",
+    "<aside><p>Read also, if you like, these other pages, and more.</p></aside>", "<div id='comments'><p>Great article, thanks, all of you, for this one!</p></div>", "<div class='site-footer'><p>Imprint, privacy, and terms of this page, in short.</p></div>",
+    "<div style='display: none'><p>Hidden, and not seen by anyone, ever, at all.</p></div>", "<div class='newsletter-signup'><p>Sign up, today, for our letter, and get mail.</p></div>", "<div aria-hidden=true><p>Not for readers, at all, of any page.</p></div>",
+    "<ul class='social-share'><li><a href=x>Share this, please</a></li></ul>", "<div role='navigation'><p>One, two, three, four, five, six.</p></div>", "<script>var x = '<p>no, no, no</p>';</script>",
+]
+
+
+def test_layouts():
+    """Every opening with every kind of boilerplate before and after it gives the article and nothing else."""
+    for opening in OPENINGS:
+        names = [x.split()[0].strip("<>") for x in opening.split("><")]
+        close = "".join(f"</{x}>" for x in reversed(names))
+        for rest in BOILERPLATE:
+            for html in (f"<body>{rest}{opening}{BODY}{close}</body>", f"<body>{opening}{BODY}{close}{rest}</body>"):
+                assert main_text(html) == "\n".join(PARAS), (opening, rest)
+
+
+def test_titles_beside_the_container():
+    for html in (f"<body><h1>Flood</h1><div>{BODY}</div></body>", f"<body><div><h1>Flood</h1><div class=meta>by me</div><div><div>{BODY}</div></div></div></body>", f"<body><div class=a><h1>Flood</h1></div><article><h1>Flood</h1>{BODY}</article></body>"):
+        assert main_text(html) == "\n".join(["Flood", *PARAS]), html
+
+
+def test_tree_scores_equal_a_plain_scorer():
+    """The best container of random trees, scored by walking up from every block."""
+    import random
+    import xml.etree.ElementTree as ET
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            words = ", ".join("word" * rng.randrange(1, 4) for _ in range(rng.randrange(1, 20)))
+            return f"<p>{words}</p>" if rng.random() < 0.7 else f"<p><a href='x'>{words}</a> tail</p>"
+        return "<div>" + "".join(tree(depth - 1) for _ in range(rng.randrange(1, 4))) + "</div>"
+
+    for _ in range(60):
+        html = f"<body>{tree(5)}{tree(4)}</body>"
+        root = ET.fromstring(html)
+        up = {c: p for p in root.iter() for c in p}
+        order = {e: k for k, e in enumerate(root.iter())}
+        points, size, linked = {}, {}, {}
+        for p in root.iter("p"):
+            text, link = "".join(p.itertext()), sum(len(a.text) for a in p.iter("a"))
+            score, level, e = (1 if len(text) >= 25 else 0.25) + text.count(",") + min(len(text) / 100, 3), 0, up[p]
+            while e is not None:
+                if level < 8:
+                    points[e] = points.get(e, 0) + score / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                e, level = up.get(e), level + 1
+            e = p
+            while e is not None:
+                size[e], linked[e], e = size.get(e, 0) + len(text), linked.get(e, 0) + link, up.get(e)
+        best = max(points, key=lambda e: (points[e] * (1 - linked[e] / size[e]), -order[e]))
+        got = main_text(html)
+        want = ["".join(p.itertext()) for p in best.iter("p")]
+        assert points[best] * (1 - linked[best] / size[best]) <= 0 or "\n".join(want) in got
+        if best is root:
+            assert got == "\n".join(want)
+
+
+def test_damaged_pages_take_linear_time():
+    import time
+
+    for html in ("<a " * 16_000, "<div>" * 8_000 + "<p>some text, here</p>" * 8_000, "<b>" * 16_000 + "x", '<a "' * 16_000, "<script>" + "</script " * 16_000):
+        began = time.perf_counter()
+        main_text(html)
+        assert time.perf_counter() - began < 4
