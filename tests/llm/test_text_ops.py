@@ -338,3 +338,131 @@ def test_secrets_of_which_a_part_is_encoded():
         assert not base
     text = "x: pass\\u0077ord = hunter22x."
     assert secret_scan.find_secrets(text)[1] == [(3, len(text), 0)]
+
+
+def test_token_counts_with_odd_pretokens(spark):
+    """A NUL character, or any other control character, in a frequent pre-token shifts no other count."""
+    from tokenizers import Tokenizer
+
+    rows = [(k, t) for k, t in enumerate(["a\x00b \x00\x00 c" * 3, "plain words of the second row, and no more", "\x00", "\x01\x00x", "tail \x00"] * 4)]
+    whole = Tokenizer.from_file(tokenizer_path())
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: len(whole.encode(t, add_special_tokens=False).ids) for k, t in rows}
+
+
+def test_languages_of_numbers_and_of_one_language_left_out(spark, docs):
+    """Numbers that are no letters are ``und``; predictions follow a plain nearest centroid; more languages than the bound are an error."""
+    import numpy as np
+
+    model = language_id.fit(spark, docs.where(~language_id.held_out()))
+    langs, scores, rejected = model.predict(["½²", "Ⅷ ①", "12 34", "", "?!", "é"])
+    assert langs[:5] == ["und"] * 5 and scores[:5] == [0.0] * 5 and all(rejected[:5]) and langs[5] != "und"
+    for r in docs.where("text is not null").limit(40).collect():
+        grams = {}
+        clean = language_id.letters(r.text)
+        if not any(c.isalpha() for c in clean):
+            continue
+        counts = language_id.gram_counts(r.text)
+        assert int(counts.sum()) == sum(max(0, len(clean) - k + 1) for k in (1, 2, 3)) - 2
+        for slot in np.flatnonzero(counts):
+            grams[int(slot)] = np.log1p(np.float32(counts[slot])) * np.float32(model.idf[slot])
+        norm = sum(float(x) ** 2 for x in grams.values()) ** 0.5
+        cosines = [sum(float(x) * float(c[s]) for s, x in grams.items()) / norm for c in model.centroids]
+        lang, score, _ = (x[0] for x in model.predict([r.text]))
+        assert abs(max(cosines) - score) < 1e-4 and cosines[model.langs.index(lang)] <= max(cosines) + 1e-9
+    many = spark.range(language_id.LANGUAGES + 1).selectExpr("id as doc_id", "'some text' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError):
+        language_id.fit(spark, many)
+
+
+def test_line_dedup_of_a_line_that_all_documents_have(spark):
+    """The line is posted about twice a task, in whatever order the ids come, and all but the first one go."""
+    fill = lambda k: "\n".join(f"r{k}x{j} a{j} b{j} c{k}d{j} e{j * k} f{k}" for j in range(3))
+    rows = [(1000 - k, "the same line in all of them\n" + fill(k)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: list(r.lines) for r in line_dedup.repeated_lines(spark, df).collect()} == brute_lines(rows)
+    posted = line_dedup.Posted()
+    import numpy as np
+
+    one = lambda doc, line: posted.check(*(np.array([x], np.int64) for x in (5, 6, doc, line))).tolist()
+    assert [one(10, 0), one(9, 0), one(8, 1), one(9, 1), one(12, 0)] == [[False], [False], [False], [True], [True]]
+
+
+def naive_layers(text):
+    """All texts inside a text with their character spans, by plain recursion over base64 words and escapes."""
+    import base64
+    import gzip
+    from urllib.parse import unquote_to_bytes
+
+    out = []
+
+    def inside(chars):  # (character, from, to)
+        here = "".join(c for c, *_ in chars)
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", here):
+            try:
+                raw = base64.b64decode(m[0] + "=" * (-len(m[0].rstrip("=")) % 4 if "=" not in m[0] else 0), validate=True)
+                own, packed = chars[m.start() : m.end()], raw[:2] == b"\x1f\x8b"
+                got = (gzip.decompress(raw) if packed else raw).decode()
+            except Exception:
+                continue
+            new, byte = [], 0
+            for c in got:
+                size = len(c.encode())
+                span = own[byte * 4 // 3 : -(-(byte + size) * 4 // 3)] if not packed else own
+                new.append((c, min(a for _, a, _ in span), max(b for *_, b in span)))
+                byte += size
+            out.append(new)
+            inside(new)
+        new, at = [], 0
+        for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", here):
+            got = unquote_to_bytes(m[0]).decode()
+            new += chars[at : m.start()] + [(c, chars[m.start()][1], chars[m.end() - 1][2]) for c in got]
+            at = m.end()
+        if at:
+            out.append(new + chars[at:])
+            inside(new + chars[at:])
+
+    inside([(c, k, k + 1) for k, c in enumerate(text)])
+    return out
+
+
+def test_secrets_in_nested_layers_have_exact_spans():
+    import base64
+    import gzip
+    import random
+    from urllib.parse import quote
+
+    rng = random.Random(11)
+    wraps = [lambda x: base64.b64encode(x.encode()).decode(), lambda x: base64.b64encode(gzip.compress(x.encode(), mtime=0)).decode(), lambda x: quote(x, safe="").replace("k", "%6B")]
+    for k in range(60):
+        plain = f"see token=Zx81kq02Lm{k} and {'0123456789abcdef' * 2} of {k}"
+        for _ in range(1 + k % 4):
+            plain = "in " + rng.choice(wraps)(plain) + " out"
+        base, spans, _ = secret_scan.find_secrets(plain)
+        want = set(base)
+        for chars in naive_layers(plain):
+            text = "".join(c for c, *_ in chars)
+            for a, b, kind in secret_scan.scan(text):
+                want.add((min(x for _, x, _ in chars[a:b]), max(x for *_, x in chars[a:b]), kind))
+        assert set(spans) == want and len(want) >= 2, plain
+
+
+def test_secrets_in_long_and_packed_texts():
+    """Long unbroken texts take linear time; packed content of any size is inflated in windows; other packings are found too."""
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import time
+    import zlib
+
+    for text in ("x" * 200_000 + "%41", "x" * 200_000 + "\\u0041", "ab/" * 60_000, "a-" * 100_000, "%41" * 60_000, "QUJDREVGR0hJSktMTU5PUA\n" * 3000):
+        began = time.perf_counter()
+        secret_scan.find_secrets(text)
+        assert time.perf_counter() - began < 5
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda x: gzip.compress(bz2.compress(x))):
+        hidden = base64.b64encode(pack(b"a word, " * 400_000 + b"token=abcdef123456 " + b"a word, " * 300_000)).decode()
+        text = f"x {hidden} y"
+        assert (2, 2 + len(hidden.rstrip("=")), 0) in [(a, min(b, 2 + len(hidden.rstrip("="))), k) for a, b, k in secret_scan.find_secrets(text)[1]]
+    damaged = base64.b64encode(gzip.compress(b"token=abcdef123456 " * 100 + b"\x00\x01\xff")).decode()
+    assert secret_scan.find_secrets(damaged)[1] == []
