@@ -56,3 +56,37 @@ def test_mixing_of_null_and_repeated_ids(spark, sf_dir):
     for r in corpus_pipeline.mixed(spark, docs, sf_dir).collect():
         got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
     assert got == {k: n for k, n in want.items() if n} and any(d is None for d, _ in got)
+
+
+ODD = [(1, "a"), (2, "a"), (2, "b"), (3, "d"), (3, "d"), (None, "c"), (None, None), (4, ""), (5, "e"), (None, "e")]
+
+
+def odd_docs(spark):
+    """Rows that repeat ids and texts, null ids, null and empty texts, and a column that is none of documents."""
+    text = {x: " ".join(f"{x}{k}" for k in range(30)) + "\n" + " ".join(f"{x}{k}" for k in range(30, 60)) for x in "abcde"} | {"": "", None: None}
+    rows = [(i, text[x], "en", None if x == "c" else "s", 9, "x") for i, x in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string"), text
+
+
+def test_one_of_each_by_rows(spark, sf_dir):
+    docs, text = odd_docs(spark)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()), key=str)
+    want = [(1, "a"), (2, "b"), (3, "d"), (None, "c"), (None, None), (4, ""), (5, "e")]
+    assert got == sorted(((i, text[x]) for i, x in want), key=str)
+
+
+def test_fresh_lines_by_rows(spark, sf_dir):
+    docs, text = odd_docs(spark)
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.fresh_lines(spark, docs, sf_dir).collect()), key=str)
+    want = [(1, "a"), (2, "b"), (3, "d"), (None, "c"), (None, None), (4, ""), (5, "e")]
+    assert got == sorted(((i, text[x], 9) for i, x in want), key=str)
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    docs, text = odd_docs(spark)
+    for name, table in (("odd", docs), ("empty", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (name == "empty") == (not rows)
+        for k in range(1, 4):
+            assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), "").columns == COLUMNS
