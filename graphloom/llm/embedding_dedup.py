@@ -18,7 +18,7 @@ PASSES, WINDOW, BITS = 12, 64, 40
 #: Bits of a vector's signature, by which candidates are chosen from a window.
 SIGNATURE = 256
 #: Classes of a component that one task compares with each other.
-BLOCK = 1024
+BLOCK = 256
 SEED = 20_240_917
 #: Signatures of cosine ``least`` differ in a share of their bits that follows a binomial; a pair beyond so many deviations is no candidate.
 DEVIATIONS = 6.0
@@ -139,18 +139,26 @@ def most_bits(least: float) -> int:
 
 
 def windows(rep, group, sig, fresh: int, window: int, most: int):
-    """(i, j) of the rows from ``fresh`` on and the ``window`` rows before each, of one group, whose signatures differ in at most ``most`` bits."""
+    """(i, j, best): the rows j from ``fresh`` on and the ``window`` rows i before each, of one group, whose signatures differ in at most ``most`` bits.
+
+    ``best`` marks the nearest of a row's candidates, the later row of equals.
+    """
     found = []
+    least = np.full(rep.size, np.iinfo(np.int64).max)
     for d in range(1, min(window, rep.size - 1) + 1):
         j = np.arange(max(fresh, d), rep.size)
         i = j - d
         same = group[i] == group[j]
         i, j = i[same], j[same]
-        near = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64) <= most
-        found.append((i[near], j[near]))
+        bits = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64)
+        near = bits <= most
+        i, j, bits = i[near], j[near], bits[near]
+        least[j] = np.minimum(least[j], bits * (window + 1) + d)
+        found.append((i, j, bits * (window + 1) + d))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    i, j, rank = (np.concatenate(x) for x in zip(*found))
+    return i, j, rank == least[j]
 
 
 def columns_of(batch):
@@ -166,7 +174,7 @@ COLUMNS = ("pass", "label", "dim", "key", "rep", "sig")
 
 
 def candidates(rows: DataFrame, window: int, most: int, scratch: Scratch) -> DataFrame:
-    """(a, b) of rows that stand within ``window`` places of each other in a pass's order and whose signatures are near.
+    """(a, b, best) of rows that stand within ``window`` places of each other in a pass's order and whose signatures are near.
 
     Rows are sorted by (pass, label, dim, key, rep) over the cluster by ranges; a task keeps the last ``window`` rows that it has
     read. The first and last ``window`` rows of each range are handed on with their places in the whole order; those within ``window`` places
@@ -176,15 +184,15 @@ def candidates(rows: DataFrame, window: int, most: int, scratch: Scratch) -> Dat
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ("pass", "label", "dim", "key", "rep")
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("pass", pa.int32()), ("label", pa.int64()), ("dim", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("best", pa.bool_()), ("part", pa.int32()), ("place", pa.int64()), ("pass", pa.int32()), ("label", pa.int64()), ("dim", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("sig", pa.binary())])
 
-    def pairs(rep, i, j):
+    def pairs(rep, i, j, best):
         a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(a.size, f.type) for f in list(schema)[2:])], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(best), *(pa.nulls(a.size, f.type) for f in list(schema)[3:])], schema=schema)
 
     def edge(table, first, part):
         n = table.num_rows
-        return pa.Table.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(first + np.arange(n)), *(table.column(c) for c in COLUMNS)], schema=schema)
+        return pa.Table.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(np.full(n, part, np.int32)), pa.array(first + np.arange(n)), *(table.column(c) for c in COLUMNS)], schema=schema)
 
     def compare(batches):
         from pyspark import TaskContext
@@ -199,17 +207,17 @@ def candidates(rows: DataFrame, window: int, most: int, scratch: Scratch) -> Dat
                     yield from edge(new.slice(0, window - count), count, part).to_batches()
                 both = pa.concat_tables([carry, new]).combine_chunks() if carry is not None else new
                 rep, group, sig = columns_of(both)
-                i, j = windows(rep, group, sig, both.num_rows - new.num_rows, window, most)
+                i, j, best = windows(rep, group, sig, both.num_rows - new.num_rows, window, most)
                 if i.size:
-                    yield pairs(rep, i, j)
+                    yield pairs(rep, i, j, best)
                 carry, count = both.slice(max(0, both.num_rows - window)), count + new.num_rows
         if carry is not None:
             # The rows that were not given as first ones; the last row always is, so that the end of the range is known.
             begin = min(max(count - carry.num_rows, window), count - 1)
             yield from edge(carry.slice(begin - (count - carry.num_rows)), begin, part).to_batches()
 
-    found = scratch.write(dealt.mapInArrow(compare, "a long, b long, part int, place long, " + ROW), "windows")
-    edges = found.where("b is null").drop("a", "b")
+    found = scratch.write(dealt.mapInArrow(compare, "a long, b long, best boolean, part int, place long, " + ROW), "windows")
+    edges = found.where("b is null").drop("a", "b", "best")
     sizes = {r.part: r.n for r in edges.groupBy("part").agg((F.max("place") + 1).alias("n")).collect()}  # one number a range
     starts = dict(zip(sorted(sizes), np.concatenate([[0], np.cumsum([sizes[p] for p in sorted(sizes)])]).tolist()))
     cuts = np.array(sorted(starts.values()))[1:]
@@ -229,12 +237,12 @@ def candidates(rows: DataFrame, window: int, most: int, scratch: Scratch) -> Dat
         order_ = order_[np.append(True, (np.diff(rank[order_]) != 0) | (np.diff(bucket[order_]) != 0))]
         rep, group, sig = columns_of(table.take(pa.array(order_)).combine_chunks())
         rank, seam = rank[order_], seam[order_]
-        i, j = windows(rep, group, sig, 0, 2 * window, most)
+        i, j, best = windows(rep, group, sig, 0, 2 * window, most)
         ok = (seam[i] == seam[j]) & (rank[i] < seam[i]) & (rank[j] >= seam[j]) & (rank[j] - rank[i] <= window)
-        yield {"a": pa.array(np.minimum(rep[i[ok]], rep[j[ok]])), "b": pa.array(np.maximum(rep[i[ok]], rep[j[ok]]))}
+        yield {"a": pa.array(np.minimum(rep[i[ok]], rep[j[ok]])), "b": pa.array(np.maximum(rep[i[ok]], rep[j[ok]])), "best": pa.array(best[ok])}
 
-    joined = map_groups(edges.mapInArrow(seams, "seam long, rank long, " + ROW), ["seam"], across, "a long, b long")
-    return found.where("b is not null").select("a", "b").unionByName(joined).distinct()
+    joined = map_groups(edges.mapInArrow(seams, "seam long, rank long, " + ROW), ["seam"], across, "a long, b long, best boolean")
+    return found.where("b is not null").select("a", "b", "best").unionByName(joined).groupBy("a", "b").agg(F.max("best").alias("best"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -300,8 +308,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.98
     centres = scratch.write(label_centres(classes), "centres")
     found = scratch.write(candidates(projected(classes, centres, passes), window, most_bits(least), scratch), "candidates")
     scratch.drop("windows")
-    links = scratch.write(verified(found, classes, least), "links")
-    labels = scratch.write(connected(scratch, links).withColumnRenamed("node", "rep"), "labels")
+    # The nearest candidates join most of what belongs together; of the others only those between components are verified.
+    first = scratch.write(verified(found.where("best").select("a", "b"), classes, least), "links1")
+    near = connected(scratch, first, "cc1")
+    side = lambda x: near.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    apart = found.where("not best").join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    more = scratch.write(verified(apart, classes, least), "links2")
+    scratch.drop("candidates")
+    labels = scratch.write(connected(scratch, first.unionByName(more), "cc2").withColumnRenamed("node", "rep"), "labels")
     linked = count_links(classes.join(labels, "rep"), least, scratch)
     per_class = classes.select("label", "digest", "rep", "n").join(labels, "rep", "left").join(linked, "rep", "left")
     per_class = per_class.select("label", "digest", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"))
