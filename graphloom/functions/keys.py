@@ -10,12 +10,23 @@ RELATIONS = ("contains", "method", "calls", "imports", "imports_from")
 FOCUS = {"dependencies": ("imports", "imports_from"), "callers": ("calls",), "containment": ("contains", "method")}
 DEPTHS = {"compact": (1, 2000), "extended": (2, 5000), "deep": (3, 10_000), "disk": (3, 15_000)}
 NODE_KINDS = ("file", "symbol", "member", "doc", "config", "data")
-CODE_EXTENSIONS = ("js", "mjs", "cjs", "ts", "tsx", "jsx", "py", "java", "go", "rs", "rb", "php", "kt", "swift", "cpp", "cc", "c", "h", "hpp", "cs")
-DOC_EXTENSIONS = ("md", "mdx", "txt", "rst", "adoc")
-CONFIG_EXTENSIONS = ("json", "jsonc", "yaml", "yml", "toml", "ini", "xml")
+CODE_EXTENSIONS = tuple(
+    (
+        "js mjs cjs jsx ts tsx mts cts java cs kt kts scala groovy clj cljs fs fsx vb c h cc cpp cxx hpp hh hxx m mm rs go zig nim "
+        "py pyw pyi rb php pl pm r lua dart ex exs erl hs ml swift sh bash zsh fish ps1 psm1 bat cmd html htm css scss sass less vue svelte astro"
+    ).split()
+)
+DOC_EXTENSIONS = tuple("md markdown mdx mdown mkd rmd rst adoc txt".split())
+CONFIG_EXTENSIONS = tuple("json jsonc json5 yaml yml toml ini cfg conf env properties lock".split())
+CONFIG_NAMES = tuple("package.json composer.json cargo.toml docker-compose.yml docker-compose.yaml go.mod go.work makefile dockerfile gemfile rakefile procfile justfile".split())
+MEMBER_KINDS = tuple("method member constructor property field event accessor getter setter".split())
+SYMBOL_KINDS = tuple("function class interface enum struct union trait type typedef variable constant module namespace macro decorator annotation".split())
+WATCHED_EXTENSIONS = ("ts", "tsx", "mjs", "js", "jsx", "cs")
 MODULE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs")
 LANGUAGES = {"js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx", "py": "python", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "kt": "kotlin", "swift": "swift", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp"}
-IGNORED_DIRS = ("node_modules", "dist", "build", "coverage", "vendor", "target", "out", "__pycache__", "venv", "bin", "obj")
+IGNORED_DIRS = ("node_modules", "dist", "build", "coverage", "bin", "obj", "target", ".next", ".turbo", ".vercel", "graphify-out", ".worktrees", ".planning", ".git")
+WALKED_HIDDEN_DIRS = (".opencode",)
+GRAPH_SCOPE = ("graphify-out", ".graphify_")
 
 
 def col(x) -> Column:
@@ -49,14 +60,18 @@ def language(path) -> Column:
 
 
 def ignored_dir(name) -> Column:
-    """Names that are never walked, and hidden folders."""
-    return col(name).isin(*IGNORED_DIRS) | col(name).startswith(".")
+    """Names that are never walked, and hidden folders but for the ones that hold settings."""
+    x = col(name)
+    return x.isin(*IGNORED_DIRS) | x.startswith(".") & ~x.isin(*WALKED_HIDDEN_DIRS)
 
 
 def watched(path) -> Column:
-    """A code file outside ignored folders."""
-    folders = F.slice(F.split(normal_path(path), "/"), 1, F.greatest(F.size(F.split(normal_path(path), "/")) - 1, F.lit(0)))
-    return ~F.exists(folders, ignored_dir) & extension(path).isin(*CODE_EXTENSIONS)
+    """A file with a watched extension (in that case) that is no graph output and in no ignored or settings folder."""
+    p = normal_path(path)
+    folders = F.slice(F.split(p, "/"), 1, F.greatest(F.size(F.split(p, "/")) - 1, F.lit(0)))
+    own = F.regexp_extract(basename(path), r"^.+\.([^.]+)$", 1)
+    graph = basename(path).startswith(GRAPH_SCOPE[1]) | (basename(path) == GRAPH_SCOPE[0])
+    return ~graph & ~F.exists(folders, lambda x: x.isin(*IGNORED_DIRS, *WALKED_HIDDEN_DIRS)) & own.isin(*WATCHED_EXTENSIONS)
 
 
 def symbol_key(language, path, kind, scope, name, arity) -> Column:
@@ -92,22 +107,45 @@ def test_file(path) -> Column:
 
 
 def path_like(label) -> Column:
-    """A slash, a known extension or a dotfile, and no ``.name(`` label."""
+    """A slash, a known extension or name, or a dotfile, and no ``.name(`` label."""
     x = col(label)
-    known = extension(x).isin(*CODE_EXTENSIONS, *DOC_EXTENSIONS, *CONFIG_EXTENSIONS)
-    return ~x.rlike(r"^\.?[\w$]+\(") & (x.contains("/") | known | x.rlike(r"^\.[A-Za-z][\w.-]*$"))
+    known = extension(x).isin(*CODE_EXTENSIONS, *DOC_EXTENSIONS, *CONFIG_EXTENSIONS) | F.lower(basename(x)).isin(*CONFIG_NAMES)
+    return F.coalesce((x != "") & ~x.rlike(r"^\.[A-Za-z_$][A-Za-z0-9_$]*\s*\(") & (x.contains("/") | x.contains("\\") | known | basename(x).startswith(".")), F.lit(False))
+
 
+def config_path(path) -> Column:
+    """A dotfile, a known name or one with ``config`` in it."""
+    name = F.lower(basename(path))
+    return name.startswith(".") | name.isin(*CONFIG_NAMES) | name.contains("config")
 
-def node_kind(label, kind, file_type) -> Column:
-    """The first of member, doc, symbol, doc file, config file, file, data that fits."""
-    x, k = col(label), col(kind)
+
+def key_kind(key) -> Column:
+    """The kind that a symbol key names, part 3 or of a C# key part 5."""
+    parts = F.split(col(key), r"\|")
+    sharp = (F.size(parts) >= 7) & (F.lower(F.element_at(parts, 1)) == "csharp")
+    return F.when(sharp, F.try_element_at(parts, F.lit(5))).when(F.size(parts) >= 6, F.try_element_at(parts, F.lit(3)))
+
+
+def node_kind(label, kind=None, file_type=None, symbol_key=None, container=None, source_file=None, source_location=None) -> Column:
+    """Member, doc, symbol, doc, file, config or data, by the first rule that fits.
+
+    Evidence of a member (kind, key or container) comes first, then document nodes, then evidence of a symbol (key, kind, or a
+    place in code) of a label that is no path, then the extension of the label or, for other labels, of the source file.
+    """
+    said = lambda x: F.lit(None).cast("string") if x is None else F.when(col(x) != "", col(x))
+    x, own_kind, key = said(label), F.lower(said(kind)), said(symbol_key)
+    own_path = path_like(x)
+    member = own_kind.isin(*MEMBER_KINDS) | F.lower(key_kind(key)).isin(*MEMBER_KINDS) | said(container).isNotNull()
+    symbol = key.isNotNull() | own_kind.isin(*SYMBOL_KINDS) | (said(file_type) == "code") & said(source_location).isNotNull()
+    ext = extension(x)
     return (
-        F.when(k.isin("method", "member", "field") | x.rlike(r"^\.[\w$]+\("), "member")
-        .when(col(file_type) == "document", "doc")
-        .when(k.isin("function", "class", "interface", "symbol", "enum", "type") & ~path_like(x), "symbol")
-        .when(extension(x).isin(*DOC_EXTENSIONS), "doc")
-        .when(extension(x).isin(*CONFIG_EXTENSIONS), "config")
-        .when(path_like(x), "file")
+        F.when(F.coalesce(member, F.lit(False)), "member")
+        .when(said(file_type) == "document", "doc")
+        .when(~own_path & F.coalesce(symbol, F.lit(False)), "symbol")
+        .when(extension(F.when(own_path, x).otherwise(said(source_file))).isin(*DOC_EXTENSIONS), "doc")
+        .when(~own_path, "data")
+        .when(ext.isin(*CODE_EXTENSIONS), "file")
+        .when(config_path(x), "config")
         .otherwise("data")
     )
 

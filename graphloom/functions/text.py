@@ -8,14 +8,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from graphloom.functions.keys import col
-
-# Words of sensitive keys, categories by type, error classes in order, half-life factors by tag.
-SENSITIVE = ("password", "token", "secret", "key", "credential", "auth")
-CATEGORIES = {"bugfix": "error", "decision": "decision", "architecture": "architecture", "pattern": "pattern", "config": "config", "discovery": "learning", "preference": "preference"}
-ERRORS = (("auth", ("401", "403", "unauthorized", "api key")), ("rate-limit", ("429", "rate limit")), ("timeout", ("timeout", "timed out")), ("network", ("econnrefused", "enotfound", "network", "fetch failed")), ("provider", ("500", "502", "503", "provider")), ("config", ("config", "not configured")))
+from graphloom.functions.keys import basename, col, normal_path
+
+# Words of sensitive keys, categories by type, error classes in order, half-life factors by tag, files that invalidate contexts.
+SENSITIVE = ("authorization", "api_key", "apikey", "password", "secret", "token")
+CATEGORIES = {"bugfix": "bug-fix", "decision": "architecture", "architecture": "architecture", "discovery": "learning", "pattern": "learning", "config": "tool-usage", "preference": "personal"}
+ERRORS = (
+    ("auth", ("401", "unauthorized", "forbidden")),
+    ("rate-limit", ("429", "rate limit")),
+    ("provider", ("500", "502", "503", "504", "404", "provider unavailable", "model missing")),
+    ("network", ("econnrefused", "enotfound", "econnreset", "socket", "network")),
+    ("timeout", ("timeout",)),
+    ("config", ("config",)),
+    ("provider", ("provider",)),
+)
 EVERGREEN, SLOW, SLOWER = ("evergreen", "non-forgettable"), ("important", "critical"), ("architecture", "decision")
-INVALIDATION = (("package.json", "stack"), ("README.md", "overview"), ("tsconfig.json", "stack"), ("src/", "structure"), ("docs/", "architecture"), ("AGENTS.md", "rules"))
+PACKAGE_FILES = ("package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "tsconfig.json", "global.json")
+PACKAGE_CONTEXTS = ("stack-runtime", "dependencies-summary", "integrations-summary")
+DECLARED_FOLDER = ".planning/project-memory-context/project-context/declared/"
+DECLARED_CONTEXTS = ("technical-rules", "project-requirements", "known-issues-and-fixes", "architecture-target")
+INSTRUCTION_FILES = ("AGENTS.md", "CLAUDE.md", "GEMINI.md", ".cursorrules", ".windsurfrules")
+INSTRUCTION_CONTEXTS = ("technical-rules", "project-requirements")
 
 
 def tokens(text) -> Column:
@@ -171,8 +184,12 @@ def error_class(message) -> Column:
 
 
 def invalidated_kinds(path) -> Column:
-    """Kinds of context that a changed file invalidates."""
-    return F.array_distinct(F.array_compact(F.array(*[F.when(col(path).startswith(p), F.lit(k)) for p, k in INVALIDATION])))
+    """Kinds of project context that a changed file invalidates: package files, declared documents, and instructions for agents."""
+    p = F.regexp_replace(normal_path(path), r"^(\./)+", "")
+    packages, instructions = p.isin(*PACKAGE_FILES) | p.endswith(".csproj"), (p == "README.md") | basename(p).isin(*INSTRUCTION_FILES)
+    found = [F.when(packages, F.lit(k)) for k in PACKAGE_CONTEXTS]
+    found += [F.when(p.startswith(DECLARED_FOLDER + k), F.lit(k)) for k in DECLARED_CONTEXTS]
+    return F.array_distinct(F.array_compact(F.array(*found, *[F.when(instructions, F.lit(k)) for k in INSTRUCTION_CONTEXTS])))
 
 
 def prompt_cut(text, most: int = 80) -> Column:

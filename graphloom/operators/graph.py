@@ -56,16 +56,18 @@ def traverse(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds, hop
     """
     kinds = node_kinds if kind_column != "node_kind" else kinds_allowed(node_kinds)
     allowed = nodes if kinds is None else nodes.where(F.col(kind_column).isin(list(kinds)))
-    allowed = allowed.select("id").distinct()
+    allowed = allowed.select("id")
     walk = directed(edges if relations is None else edges.where(F.col("relation").isin(list(relations))), direction)
     scratch = Scratch(spark, "traverse")
     none = F.lit(None).cast("string")
-    start = ids_frame(spark, seeds).distinct().join(allowed, "id").select("id", F.lit(0).alias("hop"), none.alias("source"), none.alias("target"), none.alias("relation"))
+    start = ids_frame(spark, seeds).distinct().join(allowed, "id", "left_semi").select("id", F.lit(0).alias("hop"), none.alias("source"), none.alias("target"), none.alias("relation"))
 
     def step(frontier, reached, hop):
-        met = frontier.select(F.col("id").alias("src")).join(walk, "src")
+        # Semi joins go down to the scans, below any distinct: with a frontier that is small, edges and nodes are read and not shuffled.
+        met = walk.join(frontier.select(F.col("id").alias("src")), "src", "left_semi")
         found = met.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("src", "relation", "source", "target")).alias("e"))
-        found = found.join(allowed, "id", "left_semi").join(reached.select("id"), "id", "left_anti")
+        found = scratch.write(found.join(reached.select("id"), "id", "left_anti"), f"met-{hop}")
+        found = found.join(allowed.join(found.select("id"), "id", "left_semi"), "id", "left_semi")
         return found.select("id", F.lit(hop).alias("hop"), "e.source", "e.target", "e.relation")
 
     return frontier_loop(scratch, start, step, hops, "traverse")
@@ -89,7 +91,7 @@ def reachable_edges(spark: SparkSession, edges: DataFrame, seeds, hops: int, dir
     scratch = Scratch(spark, "reach")
 
     def step(frontier, reached, hop):
-        new = frontier.select(F.col("id").alias("src")).join(walk, "src").select(F.col("dst").alias("id")).distinct()
+        new = walk.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         return new.join(reached.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
 
     found = frontier_loop(scratch, ids_frame(spark, seeds).distinct().withColumn("hop", F.lit(0)), step, hops, "reach")
@@ -116,22 +118,27 @@ def related_symbols(edges: DataFrame, symbols: DataFrame, key: str, direction: s
     return met.join(symbols, "node_id")
 
 
-def closure(spark: SparkSession, edges: DataFrame, seeds, direction: str = "in", stop: DataFrame | None = None) -> DataFrame:
-    """Id, distance and path (from the seed) of all that can be reached; nodes of ``stop`` (id) are reached but not left.
+def closure(spark: SparkSession, edges: DataFrame, seeds, direction: str = "in", stop: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """Id, distance and path (from the seed) of all that can be reached in ``rounds`` (None: all); nodes of ``stop`` (id) are reached but not left.
 
-    The parent of a node is the smallest key of the round before that has an edge to it.
+    The parent of a node is the smallest key of the round before that has an edge to it. ``seeds`` may have a path of their own.
     """
     walk = directed(edges, direction).select("src", "dst").distinct()
-    start = ids_frame(spark, seeds).distinct().select("id", F.lit(0).alias("hop"), F.array("id").alias("path"))
+    start = ids_frame(spark, seeds)
+    own = "path" in start.columns
+    start = start.select("id", F.lit(0).alias("hop"), "path" if own else F.array("id").alias("path"))
+    start = start.dropDuplicates(["id"]) if own else start.distinct()
+    ends = None if stop is None else stop.select("id").distinct()
 
     def step(frontier, reached, hop):
-        live = frontier if stop is None else frontier.join(stop.select("id").distinct(), "id", "left_anti") if hop > 1 else frontier
-        met = live.select(F.col("id").alias("src"), "path").join(walk, "src")
+        live = frontier if ends is None or hop == 1 and not own else frontier.join(ends, "id", "left_anti")
+        live = live.select(F.col("id").alias("src"), "path")
+        met = walk.join(live.select("src"), "src", "left_semi").join(live, "src")
         found = met.groupBy(F.col("dst").alias("id")).agg(F.min_by("path", "src").alias("path"))
         found = found.join(reached.select("id"), "id", "left_anti")
         return found.select("id", F.lit(hop).alias("hop"), F.concat("path", F.array("id")).alias("path"))
 
-    return frontier_loop(Scratch(spark, "closure"), start, step, None, "closure").withColumnRenamed("hop", "distance")
+    return frontier_loop(Scratch(spark, "closure"), start, step, rounds, "closure").withColumnRenamed("hop", "distance")
 
 
 def walk_to_role(spark: SparkSession, edges: DataFrame, roles: DataFrame, seeds, role: str, direction: str = "out") -> DataFrame:

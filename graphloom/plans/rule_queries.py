@@ -43,12 +43,84 @@ def symbol_key_parts(spark, d):
     return symbol_keys(spark, d).select("k", "key", K.key_name("key").alias("name"), K.key_part("key", 2).alias("path"), K.canonical_key("key").alias("canonical"), K.key_tag("key").alias("tag"))
 
 
-@FOUND("node_kind_classify", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'member' WHEN o_orderkey % 6 = 1 THEN 'doc' WHEN o_orderkey % 6 = 2 THEN 'config' WHEN o_orderkey % 6 = 3 THEN 'file' WHEN o_orderkey % 6 = 4 THEN 'symbol' ELSE 'data' END AS node_kind FROM orders""")
+# Labels, kinds, file types, keys and source files that the orders take in turn (numbers without a common divisor, so that they mix).
+LABELS = (".run()", "notes.md", "app.json", "tsconfig.json", "src/a.ts", "Thing", "some thing", "Makefile", ".eslintrc", "lib/x.unknown", "Guide.RST", "data.yaml", "go.mod", "a\\b", "")
+KINDS = ("method", "class", "x", "Getter", "function", "", "annotation")
+TYPES = ("code", "document", "", "code")
+KEYS = ("", "", "", "ts|a.ts|function|exported|f|0", "ts|a.ts|property|member|A.f|0", "csharp|a.cs|N|C|constructor|C|", "bad|key", "", "")
+SOURCES = ("README.md", "a.ts", "", "b.txt", "c.js")
+
+
+def pick(values, number):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+
+def pick_sql(values, number):
+    said = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{said}])[{number} % {len(values)} + 1]"
+
+
+def names_sql(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def ext_sql(x):
+    return f"lower(regexp_extract(regexp_extract({x}, '[^/\\\\]*$'), '^.+\\.([^.]+)$', 1))"
+
+
+BASE_SQL = "lower(regexp_extract({x}, '[^/\\\\]*$'))"
+
+
+def path_sql(x):
+    base = BASE_SQL.format(x=x)
+    return f"({x} <> '' AND NOT regexp_matches({x}, '^\\.[A-Za-z_$][A-Za-z0-9_$]*\\s*\\(') AND (contains({x}, '/') OR contains({x}, '\\') OR {ext_sql(x)} IN {names_sql(K.CODE_EXTENSIONS + K.DOC_EXTENSIONS + K.CONFIG_EXTENSIONS)} OR {base} IN {names_sql(K.CONFIG_NAMES)} OR starts_with({base}, '.')))"
+
+
+KIND_SQL = f"""WITH r AS (SELECT o_orderkey AS k, {pick_sql(LABELS, 'o_orderkey')} AS label, lower({pick_sql(KINDS, '(o_orderkey // 3)')}) AS kind, {pick_sql(TYPES, '(o_orderkey // 7)')} AS type, {pick_sql(KEYS, '(o_orderkey // 2)')} AS key, {pick_sql(SOURCES, '(o_orderkey // 5)')} AS source, o_orderkey % 17 = 0 AS owned, o_orderkey % 4 = 0 AS placed FROM orders),
+q AS (SELECT *, {path_sql('label')} AS is_path, string_split(key, '|') AS parts FROM r),
+v AS (SELECT *, CASE WHEN len(parts) >= 7 AND lower(parts[1]) = 'csharp' THEN parts[5] WHEN len(parts) >= 6 THEN parts[3] END AS key_kind FROM q)
+"""
+
+
+def kind_rows(spark, d):
+    k = F.col("o_orderkey")
+    n = lambda m: F.floor(k / m).cast("long")
+    return table(spark, d, "orders").select(k.alias("k"), pick(LABELS, k).alias("label"), pick(KINDS, n(3)).alias("kind"), pick(TYPES, n(7)).alias("type"), pick(KEYS, n(2)).alias("key"), pick(SOURCES, n(5)).alias("source"), F.when(k % 17 == 0, "Owner").alias("owner"), F.when(k % 4 == 0, "L1").alias("place"))
+
+
+@FOUND("node_kind_classify", KIND_SQL + f"""SELECT k, CASE WHEN kind IN {names_sql(K.MEMBER_KINDS)} OR coalesce(key_kind IN {names_sql(K.MEMBER_KINDS)}, false) OR owned THEN 'member' WHEN type = 'document' THEN 'doc'
+WHEN NOT is_path AND (key <> '' OR kind IN {names_sql(K.SYMBOL_KINDS)} OR (type = 'code' AND placed)) THEN 'symbol' WHEN {ext_sql('CASE WHEN is_path THEN label ELSE source END')} IN {names_sql(K.DOC_EXTENSIONS)} THEN 'doc'
+WHEN NOT is_path THEN 'data' WHEN {ext_sql('label')} IN {names_sql(K.CODE_EXTENSIONS)} THEN 'file' WHEN starts_with({BASE_SQL.format(x='label')}, '.') OR {BASE_SQL.format(x='label')} IN {names_sql(K.CONFIG_NAMES)} OR contains({BASE_SQL.format(x='label')}, 'config') THEN 'config' ELSE 'data' END AS node_kind FROM v""")
 def node_kind_classify(spark, d):
+    return kind_rows(spark, d).select("k", K.node_kind("label", "kind", "type", "key", "owner", "source", "place").alias("node_kind"))
+
+
+@FOUND("path_like_labels", KIND_SQL + "SELECT k, is_path FROM v")
+def path_like_labels(spark, d):
+    return kind_rows(spark, d).select("k", K.path_like("label").alias("is_path"))
+
+
+FOLDERS = ("src", ".opencode", "node_modules", ".git", "graphify-out", "vendor", ".hidden", "out", "target", "lib")
+FILES = ("a.ts", "b.py", "c.CS", "d.cs", ".graphify_x.ts", "e.mjs", "f")
+
+
+@FOUND("ignored_and_watched", f"""WITH r AS (SELECT o_orderkey AS k, {pick_sql(FOLDERS, 'o_orderkey')} AS folder, {pick_sql(FILES, '(o_orderkey // 10)')} AS file, o_orderkey % 3 = 0 AS deep FROM orders)
+SELECT k, folder IN {names_sql(K.IGNORED_DIRS)} OR (starts_with(folder, '.') AND folder <> '.opencode') AS ignored,
+folder NOT IN {names_sql(K.IGNORED_DIRS + K.WALKED_HIDDEN_DIRS)} AND NOT starts_with(file, '.graphify_') AND string_split(file, '.')[-1] IN ('ts', 'tsx', 'mjs', 'js', 'jsx', 'cs') AS watched FROM r""")
+def ignored_and_watched(spark, d):
     k = F.col("o_orderkey")
-    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (k % 6 + 1).cast("int"))
-    rows = table(spark, d, "orders").select(k.alias("k"), pick(".run()", "notes.md", "app.json", "src/a.ts", "Thing", "some thing").alias("label"), pick("x", "x", "x", "x", "class", "x").alias("kind"), F.lit("code").alias("file_type"))
-    return rows.select("k", K.node_kind("label", "kind", "file_type").alias("node_kind"))
+    folder, file = pick(FOLDERS, k), pick(FILES, F.floor(k / 10).cast("long"))
+    path = F.when(k % 3 == 0, F.concat(F.lit("top\\"), folder, F.lit("/x/"), file)).otherwise(F.concat(folder, F.lit("/"), file))
+    return table(spark, d, "orders").select(k.alias("k"), K.ignored_dir(folder).alias("ignored"), K.watched(path).alias("watched"))
+
+
+CHANGED = ("package.json", "./package.json", "src/package.json", "App.csproj", "README.md", "docs/README.md", "sub/AGENTS.md", ".cursorrules", ".planning/project-memory-context/project-context/declared/technical-rules.md", ".planning\\project-memory-context\\project-context\\declared\\architecture-target.md", "src/a.ts")
+
+
+@FOUND("invalidated_contexts", f"""WITH r AS (SELECT event_id, {pick_sql(CHANGED, 'event_id')} AS p FROM events), n AS (SELECT event_id, regexp_replace(replace(p, '\\', '/'), '^\\./', '') AS p FROM r)
+SELECT event_id, array_to_string(CASE WHEN p = 'package.json' OR p LIKE '%.csproj' THEN ['stack-runtime', 'dependencies-summary', 'integrations-summary'] WHEN p LIKE '.planning/%/technical-rules%' THEN ['technical-rules'] WHEN p LIKE '.planning/%/architecture-target%' THEN ['architecture-target'] WHEN p = 'README.md' OR p LIKE '%/AGENTS.md' OR p = '.cursorrules' THEN ['technical-rules', 'project-requirements'] ELSE [] END, ',') AS kinds FROM n""")
+def invalidated_contexts(spark, d):
+    return table(spark, d, "events").select("event_id", F.array_join(T.invalidated_kinds(pick(CHANGED, F.col("event_id"))), ",").alias("kinds"))
 
 
 @FOUND("token_estimates", "SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, CAST(greatest(0, ceil(length(text) / 4) - ceil(length(lang) / 4)) AS BIGINT) AS saved FROM documents")
@@ -71,16 +143,26 @@ def size_router(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.routed("l_extendedprice", "l_quantity", F.lit(50), 40000).alias("route"))
 
 
-@FOUND("error_classifier", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'auth' WHEN 1 THEN 'rate-limit' WHEN 2 THEN 'timeout' WHEN 3 THEN 'network' ELSE 'runtime' END AS class FROM events")
+CAUSES = ("HTTP 503", "forbidden", "socket closed", "Invalid API key", "Timed out", "bad CONFIG", "the provider said no", "odd", "Unauthorized", "model missing", "ECONNRESET")
+EFFECTS = ("", "timeout", "Rate Limit hit", "404", "network down", "401", "request 429")
+ERROR_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(m, '{w}')" for w in words) + f" THEN '{name}'" for name, words in (
+    ("auth", ("401", "unauthorized", "forbidden")), ("rate-limit", ("429", "rate limit")), ("provider", ("500", "502", "503", "504", "404", "provider unavailable", "model missing")),
+    ("network", ("econnrefused", "enotfound", "econnreset", "socket", "network")), ("timeout", ("timeout",)), ("config", ("config",)), ("provider", ("provider",)))) + " ELSE 'runtime' END"
+
+
+@FOUND("error_classifier", f"WITH r AS (SELECT event_id, lower({pick_sql(CAUSES, 'event_id')} || ' ' || {pick_sql(EFFECTS, '(event_id // 11)')} || ' ' || event_type) AS m FROM events) SELECT event_id, {ERROR_SQL} AS class FROM r")
 def error_classifier(spark, d):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("HTTP 401", "Rate limit hit", "Timed out", "ECONNREFUSED", "odd")]), (F.col("event_id") % 5 + 1).cast("int"))
+    k = F.col("event_id")
+    said = F.concat_ws(" ", pick(CAUSES, k), pick(EFFECTS, F.floor(k / 11).cast("long")), "event_type")
     return table(spark, d, "events").select("event_id", T.error_class(said).alias("class"))
 
 
-@FOUND("type_categories", "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' ELSE 'learning' END AS category FROM events")
+TYPES_ = ("bugfix", "decision", "architecture", "discovery", "pattern", "config", "preference", "odd")
+
+
+@FOUND("type_categories", f"WITH r AS (SELECT event_id, {pick_sql(TYPES_, 'event_id')} AS t FROM events) SELECT event_id, CASE t WHEN 'bugfix' THEN 'bug-fix' WHEN 'decision' THEN 'architecture' WHEN 'architecture' THEN 'architecture' WHEN 'config' THEN 'tool-usage' WHEN 'preference' THEN 'personal' ELSE 'learning' END AS category FROM r")
 def type_categories(spark, d):
-    kind = F.when(F.col("event_type") == "error", "bugfix").otherwise(F.col("event_type"))
-    return table(spark, d, "events").select("event_id", T.category(kind).alias("category"))
+    return table(spark, d, "events").select("event_id", T.category(pick(TYPES_, F.col("event_id"))).alias("category"))
 
 
 @FOUND("prompt_cuts", "SELECT doc_id, CASE WHEN len(l) > 8 THEN array_to_string(list_concat(l[1:4], l[-4:]), chr(10)) ELSE text END AS cut FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")

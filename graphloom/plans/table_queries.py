@@ -184,12 +184,12 @@ def list_recent(spark, d):
     return search.recent_matches(table(spark, d, "events"), "click", "event_type", "ts", "event_id").select("event_id")
 
 
-MEMORY = f"""WITH m AS (SELECT user_id AS id, max(ts) AS used, user_id % 10 = 0 AS evergreen FROM events WHERE user_id % 3 = 0 OR ts < TIMESTAMP '2024-01-10' GROUP BY user_id), a AS (SELECT *, date_diff('day', CAST(used AS DATE) - CAST(id AS INT) * 3, DATE '2024-02-15') AS days FROM m)
+MEMORY = f"""WITH m AS (SELECT user_id AS id, max(ts) AS used, user_id % 10 = 0 AS evergreen FROM events GROUP BY user_id), a AS (SELECT *, date_diff('day', CAST(used AS DATE) - CAST(id AS INT) * 3, DATE '2024-02-15') AS days FROM m)
 """
 
 
 def memories(spark, d):
-    used = table(spark, d, "events").where("user_id % 3 = 0 or ts < timestamp_ntz'2024-01-10'").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("used"))
+    used = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("used"))
     return used.select("id", F.date_sub(F.col("used").cast("date"), (F.col("id") * 3).cast("int")).alias("last_used"), (F.col("id") % 10 == 0).alias("evergreen"))
 
 
@@ -216,11 +216,11 @@ def prune_candidates(spark, d):
     return memory.prune_candidates(tagged(spark, d), AS_OF).select("id")
 
 
-@FOUND("promotion", """WITH e AS (SELECT user_id % 40 AS h, user_id % 7 AS p, event_type = 'error' AS c, CAST(event_type = 'signup' AS INT) AS r FROM events WHERE user_id < 60), g AS (SELECT CAST(h AS VARCHAR) AS content_hash, count(DISTINCT p) AS projects, bool_or(c) AS critical, count(*) AS seen, sum(r) AS revivals FROM e GROUP BY h)
+@FOUND("promotion", """WITH e AS (SELECT user_id % 40 AS h, user_id % 40 % 7 + CAST(user_id % 80 = 7 AS INT) AS p, event_type = 'error' AS c, CAST(event_type = 'signup' AS INT) AS r FROM events), g AS (SELECT CAST(h AS VARCHAR) AS content_hash, count(DISTINCT p) AS projects, bool_or(c) AS critical, count(*) AS seen, sum(r) AS revivals FROM e GROUP BY h)
 SELECT content_hash, CASE WHEN projects >= 2 THEN 'projects' WHEN critical AND seen >= 2 THEN 'critical' ELSE 'revivals' END AS reason FROM g WHERE projects >= 2 OR (critical AND seen >= 2) OR revivals >= 3""")
 def promotion(spark, d):
-    e = table(spark, d, "events").where("user_id < 60")
-    rows = e.select((F.col("user_id") % 40).cast("string").alias("content_hash"), (F.col("user_id") % 7).alias("project_id"), (F.col("event_type") == "error").alias("critical"), (F.col("event_type") == "signup").cast("int").alias("revivals"))
+    e = table(spark, d, "events")
+    rows = e.select((F.col("user_id") % 40).cast("string").alias("content_hash"), (F.col("user_id") % 40 % 7 + (F.col("user_id") % 80 == 7).cast("int")).alias("project_id"), (F.col("event_type") == "error").alias("critical"), (F.col("event_type") == "signup").cast("int").alias("revivals"))
     return memory.promotions(rows)
 
 
@@ -239,10 +239,10 @@ def session_get(spark, d):
     return memory.session_view(table(spark, d, "conversations"), 3, "conv_id", "turn").select("turn", "role", "text")
 
 
-@FOUND("topic_slugs", """WITH s AS (SELECT item_id, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 12)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS s FROM benchmark), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY item_id) AS n FROM s)
+@FOUND("topic_slugs", """WITH s AS (SELECT item_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS s FROM benchmark), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY item_id) AS n FROM s)
 SELECT item_id, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS slug FROM n""")
 def topic_slugs(spark, d):
-    rows = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 12).alias("title"))
+    rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("title"))
     return memory.unique_slugs(rows, "title", "item_id").select("item_id", "slug")
 
 
@@ -275,9 +275,9 @@ def redact_private(spark, d):
     return rows.select("doc_id", F.sha2(T.redact_private("x"), 256).alias("h"))
 
 
-@FOUND("mask_args", """SELECT event_id, '{"token":"***REDACTED***","k":' || json_extract(props, '$.k') || '}' AS masked FROM events""")
+@FOUND("mask_args", """SELECT event_id, '{"monkey":1,"author":"a","apiToken":"***REDACTED***","deep":{"Password":"***REDACTED***","list":[{"my_secret":"***REDACTED***"},' || json_extract(props, '$.k') || ']},"api_keys":"***REDACTED***"}' AS masked FROM events""")
 def mask_args(spark, d):
-    text = F.concat(F.lit('{"token":"t","k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    text = F.concat(F.lit('{"monkey":1,"author":"a","apiToken":"t","deep":{"Password":{"x":1},"list":[{"my_secret":[2]},'), F.get_json_object("props", "$.k"), F.lit(']},"api_keys":3}'))
     return table(spark, d, "events").select("event_id", T.mask_args(text).alias("masked"))
 
 

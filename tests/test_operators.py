@@ -62,12 +62,37 @@ def test_role_walks(spark):
 
 
 def test_roles(spark):
-    s = spark.createDataFrame([("c", "UserController", "src/controllers/user.ts", None, None), ("m", "getUser", "src/controllers/user.ts", None, "c"), ("x", "thing", "lib/x.ts", None, None), ("a", "run", "src/utils/a.ts", "Injectable", "c")], "id string, name string, path string, annotation string, container string")
-    got = {r.id: (r.role, r.confidence) for r in roles.classified(s).collect()}
-    assert got == {"c": ("controller", 0.8), "m": ("controller", 0.875), "a": ("service", 0.9)}
-    assert ("suffix", "service", "domain") in roles.merged_rules(roles.RULES, [("suffix", "service", "domain")])
+    schema = "id string, name string, path string, kind string, scope string, annotations array<string>, heritage array<string>, side_effects array<string>, fan_in int, fan_out int, container string"
+    rows = [
+        ("c", "UserController", "src/controllers/user.ts", "class", "exported", None, None, None, 1, 1, None), ("m", "getUser", "src/controllers/user.ts", "method", "member", None, None, None, 1, 1, "c"),
+        ("x", "thing", "lib/x.ts", "function", "exported", None, None, None, 1, 1, None), ("a", "run", "src/utils/a.ts", "method", "member", ["@Nope", "@Injectable"], None, None, 1, 1, "c"),
+        ("s", "Service", "lib/s.ts", "function", "local", None, None, None, 1, 1, None), ("i", "UserService", "lib/i.ts", "interface", "exported", None, None, None, 1, 1, None),
+        ("t", "UserService", "tests/u.ts", "class", "exported", None, None, None, 1, 1, None), ("h", "Users", "lib/h.py", "class", "exported", None, ["object", "implements db.UserRepository<User>"], None, 1, 1, None),
+        ("g", "go", "lib/g.ts", "function", "exported", None, None, ["odd", "fetch"], 2, 9, None), ("u", "pad", "lib/u.ts", "function", "exported", None, None, None, 9, 9, None), ("d", "x", "cli/services/x.ts", "function", "exported", None, None, None, 1, 1, None),
+    ]
+    got = {r.id: (r.role, r.layer, r.confidence) for r in roles.classified(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        "c": ("controller", "presentation", 0.8), "m": ("controller", "presentation", 0.875), "x": (None, None, 0.0), "a": ("service", "application", 0.9), "s": ("decorator", "presentation", 0.6), "i": (None, None, 0.0),
+        "t": ("test", "test", 0.5), "h": ("repository", "data", 0.85), "g": ("controller", "presentation", 0.35), "u": ("util", "cross-cutting", 0.35), "d": ("service", "application", 0.5),
+    }
+    files_ = spark.createDataFrame([("src/UserService.ts",), ("bin/x.js",)], "path string")
+    assert {r.path: r.role for r in roles.classified_files(files_, roles.load_profile("node-cli")).collect()} == {"src/UserService.ts": "service", "bin/x.js": "cli-command"}
+    assert roles.load_profile("nest")["suffix"]["Module"] == "config" and roles.load_profile("django")["heritage"]["View"] == "view"
+    for bad in ({"weights": {"suffix": 2}}, {"suffix": {"King": "king"}}, {"weights": {"topology": None}}):
+        with pytest.raises(TypeError):
+            roles.checked_profile(roles.merged_profiles(roles.GENERIC, bad))
     with pytest.raises(TypeError):
-        roles.validated_rules([("colour", "x", "y")])
+        roles.load_profile("planet")
+
+
+def test_error_classes_and_kinds(spark):
+    """The order of rules: what comes first wins."""
+    said = {"HTTP 503 timeout": "provider", "forbidden": "auth", "socket closed": "network", "Invalid API key": "runtime", "Timed out": "runtime", "429 network": "rate-limit", "provider config": "config", "provider": "provider"}
+    df = spark.createDataFrame(list(said.items()), "m string, want string").withColumn("got", T.error_class("m"))
+    assert df.where("got <> want").isEmpty()
+    kinds = {"app.json": "data", "Makefile": "config", "tsconfig.json": "config", "src/a.ts": "file", "x": "data", "README.md": "doc", ".env": "config"}
+    df = spark.createDataFrame(list(kinds.items()), "label string, want string").withColumn("got", K.node_kind("label"))
+    assert df.where("got <> want").isEmpty()
 
 
 def test_relations(spark):
