@@ -142,10 +142,38 @@ def category(kind) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in CATEGORIES.items() for x in p]), col(kind)), F.lit("learning"))
 
 
-def payload(title, kind, what, why, where, learned) -> Column:
-    """the lines of a memory that have content."""
-    line = lambda name, c: F.when(F.trim(col(c)) != "", F.concat(F.lit(f"**{name}**: "), F.trim(col(c))))
-    return F.concat_ws("\n", F.concat(F.lit("# "), col(title)), line("Type", kind), line("What", what), line("Why", why), line("Where", where), line("Learned", learned))
+def saved_payload(title, content, kind, topic, project) -> Column:
+    """content (with the title above it), category and tags (the project and the parts of the topic, each once) of a memory to be saved."""
+    clean = lambda x: F.regexp_replace(F.coalesce(col(x), F.lit("")), r"^\s+|\s+$", "")
+    head, body = clean(title), clean(content)
+    parts = F.transform(F.split(F.coalesce(col(topic), F.lit("")), "/"), lambda x: F.trim(x))
+    tags = unique_tags(F.concat(F.array(col(project)), parts))
+    return F.struct(F.when(head != "", F.concat(F.lit("**What**: "), head, F.lit("\n\n"), body)).otherwise(body).alias("content"), category(kind).alias("category"), tags.alias("tags"))
+
+
+def semantic_report(summary, findings) -> Column:
+    """responsibility (else the summary), inputs, output, dependencies, role and summary of an array of ``key: value`` findings; the last of a key counts."""
+    rows = F.filter(F.coalesce(col(findings), F.array().cast("array<string>")), lambda x: F.contains(x, F.lit(":")) & ~x.startswith(":"))
+    pairs = F.transform(rows, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
+    get = lambda name: F.try_element_at(F.transform(F.filter(pairs, lambda x: x["k"] == name), lambda x: x["v"]), F.lit(-1))
+    items = lambda name: F.filter(F.transform(F.split(F.coalesce(get(name), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    said = F.trim(F.coalesce(col(summary), F.lit("")))
+    known = lambda name, other: F.when(get(name) != "", get(name)).otherwise(other)
+    return F.struct(known("responsibility", said).alias("responsibility"), items("inputs").alias("inputs"), known("output", F.lit("Not specified.")).alias("output"), items("dependencies").alias("dependencies"), known("role", F.lit("Not specified.")).alias("role"), said.alias("summary"))
+
+
+def semantic_summary(text, most: int = 200) -> Column:
+    """what a line ``Responsibility:`` says with the lines that go on from it, up to a sentence's end, an empty line, a list or a heading; else the
+    first sentence, or the first line; cut. Null for a text without anything."""
+    clean = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"^\s+|\s+$", "")
+    said = F.regexp_extract(clean, r"(?im)^[ \t]*(?:[-*]\s+)?(?:\*{1,2}|_{1,2})?responsibility(?::(?:\*{1,2}|_{1,2})?|(?:\*{1,2}|_{1,2})?:)[ \t]*\n?\s*((?:[^\n]*[^\n\s][^\n]*)(?:\n(?![ \t]*(?:#{1,6}\s|[-*]\s|$))[^\n]+)*)", 1)
+    lines = F.transform(F.split(said, "\n"), lambda x: F.trim(x))
+    ends = F.transform(lines, lambda x: x.rlike(r"[.!?]$"))
+    last = F.coalesce(F.nullif(F.array_position(ends, True), F.lit(0)), F.size(lines)).cast("int")
+    whole = F.array_join(F.slice(lines, F.lit(1), F.greatest(last, F.lit(1))), " ")
+    first = F.trim(F.regexp_extract(clean, r"^([^\n]+?[.!?])(?:\s|$)", 1))
+    found = F.when(F.trim(said) != "", whole).when(first != "", first).otherwise(F.trim(F.substring_index(clean, "\n", 1)))
+    return F.when(clean != "", F.substring(found, 1, most))
 
 
 def unique_tags(tags) -> Column:

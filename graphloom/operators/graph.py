@@ -193,14 +193,6 @@ def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, damping: f
     return ranks.select("id", "rank"), rounds, converged
 
 
-def impact(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds, rounds: int = 100) -> DataFrame:
-    """Id, distance, rank and is_test of all that reaches the seeds by calls or imports, ranked on the whole graph of such pairs."""
-    pairs = edges.where(F.col("relation").isin("calls", "imports", "imports_from"))
-    ranks, _, _ = pagerank(spark, nodes, pairs, most=rounds)
-    found = closure(spark, pairs, seeds, "in").where("distance > 0").select("id", "distance")
-    return found.join(ranks, "id").join(nodes.select("id", test_file("source_file").alias("is_test")), "id", "left")
-
-
 def impact_roles(found: DataFrame, roles: DataFrame) -> DataFrame:
     """A-11: members, summed rank and layer by role; the layer only if all members have the same one and none lacks it."""
     rows = found.dropDuplicates(["id"]).join(roles, "id").where("role is not null")

@@ -33,7 +33,7 @@ def claimed(rows: DataFrame, owner: str) -> DataFrame:
     first = rows.where("status = 'pending'").agg(F.min("seq").alias("_first"))
     mine = (F.col("status") == "pending") & (F.col("seq") == F.col("_first"))
     rows = rows.crossJoin(F.broadcast(first))
-    return rows.withColumn("status", F.when(mine, "in_progress").otherwise(F.col("status"))).withColumn("owner", F.when(mine, owner).otherwise(F.col("owner"))).drop("_first")
+    return rows.withColumns({"status": F.when(mine, "in_progress").otherwise(F.col("status")), "owner": F.when(mine, owner).otherwise(F.col("owner"))}).drop("_first")
 
 
 def queue_batch(rows: DataFrame, size: int = 100) -> DataFrame:

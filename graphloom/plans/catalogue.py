@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graph_queries, rule_queries, table_queries
+from graphloom.plans import graph_queries, known_queries, more_queries, rule_queries, table_queries
+
+PARTS = (graph_queries, known_queries, table_queries, rule_queries, more_queries)
 
 
 def queries():
-    return {**graph_queries.FOUND.queries, **table_queries.FOUND.queries, **rule_queries.FOUND.queries}
+    return {name: f for part in PARTS for name, f in part.FOUND.queries.items()}
 
 
 def oracle_sql():
-    return {**graph_queries.FOUND.sql, **table_queries.FOUND.sql, **rule_queries.FOUND.sql}
+    return {name: sql for part in PARTS for name, sql in part.FOUND.sql.items()}

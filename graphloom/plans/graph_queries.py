@@ -174,12 +174,6 @@ def call_levels(spark, d):
     return graph.call_levels(spark, supplier_ring(spark, d))
 
 
-@FOUND("impact_analysis")
-def impact_analysis(spark, d):
-    found = graph.impact(spark, graph_nodes(spark, d), graph_edges(spark, d), ["supplier|3"], rounds=5)
-    return found.select("id", "distance", F.round("rank", 9).alias("rank"), "is_test")
-
-
 @plain("impact_roles", """, hit AS (SELECT DISTINCT source AS id FROM edges WHERE relation = 'calls' AND target = 'supplier|3')
 SELECT CASE WHEN length(id) % 2 = 0 THEN 'controller' ELSE 'service' END AS role, count(*) AS members, round(sum(length(id) / 10.0), 6) AS rank, 'presentation' AS layer FROM hit GROUP BY 1""")
 def impact_roles(spark, d):
