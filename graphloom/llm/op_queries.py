@@ -16,7 +16,33 @@ from graphloom.llm.secret_scan import secret_digest, secret_spans
 from graphloom.llm.token_counts import token_counts
 from graphloom.session import table
 
-ORACLE_SQL: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"[^\x20\x09-\x0D]+"
+#: What SQL can express whole: the pairs of operators 1, 8 and 9 by brute force behind a join that loses none, and components by recursion.
+#: Tokenizers, clustering, Lempel-Ziv parsing, packing, decoding, schedules and markup are beyond it; the tests compare those with plain code.
+ORACLE_SQL: dict[str, str] = {
+    "op1_signature_trees": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORDS}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END, ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id)
+SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id""",
+    "op8_line_dedup": f"""WITH t AS (SELECT doc_id, i, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}'))) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT w, len(w) AS n, min((doc_id, i)) AS first, row_number() OVER () AS c FROM t WHERE len(w) > 0 GROUP BY w),
+p AS (SELECT c, n, word FROM (SELECT c, n, word, row_number() OVER (PARTITION BY c ORDER BY seen, word) AS k FROM (SELECT c, n, word, count(*) OVER (PARTITION BY word) AS seen FROM (SELECT c, n, unnest(w) AS word FROM c))) WHERE k <= n - ceil(n * 80 / 100) + 1),
+m AS (SELECT DISTINCT a.c AS a, b.c AS b FROM p a JOIN p b ON a.word = b.word AND a.c <> b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+g AS (SELECT DISTINCT y.c FROM m JOIN c x ON x.c = m.a JOIN c y ON y.c = m.b WHERE x.first < y.first AND 100 * len(list_intersect(x.w, y.w)) >= 80 * (x.n + y.n - len(list_intersect(x.w, y.w)))),
+k AS (SELECT t.doc_id, t.i, t.line, c.c IS NOT NULL AND ((t.doc_id, t.i) <> c.first OR g.c IS NOT NULL) AS gone FROM t LEFT JOIN c ON c.w = t.w LEFT JOIN g ON g.c = c.c),
+o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM k GROUP BY doc_id)
+SELECT d.doc_id, o.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN o USING (doc_id)""",
+    "op9_sorted_projections": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.v, b.v) >= 0.98 * a.norm * b.norm),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id)
+SELECT id AS vec_id, (SELECT count(*) FROM l WHERE x = id) AS n_links, min(root) AS component_id, min(root) = id AS kept FROM r GROUP BY id""",
+}
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
