@@ -24,11 +24,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that setting is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that setting is unset and all is one machine (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         own = spark.sparkContext.getCheckpointDir()
         if not own:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphloom-"))
             own = spark.sparkContext.getCheckpointDir()
         shared = own
@@ -36,10 +38,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables of one job, written to the shared folder so that a lost executor costs no recomputation."""
+    """Intermediate tables of one job, written to the shared folder so that a lost executor costs no recomputation.
+
+    What a job has not dropped itself goes when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, job: str):
-        self.spark, self.base = spark, f"{scratch_dir(spark)}/graphloom-{job}-{uuid.uuid4().hex}"
+        self.spark, self.marked, self.base = spark, False, f"{scratch_dir(spark)}/graphloom-{job}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -47,6 +52,10 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write once, read back: cuts the lineage and gives the planner true sizes."""
         df.write.mode("overwrite").parquet(self.path(name))
+        if not self.marked:
+            base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            base.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(base)
+            self.marked = True
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
