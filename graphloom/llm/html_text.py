@@ -264,7 +264,7 @@ def main_blocks(page: Page) -> list[str]:
     if not any(inside[k] and page.tag[k] == "h1" for k in range(n)):
         own = set(lineage)
         title = max((k for k in range(1, min(kept)) if page.tag[k] == "h1" and page.parent[k] in own and not page.out[k]), default=0)
-        inside[title] = title > 0
+        inside[title] |= title > 0
     return [text for element, text, _ in page.blocks if inside[element]]
 
 

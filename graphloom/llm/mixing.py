@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import Scratch
+
 #: Words of a block and the weights that sources take in turn, by name.
 BLOCK = 1024
 WEIGHTS = (3, 1, 2)
 #: Slots of the schedule that are ranked together, and shuffle buckets of a source: ranks and running sums are taken in
 #: two steps, so that no source is one task's work however many rows it has.
 CHUNK = 65_536
-BUCKETS = 1024
+BUCKETS, BUCKET_ROWS = 1024, 1_000_000
+#: Bits of a point that are cut off to look up the few sources whose stretch may hold it.
+BIN_BITS = 20
 #: The golden ratio's fractional part, as a 32-bit fraction (fixed value).
 GOLDEN_32 = 2654435769
 
@@ -57,14 +61,16 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int = BLOCK, chunk:
     Slot i stands at the fractional part of i times the golden ratio; the source whose stretch of the cumulative
     weights holds that point gets it. The rank is the number of earlier slots of the source. A source uses its first
     slots_needed() slots; where its points fall short of that by a few, the missing ones follow at the end.
-    ``targets`` has source_id, source_size, target, low and high (the stretch, as 32-bit points) and is broadcast: one row a source.
+    ``targets`` has source_id, source_size, target, low and high (the stretch, as 32-bit points), one row a source. Points and stretches meet by the
+    high bits of the points, so a point is compared with the sources of its bin only.
     """
     slots = targets.agg(F.coalesce(F.sum(slots_needed(block)), F.lit(0)).cast("long").alias("n")).where("n > 0")
     numbered = slots.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk)))).alias("chunk"), "n")
     points = numbered.repartition("chunk").select("chunk", "n", F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("n"), (F.col("chunk") + 1) * chunk) - 1, F.lit(1).cast("long"))).alias("slot")).where(F.col("slot") < F.col("n"))
     points = points.withColumn("point", F.pmod(F.col("slot") * F.lit(GOLDEN_32).cast("long"), F.lit(1 << 32)))
-    stretches = F.broadcast(targets.select("source_id", "low", "high", slots_needed(block).alias("needs")))
-    drawn = points.join(stretches, (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    bins = F.sequence(F.shiftright("low", BIN_BITS), F.shiftright(F.col("high") - 1, BIN_BITS))
+    stretches = targets.where("high > low").select("source_id", "low", "high", slots_needed(block).alias("needs"), F.explode(bins).alias("bin"))
+    drawn = points.withColumn("bin", F.shiftright("point", BIN_BITS)).join(stretches, "bin").where("point >= low and point < high").drop("bin")
     counts = drawn.groupBy("source_id", "chunk").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("source_id").orderBy("chunk")) - F.col("_n")).select("source_id", "chunk", "_before")
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("source_id", "chunk").orderBy("slot")) - 1)
@@ -75,7 +81,7 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int = BLOCK, chunk:
     return ranked.select("slot", "source_id", "rank").unionByName(tail)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source).
 
     Each source's documents are put in a shuffled order (by a hash of the id), end to end, and cut into blocks of
@@ -87,8 +93,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: fl
     taken 0; repeated rows each give a row; other columns are ignored; an empty table gives an empty result. The
     order depends on ids and sizes alone, so reruns agree.
     """
+    scratch = Scratch(spark, "mixing")
+    buckets = buckets or max(BUCKETS, docs.count() // BUCKET_ROWS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
     sums = docs.groupBy("source", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.sum("size").alias("size"))
+    sums = scratch.write(sums, "sums")
     by_source = source_targets(sums, weights, share, most)
     order = Window.orderBy(F.col("source").asc_nulls_last())
     span = float(1 << 32)
@@ -96,7 +105,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: fl
     high = F.when(everything > 0, F.round(F.sum("target").over(order) / everything * span)).otherwise(F.lit(0.0)).cast("long")
     targets = by_source.withColumn("source_id", F.row_number().over(order)).withColumn("high", high)
     targets = targets.withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0).cast("long")))
-    per_source = F.broadcast(targets.select("source", "source_id", "source_size", "target"))
+    # Written, so that the planner knows their size: they are broadcast where they are small.
+    targets = scratch.write(targets, "targets")
+    per_source = targets.select("source", "source_id", "source_size", "target")
     before = sums.withColumn("_before", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")).select("source", "bucket", "_before")
     placed = docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(buckets)).cast("int"))
     own = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "size")
@@ -104,7 +115,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: fl
     placed = placed.join(before, (placed["source"].eqNullSafe(before["source"])) & (placed["bucket"] == before["bucket"])).select("doc_id", placed["source"], placed["bucket"], "row", "size", (F.col("at") + F.col("_before")).alias("at"))
     placed = placed.join(per_source, placed["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
     # (source, block, words of it that are taken, times) of the schedule: repeats of a block are one row
-    slots = schedule(spark, targets, block).join(F.broadcast(targets.select("source_id", "source_size", F.floor("target").alias("_target"))), "source_id")
+    slots = schedule(spark, targets, block).join(targets.select("source_id", "source_size", F.floor("target").alias("_target")), "source_id")
     blocks = F.ceil(F.col("source_size") / block)
     # The source's words are a ring; block b of round r covers words r * source_size + b * block onwards.
     slots = slots.withColumn("block", F.pmod("rank", blocks)).withColumn("_round", F.floor(F.col("rank") / blocks))

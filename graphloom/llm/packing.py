@@ -13,8 +13,9 @@ from graphloom.llm.arrow import map_batches, texts, tuned
 from graphloom.llm.pretokens import packed, tokenizer_path, worker_pretokens
 from graphloom.session import Scratch
 
-#: Sub-ranks of a length, so that one very common length is ranked by many tasks.
-SALTS = 64
+#: A length is ranked in parts, so that one very common length is the work of many tasks: so many at least, of so many pieces at most on average.
+SALTS, PART = 64, 1_000_000
+SALT_BITS = 24
 
 
 def cut_pieces(total: int, size: int) -> list[tuple[int, int]]:
@@ -114,12 +115,14 @@ def pack(spark: SparkSession, pieces: DataFrame, size: int = 2048, scratch: Scra
 
     The histogram of lengths (at most ``size`` rows) goes to the driver, and the plan made of it, with at most a few
     thousand bins, back to the tasks. Each piece is ranked within its length; the ranks are taken by the plan's bins
-    in order. A length is ranked in SALTS parts, so a length that a third of all pieces have is not one task's work.
+    in order. A length is ranked in parts whose number grows with that of the pieces, so a length that a third of all pieces have is not one task's work.
     """
     scratch = scratch or Scratch(spark, "packing")
     key = [c for c in ("doc_id", "piece") if c in pieces.columns]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in key]), F.lit(SALTS)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in key]), F.lit(1 << SALT_BITS)).cast("int"))
     held = scratch.write(salted, "pieces")
+    salts = max(SALTS, min(1 << SALT_BITS, held.count() // PART))
+    held = held.withColumn("_salt", F.pmod("_salt", F.lit(salts)))
     counts = held.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     by_salt = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
