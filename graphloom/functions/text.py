@@ -62,13 +62,6 @@ def context_lines(text, before) -> Column:
     return F.filter(F.slice(F.split(col(text), "\n"), F.lit(1), F.greatest(col(before) - 1, F.lit(0))), lambda x: x.rlike(r"^\s*(import|from|using|namespace|package|require)\b"))
 
 
-def first_sentence(text, most: int = 200) -> Column:
-    """the text after ``Responsibility:`` or else the first sentence, cut."""
-    said = F.trim(F.regexp_extract(col(text), r"(?im)^\W*responsibility\W*:?\s*(.+)$", 1))
-    first = F.trim(F.regexp_extract(col(text), r"(?s)^\s*(.*?[.!?])(\s|$)", 1))
-    return F.substring(F.when(said != "", said).when(first != "", first).otherwise(F.trim(col(text))), 1, most)
-
-
 def report_fields(text) -> Column:
     """``key: value`` lines as a map with lower-case keys; the first of a key stays."""
     rows = F.filter(F.split(col(text), "\n"), lambda x: x.rlike(r"^\s*[A-Za-z][\w ]*:"))

@@ -21,15 +21,18 @@ def work_items(rows: DataFrame, stale_only: bool = False) -> DataFrame:
 
 
 def communities(nodes: DataFrame, most: int = 50) -> DataFrame:
-    """A-5, W6: community, size and the labels of its ``most`` nodes of the highest degree; ties by id."""
-    w = Window.partitionBy("community")
-    rows = nodes.where("community is not null").withColumn("size", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.coalesce("degree", F.lit(0)).desc(), "id")))
-    top = rows.where(F.col("_r") <= most).groupBy("community", "size")
-    return top.agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "label"))), lambda x: x["label"]).alias("members"))
-
-
-def grouped_edges(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """A-6: source, relation, number and first targets; the list stops at ``most``, the number doesn't."""
+    """A-5, W6: community, size and the labels of its ``most`` nodes of the highest degree; ties by id. Tasks keep their own first ``most`` before the shuffle."""
+    rows = nodes.where("community is not null")
+    w = Window.partitionBy("community").orderBy(F.coalesce("degree", F.lit(0)).desc(), "id")
+    top = rows.select("community", "label", "id", "degree").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    lists = top.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "label"))), lambda x: x["label"]).alias("members"))
+    return rows.groupBy("community").agg(F.count("*").alias("size")).join(lists, "community").select("community", "size", "members")
+
+
+def grouped_edges(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """A-6: source, relation, number and targets in order; a list of at most ``most`` only where a renderer asks for that, the number counts all."""
+    if most is None:
+        return edges.groupBy("source", "relation").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("target")).alias("targets"))
     w = Window.partitionBy("source", "relation")
     rows = edges.withColumn("n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("target"))).where(F.col("_r") <= most)
     return rows.groupBy("source", "relation", "n").agg(F.array_sort(F.collect_list("target")).alias("targets"))

@@ -55,9 +55,10 @@ def removed(existing: DataFrame, current: DataFrame, key: str) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """The last row of each key, with first_seq, the place where the key came first."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("first_seq", F.min(seq).over(w)).withColumn("_last", F.row_number().over(w.orderBy(F.desc(seq)))).where("_last = 1").drop("_last")
+    """The last row of each key, with first_seq, the place where the key came first; combined in the tasks before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    by = rows.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("_x"), F.min(seq).alias("first_seq"))
+    return by.select(*[F.col(key) if c == key else F.col(f"_x.{c}") for c in rows.columns], "first_seq")
 
 
 def primary_ids(rows: DataFrame, key: str, id_: str) -> DataFrame:
@@ -71,9 +72,20 @@ def halted(rows: DataFrame, key: str, seq: str, failed: Column) -> DataFrame:
     return rows.withColumn("outcome", F.when(F.coalesce(before, F.lit(0)) == 1, "halted").when(failed, "failed").otherwise("done"))
 
 
-def batches(rows: DataFrame, key: str, seq: str, size: int) -> DataFrame:
-    """Batch numbers of ``size`` rows within each key."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(seq)) - 1) / size))
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with _n, their number from 0 in an order of the whole table: sorted by ranges, written, and counted on from the ranges before."""
+    from graphloom.session import Scratch
+
+    held = Scratch(rows.sparkSession, "numbered").write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "rows")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))  # one row a range
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    return held.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("_n", place + F.col("_before")).drop("_id", "_part", "_before")
+
+
+def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Batch numbers of ``size`` rows each over the whole queue in its order."""
+    return numbered(rows, order).withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
 
 
 def merge(old: DataFrame, new: DataFrame, key: str, keep=(), version: str | None = None) -> DataFrame:
@@ -116,9 +128,9 @@ def move_project(rows: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def graph_merged(nodes: DataFrame, new_nodes: DataFrame, edges: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes by id, the new ones win; edges once."""
+    """Nodes by id, the new ones win, of several new ones always the same; edges once."""
     both = nodes.withColumn("_new", F.lit(0)).unionByName(new_nodes.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    kept = both.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_new")))).where("_r = 1").drop("_r", "_new")
+    kept = both.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_new"), F.xxhash64(*both.columns)))).where("_r = 1").drop("_r", "_new")
     return kept, edges.unionByName(new_edges).dropDuplicates(["source", "target", "relation"])
 
 

@@ -169,7 +169,9 @@ def ring_cycles(spark, d):
     return graph.components_by_cycle(spark, supplier_ring(spark, d))
 
 
-@FOUND("call_levels")
+@FOUND("call_levels", f"""WITH RECURSIVE {RING_SQL}, walk AS (SELECT source AS s0, target AS t0 FROM ring UNION SELECT s0, r.target FROM walk JOIN ring r ON r.source = walk.t0), loops AS (SELECT s0 FROM walk WHERE s0 = t0),
+lv AS (SELECT s0 AS node, 0 AS level FROM loops UNION ALL SELECT r.source, lv.level + 1 FROM ring r JOIN lv ON r.target = lv.node WHERE r.source NOT IN (SELECT s0 FROM loops))
+SELECT node, CASE WHEN node IN (SELECT s0 FROM loops) THEN (SELECT min(t0) FROM walk WHERE s0 = node) ELSE node END AS component, level FROM lv""")
 def call_levels(spark, d):
     return graph.call_levels(spark, supplier_ring(spark, d))
 

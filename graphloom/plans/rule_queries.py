@@ -135,7 +135,7 @@ def line_slices(spark, d):
 
 @FOUND("first_sentences")
 def first_sentences(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.first_sentence("text").alias("summary"))
+    return table(spark, d, "documents").select("doc_id", T.semantic_summary("text").alias("summary"))
 
 
 @FOUND("size_router", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 50 >= 0.6 THEN 'subagent' WHEN l_extendedprice >= 40000 THEN 'subagent' ELSE 'local' END AS route FROM lineitem")

@@ -72,9 +72,9 @@ def halt_after_failure(spark, d):
     return delta.halted(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "error").select("event_id", "outcome")
 
 
-@FOUND("checkpoint_batches", "SELECT event_id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 25) AS BIGINT) AS batch FROM events")
+@FOUND("checkpoint_batches", "SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 25 AS batch FROM events")
 def checkpoint_batches(spark, d):
-    return delta.batches(table(spark, d, "events"), "user_id", "event_id", 25).select("event_id", "batch")
+    return delta.batches(table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], 25).select("event_id", "batch")
 
 
 @FOUND("upsert_version", """WITH o AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal, 1 AS version FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE upper(c_name) END AS name, -1.0 AS bal FROM customer WHERE c_custkey % 2 = 0)
@@ -152,17 +152,26 @@ def hybrid_rrf(spark, d):
     return search.rrf([words, near], "id").withColumn("rrf", F.round("rrf", 9))
 
 
-@FOUND("explain_scores")
+@FOUND("explain_scores", f"""WITH base AS (SELECT coalesce(doc_id, vec_id) AS id, coalesce(text, '') AS text, embedding FROM documents FULL JOIN embeddings ON doc_id = vec_id), w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS t FROM base), c AS (SELECT id, len(t) AS len, len(list_filter(t, lambda x: x = 'the')) AS t0 FROM w),
+s AS (SELECT count(*) AS n, avg(len) AS avg, count(*) FILTER (t0 > 0) AS d0 FROM c), m AS (SELECT id, {IDF[0]} * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * len / avg)) AS score FROM c, s WHERE t0 > 0),
+k AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM m QUALIFY r <= 30), v AS (SELECT id, {COSINE} AS cosine, row_number() OVER (ORDER BY {COSINE} DESC, id) AS r FROM base WHERE embedding IS NOT NULL QUALIFY r <= 30),
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS rrf, pow(0.5, (26 + id % 50) / 30.0) AS decay FROM (SELECT id, r FROM k UNION ALL SELECT id, r FROM v) GROUP BY id)
+SELECT f.id, round(k.score, 6) AS keyword_score, round(v.cosine, 6) AS semantic_cosine, round(rrf, 9) AS rrf, round(decay, 9) AS decay_factor, round(rrf * decay * (1 + f.id % 3 / 10), 9) AS final_score FROM f LEFT JOIN k USING (id) LEFT JOIN v USING (id) ORDER BY rrf * decay * (1 + f.id % 3 / 10) DESC, f.id LIMIT 10""")
 def explain_scores(spark, d):
-    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    rows = docs.join(vectors, "doc_id").select(F.col("doc_id").alias("id"), "text", "embedding", F.lit("2024-01-20").cast("timestamp").alias("updated_at"), F.lit(1.0).alias("activation_score"))
-    return search.hybrid(rows, "the", VECTOR, as_of=AS_OF)
+    docs, vectors = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    rows = docs.join(vectors, "id", "full").select("id", F.coalesce("text", F.lit("")).alias("text"), "embedding", F.date_sub(F.lit("2024-01-20").cast("date"), (F.col("id") % 50).cast("int")).alias("updated_at"), (1 + F.col("id") % 3 / 10).alias("activation_score"))
+    found = search.hybrid(rows, "the", VECTOR, as_of=AS_OF)
+    return found.select("id", *[F.round(c, n).alias(c) for c, n in (("keyword_score", 6), ("semantic_cosine", 6), ("rrf", 9), ("decay_factor", 9), ("final_score", 9))])
 
 
-@FOUND("greedy_vector_match")
+@FOUND("greedy_vector_match", """WITH RECURSIVE l AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings WHERE vec_id % 2 = 0), r AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 1),
+p AS MATERIALIZED (SELECT l.k, l.vec_id AS a, r.vec_id AS b, list_cosine_similarity(l.v, r.v) AS c FROM l, r WHERE list_cosine_similarity(l.v, r.v) >= 0.3),
+g AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS a, NULL::BIGINT AS b, []::BIGINT[] AS used UNION ALL
+SELECT n.k, n.a, n.b, CASE WHEN n.b IS NULL THEN n.used ELSE list_append(n.used, n.b) END FROM (SELECT g.k + 1 AS k, any_value(p.a) AS a, arg_max(p.b, (p.c, -p.b)) AS b, any_value(g.used) AS used FROM g LEFT JOIN p ON p.k = g.k + 1 AND NOT list_contains(g.used, p.b) WHERE g.k < (SELECT max(k) FROM l) GROUP BY g.k) n)
+SELECT a, b FROM g WHERE b IS NOT NULL""")
 def greedy_vector_match(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return search.greedy_match(spark, rows.where("label = 0"), rows.where("label = 1"), 0.2)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search.greedy_match(spark, rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 0.3).select("a", "b")
 
 
 TOPICS = ["water river", "model data"]

@@ -170,3 +170,36 @@ def test_merge_and_swap(spark, tmp_path):
     delta.swap_write(spark, delta.merge(old, new, "id", version="version"), str(tmp_path / "t"))
     delta.swap_write(spark, spark.read.parquet(str(tmp_path / "t")).where(F.lit(True)), str(tmp_path / "t"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "a", 1), (2, "b", 2), (3, "c", 1)]
+
+
+def plain_summary(text):
+    """What F11 says, by a walk over the lines."""
+    import re
+
+    clean = (text or "").strip()
+    if not clean:
+        return None
+    lines = re.split(r"\r?\n", clean)
+    for i, line in enumerate(lines):
+        m = re.match(r"(?:[-*]\s+)?(?:\*{1,2}|_{1,2})?Responsibility(?::(?:\*{1,2}|_{1,2})?|(?:\*{1,2}|_{1,2})?:|:)\s*(.*)$", line.strip(), re.I)
+        if m:
+            parts = [m[1].strip()] if m[1].strip() else []
+            for following in lines[i + 1 :]:
+                x = following.strip()
+                if not x and not parts:
+                    continue
+                if not x or re.match(r"#{1,6}\s+|[-*]\s+", x) or parts and re.search(r"[.!?]$", parts[-1]):
+                    break
+                parts.append(x)
+            if parts:
+                return " ".join(parts)[:200]
+    m = re.match(r"(.+?[.!?])(?:\s|$)", clean)
+    return (m[1] if m else lines[0]).strip()[:200]
+
+
+def test_semantic_summaries_of_documents(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").where("text is not null").collect()]
+    texts += ["", "  \n ", "One. Two.", "no end\nsecond.", "**Responsibility**: a\nb.\nc", "x\n- Responsibility:\n\n does it\nall\n# h", "Responsibility: only this! And more."]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.semantic_summary("t").alias("s")).collect()
+    wrong = [(texts[r.k][:80], r.s, plain_summary(texts[r.k])) for r in rows if r.s != plain_summary(texts[r.k])]
+    assert not wrong, wrong[:3]
