@@ -88,3 +88,17 @@ def with_results(worklist: DataFrame, results: DataFrame) -> DataFrame:
     rows = worklist.join(r, "symbol_key", "left")
     tried = F.when(F.col("ok").isNotNull(), F.array_append(F.coalesce("attempts", F.array().cast("array<struct<mode:string,error:string>>")), F.col("_try"))).otherwise(F.col("attempts"))
     return rows.select("symbol_key", F.when(F.col("ok"), "enriched").when(~F.col("ok"), "error").otherwise(F.col("status")).alias("status"), tried.alias("attempts"))
+
+
+def named_communities(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Community, name and outcome: named where a name is given that is not empty, kept where the community has one already, else skipped."""
+    rows = found.join(names.select("community", F.trim("name").alias("_new")), "community", "left")
+    old = F.col("name").isNotNull() & (F.col("name") != "")
+    new = F.coalesce(F.col("_new") != "", F.lit(False))
+    return rows.select("community", F.when(old, F.col("name")).when(new, F.col("_new")).alias("name"), F.when(old, "kept").when(new, "named").otherwise("skipped").alias("outcome"))
+
+
+def session_snapshot(report: DataFrame, overviews: DataFrame, most: int = 5) -> DataFrame:
+    """Section, name and text: the numbers of a status report and the first ``most`` overview documents (kind, text), by kind."""
+    docs = overviews.orderBy("kind").limit(most).select(F.lit("overview").alias("section"), F.col("kind").alias("name"), "text")
+    return report.select("section", "name", F.col("n").cast("string").alias("text")).unionByName(docs)

@@ -113,3 +113,35 @@ def linked_memories(symbols: DataFrame, memories: DataFrame, limit: int = 10) ->
 def created_within(rows: DataFrame, minutes: int, as_of: str) -> DataFrame:
     """A-17: one row with the number of rows of the last minutes."""
     return rows.where(F.col("created_at") > F.lit(as_of).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))).agg(F.count("*").alias("n"))
+
+
+def forgotten(turns: DataFrame, sessions_: DataFrame, session: str = "session_id") -> DataFrame:
+    """The turns with those of ``sessions_`` forgotten: they stay but no view shows them."""
+    gone = sessions_.select(session).distinct().withColumn("_gone", F.lit(True))
+    old = F.coalesce("forgotten", F.lit(False)) if "forgotten" in turns.columns else F.lit(False)
+    return turns.join(gone, session, "left").withColumn("forgotten", old | F.coalesce("_gone", F.lit(False))).drop("_gone")
+
+
+def purged(turns: DataFrame, embeddings: DataFrame, session: str = "session_id", key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(turns, embeddings) without forgotten turns and without their embeddings."""
+    gone = turns.where("forgotten").select(key)
+    return turns.where("not coalesce(forgotten, false)"), embeddings.join(gone, key, "left_anti")
+
+
+def resolved_topics(asked: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Alias, slug and topic: an alias's topic by its slug, the last one given; without one the slug stands for itself."""
+    known = aliases.withColumn("slug", topic_slug("alias")).groupBy("slug").agg(F.max_by("topic", "seq").alias("topic"))
+    return asked.select("alias", topic_slug("alias").alias("slug")).join(known, "slug", "left").select("alias", "slug", F.coalesce("topic", "slug").alias("topic"))
+
+
+def suggested_topics(asked: DataFrame, topics: DataFrame, most: int = 3) -> DataFrame:
+    """For each slug up to ``most`` topics that share most of its words; ties by name."""
+    words = lambda c: F.explode(F.array_distinct(F.split(c, "-"))).alias("_w")
+    hits = asked.select("slug", words("slug")).join(topics.select("topic", words("topic")), "_w").where("_w <> ''").groupBy("slug", "topic").agg(F.count("*").alias("shared"))
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("shared"), "topic"))).where(F.col("rank") <= most)
+
+
+def maintained(rows: DataFrame, as_of: str, least: float = 0.05, dormant: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their new state, log of changed states, prune candidates) of one maintenance run; ``rows`` has the last run's state."""
+    after = decay_state(rows.drop("state"), as_of)
+    return after, transitions_log(rows, after), prune_candidates(rows, as_of, least, dormant)

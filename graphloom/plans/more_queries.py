@@ -575,3 +575,72 @@ def loaded_graph(spark, d):
     index = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("graph_node_id"), F.lit("index").alias("summary"), F.lit("k").alias("symbol_key"))
     none = spark.createDataFrame([], "source string, target string, relation string")
     return ledger.loaded_graph(nodes, none, index)[0].select("id", "last", "source_file", "summary")
+
+
+@FOUND("structure_facts", "WITH f AS (SELECT (['src/', 'tests/', '', 'lib/x/'])[p_partkey % 4 + 1] || 'f' || p_partkey || (['.ts', '.py', '', '.test.js'])[p_partkey // 4 % 4 + 1] AS path FROM part) SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS folder, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+\\.([^.]+)$', 1)) AS extension, count(*) AS files, count(*) FILTER (regexp_matches(path, '(^|/)tests?/|\\.(test|spec)\\.[^/.]+$')) AS tests FROM f GROUP BY 1, 2")
+def structure_facts(spark, d):
+    p = F.col("p_partkey")
+    path = F.concat(pick(("src/", "tests/", "", "lib/x/"), p), F.lit("f"), p.cast("string"), pick((".ts", ".py", "", ".test.js"), F.floor(p / 4).cast("long")))
+    return files.structure_facts(table(spark, d, "part").select(path.alias("path")))
+
+
+@FOUND("stack_facts", "SELECT 'p' || n_nationkey AS path, d AS dependency, v AS version, d = 'dev' AS dev FROM (SELECT n_nationkey, 'dep' || n_regionkey AS d, '^' || n_nationkey AS v FROM nation UNION ALL SELECT n_nationkey, 'dev', '1' FROM nation WHERE n_nationkey % 2 = 0)")
+def stack_facts(spark, d):
+    n = F.col("n_nationkey")
+    content = F.concat(F.lit('{"name":"x","dependencies":{"dep'), text_of("n_regionkey"), F.lit('":"^'), text_of("n_nationkey"), F.lit('"}'), F.when(n % 2 == 0, ',"devDependencies":{"dev":"1"}').otherwise(""), F.lit("}"))
+    return files.stack_facts(table(spark, d, "nation").select(F.concat(F.lit("p"), text_of("n_nationkey")).alias("path"), content.alias("content")))
+
+
+@FOUND("forgotten_sessions", "SELECT conv_id AS session_id, count(*) AS left_turns, (SELECT count(*) FROM conversations c2 WHERE c2.conv_id = c.conv_id AND c2.turn % 2 = 0) AS left_vectors FROM conversations c WHERE conv_id % 3 <> 0 GROUP BY conv_id")
+def forgotten_sessions(spark, d):
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.concat_ws("/", "conv_id", "turn").alias("id"), "turn")
+    rows = memory.forgotten(turns, turns.where("session_id % 3 = 0"))
+    left, vectors = memory.purged(rows, turns.where("turn % 2 = 0").select("session_id", "id"))
+    n = vectors.groupBy("session_id").agg(F.count("*").alias("left_vectors"))
+    return left.groupBy("session_id").agg(F.count("*").alias("left_turns")).join(n, "session_id", "left").withColumn("left_vectors", F.coalesce("left_vectors", F.lit(0)))
+
+
+@FOUND("topic_aliases", "WITH a AS (SELECT replace(replace(lower(n_name), ' ', '-'), '_', '-') AS slug, max_by('t' || n_regionkey, n_nationkey) AS topic FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1) SELECT n_name AS alias, replace(replace(lower(n_name), ' ', '-'), '_', '-') AS slug, coalesce(topic, replace(replace(lower(n_name), ' ', '-'), '_', '-')) AS topic FROM nation LEFT JOIN a ON slug = replace(replace(lower(n_name), ' ', '-'), '_', '-')")
+def topic_aliases(spark, d):
+    n = table(spark, d, "nation")
+    given = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("alias"), F.concat(F.lit("t"), text_of("n_regionkey")).alias("topic"), F.col("n_nationkey").alias("seq"))
+    return memory.resolved_topics(n.select(F.col("n_name").alias("alias")), given)
+
+
+@FOUND("topic_suggestions", """WITH s AS (SELECT DISTINCT replace(lower(p_brand || ' ' || p_type), ' ', '-') AS slug FROM part), w AS (SELECT DISTINCT slug, unnest(string_split(slug, '-')) AS w FROM s), t AS (SELECT DISTINCT topic, unnest(string_split(topic, '-')) AS w FROM (SELECT DISTINCT replace(lower(p_name), ' ', '-') || '-' || replace(lower(p_type), ' ', '-') AS topic FROM part)),
+h AS (SELECT slug, topic, count(*) AS shared FROM w JOIN t USING (w) WHERE w <> '' GROUP BY 1, 2) SELECT slug, topic, shared, row_number() OVER (PARTITION BY slug ORDER BY shared DESC, topic) AS rank FROM h QUALIFY rank <= 3""")
+def topic_suggestions(spark, d):
+    slug = lambda *c: F.lower(F.replace(F.concat_ws("-", *c), F.lit(" "), F.lit("-")))
+    p = table(spark, d, "part")
+    return memory.suggested_topics(p.select(slug("p_brand", "p_type").alias("slug")).distinct(), p.select(slug("p_name", "p_type").alias("topic")).distinct())
+
+
+@FOUND("maintenance_run", "WITH u AS (SELECT user_id AS id, date_diff('day', CAST(max(ts) AS DATE) - CAST(user_id AS INT) * 3, DATE '2024-02-15') AS days FROM events GROUP BY user_id), s AS (SELECT *, CASE WHEN days >= 455 THEN 'purge_candidate' WHEN days >= 365 THEN 'gist_only' WHEN days >= 180 THEN 'shadow' WHEN days >= 90 THEN 'dimmed' WHEN days >= 30 THEN 'cooling' ELSE 'active' END AS state FROM u) SELECT 'changed' AS what, count(*) AS n FROM s WHERE state <> CASE WHEN id % 2 = 0 THEN 'active' ELSE 'dimmed' END UNION ALL SELECT 'pruned', count(*) FROM s WHERE pow(0.5, greatest(days, 0) / 30.0) < 0.05 AND days > 90")
+def maintenance_run(spark, d):
+    used = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("used")).select("id", F.date_sub(F.col("used").cast("date"), (F.col("id") * 3).cast("int")).alias("last_used"))
+    rows = used.select("id", "last_used", F.col("last_used").alias("updated_at"), F.lit(False).alias("evergreen"), F.array(F.lit("x")).alias("tags"), F.lit("learning").alias("category"), F.lit(1.0).alias("activation_score"), F.when(F.col("id") % 2 == 0, "active").otherwise("dimmed").alias("state"))
+    _, changed, pruned = memory.maintained(rows, "2024-02-15 00:00:00")
+    n = lambda name, df: df.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+    return n("changed", changed).unionByName(n("pruned", pruned))
+
+
+@FOUND("named_communities", "SELECT n_nationkey AS community, CASE WHEN n_nationkey % 3 = 0 THEN 'old' WHEN n_nationkey % 3 = 1 AND n_nationkey % 4 <> 0 THEN n_name END AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'kept' WHEN n_nationkey % 3 = 1 AND n_nationkey % 4 <> 0 THEN 'named' ELSE 'skipped' END AS outcome FROM nation")
+def named_communities(spark, d):
+    k = F.col("n_nationkey")
+    n = table(spark, d, "nation")
+    return cards.named_communities(n.select(k.alias("community"), F.when(k % 3 == 0, "old").alias("name")), n.where(k % 3 < 2).select(k.alias("community"), F.when(k % 4 != 0, F.col("n_name")).otherwise(" ").alias("name")))
+
+
+@FOUND("session_snapshot", "SELECT 'worklist' AS section, o_orderstatus AS name, CAST(count(*) AS VARCHAR) AS text FROM orders GROUP BY 2 UNION ALL (SELECT 'overview', r_name, 'about ' || r_regionkey FROM region ORDER BY r_name LIMIT 3)")
+def session_snapshot(spark, d):
+    report = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("name")).agg(F.count("*").alias("n")).select(F.lit("worklist").alias("section"), "name", "n")
+    docs = table(spark, d, "region").select(F.col("r_name").alias("kind"), F.concat(F.lit("about "), text_of("r_regionkey")).alias("text"))
+    return cards.session_snapshot(report, docs, 3)
+
+
+@FOUND("search_everywhere", """WITH h AS (SELECT 'docs' AS source, CAST(doc_id AS VARCHAR) AS id, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'data') AS INT) AS score, doc_id AS o FROM documents UNION ALL SELECT 'bench', CAST(item_id AS VARCHAR), CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'data') AS INT), item_id FROM benchmark),
+t AS (SELECT * FROM h WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, o) <= 12), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS turn FROM t)
+SELECT source, id, score, turn FROM r ORDER BY turn, score DESC, source, id LIMIT 12""")
+def search_everywhere(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.search_everywhere({"docs": docs, "bench": table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")}, "the data", 12)
