@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.keys import canonical_key, key_part, key_tag, normal_path
+
 
 def file_delta(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Path and change (added, removed, modified, unchanged) of two snapshots (path, hash)."""
@@ -134,12 +136,50 @@ def graph_merged(nodes: DataFrame, new_nodes: DataFrame, edges: DataFrame, new_e
     return kept, edges.unionByName(new_edges).dropDuplicates(["source", "target", "relation"])
 
 
-def backfill_plan(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Action and reason for each (id, tag, path, name): set a key only where one node fits and the tag is no other row's."""
-    hits = nodes.groupBy("path", "name").agg(F.count("*").alias("_n"), F.min("symbol_key").alias("_key"))
-    marked = rows.withColumn("_same", F.count("*").over(Window.partitionBy("tag"))).withColumn("_seen", F.count("*").over(Window.partitionBy("id"))).join(hits, ["path", "name"], "left")
-    reason = F.when(F.col("_seen") > 1, "id-seen-twice").when(F.col("_same") > 1, "tag-collision").when(F.col("_n").isNull(), "no-node").when(F.col("_n") > 1, "ambiguous-node")
-    return marked.select("id", F.when(reason.isNull(), F.col("_key")).alias("symbol_key"), F.when(reason.isNull(), "set").otherwise("skip").alias("action"), reason.alias("reason"))
+# Rows of a lookup from which it counts as cut off, and folders whose symbols are not linked.
+LOOKUP_ROWS, UNLINKED_DIRS = 100, (".planning", ".worktrees")
+
+
+def backfill_plan(keys: DataFrame, memories: DataFrame, project_tag: str) -> tuple[DataFrame, DataFrame]:
+    """(mappings as id, symbol_key; skips as symbol_key, reason, id) of symbol keys to the memories (id, tags, symbol_key) that carry their tag.
+
+    A key is skipped whole where another has its tag, where it is not canonical, its path is unsafe or ignored, or its lookup is cut off. A row is
+    skipped without an id, with other key tags or another project, with another key, or where it is linked; an id that was met twice
+    maps nothing.
+    """
+    steps = F.split(normal_path(key_part("symbol_key", 2)), "/")
+    walk = F.aggregate(
+        F.filter(steps, lambda x: ~x.isin("", ".")),
+        F.struct(F.array().cast("array<string>").alias("path"), F.lit(True).alias("ok")),
+        lambda acc, x: F.struct(
+            F.when(x != "..", F.array_append(acc["path"], x)).otherwise(F.slice(acc["path"], F.lit(1), F.greatest(F.size(acc["path"]) - 1, F.lit(0)))).alias("path"),
+            (acc["ok"] & ((x != "..") | (F.size(acc["path"]) > 0))).alias("ok"),
+        ),
+    )
+    rows = keys.select("symbol_key").distinct().withColumn("tag", key_tag("symbol_key")).withColumn("_w", walk)
+    rows = rows.join(rows.groupBy("tag").agg(F.count("*").alias("_same")), "tag")
+    unsafe = normal_path(key_part("symbol_key", 2)).rlike("^/|^[A-Za-z]:") | ~F.col("_w.ok") | (F.size("_w.path") == 0)
+    first = F.when(F.col("_same") > 1, "key-tag-collision").when(~canonical_key("symbol_key"), "invalid-symbol-key").when(unsafe, "unsafe-path").when(F.exists("_w.path", lambda x: x.isin(*UNLINKED_DIRS)), "ignored-path")
+    rows = rows.select("symbol_key", "tag", first.alias("reason"))
+    met = memories.select(F.col("id"), "tags", F.col("symbol_key").alias("_key"), F.explode(F.array_distinct(F.filter("tags", lambda x: x.startswith("key:symbol:")))).alias("tag"))
+    asked = rows.where("reason is null").select("symbol_key", "tag").join(met, "tag")
+    many = asked.groupBy("symbol_key").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= LOOKUP_ROWS)
+    asked = asked.join(many.select("symbol_key"), "symbol_key", "left_anti")
+    there = (F.col("id") != "") & F.col("id").isNotNull()
+    projects = F.filter("tags", lambda x: x.startswith("project:"))
+    why = (
+        F.when(~F.coalesce(there, F.lit(False)), "invalid-memory-id")
+        .when(F.size(F.filter("tags", lambda x: x.startswith("key:symbol:"))) != 1, "missing-exact-key-tag")
+        .when((F.size(projects) != 1) | (F.try_element_at(projects, F.lit(1)) != project_tag), "project-tag-mismatch")
+        .when(F.col("_key").isNotNull() & (F.col("_key") != F.col("symbol_key")), "conflicting-symbol-key")
+        .when(F.col("_key") == F.col("symbol_key"), "already-linked")
+    )
+    judged = asked.select("symbol_key", F.when(there, F.col("id")).alias("id"), why.alias("reason"))
+    twice = judged.where("id is not null").groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")
+    none = F.lit(None).cast("string")
+    skips = rows.where("reason is not null").select("symbol_key", "reason", none.alias("id")).unionByName(many.select("symbol_key", F.lit("lookup-truncated").alias("reason"), none.alias("id")))
+    skips = skips.unionByName(judged.where("reason is not null").select("symbol_key", "reason", "id")).unionByName(judged.join(twice, "id", "left_semi").select("symbol_key", F.lit("duplicate-memory-id").alias("reason"), "id").distinct())
+    return judged.where("reason is null").join(twice, "id", "left_anti").select("id", "symbol_key"), skips
 
 
 def swap_write(spark: SparkSession, df: DataFrame, path: str) -> None:

@@ -402,13 +402,34 @@ def backfilled_nodes(spark, d):
     return ledger.backfilled(nodes, one.select("path", "name", F.concat(F.lit("s"), "s").alias("summary"), F.concat(F.lit("r"), "s").alias("symbol_key"))).select("id", "summary", "symbol_key")
 
 
-@FOUND("backfill_plan", """WITH r AS (SELECT s_suppkey AS id, 't' || CASE WHEN s_suppkey % 8 = 0 THEN 0 ELSE s_suppkey END AS tag, s_nationkey AS path, s_suppkey % 20 AS name FROM supplier), m AS (SELECT *, count(*) OVER (PARTITION BY tag) AS same FROM r), h AS (SELECT c_nationkey AS path, c_custkey % 20 AS name, count(*) AS n, min('k' || c_custkey) AS k FROM customer GROUP BY 1, 2)
-SELECT id, CASE WHEN same = 1 AND n = 1 THEN k END AS symbol_key, CASE WHEN same = 1 AND n = 1 THEN 'set' ELSE 'skip' END AS action, CASE WHEN same > 1 THEN 'tag-collision' WHEN n IS NULL THEN 'no-node' WHEN n > 1 THEN 'ambiguous-node' END AS reason FROM m LEFT JOIN h USING (path, name)""")
-def backfill_plan(spark, d):
-    s = F.col("s_suppkey")
-    rows = table(spark, d, "supplier").select(s.alias("id"), F.concat(F.lit("t"), F.when(s % 8 == 0, 0).otherwise(s).cast("string")).alias("tag"), F.col("s_nationkey").alias("path"), (s % 20).alias("name"))
-    nodes = table(spark, d, "customer").select(F.col("c_nationkey").alias("path"), (F.col("c_custkey") % 20).alias("name"), F.concat(F.lit("k"), text_of("c_custkey")).alias("symbol_key"))
-    return delta.backfill_plan(rows, nodes)
+BACKFILL = """WITH k AS (SELECT c_custkey AS c, CASE c_custkey % 10 WHEN 0 THEN 'ts|src/a.ts|function|exported|f' || CASE WHEN c_custkey % 20 = 0 THEN '.' ELSE '/' END || c_custkey // 20 || '|0' WHEN 1 THEN 'bad|' || c_custkey WHEN 2 THEN 'ts|../x.ts|function|exported|f' || c_custkey || '|0' WHEN 3 THEN 'ts|src/.planning/x.ts|function|exported|f' || c_custkey || '|0' ELSE 'ts|src/a.ts|function|exported|g' || c_custkey || '|0' END AS symbol_key FROM customer),
+t AS (SELECT *, 'key:symbol:' || regexp_replace(symbol_key, '[^a-zA-Z0-9_-]+', '_', 'g') AS tag, count(*) OVER (PARTITION BY regexp_replace(symbol_key, '[^a-zA-Z0-9_-]+', '_', 'g')) AS same FROM k),
+m AS (SELECT symbol_key, c, CASE WHEN same > 1 THEN 'key-tag-collision' WHEN c % 10 = 1 THEN 'invalid-symbol-key' WHEN c % 10 = 2 THEN 'unsafe-path' WHEN c % 10 = 3 THEN 'ignored-path' END AS reason FROM t),
+j AS (SELECT symbol_key, CASE WHEN c % 7 = 0 THEN NULL WHEN c % 10 = 9 THEN 'twice' || c // 20 ELSE 'm' || c END AS id, CASE WHEN c % 7 = 0 THEN 'invalid-memory-id' WHEN c % 7 = 1 THEN 'missing-exact-key-tag' WHEN c % 7 = 2 THEN 'project-tag-mismatch' WHEN c % 7 = 3 THEN 'conflicting-symbol-key' WHEN c % 7 = 4 THEN 'already-linked' END AS why FROM m WHERE reason IS NULL),
+d AS (SELECT id FROM j WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)
+"""
+
+
+def backfill(spark, d):
+    c = F.col("c_custkey")
+    said = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    twenty = F.floor(c / 20)
+    key = F.when(c % 10 == 0, said("ts|src/a.ts|function|exported|f", F.when(c % 20 == 0, ".").otherwise("/"), twenty, "|0")).when(c % 10 == 1, said("bad|", c)).when(c % 10 == 2, said("ts|../x.ts|function|exported|f", c, "|0")).when(c % 10 == 3, said("ts|src/.planning/x.ts|function|exported|f", c, "|0")).otherwise(said("ts|src/a.ts|function|exported|g", c, "|0"))
+    rows = table(spark, d, "customer").select(c, key.alias("symbol_key"))
+    tags = F.array_compact(F.array(K.key_tag("symbol_key"), F.when(c % 7 == 1, "key:symbol:other"), F.when(c % 7 == 2, "project:b").otherwise("project:a"), F.lit("x")))
+    linked = F.when(c % 7 == 3, "another").when(c % 7 == 4, F.col("symbol_key"))
+    id_ = F.when(c % 7 == 0, "").when(c % 10 == 9, said("twice", twenty)).otherwise(said("m", c))
+    return delta.backfill_plan(rows, rows.select(id_.alias("id"), tags.alias("tags"), linked.alias("symbol_key")), "project:a")
+
+
+@FOUND("backfill_mappings", BACKFILL + "SELECT id, symbol_key FROM j WHERE why IS NULL AND id NOT IN (SELECT id FROM d)")
+def backfill_mappings(spark, d):
+    return backfill(spark, d)[0]
+
+
+@FOUND("backfill_skips", BACKFILL + "SELECT symbol_key, reason, CAST(NULL AS VARCHAR) AS id FROM m WHERE reason IS NOT NULL UNION ALL SELECT symbol_key, why, id FROM j WHERE why IS NOT NULL UNION ALL SELECT symbol_key, 'duplicate-memory-id', id FROM j WHERE id IN (SELECT id FROM d)")
+def backfill_skips(spark, d):
+    return backfill(spark, d)[1]
 
 
 @FOUND("graph_delta_merge", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS label FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0")
