@@ -19,11 +19,11 @@ SLOTS = 4096
 SAMPLE, CLUSTERS = 400, 4
 #: Languages that a model may have: it is held by the driver and broadcast, 64 kB a language. More are an error.
 LANGUAGES = 2048
-#: A text is rejected when its cosine to the nearest centroid is below this share of the least one that the
-#: fitted documents of that centroid have.
-REACH = 0.5
-#: A text with fewer distinct grams than this can't come as near; the limit falls with the root of their number.
-FULL_GRAMS = 256
+#: A text is rejected when its cosine to the nearest centroid is below this share of what all but the LEAST share of the centroid's
+#: fitted documents have; one odd document doesn't set the limit.
+REACH, LEAST = 0.8, 0.01
+#: A text with fewer distinct grams than FULL_GRAMS can't come as near; the limit falls with the root of their number, and by TINY_SHARE for very few.
+FULL_GRAMS, TINY_GRAMS, TINY_SHARE = 256, 64, 0.6
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -96,8 +96,14 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def nearness(counts: np.ndarray) -> float:
+    """How near a text with such gram counts comes to a centroid of its language, compared with a long one."""
+    n = int((counts > 0).sum())
+    return min(1.0, n / FULL_GRAMS) ** 0.5 * (TINY_SHARE if n < TINY_GRAMS else 1.0)
+
+
 class LanguageModel:
-    """Centroids of each language, with the least cosine that the fitted documents of each centroid have to it."""
+    """Centroids of each language, with the cosine, made comparable by ``nearness``, that nearly all fitted documents of each centroid have to it."""
 
     def __init__(self, langs: list[str], centroids: np.ndarray, reach: np.ndarray, idf: np.ndarray):
         self.langs, self.centroids, self.reach, self.idf = langs, centroids, reach, idf
@@ -120,8 +126,7 @@ class LanguageModel:
             cosine = min(1.0, max(0.0, float(cosines[k, at])))
             langs.append(self.langs[at])
             scores.append(cosine)
-            short = min(1.0, float((c > 0).sum()) / FULL_GRAMS) ** 0.5
-            rejected.append(bool(cosine < self.reach[at] * REACH * short))
+            rejected.append(bool(cosine < self.reach[at] * REACH * nearness(c)))
             k += 1
         return langs, scores, rejected
 
@@ -155,7 +160,8 @@ def fit(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE, clusters
         c = clustered(x, clusters)
         cosines = x @ c.T
         own = cosines.argmax(axis=1)
-        reach = [float(cosines[own == j, j].min()) if (own == j).any() else 1.0 for j in range(len(c))]
+        near = np.array([nearness(x) for x in counted])
+        reach = [float(np.quantile(cosines[own == j, j] / near[own == j], LEAST)) if (own == j).any() else 1.0 for j in range(len(c))]
         return pd.DataFrame({"lang": [key[0]] * len(c), "centroid": [v.astype(float).tolist() for v in c], "reach": reach})
 
     rows = picked.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<double>, reach double").collect()

@@ -370,6 +370,10 @@ def test_languages_of_numbers_and_of_one_language_left_out(spark, docs):
         cosines = [sum(float(x) * float(c[s]) for s, x in grams.items()) / norm for c in model.centroids]
         lang, score, _ = (x[0] for x in model.predict([r.text]))
         assert abs(max(cosines) - score) < 1e-4 and cosines[model.langs.index(lang)] <= max(cosines) + 1e-9
+    long = [(r.doc_id, r.text, r.lang) for r in docs.where("text is not null and lang is not null and length(text) > 200").collect()]
+    one = language_id.fit(spark, docs.where("lang = 'de'"))
+    german, other = ([t for _, t, lang in long if (lang == "de") == own] for own in (True, False))
+    assert sum(one.predict(german)[2]) <= 0.05 * len(german) and sum(one.predict(other)[2]) >= 0.9 * len(other)
     many = spark.range(language_id.LANGUAGES + 1).selectExpr("id as doc_id", "'some text' as text", "cast(id as string) as lang")
     with pytest.raises(ValueError):
         language_id.fit(spark, many)
