@@ -182,13 +182,15 @@ def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, damping: f
         return ids.withColumn("rank", F.lit(0.0)), 0, True
     base = ids.join(degree.withColumnRenamed("source", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("moved"))
     ranks, converged, rounds = scratch.write(base, "r0"), False, 0
+    state = lambda df: df.agg(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.max("moved")).first()
+    loose = state(ranks)[0] or 0.0
     while rounds < most and not converged:
-        loose = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
         sent = links.join(ranks.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         value = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))
         rounds += 1
         ranks = scratch.write(ranks.join(sent, "id", "left").select("id", "dangling", value.alias("rank"), F.abs(value - F.col("rank")).alias("moved")), f"r{rounds}")
-        converged = (ranks.agg(F.max("moved")).first()[0] or 0.0) <= tolerance
+        loose, moved = (x or 0.0 for x in state(ranks))
+        converged = moved <= tolerance
         scratch.drop(f"r{rounds - 1}")
     return ranks.select("id", "rank"), rounds, converged
 

@@ -9,9 +9,9 @@ from graphloom.plans.registering import Registry
 from graphloom.sources.adapters import CODE_SQL, c_key_sql, code_graph, p_key_sql, s_key_sql
 
 FOUND = Registry()
-CALLER, CLASS, FILE = "f3", "S10", "src/s3.ts"
+CALLER, CLASS, FILE = "f3", "S6", "src/s3.ts"
 CALLER_KEY = "ts|tests/c3.test.ts|function|local|f3|0"
-CLASS_KEY = "ts|src/s10.ts|class|exported|S10|0"
+CLASS_KEY = "ts|src/s6.ts|class|exported|S6|0"
 
 
 PREPARED: dict = {}
@@ -34,7 +34,7 @@ def canonical_symbols(spark, d):
     return known(spark, d).symbols.select("symbol_key", "node_id", "path", "kind", "scope", "name", "container")
 
 
-TARGETS = ("f2", "f97", "constructor", "src/c5.ts", "src/c5.ts#f45", "nothing at all", "src/nofile.ts", "file|src/empty.ts", CLASS, CLASS_KEY, "sup10", "tests\\c3.test.ts", "S10.m60", "m60")
+TARGETS = ("f2", "f97", "constructor", "src/c5.ts", "src/c5.ts#f45", "nothing at all", "src/nofile.ts", "file|src/empty.ts", CLASS, CLASS_KEY, "sup6", "tests\\c3.test.ts", "S6.m56", "m56")
 
 
 def targets_sql():
@@ -42,7 +42,7 @@ def targets_sql():
     fits = "(SELECT {what} FROM symbols WHERE name = '{n}' OR ends_with(name, '.{n}'))"
     rows = []
     for t in TARGETS:
-        if t in (CLASS_KEY, "sup10"):
+        if t in (CLASS_KEY, "sup6"):
             rows.append(f"SELECT '{t}' AS target, 'resolved' AS status, 'symbol' AS mode, '{CLASS_KEY}' AS found, 0 AS candidates")
         elif t == "src/c5.ts#f45":
             rows.append(f"SELECT '{t}', 'resolved', 'symbol', 'ts|src/c5.ts|function|local|f45|0', 0")
@@ -97,25 +97,25 @@ def relations_file_out_depth2(spark, d):
     return kg.relations(spark, known(spark, d), "src/c9.ts", "out", ("imports",), 2).select("source", "target")
 
 
-@code("symbol_context", """, e AS (SELECT * FROM walk WHERE source = 'sup10'), n AS (SELECT DISTINCT target AS node_id FROM e)
+@code("symbol_context", """, e AS (SELECT * FROM walk WHERE source = 'sup6'), n AS (SELECT DISTINCT target AS node_id FROM e)
 SELECT n.node_id, s.symbol_key FROM n LEFT JOIN symbols s USING (node_id) WHERE n.node_id IN (SELECT 'part' || p_partkey FROM part)""")
 def symbol_context(spark, d):
     return kg.symbol_context(spark, known(spark, d), CLASS_KEY)
 
 
-@code("impact_scope_native", """, h1 AS (SELECT DISTINCT source AS node_id FROM walk WHERE target IN ('part60', 'part110')), h2 AS (SELECT DISTINCT source AS node_id FROM walk WHERE target IN (SELECT node_id FROM h1))
-SELECT node_id, min(hop) AS hop FROM (SELECT node_id, 1 AS hop FROM h1 UNION ALL SELECT node_id, 2 FROM h2) WHERE node_id NOT IN ('part60', 'part110') GROUP BY node_id
+@code("impact_scope_native", """, h1 AS (SELECT DISTINCT source AS node_id FROM walk WHERE target IN ('part56', 'part106')), h2 AS (SELECT DISTINCT source AS node_id FROM walk WHERE target IN (SELECT node_id FROM h1))
+SELECT node_id, min(hop) AS hop FROM (SELECT node_id, 1 AS hop FROM h1 UNION ALL SELECT node_id, 2 FROM h2) WHERE node_id NOT IN ('part56', 'part106') GROUP BY node_id
 HAVING regexp_matches(node_id, '^(part|cust)') OR node_id IN (SELECT 'sup' || s_suppkey FROM supplier)""")
 def impact_scope_native(spark, d):
-    keys = ["ts|src/s10.ts|method|member|S10.m60|0", "ts|src/s10.ts|method|member|S10.m110|0"]
+    keys = ["ts|src/s6.ts|method|member|S6.m56|0", "ts|src/s6.ts|method|member|S6.m106|0"]
     return kg.impact_scope(spark, known(spark, d), keys, "extended")
 
 
 @code("symbol_facts", f""", f AS (SELECT '{CALLER_KEY}' AS id, 'callees' AS fact, target AS item FROM native WHERE source = '{CALLER_KEY}' AND NOT contains(target, '.constructor|')
 UNION ALL SELECT '{CALLER_KEY}', 'imports', symbol_key FROM bindings WHERE path = 'tests/c3.test.ts'
 UNION ALL SELECT '{CALLER_KEY}', 'imported_by', s.symbol_key FROM imports i JOIN symbols s ON s.path = i.source WHERE i.target = 'tests/c3.test.ts' AND s.scope = 'exported' AND s.node_kind = 'symbol'
-UNION ALL SELECT '{CLASS_KEY}', 'imports', symbol_key FROM bindings WHERE path = 'src/s10.ts'
-UNION ALL SELECT '{CLASS_KEY}', u.fact, s.symbol_key FROM imports i JOIN symbols s ON s.path = i.source, (SELECT unnest(['imported_by', 'tests']) AS fact) u WHERE i.target = 'src/s10.ts' AND s.scope = 'exported' AND s.node_kind = 'symbol' AND (u.fact = 'imported_by' OR s.path LIKE 'tests/%')
+UNION ALL SELECT '{CLASS_KEY}', 'imports', symbol_key FROM bindings WHERE path = 'src/s6.ts'
+UNION ALL SELECT '{CLASS_KEY}', u.fact, s.symbol_key FROM imports i JOIN symbols s ON s.path = i.source, (SELECT unnest(['imported_by', 'tests']) AS fact) u WHERE i.target = 'src/s6.ts' AND s.scope = 'exported' AND s.node_kind = 'symbol' AND (u.fact = 'imported_by' OR s.path LIKE 'tests/%')
 UNION ALL SELECT 'file|{FILE}', 'imports', target FROM imports WHERE source = '{FILE}'
 UNION ALL SELECT 'file|{FILE}', u.fact, source FROM imports, (SELECT unnest(['imported_by', 'tests']) AS fact) u WHERE target = '{FILE}' AND (u.fact = 'imported_by' OR source LIKE 'tests/%'))
 SELECT * FROM f""")
@@ -174,7 +174,7 @@ def entrypoints_container(spark, d):
     return kg.entrypoints(spark, known(spark, d), CLASS).select("id", "role", "layer", "entry")
 
 
-IMPACT = CLOSED.format(pairs="SELECT source, target FROM keyed WHERE relation = 'calls' UNION SELECT 'file|' || source, 'file|' || target FROM imports UNION SELECT s.symbol_key, b.symbol_key FROM bindings b JOIN symbols s ON s.path = b.path AND s.scope = 'exported'") + """, tests AS (SELECT s.symbol_key AS id FROM imports i JOIN symbols s ON s.path = i.source WHERE i.target = 'src/s10.ts' AND s.scope = 'exported' AND s.node_kind = 'symbol' AND s.path LIKE 'tests/%'),
+IMPACT = CLOSED.format(pairs="SELECT source, target FROM keyed WHERE relation = 'calls' UNION SELECT 'file|' || source, 'file|' || target FROM imports UNION SELECT s.symbol_key, b.symbol_key FROM bindings b JOIN symbols s ON s.path = b.path AND s.scope = 'exported'") + """, tests AS (SELECT s.symbol_key AS id FROM imports i JOIN symbols s ON s.path = i.source WHERE i.target = 'src/s6.ts' AND s.scope = 'exported' AND s.node_kind = 'symbol' AND s.path LIKE 'tests/%'),
 found AS (SELECT id FROM up WHERE id NOT IN (SELECT id FROM seeds) UNION SELECT id FROM tests)
 """
 

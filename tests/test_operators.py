@@ -203,3 +203,51 @@ def test_semantic_summaries_of_documents(spark, sf_dir):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.semantic_summary("t").alias("s")).collect()
     wrong = [(texts[r.k][:80], r.s, plain_summary(texts[r.k])) for r in rows if r.s != plain_summary(texts[r.k])]
     assert not wrong, wrong[:3]
+
+
+def small_known(spark):
+    """A class with two members, a caller in each of three files (one of tests), a cycle, an import chain and a binding."""
+    from graphloom.operators import known_graph as kg
+
+    keys = {
+        "S": "ts|src/s.ts|class|exported|S|0", "Sa": "ts|src/s.ts|method|member|S.a|0", "Sb": "ts|src/s.ts|method|member|S.b|0", "f": "ts|src/f.ts|function|exported|f|0",
+        "g": "ts|src/g.ts|function|local|g|0", "t": "ts|tests/t.test.ts|function|exported|t|0", "m": "ts|bin/m.ts|function|exported|m|0",
+    }
+    rows = [(k, k, v.split("|")[2], "member" if "|member|" in v else "symbol", v.split("|")[1], v, None) for k, v in keys.items()]
+    n = spark.createDataFrame(rows, "id string, label string, kind string, node_kind string, source_file string, symbol_key string, meta_key string")
+    legacy = spark.createDataFrame([("f", "Sa", "calls"), ("g", "f", "calls"), ("f", "g", "calls"), ("m", "g", "calls"), ("t", "Sb", "calls"), ("S", "Sa", "method")], EDGES)
+    native = spark.createDataFrame([(keys["t"], keys["Sa"], "calls"), ("file|tests/t.test.ts", "file|src/s.ts", "imports"), ("file|src/f.ts", "file|src/s.ts", "imports"), ("file|bin/m.ts", "file|src/f.ts", "imports")], EDGES)
+    bind = spark.createDataFrame([("file|src/f.ts", keys["S"])], "source_id string, target string")
+    ranked = spark.createDataFrame([(keys["m"], "cli-command", "entrypoint"), (keys["S"], "service", "application"), (keys["g"], "controller", None)], "id string, role string, layer string")
+    index = spark.createDataFrame([], "symbol_key string, graph_node_id string")
+    return kg, keys, kg.known_graph(spark, n, legacy, native, bind, ranked, index)
+
+
+def test_impact_and_walks_on_a_small_known_graph(spark):
+    kg, keys, g = small_known(spark)
+    name = {v: k for k, v in keys.items()}
+    rows, by_role, rounds, done = kg.impact(spark, g, "S")
+    got = {name.get(r.symbol_key, r.symbol_key): (r.distance, r.is_test, r.role) for r in rows.collect()}
+    # f reaches S by its binding and S.a by a call, t by its native call, g and m through f; t is a test too; files don't call
+    assert got == {"f": (1, False, None), "t": (1, True, None), "g": (2, False, "controller"), "m": (3, False, "cli-command")} and done
+    ids = [r.id for r in kg.ranking_graph(g)[0].collect()]
+    pairs = [(r.source, r.target) for r in kg.ranking_graph(g)[1].collect()]
+    rank, out = dict.fromkeys(ids, 1 / len(ids)), {i: [b for a, b in pairs if a == i] for i in ids}
+    for _ in range(rounds):
+        loose = sum(rank[i] for i in ids if not out[i])
+        rank = {i: 0.15 / len(ids) + 0.85 * loose / len(ids) + 0.85 * sum(rank[a] / len(out[a]) for a, b in pairs if b == i) for i in ids}
+    assert all(abs(r["rank"] - rank[r.symbol_key]) < 1e-9 for r in rows.collect())
+    roles_ = {r.role: (r.members, r.layer) for r in by_role.collect()}
+    assert roles_ == {"controller": (1, None), "cli-command": (1, "entrypoint")}
+    assert {name[r.id]: (r.entry, r.distance) for r in kg.entrypoints(spark, g, "S").collect()} == {"g": (False, 2), "m": (True, 3)}
+    found = [(name[r.id], r.distance, [name[x] for x in r.path]) for r in kg.stop_at_role(spark, g, "g", "service", "out", ("calls",), 2).collect()]
+    assert found == [("S", 2, ["g", "f", "Sa", "S"])]
+    assert {(name[r.source], name[r.target]) for r in kg.relations(spark, g, "t", relations=("calls",)).collect()} == {("t", "Sa")}
+    assert kg.resolve(g, "src/f.ts")[:3] == ("resolved", "file", "src/f.ts") and kg.resolve(g, "zzz")[0] == "missing"
+    for bad in ({"direction": "up"}, {"depth": 4}, {"relations": ("likes",)}):
+        with pytest.raises(TypeError):
+            kg.relations(spark, g, "t", **bad)
+    with pytest.raises(TypeError):
+        kg.stop_at_role(spark, g, "g", "king")
+    with pytest.raises(LookupError):
+        kg.relations(spark, g, "zzz")
