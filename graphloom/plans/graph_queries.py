@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import cards, graph, relations
 from graphloom.plans.registering import Registry
-from graphloom.session import table
+from graphloom.session import Scratch, table
 from graphloom.sources.adapters import GRAPH_SQL, RING_SQL, graph_edges, graph_nodes, supplier_ring
 
 FOUND = Registry()
@@ -195,6 +195,7 @@ FILES = """, f AS (SELECT n.source_file || CAST(coalesce(n.community, 0) AS VARC
 
 def file_edges(spark, d):
     own = graph_nodes(spark, d).select("id", F.concat("source_file", F.coalesce("community", F.lit(0)).cast("string")).alias("file"))
+    own = Scratch(spark, "files").write(own, "own")  # narrow, and of known size: broadcast where that is small, so that edges are not shuffled
     a, b = own.select(F.col("id").alias("source"), F.col("file").alias("a")), own.select(F.col("id").alias("target"), F.col("file").alias("b"))
     return graph_edges(spark, d).join(a, "source").join(b, "target").select(F.col("a").alias("source"), F.col("b").alias("target"))
 
