@@ -25,7 +25,7 @@ ERRORS = (
 EVERGREEN, SLOW, SLOWER = ("evergreen", "non-forgettable"), ("important", "critical"), ("architecture", "decision")
 PACKAGE_FILES = ("package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "tsconfig.json", "global.json")
 PACKAGE_CONTEXTS = ("stack-runtime", "dependencies-summary", "integrations-summary")
-DECLARED_FOLDER = ".planning/project-memory-context/project-context/declared/"
+DECLARED_FOLDER = r"^\.planning/[^/]+/project-context/declared/"
 DECLARED_CONTEXTS = ("technical-rules", "project-requirements", "known-issues-and-fixes", "architecture-target")
 INSTRUCTION_FILES = ("AGENTS.md", "CLAUDE.md", "GEMINI.md", ".cursorrules", ".windsurfrules")
 INSTRUCTION_CONTEXTS = ("technical-rules", "project-requirements")
@@ -209,7 +209,7 @@ def invalidated_kinds(path) -> Column:
     p = F.regexp_replace(normal_path(path), r"^(\./)+", "")
     packages, instructions = p.isin(*PACKAGE_FILES) | p.endswith(".csproj"), (p == "README.md") | basename(p).isin(*INSTRUCTION_FILES)
     found = [F.when(packages, F.lit(k)) for k in PACKAGE_CONTEXTS]
-    found += [F.when(p.startswith(DECLARED_FOLDER + k), F.lit(k)) for k in DECLARED_CONTEXTS]
+    found += [F.when(p.rlike(DECLARED_FOLDER + k), F.lit(k)) for k in DECLARED_CONTEXTS]
     return F.array_distinct(F.array_compact(F.array(*found, *[F.when(instructions, F.lit(k)) for k in INSTRUCTION_CONTEXTS])))
 
 

@@ -114,7 +114,7 @@ def ignored_and_watched(spark, d):
     return table(spark, d, "orders").select(k.alias("k"), K.ignored_dir(folder).alias("ignored"), K.watched(path).alias("watched"))
 
 
-CHANGED = ("package.json", "./package.json", "src/package.json", "App.csproj", "README.md", "docs/README.md", "sub/AGENTS.md", ".cursorrules", ".planning/project-memory-context/project-context/declared/technical-rules.md", ".planning\\project-memory-context\\project-context\\declared\\architecture-target.md", "src/a.ts")
+CHANGED = ("package.json", "./package.json", "src/package.json", "App.csproj", "README.md", "docs/README.md", "sub/AGENTS.md", ".cursorrules", ".planning/context/project-context/declared/technical-rules.md", ".planning\\context\\project-context\\declared\\architecture-target.md", "src/a.ts")
 
 
 @FOUND("invalidated_contexts", f"""WITH r AS (SELECT event_id, {pick_sql(CHANGED, 'event_id')} AS p FROM events), n AS (SELECT event_id, regexp_replace(replace(p, '\\', '/'), '^\\./', '') AS p FROM r)
