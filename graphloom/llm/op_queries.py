@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.embedding_dedup import near_duplicates
+from graphloom.llm.filter_audit import filter_audit
 from graphloom.llm.html_text import extract_pages
 from graphloom.llm.language_id import language_ids
 from graphloom.llm.line_dedup import without_repeated_lines
@@ -42,6 +43,18 @@ u AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.v, b.v) >= 0.98 * a.norm * b.norm),
 r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id)
 SELECT id AS vec_id, (SELECT count(*) FROM l WHERE x = id) AS n_links, min(root) AS component_id, min(root) = id AS kept FROM r GROUP BY id""",
+    "op12_filter_audit": """WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, CAST(i AS INTEGER) AS step, o[i] AS letter, 1 << (ascii(o[i]) - 65) AS bit, list_sum(list_transform(range(1, i), lambda j: 1 << (ascii(o[j]) - 65))) AS earlier FROM o, range(1, 6) r(i) WHERE length(o) = 5),
+m AS (SELECT part, filter_order, step, letter, sum(CASE WHEN mask & (bit | coalesce(earlier, 0)::INTEGER) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(earlier, 0)::INTEGER = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(earlier, 0)::INTEGER <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(earlier, 0)::INTEGER = 0 THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(earlier, 0)::INTEGER = 0 THEN n * toxic ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM m""",
 }
 
 
@@ -84,3 +97,7 @@ def op1_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that has a word is compared."""
     return without_repeated_lines(spark, table(spark, sf_dir, "documents"), least_words=1).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

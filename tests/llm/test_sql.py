@@ -12,7 +12,7 @@ def test_equals_duckdb(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = queries()[name](spark, sf_dir)
     want = con.execute(op_queries.ORACLE_SQL[name])
