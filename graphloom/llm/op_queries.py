@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.collocations import collocations
 from graphloom.llm.embedding_dedup import near_duplicates
 from graphloom.llm.filter_audit import filter_audit
 from graphloom.llm.html_text import extract_pages
@@ -43,6 +44,16 @@ u AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.v, b.v) >= 0.98 * a.norm * b.norm),
 r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id)
 SELECT id AS vec_id, (SELECT count(*) FROM l WHERE x = id) AS n_links, min(root) AS component_id, min(root) = id AS kept FROM r GROUP BY id""",
+    "op11_suffix_collocations": f"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, words, array_to_string(w[i : i + words - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, words, unnest(range(1, len(w) - words + 2)) AS i FROM p, (VALUES (1), (2), (3)) v(words)) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE words > 1),
+s AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1 :], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s) WHERE o = 1),
+x AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE words = 3) GROUP BY ALL),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM k JOIN t USING (lang) WHERE rank <= 2000""",
     "op12_filter_audit": """WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 d AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
   + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM t),
@@ -99,5 +110,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(spark, table(spark, sf_dir, "documents"), least_words=1).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_suffix_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
