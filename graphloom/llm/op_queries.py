@@ -14,6 +14,7 @@ from graphloom.llm.lz_fingerprint import fingerprints
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.ngram_join import near_copies
 from graphloom.llm.packing import pack_documents
+from graphloom.llm.personal_data import personal_digest, personal_spans
 from graphloom.llm.secret_scan import secret_digest, secret_spans
 from graphloom.llm.token_counts import token_counts
 from graphloom.session import table
@@ -116,3 +117,7 @@ def op11_suffix_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(personal_spans(spark, table(spark, sf_dir, "documents")))
