@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrow import text_bytes, tuned
+from graphloom.llm.arrow import map_groups, text_bytes, tuned
 from graphloom.llm.hashing import LOWER, mix
 from graphloom.llm.id_filter import maybe_token
 from graphloom.session import Scratch
@@ -38,7 +38,7 @@ class Shard:
         first[begins] = inside[begins]  # a text's first word is none of the text before
         starts = np.flatnonzero(first)
         texts = np.searchsorted(offsets[1:], starts, side="right")
-        self.piece = np.cumsum(ends, dtype=np.int64)[starts] + texts
+        self.piece = np.cumsum(ends, dtype=np.int32)[starts] + texts
         lengths = np.add.reduceat(inside, starts, dtype=np.int64) if starts.size else np.zeros(0, np.int64)
         at = np.zeros(starts.size + 1, np.int64)
         np.cumsum(lengths, out=at[1:])
@@ -151,8 +151,49 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text is not null")
 
 
-def _short_keys(docs: DataFrame, least: int) -> DataFrame:
-    """Keys (hashes) of the words and pairs of words that may occur ``least`` times in their language; none that does is missing."""
+#: Bytes of text for each bucket of keys, the fewest and the most buckets; bits of a key that are kept besides its bucket.
+BUCKET, LEAST_BUCKETS, MOST_BUCKETS, LOW_BITS = 1 << 21, 256, 1 << 16, 40
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    """Bits of the bucket number: buckets hold the keys of about BUCKET bytes of text each."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return (min(MOST_BUCKETS, max(LEAST_BUCKETS, size // BUCKET)) - 1).bit_length()
+
+
+def packed(keys: np.ndarray, counts: np.ndarray, bits: int, least: int):
+    """(bucket, six bytes a key: its low bits and its count, which is held down to ``least``) of sorted keys."""
+    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    low = ((keys << np.uint64(bits)) >> np.uint64(64 - LOW_BITS)) << np.uint64(8) | np.minimum(counts, least).astype(np.uint64)
+    raw = low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    for bucket in np.flatnonzero(np.diff(edges)):
+        yield int(bucket), raw[6 * edges[bucket] : 6 * edges[bucket + 1]]
+
+
+def merged(bucket: int, parts: list[bytes], bits: int, least: int) -> np.ndarray:
+    """The keys of a bucket whose counts come to ``least``, as they are after ``packed`` has cut them."""
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+    both = np.zeros((len(raw), 8), np.uint8)
+    both[:, :6] = raw
+    both = np.sort(both.view(np.uint64).ravel())
+    low = both >> np.uint64(8)
+    starts = np.flatnonzero(np.diff(low, prepend=low[0] + np.uint64(1)))
+    enough = low[starts][np.add.reduceat((both & np.uint64(255)).astype(np.int64), starts) >= least]
+    return np.uint64(bucket << (64 - bits)) | enough << np.uint64(64 - LOW_BITS - bits)
+
+
+def cut_key(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys as ``merged`` gives them."""
+    return keys >> np.uint64(64 - LOW_BITS - bits) << np.uint64(64 - LOW_BITS - bits)
+
+
+def _short_keys(docs: DataFrame, bits: int, least: int) -> DataFrame:
+    """Keys (hashes) of the words and pairs of words that may occur ``least`` times in their language; none that does is missing.
+
+    A shard's keys go to the buckets as packed arrays. Counts over ``least`` say no more than ``least``, which fits a byte with what is asked for here;
+    a larger ``least`` is asked as 255, so that more keys pass.
+    """
+    least = min(least, 255)
 
     def count(batches):
         for lang, raw, offsets in shards(batches):
@@ -162,10 +203,17 @@ def _short_keys(docs: DataFrame, least: int) -> DataFrame:
                 keys = word[shard.ids[at]]
                 if n == 2:
                     keys = pair_keys(keys, word[shard.ids[at + 1]])
-                for k in range(0, keys.size, 1 << 16):
-                    yield pa.RecordBatch.from_pydict({"key": keys[k : k + (1 << 16)].view(np.int64), "n": counts[k : k + (1 << 16)]})
+                order = np.argsort(keys)
+                rows = list(packed(keys[order], counts[order], bits, least))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32()), "keys": pa.array([x for _, x in rows], pa.binary())})
+
+    def frequent(table, groups):
+        parts = table.column("keys").to_pylist()
+        buckets, edges = table.column("bucket").to_numpy(), np.flatnonzero(np.diff(groups, prepend=-1, append=-2))
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield {"key": merged(int(buckets[a]), parts[a:b], bits, least).view(np.int64)}
 
-    return _texts(docs).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+    return map_groups(_texts(docs).mapInArrow(count, "bucket int, keys binary"), ["bucket"], frequent, "key long", rows=1 << 12)
 
 
 def phrases_of(shard: Shard, at: np.ndarray, n: int) -> pa.Array:
@@ -174,7 +222,7 @@ def phrases_of(shard: Shard, at: np.ndarray, n: int) -> pa.Array:
     return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0]
 
 
-def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = 10, most_words: int = 3) -> DataFrame:
+def phrase_counts(scratch: Scratch, docs: DataFrame, least: int = 10, most_words: int = 3) -> DataFrame:
     """lang, words, phrase, f: every phrase of 1 to ``most_words`` words with f >= ``least`` occurrences within pieces, and words = 0 with all word occurrences.
 
     Two passes. The first counts words and pairs by hashed keys and keeps, as a filter of bounded size, those that may be frequent. In the second the
@@ -182,8 +230,10 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = 10, most_wo
     what is left give exact counts of exact phrases, which are merged by language and phrase. The filter errs to one side only, so the counts are exact
     at every size; where it fills up, more phrases are moved.
     """
-    tuned(spark)
-    frequent = maybe_token(_short_keys(docs, least))
+    tuned(scratch.spark)
+    bits = bucket_bits(docs)
+    maybe = maybe_token(scratch.write(_short_keys(docs, bits, least), "keys"))
+    frequent = lambda keys: maybe(cut_key(keys, bits))
 
     def count(batches):
         for lang, raw, offsets in shards(batches):
@@ -236,7 +286,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = 10, most_wor
     each, texts are read whole, other columns are ignored. The ranking is made in two steps: the best of each of many parts of a language first.
     """
     scratch = Scratch(spark, "collocations")
-    counts = scratch.write(phrase_counts(spark, docs, least, most_words), "counts")
+    counts = scratch.write(phrase_counts(scratch, docs, least, most_words), "counts")
     left = undominated(scored(counts))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))

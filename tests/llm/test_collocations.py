@@ -61,3 +61,18 @@ def test_arithmetic_passes_64_bits(spark):
     big = [("en", 1, "a", 9 * 10**12), ("en", 1, "b", 9 * 10**12 + 7), ("en", 2, "a b", 9 * 10**12 - 5)]
     row = c.scored(spark.createDataFrame(big, "lang string, words int, phrase string, f long")).first()
     assert row.score == 1000000 * row.a * row.a // (row.l * row.r) and row.l == big[0][3]
+
+
+def test_packed_keys_keep_every_frequent_one():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    for bits in (8, 11):
+        parts, total = {}, Counter()
+        for _ in range(5):
+            own = np.sort(rng.choice(keys, 150, replace=False))
+            counts = rng.integers(1, 6, own.size)
+            total.update(dict(zip(own.tolist(), counts.tolist())))
+            for bucket, raw in c.packed(own, counts, bits, 10):
+                parts.setdefault(bucket, []).append(raw)
+        got = np.concatenate([c.merged(b, x, bits, 10) for b, x in parts.items()])
+        assert sorted(got.tolist()) == sorted(c.cut_key(np.array([k for k, n in total.items() if n >= 10], np.uint64), bits).tolist())
