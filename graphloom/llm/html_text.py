@@ -28,6 +28,9 @@ CLOSES = {
 OUTSIDE = frozenset("nav navigation navbar menu sidebar footer header masthead banner contentinfo complementary breadcrumb breadcrumbs pagination pager toolbar widget search login signup register share sharing social related recommended recommendations popular trending tags meta byline".split())
 NEVER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert newsletter subscribe subscription popup modal overlay comment comments disqus reply replies respond dialog paywall hidden".split())
 INSIDE = frozenset("article content main story post entry body text prose".split())
+#: Words of names that hold what readers wrote, and those that do so as a whole class only; they are out whatever their size.
+THREAD = frozenset("comment comments commentlist commentaries disqus respond".split())
+WHOLE_THREAD = frozenset("discussion discussions replies reply thread".split())
 #: Words that make a class a state of the page ("no-sidebar", "has-header-image", "comments-open"), and classes of what can't be seen.
 STATES = frozenset("no not has with without hide show open closed enabled disabled layout".split())
 UNSEEN = frozenset("hidden is-hidden visually-hidden d-none screen-reader-text".split())
@@ -39,6 +42,7 @@ SHARE = 0.7
 LEVELS = 8
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
 #: One attribute after the other, so that no value is taken for a name.
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 ASKED = frozenset("class id role hidden aria-hidden style".split())
@@ -46,11 +50,12 @@ UNSTYLED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HINT_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def hinted_out(tag: str, attributes: str) -> int:
+def hinted_out(tag: str, attributes: str, threads: bool = True) -> int:
     """2 if an element can't be seen or its class, id or role says that it is no part of an article, 1 if a part of one hints at it, else 0.
 
     A whole name of NEVER says so, one of OUTSIDE too where no other name is of INSIDE words. A part of a longer name ("site-footer") hints
-    at it, unless another part makes it a state of the page, or the element has a name of INSIDE words without such a part.
+    at it, unless another part makes it a state of the page, or the element has a name of INSIDE words without such a part. A part of THREAD
+    says so too, where ``threads`` is set.
     """
     if tag in ("html", "body", "article", "main") or not attributes:
         return 0
@@ -68,6 +73,11 @@ def hinted_out(tag: str, attributes: str) -> int:
             if whole in UNSEEN:
                 return 2
             own = {w.lower() for w in HINT_WORD.findall(token)}
+            if whole in THREAD or whole in WHOLE_THREAD or own & THREAD and not own & STATES:
+                if threads:
+                    return 2
+                hinted = True
+                continue
             if whole in NEVER:
                 return 2
             if whole in OUTSIDE:
@@ -82,7 +92,8 @@ def hinted_out(tag: str, attributes: str) -> int:
 class Page:
     """The element tree of a page with its blocks of text; elements are numbered in page order, parents first."""
 
-    def __init__(self, html: str, spared: frozenset[int] = frozenset()):
+    def __init__(self, html: str, spared: frozenset[int] = frozenset(), threads: bool = True):
+        self.threads, self.threaded = threads, 0  # whether names of readers' threads count, and the characters inside such
         self.spared, self.weak, self.said = spared, {}, 0  # weak: characters outside links of elements that are out by a hint
         self.parent, self.tag, self.out = [-1], ["#page"], [False]
         self.strong, self.above = [False], [0]  # out for good; the nearest element that is out by a hint, 0 for none
@@ -114,6 +125,7 @@ class Page:
             if self.above[here]:
                 self.weak[self.above[here]] += size
         if self.out[here]:
+            self.threaded += len(raw) if self.strong[here] else 0
             return
         if not self.run:
             self.owner = self.block[here]
@@ -155,7 +167,7 @@ class Page:
         self.tag.append(tag)
         self.there[tag] += 1
         self.block.append(len(self.tag) - 1 if tag in BLOCKS else self.block[top])
-        here, hint = len(self.tag) - 1, hinted_out(tag, attributes)
+        here, hint = len(self.tag) - 1, hinted_out(tag, attributes, self.threads)
         strong, weak = inside or hint == 2 or tag in DROPPED and tag != "form", hint == 1 or tag == "form"
         self.strong.append(self.strong[top] or strong)
         self.out.append(self.out[top] or strong or weak and here not in self.spared)
@@ -200,8 +212,9 @@ class Page:
             self.open(tag, attributes)
             if attributes.endswith("/") and tag in ("svg", "path", "use"):
                 self.end(tag)
-        if at < len(html):
-            self.say(html[at:])
+        if at < len(html):  # markup that is cut off is no text
+            cut = CUT_OFF.search(html, at)
+            self.say(html[at : cut.start() if cut else len(html)])
         self.flush()
 
 
@@ -212,6 +225,22 @@ def block_score(page: Page, element: int, text: str) -> float:
     return (1.0 if len(text) >= 25 else 0.25) + text.count(",") + min(len(text) / 100, 3.0)
 
 
+#: How many times the points of the best element the blocks of a wider one must have, for that to be the container.
+WIDER = 1.4
+
+
+def widened(page: Page, best: int, whole: list[float], chars: list[int], links: list[int]) -> int:
+    """The best element, or the one around it that holds the paragraphs which wrappers of their own keep from it.
+
+    An element that adds nothing is only a wrapper; one whose blocks have WIDER times the points is the container. Both are climbed, up to the body.
+    """
+    here = best
+    while (here := page.parent[here]) > 0 and page.tag[here] not in ("body", "html"):
+        if chars[here] == chars[best] or whole[here] >= WIDER * whole[best] and links[here] <= 0.5 * chars[here]:
+            best = here
+    return best
+
+
 def main_blocks(page: Page) -> list[str]:
     """The blocks of the best container and of its siblings that belong to it.
 
@@ -221,9 +250,10 @@ def main_blocks(page: Page) -> list[str]:
     it or one of its ancestors is its title.
     """
     n = len(page.tag)
-    points, chars, links = [0.0] * n, [0] * n, [0] * n
+    points, chars, links, whole = [0.0] * n, [0] * n, [0] * n, [0.0] * n
     for element, text, linked in page.blocks:
         score = block_score(page, element, text)
+        whole[element] += score * (1 - linked / len(text))
         above = page.parent[element] if page.tag[element] in PARAGRAPHS and element else element
         for level in range(LEVELS):
             if above < 0:
@@ -235,10 +265,12 @@ def main_blocks(page: Page) -> list[str]:
     for k in range(n - 1, 0, -1):  # children come after their parents
         chars[page.parent[k]] += chars[k]
         links[page.parent[k]] += links[k]
+        whole[page.parent[k]] += whole[k]
     final = [p * (1 - links[k] / chars[k]) if chars[k] else 0.0 for k, p in enumerate(points)]
     best = max(range(n), key=lambda k: (final[k], -k), default=0)
     if final[best] <= 0:
         return []
+    best = widened(page, best, whole, chars, links)
     lineage, above = [best], page.parent[best]
     while above >= 0:
         lineage.append(above)
@@ -272,8 +304,20 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
+    found = main_of(html, page)
+    if page.threaded > FEW and len(found) < FEW:  # hardly anything is left without the threads: perhaps the page's own text has such a name
+        other = main_of(html, Page(html, threads=False))
+        return other if len(other) > 4 * len(found) else found
+    return found
+
+
+#: Characters of a main text that are too few to do without what stands in a thread.
+FEW = 80
+
+
+def main_of(html: str, page: Page) -> str:
     spared = page.dominating()
-    return "\n".join(main_blocks(Page(html, spared) if spared else page))
+    return "\n".join(main_blocks(Page(html, spared, page.threads) if spared else page))
 
 
 def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:

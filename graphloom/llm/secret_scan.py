@@ -12,6 +12,7 @@ import lzma
 import re
 import zlib
 from array import array
+from html.entities import html5
 from itertools import chain
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs; shorter ones fail, so the length is part of the pattern.
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A Unicode escape, a run of base64 of 16 characters or more, such runs over several lines, and a run of percent escapes.
-ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]+);|&#([0-9]+);")
+ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]+);|&#([0-9]+);|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|&([A-Za-z][A-Za-z0-9]{1,30};)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}")
 BREAK = re.compile(r"\r?\n[ \t]*")
@@ -35,6 +36,10 @@ URLSAFE = str.maketrans("-_", "+/")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f]")
 #: Bytes of a compressed layer that are inflated at once, and characters of one window that the next begins with.
 WINDOW, OVERLAP = 1 << 20, 1 << 16
+#: What a run of base64 or escapes may go on with, backwards from a window's end, and the longest run that is held whole. A longer one is taken in parts of
+#: that size, each a multiple of four characters: then its text is found where its parts are ASCII, and what is compressed inside is not.
+UNFINISHED = re.compile(r"(?:[A-Za-z0-9+/_=%\\&#;{}-]|[ \t]*+\n\r?)*+")
+RUN_MOST = 1 << 26
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -99,7 +104,9 @@ def from_percent(m: re.Match) -> str | None:
 
 
 def from_escape(m: re.Match) -> str | None:
-    code = int(m[1] or m[2] or m[3] or "0", 16) if m[4] is None else int(m[4])
+    if m[7]:
+        return html5.get(m[7])
+    code = int(m[1] or m[2] or m[3] or m[5] or m[6] or "0", 16) if m[4] is None else int(m[4])
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
@@ -112,6 +119,22 @@ def readable(raw: bytes) -> str | None:
     return text if text and not CONTROL.search(text) else None
 
 
+def decoded(raw: bytes) -> tuple[str, str] | None:
+    """(text, encoding) of bytes that are readable as UTF-8 or, where every other byte of their head is zero, UTF-16."""
+    text = readable(raw)
+    if text is not None:
+        return text, "utf-8"
+    for encoding, zeros in (("utf-16-le", raw[1:64:2]), ("utf-16-be", raw[0:64:2])):
+        if len(raw) % 2 == 0 and zeros and not any(zeros):
+            try:
+                text = raw.decode(encoding)
+            except UnicodeDecodeError:
+                continue
+            if text and not CONTROL.search(text):
+                return text, encoding
+    return None
+
+
 def inflater(raw: bytes):
     """A decompressor of gzip, zlib, bzip2 or xz content; None for other bytes. Raw deflate has no mark of its own and is not unwrapped."""
     if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
@@ -161,19 +184,30 @@ def content(raw: bytes):
 
 
 def text_windows(raw: bytes):
-    """Texts that cover the text inside compressed bytes, each with the last OVERLAP characters of the one before.
+    """Texts that cover the text inside compressed bytes, each with the end of the one before: OVERLAP characters, and the whole of a run that may go on.
 
-    Memory doesn't follow the content's size. DAMAGED errors say that the content is no text.
+    So a nested run is in one text as a whole, wherever it begins, up to RUN_MOST characters: memory follows the longest run and not the
+    content. DAMAGED errors say that the content is no text.
     """
-    decoder, held = codecs.getincrementaldecoder("utf-8")(), ""
+    decoder, held, most = codecs.getincrementaldecoder("utf-8")(), "", WINDOW
     for chunk in content(raw) or ():
         new = decoder.decode(chunk)
         if CONTROL.search(new):
             raise ValueError("no text")
         held += new
-        if len(held) > WINDOW:
+        if len(held) > most:
+            run = UNFINISHED.match(held[::-1]).end()
+            if OVERLAP < run < RUN_MOST and run > len(held) - WINDOW:
+                most = len(held) + WINDOW  # hardly anything else is there: wait for the run's end
+                continue
+            if run >= RUN_MOST:
+                yield held[: len(held) - run % 4]
+                held, most = held[-(OVERLAP + (run - OVERLAP) % 4) :], RUN_MOST
+                continue
             yield held
-            held = held[-OVERLAP:]
+            keep = max(OVERLAP, run + 256)
+            blank = len(held) - len(held[: len(held) - keep].rstrip(" ")) if held[-keep : -keep + 1] == " " else 0
+            held, most = held[-max(keep, min(blank + 256, RUN_MOST)) :], max(WINDOW, keep + WINDOW)
     held += decoder.decode(b"", True)
     if held:
         yield held
@@ -188,8 +222,8 @@ def from_base64(piece: Layer):
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    text = readable(raw)
-    if text is None:
+    found = decoded(raw)
+    if found is None:
         if not opens(raw):
             return None
         own = piece.span(0, len(piece.text))
@@ -198,11 +232,12 @@ def from_base64(piece: Layer):
         except DAMAGED:
             return None
         return (Layer(x, None, None, own) for x in text_windows(raw)) if some else None
+    text, encoding = found
     if piece.one:
         return [Layer(text, None, None, piece.one)]
     at, to, byte = array("q"), array("q"), 0
     for c in text:  # byte k comes from characters 4k/3 to 4(k+1)/3 of the encoded run
-        more = len(c.encode())
+        more = len(c.encode(encoding))
         first, last = byte * 4 // 3, min(len(body), -(-(byte + more) * 4 // 3))
         at.append(piece.at[first])
         to.append(piece.to[last - 1])

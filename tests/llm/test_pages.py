@@ -120,3 +120,33 @@ def test_damaged_pages_take_linear_time():
         began = time.perf_counter()
         main_text(html)
         assert time.perf_counter() - began < 4
+
+
+def sentences(n):
+    return [f"Paragraph {k} of the article has words, commas, and a length that counts for something in the end." for k in range(n)]
+
+
+def test_paragraphs_in_wrappers_of_their_own():
+    for n in (2, 3, 5, 7, 20):
+        for depth in range(5):
+            inner = "".join("<div>" * depth + f"<p>{x}</p>" + "</div>" * depth for x in sentences(n))
+            for html in (f"<body><div id=c>{inner}</div></body>", f"<body><nav><a href=x>Home</a></nav><div class=page><div id=c>{inner}</div></div><footer>All rights reserved, by us.</footer></body>", f"<body>{inner}</body>"):
+                assert main_text(html) == "\n".join(sentences(n)), (n, depth, html[:80])
+    blocks = "".join(f"<div class=block><div class=text><p>{x}</p></div></div>" for x in sentences(8))
+    assert main_text(f"<body><div class=cms>{blocks}</div></body>") == "\n".join(sentences(8))
+
+
+def test_threads_longer_than_their_article():
+    article = "".join(f"<p>{x}</p>" for x in sentences(3))
+    remarks = "".join(f"<div class=c{k}><p>I think, as a reader, that remark number {k} is worth many words, and more of them, and even more.</p></div>" for k in range(20))
+    for opening, close in (("<div class='comments-area'>", "</div>"), ("<div class='comments-list'>", "</div>"), ("<section class='user-comments'>", "</section>"), ("<ul class='commentlist'>", "</ul>"), ("<div class='discussion'>", "</div>"), ("<div id=respond>", "</div>"), ("<div id='disqus_thread'>", "</div>")):
+        for html in (f"<body><div class=post>{article}</div>{opening}{remarks}{close}</body>", f"<body><article>{article}{opening}{remarks}{close}</article></body>"):
+            assert main_text(html) == "\n".join(sentences(3)), (opening, main_text(html)[-80:])
+    assert main_text(f"<body><div class='site-comments'>{article}</div></body>") == "\n".join(sentences(3))  # nothing else is there
+
+
+def test_markup_that_is_cut_off():
+    article = "".join(f"<p>{x}</p>" for x in sentences(3))
+    for end in ("<!-- hidden remark, and more", "<a href='http://x.example/abc", "</di", "<?php echo 1"):
+        assert main_text(f"<body><div>{article}{end}") == "\n".join(sentences(3)), end
+    assert main_text(f"<body><div>{article}<p>As 5 < 6, it ends here, with some words").endswith("As 5 < 6, it ends here, with some words")
