@@ -48,16 +48,18 @@ def incident_edges(edges: DataFrame, node_id: str) -> DataFrame:
     return edges.where((F.col("source") == node_id) | (F.col("target") == node_id))
 
 
-def traverse(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds, hops: int | None, relations=RELATIONS, direction: str = "out", node_kinds=None, kind_column: str = "kind") -> DataFrame:
+def traverse(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds, hops: int | None, relations=RELATIONS, direction: str = "out", node_kinds=None, kind_column: str = "kind", walk: DataFrame | None = None) -> DataFrame:
     """G1/G2, id, hop and the discovering edge (source, target, relation; null for seeds) of every node within ``hops`` (None: all).
 
     Seeds count if known and allowed. A node is reached once, by its edge with the smallest (from, relation); nodes of kinds
-    that are not allowed block the path, edges to unknown nodes are dropped, empty ``node_kinds`` reach nothing.
+    that are not allowed block the path, edges to unknown nodes are dropped, empty ``node_kinds`` reach nothing. ``walk`` stands for ``edges`` in walking
+    direction, such as those of a stored graph: they are not moved, only the frontier is.
     """
     kinds = node_kinds if kind_column != "node_kind" else kinds_allowed(node_kinds)
     allowed = nodes if kinds is None else nodes.where(F.col(kind_column).isin(list(kinds)))
     allowed = allowed.select("id")
-    walk = directed(edges if relations is None else edges.where(F.col("relation").isin(list(relations))), direction)
+    walk = directed(edges, direction) if walk is None else walk
+    walk = walk if relations is None else walk.where(F.col("relation").isin(list(relations)))
     scratch = Scratch(spark, "traverse")
     none = F.lit(None).cast("string")
     start = ids_frame(spark, seeds).distinct().join(allowed, "id", "left_semi").select("id", F.lit(0).alias("hop"), none.alias("source"), none.alias("target"), none.alias("relation"))
