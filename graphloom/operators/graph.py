@@ -108,9 +108,9 @@ def file_context(spark: SparkSession, nodes: DataFrame, edges: DataFrame, path:
     return both.where("source is not null").groupBy("source", "target").agg(F.min("relation").alias("relation"))
 
 
-def impact_scope(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds, hops: int, relations=RELATIONS) -> DataFrame:
+def impact_scope(spark: SparkSession, nodes: DataFrame, edges: DataFrame | None, seeds, hops: int, relations=RELATIONS, walk: DataFrame | None = None) -> DataFrame:
     """Id and hop of what reaches the seeds; the seeds are left out."""
-    return traverse(spark, nodes, edges, seeds, hops, relations, "in").where("hop > 0").select("id", "hop")
+    return traverse(spark, nodes, edges, seeds, hops, relations, "in", walk=walk).where("hop > 0").select("id", "hop")
 
 
 def related_symbols(edges: DataFrame, symbols: DataFrame, key: str, direction: str) -> DataFrame:
@@ -166,8 +166,8 @@ def entrypoints(spark: SparkSession, edges: DataFrame, roles: DataFrame, seeds)
 def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most: int = 100) -> tuple[DataFrame, int, bool]:
     """(id and rank, rounds, converged). Pairs count once, loops stay, dangling mass is spread evenly; ranks sum to 1.
 
-    It ends when no rank moves by more than ``tolerance``. Edges with weights are written once, hashed by source; each round
-    joins and sums, and one row (dangling mass and largest move) comes to the driver.
+    It ends when no rank moves by more than ``tolerance``. Edges with weights are written once, in buckets by source, so that a round moves the
+    ranks and the sums of what is sent, but no edges; one row (dangling mass and largest move) comes to the driver.
     """
     if not 0 <= damping < 1 or tolerance <= 0 or most < 0:
         raise ValueError("damping, tolerance or rounds out of range")
@@ -175,7 +175,7 @@ def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, damping: f
     ids = scratch.write(nodes.select("id").distinct(), "ids")
     pairs = edges.select("source", "target").distinct()
     degree = pairs.groupBy("source").agg(F.count("*").alias("out"))
-    links = scratch.write(pairs.join(degree, "source"), "links")
+    links = scratch.bucketed(pairs.join(degree, "source"), "links", "source")
     ends = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id")))
     if not ends.join(ids, "id", "left_anti").isEmpty():
         raise ValueError("an edge ends at an unknown node")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import cards, graph, relations
 from graphloom.plans.registering import Registry
 from graphloom.session import Scratch, table
-from graphloom.sources.adapters import GRAPH_SQL, RING_SQL, graph_edges, graph_nodes, supplier_ring
+from graphloom.sources.adapters import GRAPH_SQL, RING_SQL, graph_edges, graph_nodes, stored_graph, supplier_ring
 
 FOUND = Registry()
 SEED, ORDER = "customer|1", "order|7"
@@ -59,7 +59,12 @@ def khop(k, direction="out", seeds=(SEED,), relations_=None, kinds=None):
     where = f"e.relation IN ({', '.join(repr(r) for r in relations_)})" if relations_ else "true"
     node = f"nodes.kind IN ({', '.join(repr(r) for r in kinds)})" if kinds else "true"
     sql = hops_sql(names, k, direction, where, node) + f"\nSELECT id, hop FROM s{k}"
-    return sql, lambda spark, d: graph.traverse(spark, graph_nodes(spark, d), graph_edges(spark, d, relations_), seeds, k, relations_, direction, kinds).select("id", "hop")
+
+    def run(spark, d):
+        g = stored_graph(spark, d)
+        return graph.traverse(spark, g.read("nodes"), None, seeds, k, relations_, direction, kinds, walk=g.read(direction)).select("id", "hop")
+
+    return sql, run
 
 
 for _name, _args in {
@@ -74,7 +79,8 @@ for _name, _args in {
 SELECT s2.id, s2.hop, arg_min(e.source, e.source || '~' || e.relation) AS source, min(e.source || '~' || e.relation) AS by_edge
 FROM s2 JOIN edges e ON e.target = s2.id JOIN s2 p ON p.id = e.source AND p.hop = s2.hop - 1 GROUP BY s2.id, s2.hop""")
 def khop_tree_edges(spark, d):
-    rows = graph.traverse(spark, graph_nodes(spark, d), graph_edges(spark, d), [SEED], 2).where("hop > 0")
+    g = stored_graph(spark, d)
+    rows = graph.traverse(spark, g.read("nodes"), None, [SEED], 2, walk=g.read("out")).where("hop > 0")
     return rows.select("id", "hop", "source", F.concat_ws("~", "source", "relation").alias("by_edge"))
 
 
@@ -93,7 +99,8 @@ def reachable_edges(spark, d):
 
 @FOUND("impact_scope", hops_sql("'region|1'", 2, "in") + "\nSELECT id, hop FROM s2 WHERE hop > 0")
 def impact_scope(spark, d):
-    return graph.impact_scope(spark, graph_nodes(spark, d), graph_edges(spark, d), ["region|1"], 2)
+    g = stored_graph(spark, d)
+    return graph.impact_scope(spark, g.read("nodes"), None, ["region|1"], 2, walk=g.read("in"))
 
 
 @plain("file_context", """, seeds AS (SELECT id FROM nodes WHERE source_file = 'region.parquet')

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph, known_graph as kg
 from graphloom.plans.registering import Registry
+from graphloom.session import files_version
 from graphloom.sources.adapters import CODE_SQL, c_key_sql, code_graph, p_key_sql, s_key_sql
 
 FOUND = Registry()
@@ -18,9 +19,10 @@ PREPARED: dict = {}
 
 
 def known(spark, d):
-    """The known graph of a folder's tables, prepared once a session: queries read its tables."""
-    key = (spark.sparkContext.applicationId, d)
+    """The known graph of a folder's tables, prepared once an application for each state of their files: queries read its tables."""
+    key = (spark.sparkContext.applicationId, d, files_version(spark, [f"{d}/{x}.parquet" for x in ("customer", "part", "supplier")]))
     if key not in PREPARED:
+        PREPARED.clear()
         PREPARED[key] = kg.known_graph(spark, **code_graph(spark, d))
     return PREPARED[key]
 

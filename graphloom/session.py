@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -52,11 +53,22 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write once, read back: cuts the lineage and gives the planner true sizes."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.mark()
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+        """Like ``write``, in buckets sorted by a key: joins on the key that need a shuffle move the other side only."""
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        known = "graphloom_" + hashlib.sha256(self.path(name).encode()).hexdigest()[:24]
+        df.repartition(buckets, key).write.format("parquet").option("path", self.path(name)).bucketBy(buckets, key).sortBy(key).saveAsTable(known)
+        self.mark()
+        return self.spark.table(known)
+
+    def mark(self) -> None:
         if not self.marked:
             base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
             base.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(base)
             self.marked = True
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
@@ -68,3 +80,22 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files_version(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, sizes and times of the files below some paths: it changes when a table is written anew. No data is read."""
+    seen = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def kept_until_end(spark: SparkSession, name: str) -> str:
+    """A folder of this application in the shared folder, the same at each call; it goes when the driver's JVM ends."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/graphloom-{spark.sparkContext.applicationId}-{name}")
+    base.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(base)
+    return base.toString()

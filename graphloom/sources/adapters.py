@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import table
+from graphloom.operators.graph_store import StoredGraph
+from graphloom.session import files_version, kept_until_end, table
 
 NODE_TABLES = (("region", "r_regionkey", "r_name", "r_regionkey"), ("nation", "n_nationkey", "n_name", "n_regionkey"), ("supplier", "s_suppkey", "s_name", "s_nationkey"), ("customer", "c_custkey", "c_name", "c_nationkey"), ("part", "p_partkey", "p_name", None), ("order", "o_orderkey", "o_orderpriority", None))
 #: (relation, table, source kind, source key, target kind, target key)
@@ -43,6 +46,14 @@ def graph_edges(spark: SparkSession, sf_dir: str, relations=None) -> DataFrame:
     return out
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> StoredGraph:
+    """The whole graph in a store of this application, opened if the tables' files are those it was built from, else brought up to date."""
+    store = StoredGraph(spark, kept_until_end(spark, "graph-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:12]), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = {name for _, name, *_ in EDGE_TABLES} | {"orders" if kind == "order" else kind for kind, *_ in NODE_TABLES}
+    store.open_or_rebuild(graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir), files_version(spark, [f"{sf_dir}/{x}.parquet" for x in sorted(names)]))
+    return store
+
+
 def supplier_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A functional graph with cycles: supplier s calls supplier (7 s + 3) mod n."""
     t = table(spark, sf_dir, "supplier")
