@@ -64,6 +64,11 @@ class Scratch:
         self.mark()
         return self.spark.table(known)
 
+    def kept(self, name: str) -> str:
+        """The path of a table that others write; it goes with this job's."""
+        self.mark()
+        return self.path(name)
+
     def mark(self) -> None:
         if not self.marked:
             base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
