@@ -89,11 +89,13 @@ def key_name(key) -> Column:
 
 
 def canonical_key(key) -> Column:
-    """P10: six parts (seven for C#), none empty but the last of C#, arity a number."""
+    """P10: six parts, none empty, arity a number; or seven of C#, where only namespace and container may be empty. No white space at the ends."""
     parts = F.split(col(key), r"\|")
-    plain = (F.size(parts) == 6) & ~F.exists(parts, lambda x: x == "") & F.element_at(parts, -1).rlike(r"^\d+$")
-    sharp = (F.size(parts) == 7) & (F.element_at(parts, 1) == "csharp")
-    return F.coalesce(F.when(F.size(parts) == 6, plain).otherwise(sharp), F.lit(False))
+    part = lambda k: F.try_element_at(parts, F.lit(k))
+    plain = (F.size(parts) == 6) & ~F.exists(parts, lambda x: x == "") & part(6).rlike(r"^[0-9]+$")
+    sharp = (F.size(parts) == 7) & (part(1) == "csharp") & (part(2) != "") & (part(5) != "") & (part(6) != "") & (part(7) != "")
+    edges = col(key).rlike(r"^[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]|[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]\z")
+    return F.coalesce((plain | sharp) & ~edges, F.lit(False))
 
 
 def constructor_end(key) -> Column:

@@ -51,16 +51,6 @@ def rollup(accepted: DataFrame, by: str = "path") -> DataFrame:
     return accepted.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol_key", line.alias("line")))), lambda x: x["line"]), "\n").alias("rollup"), F.count("*").alias("narratives"))
 
 
-def accepted_narratives(artifacts: DataFrame, index: DataFrame, worklist: DataFrame) -> DataFrame:
-    """symbol_key, summary, accepted and the first reason against, from three tables whose fingerprints must agree."""
-    a = artifacts.select("symbol_key", F.col("fingerprint").alias("_a"), "summary", F.lit(True).alias("_in_a"))
-    i = index.select("symbol_key", F.col("fingerprint").alias("_i"), F.col("status").alias("_status"), F.lit(True).alias("_in_i"))
-    w = worklist.select("symbol_key", F.col("fingerprint").alias("_w"), F.col("status").alias("_todo"), F.lit(True).alias("_in_w"))
-    rows = w.join(i, "symbol_key", "left").join(a, "symbol_key", "left")
-    reason = F.when(F.col("_todo") == "stale", "worklist-stale").when(F.col("_in_i").isNull(), "missing-index").when(~F.col("_status").eqNullSafe(F.lit("enriched")), "not-enriched").when(F.col("_in_a").isNull(), "missing-artifact").when(F.col("_a").isNull() | F.col("_i").isNull() | F.col("_w").isNull(), "missing-fingerprint").when(F.col("_a") != F.col("_i"), "artifact-index-mismatch").when(F.col("_w") != F.col("_i"), "worklist-index-mismatch").when(F.trim("summary") == "", "empty-summary")
-    return rows.select("symbol_key", F.when(reason.isNull(), F.col("summary")).alias("summary"), reason.isNull().alias("accepted"), reason.alias("reason"))
-
-
 def narrative_problems(rows: DataFrame, keys: DataFrame, words: int = 25) -> DataFrame:
     """symbol_key and the first problem of narratives (summary, behavior, mentions): no or long summary, empty items, unknown mentions."""
     told = rows.select("symbol_key", F.explode_outer("mentions").alias("mention")).join(keys.select(F.col("symbol_key").alias("mention"), F.lit(True).alias("_known")), "mention", "left")

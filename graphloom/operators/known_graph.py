@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.keys import DEPTHS, RELATIONS, constructor_end, normal_path, test_file
+from graphloom.functions.keys import DEPTHS, RELATIONS, canonical_key, constructor_end, normal_path, test_file
 from graphloom.functions.text import estimated_tokens
 from graphloom.operators import graph, roles as role_rules
 from graphloom.session import Scratch
@@ -19,7 +19,8 @@ CONTAINER_KINDS = ("class", "interface", "enum", "struct", "trait", "object", "p
 ENTRY_ROLES, CONTROLLER, ENTRY_LAYER = ("entrypoint", "cli-command", "mcp-tool"), "controller", "entrypoint"
 PRESETS = ("compact", "extended", "deep")
 LEVELS = {"compact": (2000, ("essentials",)), "extended": (5000, ("essentials", "context")), "deep": (10_000, ("essentials", "context", "evidence"))}
-BARE_FILE = re.compile(r"(Dockerfile|Makefile|README\.(md|txt)|package\.json|tsconfig\.json|jsconfig\.json|\.gitignore|\.npmrc|\.env(\.[A-Za-z0-9_-]+)?)", re.I)
+BARE_FILES = ("Dockerfile", "Makefile", "README.md", "README.txt", "package.json", "tsconfig.json", "jsconfig.json", ".gitignore", ".npmrc", ".env")
+BARE_FILE = re.compile("(?:" + "|".join(map(re.escape, BARE_FILES)) + r"|\.env\.[A-Za-z0-9_-]+)", re.I)
 
 
 def file_key(path) -> Column:
@@ -49,13 +50,17 @@ class KnownGraph:
 
 def canonical_groups(nodes: DataFrame) -> DataFrame:
     """symbol_key, node_id, kind, node_kind of the nodes whose identities (symbol_key, meta_key, and the id where it has a ``|``) agree on a
-    canonical key of six parts, and whose source file and kind, where there, are the key's."""
+    canonical key, and whose source file and kind, where there, are the key's. A C# key's container is a part of its name here."""
     own = F.filter(F.array("symbol_key", "meta_key", F.when(F.col("id").contains("|"), F.col("id"))), lambda x: x.isNotNull())
     rows = nodes.select(F.col("id").alias("node_id"), "kind", "node_kind", "source_file", own.alias("_own")).where(F.size(F.array_distinct("_own")) == 1)
     rows = rows.withColumn("symbol_key", F.element_at("_own", 1)).withColumn("_p", F.split("symbol_key", r"\|"))
     part = lambda k: F.try_element_at(F.col("_p"), F.lit(k))
-    good = (F.size("_p") == 6) & ~F.exists("_p", lambda x: x == "") & (F.col("source_file").isNull() | (normal_path("source_file") == part(2))) & (F.col("kind").isNull() | (F.col("kind") == part(3)))
-    return rows.where(good).select("symbol_key", "node_id", part(2).alias("path"), part(3).alias("kind"), part(4).alias("scope"), part(5).alias("name"), "node_kind")
+    sharp, holder = F.size("_p") == 7, part(4)
+    member = sharp & ~holder.isin("", "none")
+    kind, scope = F.when(sharp, part(5)).otherwise(part(3)), F.when(member, "member").when(sharp, "exported").otherwise(part(4))
+    name = F.when(member, F.concat_ws(".", holder, part(6))).when(sharp, part(6)).otherwise(part(5))
+    good = canonical_key("symbol_key") & (F.col("source_file").isNull() | (normal_path("source_file") == normal_path(part(2)))) & (F.col("kind").isNull() | (F.col("kind") == kind))
+    return rows.where(good).select("symbol_key", "node_id", part(2).alias("path"), kind.alias("kind"), scope.alias("scope"), name.alias("name"), "node_kind")
 
 
 def canonical_symbols(groups: DataFrame, index: DataFrame) -> DataFrame:

@@ -110,54 +110,6 @@ def narrative_hash(code, signature, role, callees, version) -> Column:
     return F.sha2(whole, 256)
 
 
-def evidence_checks(artifacts: DataFrame, index: DataFrame, worklist: DataFrame, keys: DataFrame) -> DataFrame:
-    """symbol_key, accepted and the first reason against, for every key of ``keys``.
-
-    The three tables have symbol_key and evidence (narrative_hash, prompt_version, callees: a canonical text), artifacts also ``own_key``
-    and ``valid`` (whether the content is valid), index and worklist ``own_key``. Checks run in the order artifact, ambiguous
-    worklist, index, worklist, agreement of the two, agreement with the artifact, content.
-    """
-    side = lambda df, p: df.select("symbol_key", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "symbol_key"], F.lit(True).alias(f"{p}_in"))
-    many = worklist.groupBy("symbol_key").agg(F.count("*").alias("w_n"))
-    one = worklist.dropDuplicates(["symbol_key"])
-    rows = keys.select("symbol_key").distinct().join(side(artifacts, "a"), "symbol_key", "left").join(side(index, "i"), "symbol_key", "left").join(side(one, "w"), "symbol_key", "left").join(many, "symbol_key", "left")
-    bad = lambda p: F.col(f"{p}_narrative_hash").isNull() | (F.col(f"{p}_narrative_hash") == "") | F.col(f"{p}_prompt_version").isNull() | (F.col(f"{p}_prompt_version") == "")
-    apart = lambda p, q: ~F.col(f"{p}_narrative_hash").eqNullSafe(F.col(f"{q}_narrative_hash")) | ~F.col(f"{p}_prompt_version").eqNullSafe(F.col(f"{q}_prompt_version")) | ~F.col(f"{p}_callees").eqNullSafe(F.col(f"{q}_callees"))
-    reason = (
-        F.when(F.col("a_in").isNull(), "no-accepted-artifact")
-        .when(~F.col("a_own_key").eqNullSafe(F.col("symbol_key")), "foreign-artifact")
-        .when(bad("a"), "corrupt-artifact")
-        .when(F.col("w_n") > 1, "ambiguous-worklist-evidence")
-        .when(F.col("i_in").isNull() | F.col("i_narrative_hash").isNull(), "missing-index-fingerprint")
-        .when(bad("i"), "invalid-index-evidence")
-        .when(F.col("i_own_key").isNotNull() & (F.col("i_own_key") != F.col("symbol_key")), "wrong-index-key")
-        .when(F.col("w_in").isNull() | F.col("w_narrative_hash").isNull(), "missing-worklist-fingerprint")
-        .when(bad("w"), "invalid-worklist-evidence")
-        .when(~F.col("w_own_key").eqNullSafe(F.col("symbol_key")), "wrong-worklist-key")
-        .when(apart("i", "w") | apart("a", "w"), "fingerprint-mismatch")
-        .when(~F.coalesce(F.col("a_valid"), F.lit(False)), "invalid-content")
-    )
-    return rows.select("symbol_key", reason.isNull().alias("accepted"), reason.alias("reason"))
-
-
-def external_results(results: DataFrame, queue: DataFrame, version: str) -> DataFrame:
-    """symbol_key and outcome of results given from outside: the first problem, ``no-op`` where the entry is done, else ``applied``.
-
-    ``results`` has symbol_key, prompt_version, valid_json, known_mentions and fingerprint; ``queue`` symbol_key, status, fingerprint and stale.
-    """
-    rows = results.join(queue.select("symbol_key", F.col("status").alias("_status"), F.col("fingerprint").alias("_fingerprint"), F.col("stale").alias("_stale")), "symbol_key", "left")
-    outcome = (
-        F.when(~F.col("prompt_version").eqNullSafe(F.lit(version)), "wrong-version")
-        .when(~F.coalesce("valid_json", F.lit(False)), "invalid-json")
-        .when(~F.coalesce("known_mentions", F.lit(False)), "unknown-mention")
-        .when(F.col("_status").isNull(), "not-queued")
-        .when(F.col("_status") == "done", "no-op")
-        .when(~F.col("fingerprint").eqNullSafe(F.col("_fingerprint")), "fingerprint-mismatch")
-        .when(F.coalesce("_stale", F.lit(False)), "superseded")
-    )
-    return rows.select("symbol_key", F.coalesce(outcome, F.lit("applied")).alias("outcome"))
-
-
 def source_freshness(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """symbol_key, code and fresh (the slice's hash is the one expected; null without one) of symbols (path, start, end, expected).
 

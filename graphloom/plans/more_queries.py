@@ -313,34 +313,6 @@ def enrichment_outcomes(spark, d):
     return cards.with_results(work, results).select("symbol_key", "status", F.coalesce(F.size("attempts"), F.lit(0)).alias("attempts")).withColumn("attempts", F.greatest("attempts", F.lit(0)))
 
 
-REASONS = ("no-accepted-artifact", "foreign-artifact", "corrupt-artifact", "ambiguous-worklist-evidence", "missing-index-fingerprint", "invalid-index-evidence", "wrong-index-key", "missing-worklist-fingerprint", "invalid-worklist-evidence", "wrong-worklist-key", "fingerprint-mismatch", "fingerprint-mismatch", "invalid-content", None)
-
-
-@FOUND("evidence_checks", f"WITH r AS (SELECT 'k' || c_custkey AS symbol_key, ([{', '.join('NULL' if x is None else chr(39) + x + chr(39) for x in REASONS)}])[c_custkey % 14 + 1] AS reason FROM customer) SELECT symbol_key, reason IS NULL AS accepted, reason FROM r")
-def evidence_checks(spark, d):
-    m = F.col("m")
-    base = table(spark, d, "customer").select(F.concat(F.lit("k"), text_of("c_custkey")).alias("symbol_key"), (F.col("c_custkey") % 14).alias("m"))
-    evidence = [F.lit("h").alias("narrative_hash"), F.lit("v").alias("prompt_version"), F.lit("{}").alias("callees"), F.col("symbol_key").alias("own_key")]
-    whole = base.select("symbol_key", "m", *evidence)
-    art = whole.where(m != 0).withColumn("own_key", F.when(m == 1, "x").otherwise(F.col("own_key"))).withColumn("narrative_hash", F.when(m == 2, "").when(m == 11, "z").otherwise("h")).withColumn("valid", m != 12).drop("m")
-    index = whole.withColumn("narrative_hash", F.when(m == 4, None).when(m == 10, "y").otherwise(F.col("narrative_hash"))).withColumn("prompt_version", F.when(m == 5, "").otherwise("v")).withColumn("own_key", F.when(m == 6, "x")).drop("m")
-    work = whole.withColumn("narrative_hash", F.when(m == 7, None).otherwise(F.col("narrative_hash"))).withColumn("prompt_version", F.when(m == 8, "").otherwise("v")).withColumn("own_key", F.when(m == 9, "x").otherwise(F.col("own_key")))
-    work = work.unionByName(work.where(m == 3)).drop("m")
-    return ledger.evidence_checks(art, index, work, base)
-
-
-OUTCOMES = ("wrong-version", "invalid-json", "unknown-mention", "not-queued", "no-op", "fingerprint-mismatch", "superseded", "applied")
-
-
-@FOUND("external_results", f"SELECT 'k' || c_custkey AS symbol_key, {pick_sql(OUTCOMES, 'c_custkey')} AS outcome FROM customer")
-def external_results(spark, d):
-    m = F.col("c_custkey") % 8
-    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("k"), text_of("c_custkey")).alias("symbol_key"))
-    results = rows.select("symbol_key", F.when(m == 0, "v0").otherwise("v2").alias("prompt_version"), (m != 1).alias("valid_json"), (m != 2).alias("known_mentions"), F.when(m == 5, "g").otherwise("f").alias("fingerprint"))
-    queue = rows.where(m != 3).select("symbol_key", F.when(m == 4, "done").otherwise("pending").alias("status"), F.lit("f").alias("fingerprint"), (m == 6).alias("stale"))
-    return ledger.external_results(results, queue, "v2")
-
-
 LINES = "list_slice(string_split(text, chr(10)), doc_id % 3 + 1, doc_id % 3 + 2)"
 
 

@@ -246,16 +246,6 @@ def narrative_rollup(spark, d):
     return cards.rollup(table(spark, d, "customer").select(F.col("c_nationkey").alias("path"), F.col("c_name").alias("symbol_key"), F.col("c_mktsegment").alias("summary")))
 
 
-@FOUND("narrative_acceptance", """SELECT CAST(c_custkey AS VARCHAR) AS symbol_key, CASE WHEN c_custkey % 10 = 0 THEN 'worklist-stale' WHEN c_custkey % 3 = 0 THEN 'missing-index' WHEN c_custkey % 4 = 1 THEN 'missing-artifact' WHEN c_custkey % 5 = 1 THEN 'artifact-index-mismatch' END AS reason FROM customer""")
-def narrative_acceptance(spark, d):
-    k = F.col("c_custkey")
-    base = table(spark, d, "customer").select(k, k.cast("string").alias("symbol_key"), F.lit("f").alias("fingerprint"))
-    work = base.select("symbol_key", "fingerprint", F.when(k % 10 == 0, "stale").otherwise("pending").alias("status"))
-    index = base.where(k % 3 != 0).select("symbol_key", "fingerprint", F.lit("enriched").alias("status"))
-    made = base.where(k % 4 != 1).select("symbol_key", F.when(k % 5 == 1, "g").otherwise("f").alias("fingerprint"), F.lit("s").alias("summary"))
-    return cards.accepted_narratives(made, index, work).select("symbol_key", "reason")
-
-
 @FOUND("retry_candidates", "SELECT user_id AS symbol_key, string_agg(event_type, ',' ORDER BY event_id) AS errors, max(CAST(floor(value) AS BIGINT)) AS attempts, arg_max(event_id, floor(value) * 1000000000 + event_id) AS entry FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id")
 def retry_candidates(spark, d):
     e = table(spark, d, "events").where("event_type in ('error', 'signup')")

@@ -188,16 +188,17 @@ class Refresher:
         last = delta.last_wins(versions.select("path", "seq", "content"), "path", "seq").select("path", "content")
         known = self.files.read()
         told = last.withColumn("hash", F.sha2("content", 256)).join(known.select("path", F.col("hash").alias("_old")), "path", "left")
-        changed = told.where(~F.col("hash").eqNullSafe(F.col("_old"))).select("path", "content", "hash")
+        scratch = Scratch(self.spark, "refresh")
+        changed = scratch.write(told.where(~F.col("hash").eqNullSafe(F.col("_old"))).select("path", "content", "hash"), "changed")
         if changed.isEmpty():
             return {}
-        now = self.symbols_of(changed.where("content is not null"))
+        now = scratch.write(self.symbols_of(changed.where("content is not null")), "now")
         paths = changed.select("path")
         then = self.symbols.read().join(paths, "path", "left_semi")
         old, new = then.select("path", "symbol_key", F.col("code_hash").alias("_old")), now.select("path", "symbol_key", F.col("code_hash").alias("_new"))
         both = old.join(new, ["path", "symbol_key"], "full")
         change = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "stale").otherwise("unchanged")
-        moved = both.select("path", "symbol_key", change.alias("change")).where("change <> 'unchanged'")
+        moved = scratch.write(both.select("path", "symbol_key", change.alias("change")).where("change <> 'unchanged'"), "moved")
         actions = F.when(F.col("change") == "new", F.array(F.lit("upsert"))).when(F.col("change") == "removed", F.array(F.lit("delete"))).otherwise(F.array(F.lit("delete"), F.lit("upsert")))
         done = lambda t: t.whole()["source"] == batch
         out = {}
