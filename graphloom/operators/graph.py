@@ -120,33 +120,87 @@ def related_symbols(edges: DataFrame, symbols: DataFrame, key: str, direction: s
     return met.join(symbols, "node_id")
 
 
-def closure(spark: SparkSession, edges: DataFrame, seeds, direction: str = "in", stop: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
-    """Id, distance and path (from the seed) of all that can be reached in ``rounds`` (None: all); nodes of ``stop`` (id) are reached but not left.
+def reached(spark: SparkSession, edges: DataFrame | None, seeds, direction: str = "in", stop: DataFrame | None = None, rounds: int | None = None, walk: DataFrame | None = None) -> DataFrame:
+    """Id, distance and parent of all that can be reached in ``rounds`` (None: all); nodes of ``stop`` (id) are reached but not left.
 
-    The parent of a node is the smallest key of the round before that has an edge to it. ``seeds`` may have a path of their own.
+    The parent of a node is the smallest key of the round before that has an edge to it, of a seed null: a row stays as narrow at any distance. ``walk`` stands
+    for ``edges`` in walking direction. Seeds that are at a stop are left, but not those with a path of their own.
     """
-    walk = directed(edges, direction).select("src", "dst").distinct()
+    walk = (directed(edges, direction) if walk is None else walk).select("src", "dst")
     start = ids_frame(spark, seeds)
     own = "path" in start.columns
-    start = start.select("id", F.lit(0).alias("hop"), "path" if own else F.array("id").alias("path"))
-    start = start.dropDuplicates(["id"]) if own else start.distinct()
+    start = start.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"))
     ends = None if stop is None else stop.select("id").distinct()
 
-    def step(frontier, reached, hop):
+    def step(frontier, known, hop):
         live = frontier if ends is None or hop == 1 and not own else frontier.join(ends, "id", "left_anti")
-        live = live.select(F.col("id").alias("src"), "path")
-        met = walk.join(live.select("src"), "src", "left_semi").join(live, "src")
-        found = met.groupBy(F.col("dst").alias("id")).agg(F.min_by("path", "src").alias("path"))
-        found = found.join(reached.select("id"), "id", "left_anti")
-        return found.select("id", F.lit(hop).alias("hop"), F.concat("path", F.array("id")).alias("path"))
+        met = walk.join(live.select(F.col("id").alias("src")), "src", "left_semi")
+        found = met.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        return found.join(known.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "parent")
 
     return frontier_loop(Scratch(spark, "closure"), start, step, rounds, "closure").withColumnRenamed("hop", "distance")
 
 
+def with_paths(spark: SparkSession, found: DataFrame, asked: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """The rows of ``reached`` whose ids are ``asked`` for (id; all if None), with their path from the seed; seeds (id, path) may have one of their own.
+
+    By pointer jumping: a round adds to each asked row the ancestors twice as far as those before, so a path of n steps takes log2(n) rounds, and
+    only asked rows ever hold more than one id.
+    """
+    scratch = Scratch(spark, "paths")
+    jump = scratch.write(found.where("parent is not null").select("id", F.col("parent").alias("to")), "jump-0")
+    own = found if asked is None else found.join(asked.select("id").distinct(), "id", "left_semi")
+    line, k = scratch.write(own.select(F.col("id").alias("of"), F.col("id").alias("at"), F.lit(0).alias("back")), "line-0"), 0
+    while not jump.isEmpty():
+        k += 1
+        further = line.join(jump, line["at"] == jump["id"]).select("of", F.col("to").alias("at"), (F.col("back") + (1 << (k - 1))).alias("back"))
+        line = scratch.write(line.unionByName(further), f"line-{k}")
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = scratch.write(a.join(b, F.col("a.to") == F.col("b.id")).select("a.id", "b.to"), f"jump-{k}")
+        scratch.drop(f"line-{k - 1}", f"jump-{k - 1}")
+    steps = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), "at"))), lambda x: x["at"])
+    paths = line.groupBy(F.col("of").alias("id")).agg(steps.alias("path"))
+    if seeds is not None and "path" in seeds.columns:
+        first = seeds.groupBy(F.col("id").alias("_root")).agg(F.min("path").alias("_own"))
+        paths = paths.join(first, F.col("path")[0] == F.col("_root"), "left").select("id", F.concat(F.coalesce("_own", F.slice("path", 1, 1)), F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))).alias("path"))
+    return own.join(paths, "id")
+
+
+def closure(spark: SparkSession, edges: DataFrame, seeds, direction: str = "in", stop: DataFrame | None = None, rounds: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Id, distance and path (from the seed) of what ``reached`` finds, for the ids that are ``asked`` for, all if None. ``seeds`` may have a path of their own."""
+    start = ids_frame(spark, seeds)
+    found = reached(spark, edges, start, direction, stop, rounds)
+    return with_paths(spark, found, asked, start).select("id", "distance", "path")
+
+
+def reach_of_many(spark: SparkSession, walk: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
+    """Seed, id and hop of all that each of many seeds (id) reaches along ``walk`` (src, dst), the seeds at hop 0, in one loop for all.
+
+    A row of the frontier is a node with a bitmap of 64 seeds: a node that many seeds reach is read once for each 64 of them, and their
+    bits are joined by or. A node's row of a round has the bits that are new to it.
+    """
+    scratch = Scratch(spark, "many")
+    from graphloom.operators.delta import numbered
+
+    named = scratch.write(numbered(seeds.select("id").distinct(), ["id"]).select("id", F.floor(F.col("_n") / 64).cast("int").alias("block"), (F.col("_n") % 64).cast("int").alias("bit")), "seeds")
+    edges = walk.select("src", "dst")
+    start = named.groupBy("block", "id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).select("id", F.lit(0).alias("hop"), "block", "bits")
+
+    def step(frontier, known, hop):
+        met = edges.join(frontier.select(F.col("id").alias("src"), "block", "bits"), "src").groupBy(F.col("dst").alias("id"), "block").agg(F.bit_or("bits").alias("got"))
+        before = known.join(met.select("id", "block"), ["id", "block"], "left_semi").groupBy("id", "block").agg(F.bit_or("bits").alias("had"))
+        new = met.join(before, ["id", "block"], "left").withColumn("bits", F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
+        return new.where("bits <> 0").select("id", F.lit(hop).alias("hop"), "block", "bits")
+
+    found = frontier_loop(scratch, start, step, hops, "many")
+    each = found.select("id", "hop", "block", F.explode(F.expr("filter(sequence(0, 63), b -> shiftrightunsigned(bits, b) & 1 = 1)")).alias("bit"))
+    return each.join(named.withColumnRenamed("id", "seed"), ["block", "bit"]).select("seed", "id", "hop")
+
+
 def walk_to_role(spark: SparkSession, edges: DataFrame, roles: DataFrame, seeds, role: str, direction: str = "out") -> DataFrame:
     """Key, role, distance and path of the nodes with a role where walks that stop at it arrive; a seed with the role is one, at 0."""
     at = roles.where(F.col("role") == role).select("id")
-    return closure(spark, edges, seeds, direction, at).join(at.distinct(), "id").select("id", F.lit(role).alias("role"), "distance", "path")
+    return closure(spark, edges, seeds, direction, at, asked=at).select("id", F.lit(role).alias("role"), "distance", "path")
 
 
 def known_role(roles: DataFrame, name: str, builtin) -> str:
@@ -159,8 +213,8 @@ def known_role(roles: DataFrame, name: str, builtin) -> str:
 def entrypoints(spark: SparkSession, edges: DataFrame, roles: DataFrame, seeds) -> DataFrame:
     """Entry points from which calls reach the seeds: id, role, layer, distance and path, from the complete reverse closure."""
     calls = edges.where("relation = 'calls'")
-    found = closure(spark, calls, seeds, "in").join(roles.select("id", "role", "layer"), "id")
-    return found.where(F.col("role").isin(*ENTRY_ROLES) | (F.col("layer") == ENTRY_LAYER)).select("id", "role", "layer", "distance", "path")
+    entries = roles.select("id", "role", "layer").where(F.col("role").isin(*ENTRY_ROLES) | (F.col("layer") == ENTRY_LAYER))
+    return closure(spark, calls, seeds, "in", asked=entries).join(entries, "id").select("id", "role", "layer", "distance", "path")
 
 
 def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most: int = 100) -> tuple[DataFrame, int, bool]:

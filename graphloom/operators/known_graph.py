@@ -214,7 +214,7 @@ def symbol_context(spark: SparkSession, g: KnownGraph, key: str, depth: str = "c
 def impact_scope(spark: SparkSession, g: KnownGraph, keys, depth: str = "compact", relations=RELATIONS) -> DataFrame:
     """node_id and hop of what reaches the symbols, with the native override; the symbols themselves are left out."""
     seeds = g.symbols.where(F.col("symbol_key").isin(list(keys))).select(F.col("node_id").alias("id"))
-    found = graph.closure(spark, g.walk.where(F.col("relation").isin(*relations)), seeds, "in", rounds=DEPTHS[depth][0])
+    found = graph.reached(spark, g.walk.where(F.col("relation").isin(*relations)), seeds, "in", rounds=DEPTHS[depth][0])
     return found.where("distance > 0").join(g.nodes.select("id"), "id", "left_semi").select(F.col("id").alias("node_id"), F.col("distance").alias("hop"))
 
 
@@ -239,7 +239,7 @@ def facts(spark: SparkSession, g: KnownGraph, target: str, depth: int = 1) -> Da
     calls = g.native.withColumn("relation", F.lit("calls"))
     rows = None
     for fact, direction in (("callers", "in"), ("callees", "out")):
-        part = graph.closure(spark, calls, [found], direction, rounds=depth).where("distance > 0").select(F.lit(fact).alias("fact"), F.col("id").alias("item"))
+        part = graph.reached(spark, calls, [found], direction, rounds=depth).where("distance > 0").select(F.lit(fact).alias("fact"), F.col("id").alias("item"))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.unionByName(g.bindings.where(F.col("path") == path).select(F.lit("imports").alias("fact"), F.col("symbol_key").alias("item")))
     exported = g.symbols.where("scope = 'exported' and node_kind = 'symbol'").join(into, "path").select("path", F.col("symbol_key").alias("item"))
@@ -338,7 +338,7 @@ def stop_at_role(spark: SparkSession, g: KnownGraph, target: str, role: str, dir
             lift = import_lift(g, incoming) if mode == "symbol" else g.imports.select(file_key("source").alias("source"), file_key("target").alias("target"))
             lift = lift.withColumn("relation", F.lit("imports"))
             edges = lift if edges is None else edges.unionByName(lift).distinct()
-        walked = graph.closure(spark, edges, start, "in" if incoming else "out", at, depth)
+        walked = graph.closure(spark, edges, start, "in" if incoming else "out", at, depth, asked=at)
     hits = walked.join(at, "id")
     member = mode == "symbol" and found.split("|")[3] == "member"
     if not member:
@@ -352,9 +352,9 @@ def entrypoints(spark: SparkSession, g: KnownGraph, target: str) -> DataFrame:
     """Id, role, layer, entry, distance and path of the entry points and controllers from which calls reach a target, from the complete reverse closure."""
     mode, found = resolved(g, target)
     calls = keyed(g, g.walk.where("relation = 'calls'"))
-    walked = graph.closure(spark, calls, seeds_of(g, mode, found), "in").join(effective_roles(g), "id")
     entry = F.coalesce(F.col("role").isin(*ENTRY_ROLES) | (F.col("layer") == ENTRY_LAYER), F.lit(False))
-    return walked.withColumn("entry", entry).where(F.col("entry") | (F.col("role") == CONTROLLER)).select("id", "role", "layer", "entry", "distance", "path")
+    entries = Scratch(spark, "entries").write(effective_roles(g).withColumn("entry", entry).where(F.col("entry") | (F.col("role") == CONTROLLER)), "at")
+    return graph.closure(spark, calls, seeds_of(g, mode, found), "in", asked=entries).join(entries, "id").select("id", "role", "layer", "entry", "distance", "path")
 
 
 # ── impact ─────────────────────────────────────────────────────────────────

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 
 from graphloom.session import Scratch
 
+#: Tables of rounds that are read together before they become one.
+MOST_TABLES = 32
 #: Rounds after which a loop that should have ended is an error.
 MOST_ROUNDS = 10_000
 
@@ -27,4 +29,7 @@ def frontier_loop(scratch: Scratch, seeds: DataFrame, step, rounds: int | None =
         new = step(frontier, reached, hop).select(*schema.names)
         frontier = scratch.write(new, f"{tag}-{hop}")
         paths.append(scratch.path(f"{tag}-{hop}"))
+        if len(paths) > MOST_TABLES:  # one table for all rounds but the last, so that long chains don't open ever more files
+            scratch.write(spark.read.schema(schema).parquet(*paths[:-1]), f"{tag}-all-{hop}")
+            paths = [scratch.path(f"{tag}-all-{hop}"), paths[-1]]
     return spark.read.schema(schema).parquet(*paths)

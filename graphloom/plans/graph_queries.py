@@ -128,13 +128,25 @@ c2 AS (SELECT DISTINCT w.source AS id, 2 AS distance FROM walk w JOIN c1 ON w.ta
 
 @plain("reverse_closure", CLOSED + "SELECT 'region|0' AS id, 0 AS distance UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2")
 def reverse_closure(spark, d):
-    return graph.closure(spark, graph_edges(spark, d, ("method", "imports_from")), ["region|0"], "in").select("id", "distance")
+    return graph.reached(spark, graph_edges(spark, d, ("method", "imports_from")), ["region|0"], "in").select("id", "distance")
 
 
 @plain("closure_paths", CLOSED + """SELECT c2.id, min('region|0>' || c1.id || '>' || c2.id) AS path FROM c2 JOIN walk w ON w.source = c2.id JOIN c1 ON c1.id = w.target GROUP BY c2.id""")
 def closure_paths(spark, d):
-    found = graph.closure(spark, graph_edges(spark, d, ("method", "imports_from")), ["region|0"], "in")
-    return found.where("distance = 2").select("id", F.array_join("path", ">").alias("path"))
+    found = graph.reached(spark, graph_edges(spark, d, ("method", "imports_from")), ["region|0"], "in").where("distance = 2")
+    found = graph.closure(spark, graph_edges(spark, d, ("method", "imports_from")), ["region|0"], "in", asked=found)
+    return found.select("id", F.array_join("path", ">").alias("path"))
+
+
+@plain("reach_counts", """, walk AS (SELECT DISTINCT target AS a, source AS b FROM edges WHERE relation IN ('method', 'imports_from', 'calls')), s AS (SELECT id FROM nodes WHERE kind IN ('region', 'nation', 'supplier')),
+h1 AS (SELECT DISTINCT s.id AS seed, w.b AS id FROM s JOIN walk w ON w.a = s.id), h2 AS (SELECT DISTINCT h1.seed, w.b AS id FROM h1 JOIN walk w ON w.a = h1.id), h3 AS (SELECT DISTINCT h2.seed, w.b AS id FROM h2 JOIN walk w ON w.a = h2.id)
+SELECT seed, count(*) AS n, sum(hop) AS hops FROM (SELECT seed, id, min(hop) AS hop FROM (SELECT id AS seed, id, 0 AS hop FROM s UNION ALL SELECT seed, id, 1 FROM h1 UNION ALL SELECT seed, id, 2 FROM h2 UNION ALL SELECT seed, id, 3 FROM h3) GROUP BY 1, 2) GROUP BY seed""")
+def reach_counts(spark, d):
+    """How much depends on each region, nation and supplier, for all of them in one loop."""
+    g = stored_graph(spark, d)
+    seeds = g.read("nodes").where("kind in ('region', 'nation', 'supplier')").select("id")
+    walk = g.read("in").where("relation in ('method', 'imports_from', 'calls')")
+    return graph.reach_of_many(spark, walk, seeds, 3).groupBy("seed").agg(F.count("*").alias("n"), F.sum("hop").alias("hops"))
 
 
 def order_roles(spark, d):
