@@ -69,9 +69,14 @@ def primary_ids(rows: DataFrame, key: str, id_: str) -> DataFrame:
 
 
 def halted(rows: DataFrame, key: str, seq: str, failed: Column) -> DataFrame:
-    """Outcome of each row: halted after the first failure of its key, else failed or done."""
-    before = F.max(failed.cast("int")).over(Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("outcome", F.when(F.coalesce(before, F.lit(0)) == 1, "halted").when(failed, "failed").otherwise("done"))
+    """Outcome of each row: halted after the first failure of its key (by seq; rows of that seq are not after it), else failed or done.
+
+    The first failures are one row a key, counted in the tasks first, so that a key with very many rows is many tasks' work: it is no window of one task.
+    """
+    flag = F.coalesce(failed, F.lit(False))
+    first = rows.where(flag).groupBy(F.col(key).alias("_key")).agg(F.min(seq).alias("_first"))
+    met = rows.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return met.withColumn("outcome", F.when(F.col(seq) > F.col("_first"), "halted").when(flag, "failed").otherwise("done")).drop("_key", "_first")
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:

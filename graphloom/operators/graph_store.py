@@ -115,6 +115,14 @@ class BucketTable:
             live = F.col(GEN).isin(*set(gens.values())) & (F.col(GEN) == F.element_at(F.array(*[F.lit(gens.get(b, -1)).cast("long") for b in range(self.buckets)]), self.bucket() + 1))
         return rows.where(live).drop(GEN)
 
+    def read_keys(self, keys: DataFrame, version: dict | None = None) -> DataFrame:
+        """The rows of the buckets that ``keys`` (the key column) fall into: no other file is opened. At most one number a bucket comes to the driver."""
+        version = version or self.whole()
+        schema = StructType.fromJson(version["schema"])
+        hit = {str(r.b) for r in keys.select(self.bucket().alias("b")).distinct().collect()}
+        paths = [f"{self.data}/{version['entries'][b]['file']}" for b in sorted(hit) if b in version["entries"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def put(self, rows: DataFrame, changed: set[str], digests: dict[str, str], found: dict | None, base: dict | None, source: str | None) -> list[int]:
         """Write the whole new rows of the changed buckets as one generation and commit; the buckets' numbers."""
         schema, entries = rows.schema, dict(base["entries"]) if base else {}
@@ -155,9 +163,8 @@ class BucketTable:
             raise ValueError(f"{self.path}: no version that fits")
         gone = changes.select(*on) if removed is None else changes.select(*on).unionByName(removed.select(*on))
         touched = {str(r.b) for r in gone.select(self.bucket().alias("b")).distinct().collect()}
-        paths = [f"{self.data}/{base['entries'][b]['file']}" for b in touched if b in base["entries"]]
         schema = StructType.fromJson(base["schema"])
-        old = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        old = self.read_keys(gone, base)
         marks = gone.distinct()
         same = [old[c].eqNullSafe(marks[c]) for c in on]
         new = old.join(marks, same, "left_anti").unionByName(changes.select(*schema.names))

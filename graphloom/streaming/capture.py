@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import mask_args, redact_private, summarised
+from graphloom.session import Scratch
 
 EVENT = "type string, ts long, sessionId string, projectId string, content string, toolName string, argsSafe string, resultSummary string, durationMs long"
 
@@ -60,8 +61,22 @@ def heartbeat(rows: DataFrame, now: str, stale_s: int = 300) -> DataFrame:
 
 
 def sessions_by_gap(events: DataFrame, gap_s: int, key: str, time: str, order: str) -> DataFrame:
-    """Key, session number, start, end and events of runs without a gap over ``gap_s``."""
-    w = Window.partitionBy(key).orderBy(time, order)
-    new = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp")) > gap_s * 1_000_000
-    rows = events.withColumn("session", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
-    return rows.groupBy(key, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("events"))
+    """Key, session number, start, end and events of runs without a gap over ``gap_s``.
+
+    A scan in two steps: rows lie in ranges of (key, time, order), each range finds the sessions that begin inside it, and one row for each key and range
+    carries the last time and the number of sessions on to the next. So a key with very many rows is the work of as many tasks as it has ranges.
+    """
+    ranged = events.repartitionByRange(key, time, order).withColumn("_range", F.spark_partition_id())
+    held = Scratch(events.sparkSession, "sessions").write(ranged.select(key, time, order, "_range"), "ranged")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    own = Window.partitionBy(key, "_range").orderBy(time, order)
+    new = micros(time) - F.lag(micros(time)).over(own) > gap_s * 1_000_000
+    rows = held.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("_in", F.sum("_new").over(own))
+    carry = rows.groupBy(F.col(key).alias("_key"), "_range").agg(F.min(time).alias("_low"), F.max(time).alias("_high"), F.sum("_new").alias("_inside"))
+    along = Window.partitionBy("_key").orderBy("_range")
+    apart = micros("_low") - micros("_before") > gap_s * 1_000_000
+    carry = carry.withColumn("_before", F.lag("_high").over(along)).withColumn("_first", F.coalesce(apart, F.lit(True)).cast("int"))
+    upto = F.sum(F.col("_first") + F.col("_inside")).over(along) - F.col("_inside")
+    carry = carry.select("_key", F.col("_range").alias("_r"), upto.alias("_upto"))
+    whole = rows.join(carry, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r"))).withColumn("session", F.col("_in") + F.col("_upto"))
+    return whole.groupBy(key, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("events"))
