@@ -112,11 +112,29 @@ def merge(old: DataFrame, new: DataFrame, key: str, keep=(), version: str | None
     return o.join(n, key, "full").select(key, *out)
 
 
-def merge_worklists(disk: DataFrame, memory: DataFrame) -> DataFrame:
-    """Rows by symbol_key; ``enriched`` on disk beats memory unless memory gives a stale_reason."""
-    d, m = disk.select("symbol_key", F.struct("*").alias("d")), memory.select("symbol_key", F.struct("*").alias("m"))
-    keep = F.col("m").isNull() | (F.col("d.status") == "enriched") & F.col("m.stale_reason").isNull()
-    return d.join(m, "symbol_key", "full").select("symbol_key", F.when(F.coalesce(keep, F.lit(False)), F.col("d.status")).otherwise(F.col("m.status")).alias("status"))
+# Reasons for which an entry in memory may take back an enriched one on disk.
+STALE_REASONS = ("narrative-hash-changed", "narrative-hash-missing", "callee-summary-changed", "queued-fingerprint-mismatch")
+
+
+def merge_worklists(disk: DataFrame, memory: DataFrame, reasons: tuple[str, ...] = STALE_REASONS) -> DataFrame:
+    """Rows by symbol_key with all their columns: an entry in memory takes the disk's columns where that is ``enriched`` and its own status isn't.
+
+    Memory keeps its own where it is stale for one of ``reasons``. What only one side has keeps its values; of an entry on both sides
+    columns that only the disk has are the disk's.
+    """
+    names = [*dict.fromkeys([*memory.columns, *disk.columns])]
+    names.remove("symbol_key")
+    d, m = disk.select("symbol_key", F.struct(*[c for c in disk.columns if c != "symbol_key"]).alias("d")), memory.select("symbol_key", F.struct(*[c for c in memory.columns if c != "symbol_key"]).alias("m"))
+    told = (F.col("m.status") == "stale") & F.col("m.stale_reason").isin(*reasons)
+    held = (F.col("d.status") == "enriched") & ~F.coalesce(F.col("m.status").isin("enriched", "already_enriched"), F.lit(False)) & ~F.coalesce(told, F.lit(False))
+    keep = F.coalesce(F.col("m").isNull() | held, F.lit(False))
+    both = d.join(m, "symbol_key", "full")
+
+    def one(c):
+        a, b = (F.col(f"{p}.{c}") if c in df.columns else None for p, df in (("d", disk), ("m", memory)))
+        return (a if b is None else F.when(keep, F.col("d")[c] if a is not None else b).otherwise(b) if a is not None else F.when(F.col("m").isNotNull(), b)).alias(c)
+
+    return both.select("symbol_key", *[one(c) for c in names])
 
 
 def errors_merged(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -341,12 +341,16 @@ def call_levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def minimap(file_edges: DataFrame, modules: int = 14, imports: int = 4) -> DataFrame:
-    """The ``modules`` files that most import edges lead to: path, fan_in (edges), fan_out (distinct files) and their first imports."""
-    into = file_edges.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("fan_in"))
-    out = file_edges.groupBy(F.col("source").alias("path")).agg(F.count_distinct("target").alias("fan_out"))
+    """The ``modules`` files that most import edges lead to: path, fan_in (edges), fan_out (distinct files) and their first imports.
+
+    The edges are read once: the number of each pair is written, and all three come from that.
+    """
+    counted = Scratch(file_edges.sparkSession, "minimap").write(file_edges.groupBy("source", "target").agg(F.count("*").alias("n")), "pairs")
+    into = counted.groupBy(F.col("target").alias("path")).agg(F.sum("n").alias("fan_in"))
+    out = counted.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("fan_out"))
     both = into.join(out, "path", "full").select("path", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
     top = both.orderBy(F.desc("fan_in"), F.desc("fan_out"), "path").limit(modules)
-    pairs = file_edges.groupBy(F.col("source").alias("path"), "target").agg(F.count("*").alias("n")).join(F.broadcast(top.select("path")), "path")
+    pairs = counted.withColumnRenamed("source", "path").join(F.broadcast(top.select("path")), "path")
     first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "target"))).where(F.col("_r") <= imports)
     lists = first.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "target"))), lambda x: x["target"]).alias("first_imports"))
     return top.join(lists, "path", "left").withColumn("first_imports", F.coalesce("first_imports", F.array().cast("array<string>")))

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import col, normal_path
-from graphloom.functions.text import cosine, estimated_tokens, invalidated_kinds, line_slice
+from graphloom.functions.text import cosine, estimated_tokens, line_slice
 from graphloom.operators import delta
 
 # Words that branch, states of a queue, the files that project contexts follow, rounds of the retry loop.
 BRANCH = r"\b(if|else|for|while|switch|case|catch|except|elif|match|when)\b|\?|&&|\|\|"
 QUEUE_STATES = ("pending", "in_progress", "done", "error")
-TRACKED = ("package.json", "README.md", "AGENTS.md")
 RETRY_ROUNDS = 5
 TRIVIAL_LINES = 4
 
@@ -129,13 +128,6 @@ def semantic_jobs(worklist: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("symbol_key", code.alias("code"), estimated_tokens(code).alias("tokens"))
 
 
-def invalidated_contexts(previous: DataFrame, current: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Kind and rewrite of each context: whether a tracked file (path, hash) that it follows has changed."""
-    changed = delta.changed_files(previous, current).where(F.col("path").isin(*TRACKED))
-    kinds = changed.select(F.explode(invalidated_kinds("path")).alias("kind")).distinct().withColumn("_hit", F.lit(True))
-    return contexts.join(kinds, "kind", "left").select("kind", F.coalesce("_hit", F.lit(False)).alias("rewrite"))
-
-
 def all_stale(worklist: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the worklist with enriched rows stale, delete operations for them)."""
     gone = worklist.where("status = 'enriched'").select("symbol_key", F.lit("delete").alias("action"))
@@ -201,6 +193,14 @@ def error_search(errors: DataFrame, projects: DataFrame, question: str, limit: i
     return project_errors(errors, projects).join(F.broadcast(best), "id").select("id", "name", "message", "score")
 
 
+def promoted_errors(errors: DataFrame, least: int = 2) -> DataFrame:
+    """content_hash, message, projects, n and first_seen of the errors that at least ``least`` projects have recorded, by the hash of ``delta.errors_merged``."""
+    key = F.sha2(F.concat_ws("\0", F.trim("message"), F.coalesce(F.trim("cause"), F.lit(""))), 256)
+    rows = errors.select(key.alias("content_hash"), "message", "project_id", "created_at")
+    found = rows.groupBy("content_hash").agg(F.min(F.trim("message")).alias("message"), F.count_distinct("project_id").alias("projects"), F.count("*").alias("n"), F.min("created_at").alias("first_seen"))
+    return found.where(F.col("projects") >= least)
+
+
 def session_ledger(prompts: DataFrame, responses: DataFrame, calls: DataFrame, summaries: DataFrame) -> DataFrame:
     """session_id, seq, kind, text of all four tables in order of created_at; of equal times prompts first, then responses, calls, summaries."""
     out = None
@@ -245,11 +245,6 @@ def narrative_prompt(key, code, callees, version: str) -> Column:
     return F.concat_ws("\n", F.lit(f"Prompt {version}"), F.concat(F.lit("Symbol: "), col(key)), F.lit("Callees:"), F.when(lines != "", lines), F.lit("Code:"), col(code))
 
 
-def open_or_rebuild(spark: SparkSession, meta: DataFrame, content_hash: str, schema_version: int) -> bool:
-    """Whether a graph must be built again: no row of ``meta`` has this content hash and version."""
-    return meta.where((F.col("content_hash") == content_hash) & (F.col("schema_version") == schema_version)).isEmpty()
-
-
 def loaded_graph(nodes: DataFrame, edges: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): of rows of one id the last by seq wins, paths get slashes, a summary is the index's, else the node's, else empty."""
     last = nodes.groupBy("id").agg(F.max_by(F.struct(*[c for c in nodes.columns if c != "id"]), "seq").alias("x")).select("id", "x.*").drop("seq")

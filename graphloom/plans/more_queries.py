@@ -189,16 +189,6 @@ def keyed_upserts(spark, d):
     return delta.merge(old, new, "id", version="version")
 
 
-@FOUND("worklists_merged", "SELECT 'k' || c_custkey AS symbol_key, CASE WHEN c_custkey % 2 = 1 THEN 'memory' WHEN c_custkey % 4 = 0 AND c_custkey % 3 <> 0 THEN 'enriched' WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 'enriched' ELSE 'disk' END ELSE 'memory' END AS status FROM customer")
-def worklists_merged(spark, d):
-    k = F.col("c_custkey")
-    rows = table(spark, d, "customer").select(k, F.concat(F.lit("k"), text_of("c_custkey")).alias("symbol_key"))
-    disk = rows.where(k % 2 == 0).select("symbol_key", F.when(k % 4 == 0, "enriched").otherwise("disk").alias("status"))
-    held = rows.where((k % 2 == 1) | (k % 5 != 0)).select("symbol_key", F.lit("memory").alias("status"), F.when(k % 3 == 0, "changed").alias("stale_reason"))
-    held = held.unionByName(rows.where((k % 2 == 0) & (k % 5 == 0) & (k % 4 == 0) & (k % 3 == 0)).select("symbol_key", F.lit("enriched").alias("status"), F.lit("changed").alias("stale_reason")))
-    return delta.merge_worklists(disk, held)
-
-
 @FOUND("incremental_refresh", "SELECT 'k' || c_custkey AS symbol_key, a AS action FROM customer, (SELECT unnest(['upsert', 'delete']) AS a) WHERE (a = 'upsert' AND c_custkey % 7 = 0) OR (a = 'delete' AND c_custkey % 7 <> 0 AND c_custkey % 5 = 0) OR (c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 = 0)")
 def incremental_refresh(spark, d):
     k = F.col("c_custkey")
@@ -335,13 +325,6 @@ def semantic_jobs(spark, d):
     return ledger.semantic_jobs(work, docs.select("path", "content")).withColumnRenamed("symbol_key", "doc_id")
 
 
-@FOUND("context_rewrites", "SELECT k AS kind, k IN ('stack-runtime', 'dependencies-summary', 'integrations-summary') AS rewrite FROM (SELECT unnest(['stack-runtime', 'dependencies-summary', 'integrations-summary', 'technical-rules', 'project-requirements', 'architecture-target']) AS k)")
-def context_rewrites(spark, d):
-    snap = spark.createDataFrame([("package.json", "a"), ("README.md", "a"), ("src/a.ts", "a")], "path string, hash string")
-    kinds = spark.createDataFrame([(k,) for k in (*T.PACKAGE_CONTEXTS, *T.INSTRUCTION_CONTEXTS, "architecture-target")], "kind string")
-    return ledger.invalidated_contexts(snap, snap.withColumn("hash", F.when(F.col("path") != "README.md", "b").otherwise("a")), kinds)
-
-
 @FOUND("everything_stale", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'stale' ELSE 'pending' END AS status, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS deletes FROM orders GROUP BY 1")
 def everything_stale(spark, d):
     work = table(spark, d, "orders").select(text_of("o_orderkey").alias("symbol_key"), F.when(F.col("o_orderstatus") == "F", "enriched").otherwise("pending").alias("status"))
@@ -404,12 +387,14 @@ def backfill_skips(spark, d):
     return backfill(spark, d)[1]
 
 
-@FOUND("graph_delta_merge", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS label FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0")
+@FOUND("graph_delta_merge", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS label, 'node' AS part FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0 UNION ALL SELECT c_custkey, CAST(c_custkey % 10 AS VARCHAR), 'edge' FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 7 = 0")
 def graph_delta_merge(spark, d):
     k = F.col("c_custkey")
     rows = table(spark, d, "customer").select(k.alias("id"))
-    none = spark.createDataFrame([], "source string, target string, relation string")
-    return delta.graph_merged(rows.where("id % 5 <> 0").withColumn("label", F.lit("old")), rows.where("id % 3 = 0").withColumn("label", F.lit("new")), none, none)[0]
+    edge = lambda on: rows.where(on).select(text_of("id").alias("source"), (k % 10).cast("string").alias("target"), F.lit("calls").alias("relation"))
+    rows = rows.withColumn("c_custkey", F.col("id"))
+    nodes, edges = delta.graph_merged(rows.where("id % 5 <> 0").select("id", F.lit("old").alias("label")), rows.where("id % 3 = 0").select("id", F.lit("new").alias("label")), edge("id % 2 = 0"), edge("id % 7 = 0"))
+    return nodes.withColumn("part", F.lit("node")).unionByName(edges.select(F.col("source").cast("long").alias("id"), F.col("target").alias("label"), F.lit("edge").alias("part")))
 
 
 @FOUND("top_callers_and_prompts", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'a,b' ELSE 'a,b,x,y,z' END AS callers, 'Prompt v2' || chr(10) || 'Symbol: ' || o_orderpriority || chr(10) || 'Callees:' || chr(10) || '- c1' || chr(10) || 'Code:' || chr(10) || 'x' AS prompt FROM orders""")
@@ -561,13 +546,15 @@ def rule_sentences(spark, d):
     return files.rule_sentences(table(spark, d, "nation").select(F.concat(F.lit("Some words. Use "), "n_name", F.lit(". Avoid it. Useful things too.")).alias("value")))
 
 
-@FOUND("loaded_graph", "SELECT c_nationkey AS id, max(c_custkey) AS last, 'src/' || c_nationkey AS source_file, CASE WHEN c_nationkey % 2 = 0 THEN 'index' WHEN max(c_custkey) % 2 = 0 THEN 'node' ELSE '' END AS summary FROM customer GROUP BY c_nationkey")
+@FOUND("loaded_graph", "SELECT c_nationkey AS id, max(c_custkey) AS last, 'src/' || c_nationkey AS source_file, CASE WHEN c_nationkey % 2 = 0 THEN 'index' WHEN max(c_custkey) % 2 = 0 THEN 'node' ELSE '' END AS summary, count(DISTINCT c_mktsegment) AS edges FROM customer GROUP BY c_nationkey")
 def loaded_graph(spark, d):
     k = F.col("c_custkey")
     nodes = table(spark, d, "customer").select(F.col("c_nationkey").alias("id"), k.alias("seq"), k.alias("last"), F.concat(F.lit("src\\"), text_of("c_nationkey")).alias("source_file"), F.when(k % 2 == 0, "node").alias("summary"))
     index = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("graph_node_id"), F.lit("index").alias("summary"), F.lit("k").alias("symbol_key"))
-    none = spark.createDataFrame([], "source string, target string, relation string")
-    return ledger.loaded_graph(nodes, none, index)[0].select("id", "last", "source_file", "summary")
+    twice = table(spark, d, "customer").select(text_of("c_nationkey").alias("source"), text_of("c_mktsegment").alias("target"), F.lit("calls").alias("relation"))
+    nodes, edges = ledger.loaded_graph(nodes, twice, index)
+    out = edges.groupBy(F.col("source").cast("long").alias("id")).agg(F.count("*").alias("edges"))
+    return nodes.join(out, "id", "left").select("id", "last", "source_file", "summary", "edges")
 
 
 @FOUND("structure_facts", "WITH f AS (SELECT (['src/', 'tests/', '', 'lib/x/'])[p_partkey % 4 + 1] || 'f' || p_partkey || (['.ts', '.py', '', '.test.js'])[p_partkey // 4 % 4 + 1] AS path FROM part) SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS folder, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+\\.([^.]+)$', 1)) AS extension, count(*) AS files, count(*) FILTER (regexp_matches(path, '(^|/)tests?/|\\.(test|spec)\\.[^/.]+$')) AS tests FROM f GROUP BY 1, 2")
