@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from graphloom.operators.graph import directed
+from graphloom.session import Scratch
 
 GEN = "_gen"
 
@@ -188,6 +189,7 @@ class StoredGraph:
     """Nodes by id, and edges by the end that a walk leaves, once for each direction; a version of the graph names one of each."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, schema_version: int = 1):
+        self.spark = spark
         part = lambda name, key: BucketTable(spark, f"{path.rstrip('/')}/{name}", key, buckets, schema_version)
         self.parts = {"nodes": part("nodes", "id"), "out": part("out", "src"), "in": part("in", "src")}
         self.versions = Manifests(spark, f"{path.rstrip('/')}/manifest")
@@ -202,9 +204,14 @@ class StoredGraph:
         """Make the store hold a graph; the buckets of each table that were rewritten. Of nodes with one id the last by ``seq``, where there is one, stays."""
         if "seq" in nodes.columns:
             nodes = nodes.groupBy("id").agg(F.max_by(F.struct(*[c for c in nodes.columns if c != "id"]), "seq").alias("x")).select("id", "x.*").drop("seq")
+        if source is not None and self.versions.last() and all((t.whole() or {}).get("source") == source for t in self.parts.values()):
+            return {name: [] for name in self.parts}
+        scratch = Scratch(self.spark, "store")  # each is read several times
+        nodes, edges = scratch.write(nodes, "nodes"), scratch.write(edges.select("source", "target", "relation").distinct(), "edges")
         done = {"nodes": self.parts["nodes"].open_or_rebuild(nodes, source)}
-        done |= {way: self.parts[way].open_or_rebuild(directed(edges, way).distinct(), source) for way in ("out", "in")}
+        done |= {way: self.parts[way].open_or_rebuild(directed(edges, way), source) for way in ("out", "in")}
         self._commit()
+        scratch.drop("nodes", "edges")
         return done
 
     def merge(self, nodes: DataFrame, edges: DataFrame, removed: DataFrame | None = None) -> dict[str, list[int]]:
