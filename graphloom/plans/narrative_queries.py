@@ -9,25 +9,28 @@ from graphloom.plans.registering import Registry
 from graphloom.session import table
 
 FOUND = Registry()
-K = F.col("c_custkey")
+
+
+def k():
+    return F.col("c_custkey")
 
 
 def on(p: int):
     """A flag of a customer, in Spark; ``c_custkey % p = 1`` in SQL. Flags of different primes are independent."""
-    return K % p == 1
+    return k() % p == 1
 
 
 KEY_SQL = "'ts|src/c' || c_custkey || '.ts|function|exported|f' || c_custkey || '|0'"
 
 
 def key():
-    return F.concat(F.lit("ts|src/c"), K.cast("string"), F.lit(".ts|function|exported|f"), K.cast("string"), F.lit("|0"))
+    return F.concat(F.lit("ts|src/c"), k().cast("string"), F.lit(".ts|function|exported|f"), k().cast("string"), F.lit("|0"))
 
 
 def content(bad):
     """A narrative that mentions its own symbol; a bad one mentions another."""
     mention = F.when(bad, "nothing").otherwise(F.col("symbol_key"))
-    return F.concat(F.lit('{"summary":"does '), K.cast("string"), F.lit('","behavior":[],"sideEffects":["x"],"errors":[],"contracts":[],"changeNotes":"","mentions":["'), mention, F.lit('"]}'))
+    return F.concat(F.lit('{"summary":"does '), k().cast("string"), F.lit('","behavior":[],"sideEffects":["x"],"errors":[],"contracts":[],"changeNotes":"","mentions":["'), mention, F.lit('"]}'))
 
 
 def evidence(df, missing, invalid, other_key, other_hash):
@@ -47,8 +50,8 @@ ARTIFACT_SQL = " ".join(f"WHEN c_custkey % {p} = 1 THEN '{r}'" for p, r in ((11,
 
 
 def prepared(spark, d):
-    base = table(spark, d, "customer").select(K, key().alias("symbol_key"))
-    index = evidence(base.where(K % 5 != 2), on(41), on(43), on(47), on(71))
+    base = table(spark, d, "customer").select(k(), key().alias("symbol_key"))
+    index = evidence(base.where(k() % 5 != 2), on(41), on(43), on(47), on(71))
     work = evidence(base, on(53), on(59), on(61), on(79))
     return base, artifacts(base), index, work.unionByName(evidence(base.where(on(37)), on(53), on(59), on(61), on(79)))
 
@@ -78,13 +81,13 @@ WHEN c_custkey % 3 <> 0 AND c_custkey % 23 = 1 THEN 'unsupported-prompt-version'
 WHEN c_custkey % 2 = 1 THEN CASE WHEN c_custkey % 41 = 1 THEN 'invalid-evidence' WHEN c_custkey % 43 = 1 THEN 'evidence-of-another-key' WHEN c_custkey % 3 = 0 OR c_custkey % 47 = 1 THEN 'evidence-of-another-version' WHEN c_custkey % 53 = 1 THEN 'source-unavailable' WHEN c_custkey % 59 = 1 THEN 'fingerprint-mismatch' WHEN c_custkey % 7 = 1 THEN 'superseded' ELSE 'applied' END ELSE 'applied' END AS outcome FROM customer)
 SELECT entry_id, outcome, CASE WHEN outcome = 'applied' THEN 'done' WHEN outcome NOT IN ('not-found', 'already-done') THEN 'error' END AS entry_status, CASE WHEN outcome = 'applied' THEN 'enriched' WHEN outcome IN ('invalid-evidence', 'evidence-of-another-key', 'evidence-of-another-version', 'source-unavailable', 'fingerprint-mismatch') THEN 'stale' END AS symbol_status FROM r""")
 def external_results(spark, d):
-    base = table(spark, d, "customer").select(K, K.alias("entry_id"), key().alias("symbol_key"))
+    base = table(spark, d, "customer").select(k(), k().alias("entry_id"), key().alias("symbol_key"))
     text = F.when(on(17), None).when(on(19), "  ").when(on(31), "{").otherwise(content(on(37)))
     given = base.select("entry_id", text.alias("content"))
-    told = K % 3 != 0
+    told = k() % 3 != 0
     queue = base.where(~on(11)).select(
         "entry_id", "symbol_key", F.when(on(13), "done").otherwise("queued").alias("status"), F.when(told, F.when(on(23), "v1").otherwise("v2")).alias("prompt_version"), F.when(told, F.when(on(29), "{}").otherwise("S")).alias("schema"),
-        F.array("symbol_key").alias("known_keys"), (K % 2 == 1).alias("has_evidence"), F.when(on(41), "").otherwise("h").alias("e_narrative_hash"), F.when(on(47), "v9").otherwise("v2").alias("e_prompt_version"), F.create_map("symbol_key", F.lit("c")).alias("e_callees"), F.when(on(43), "x").otherwise(F.col("symbol_key")).alias("e_own_key"),
+        F.array("symbol_key").alias("known_keys"), (k() % 2 == 1).alias("has_evidence"), F.when(on(41), "").otherwise("h").alias("e_narrative_hash"), F.when(on(47), "v9").otherwise("v2").alias("e_prompt_version"), F.create_map("symbol_key", F.lit("c")).alias("e_callees"), F.when(on(43), "x").otherwise(F.col("symbol_key")).alias("e_own_key"),
     )
     work = base.select("symbol_key", F.when(on(7), "stale").otherwise("queued").alias("status"))
     now = base.where(~on(53)).select("symbol_key", F.when(on(59), "g").otherwise("h").alias("narrative_hash"))
@@ -94,10 +97,10 @@ def external_results(spark, d):
 
 def card_tables(spark, d):
     """Customers are symbols of their nation's community; some have two nodes, another file than their key's, a C# key, or no community."""
-    own = F.when(on(17), F.concat(F.lit("csharp|src/c"), K.cast("string"), F.lit(".ts||C|class|C|()"))).otherwise(key())
-    base = table(spark, d, "customer").select(K, "c_nationkey", own.alias("symbol_key"), F.concat(F.lit("src\\c"), K.cast("string"), F.lit(".ts")).alias("source_file"))
-    node = base.select(F.concat(F.lit("n"), K.cast("string")).alias("id"), "symbol_key", F.when(on(13), "src/else.ts").otherwise(F.col("source_file")).alias("source_file"), F.when(on(19), "doc").otherwise("symbol").alias("node_kind"), F.when(~on(23), F.col("c_nationkey")).alias("community"))
-    twice = base.where(on(11)).select(F.concat(F.lit("m"), K.cast("string")).alias("id"), "symbol_key", "source_file", F.lit("symbol").alias("node_kind"), F.col("c_nationkey").alias("community"))
+    own = F.when(on(17), F.concat(F.lit("csharp|src/c"), k().cast("string"), F.lit(".ts||C|class|C|()"))).otherwise(key())
+    base = table(spark, d, "customer").select(k(), "c_nationkey", own.alias("symbol_key"), F.concat(F.lit("src\\c"), k().cast("string"), F.lit(".ts")).alias("source_file"))
+    node = base.select(F.concat(F.lit("n"), k().cast("string")).alias("id"), "symbol_key", F.when(on(13), "src/else.ts").otherwise(F.col("source_file")).alias("source_file"), F.when(on(19), "doc").otherwise("symbol").alias("node_kind"), F.when(~on(23), F.col("c_nationkey")).alias("community"))
+    twice = base.where(on(11)).select(F.concat(F.lit("m"), k().cast("string")).alias("id"), "symbol_key", "source_file", F.lit("symbol").alias("node_kind"), F.col("c_nationkey").alias("community"))
     return base, node.unionByName(twice)
 
 
@@ -115,7 +118,7 @@ told AS (SELECT owner, k, key, CASE WHEN hits <> 1 THEN 'symbol-not-in-community
 """ + TOLD_SQL)
 def community_cards(spark, d):
     base, nodes = card_tables(spark, d)
-    told = base.where((K % 2 == 0) | on(29)).select(F.col("c_nationkey").alias("community"), "symbol_key", content(on(29)).alias("content"))
+    told = base.where((k() % 2 == 0) | on(29)).select(F.col("c_nationkey").alias("community"), "symbol_key", content(on(29)).alias("content"))
     return narratives.community_cards(base.select(F.col("c_nationkey").alias("community"), F.col("source_file").alias("path")), nodes, told, base).withColumnRenamed("community", "owner")
 
 
@@ -127,9 +130,9 @@ told AS (SELECT owner, k, key, CASE WHEN k % 3 = 0 OR hits <> 1 THEN 'symbol-not
 def feature_cards(spark, d):
     base, nodes = card_tables(spark, d)
     feature = F.concat(F.lit("f"), F.col("c_nationkey").cast("string"))
-    member = F.when(K % 3 == 0, F.concat(F.lit("file|"), F.when(K % 2 == 0, F.col("source_file")).otherwise(F.replace("source_file", F.lit("\\"), F.lit("/"))))).otherwise(F.col("symbol_key"))
-    members = base.select(feature.alias("feature"), member.alias("member")).unionByName(base.where(K % 5 == 0).select(feature.alias("feature"), F.concat(F.lit("word "), K.cast("string")).alias("member")))
-    told = base.where((K % 2 == 0) | on(29)).select(feature.alias("feature"), "symbol_key", content(on(29)).alias("content"))
+    member = F.when(k() % 3 == 0, F.concat(F.lit("file|"), F.when(k() % 2 == 0, F.col("source_file")).otherwise(F.replace("source_file", F.lit("\\"), F.lit("/"))))).otherwise(F.col("symbol_key"))
+    members = base.select(feature.alias("feature"), member.alias("member")).unionByName(base.where(k() % 5 == 0).select(feature.alias("feature"), F.concat(F.lit("word "), k().cast("string")).alias("member")))
+    told = base.where((k() % 2 == 0) | on(29)).select(feature.alias("feature"), "symbol_key", content(on(29)).alias("content"))
     return narratives.feature_cards(members, nodes, told, base).withColumnRenamed("feature", "owner")
 
 

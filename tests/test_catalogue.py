@@ -47,3 +47,13 @@ def test_entry_without_the_training_data_operators(spark, sf_dir):
 
     assert set(catalogue.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["id", "hop"]
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True)
+    assert run.returncode == 0 and int(run.stdout.split()[0]) > 200, run.stderr
