@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import context_queries, graph_queries, known_queries, lexical_queries, more_queries, narrative_queries, rule_queries, stateful_queries, table_queries
+from graphloom.plans import context_queries, graph_queries, hash_queries, known_queries, lexical_queries, more_queries, narrative_queries, rule_queries, stateful_queries, table_queries
 
-PARTS = (graph_queries, known_queries, table_queries, rule_queries, more_queries, lexical_queries, stateful_queries, narrative_queries, context_queries)
+PARTS = (graph_queries, known_queries, table_queries, rule_queries, more_queries, lexical_queries, stateful_queries, narrative_queries, context_queries, hash_queries)
 
 
 def queries():

@@ -35,6 +35,8 @@ def test_narrative_fingerprints(spark):
     text = '["x",null,{"evidence":[{"a":2,"b":1}],"role":"service"},[["a|k","1"],["b|k","2"]],"v2"]'
     assert got[1] == got[2] == xxhash.xxh64(text.encode()).hexdigest() and got[3] not in (None, got[1]) and got[4] == xxhash.xxh64('["",null,null,[],"v2"]'.encode()).hexdigest()
     assert [got[k] for k in (5, 6, 7, 8, 9)] == [None] * 5
+    known = h.canonical(["return b();", "a(x)", {"role": "extractor", "layer": "core", "confidence": 0.8, "evidence": ["suffix"]}, [["k|b|0", "c1"]], "v2"])
+    assert h.hexed(known) == "1ef00ad89b212f33"  # a fixed value
 
 
 def test_callee_summaries(spark):
