@@ -84,11 +84,6 @@ def cosmetic_kind(label) -> Column:
     return F.when(x.rlike(r"\(\)$"), "function").when(x.rlike(r"\.[a-z0-9]{1,5}$"), "file").when(x.rlike(r"^[A-Z]"), "class").otherwise("other")
 
 
-def top_callers(callers, most: int = 5) -> Column:
-    """The first usable callers in the order given."""
-    return F.slice(F.filter(col(callers), lambda x: x.isNotNull() & (F.trim(x) != "")), 1, most)
-
-
 def canonical_json(pairs) -> Column:
     """F16: the JSON of a map of strings with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(pairs)))))
@@ -239,12 +234,6 @@ def context_markdown(title, sections: dict[str, Column]) -> Column:
     return F.concat_ws("\n\n", F.concat(F.lit("# "), col(title)), *[part(k, v) for k, v in sections.items()])
 
 
-def narrative_prompt(key, code, callees, version: str) -> Column:
-    """the prompt for one symbol: version, key, callee summaries (array of lines, the first 20) and code."""
-    lines = F.array_join(F.transform(F.slice(F.coalesce(col(callees), F.array().cast("array<string>")), 1, 20), lambda x: F.concat(F.lit("- "), x)), "\n")
-    return F.concat_ws("\n", F.lit(f"Prompt {version}"), F.concat(F.lit("Symbol: "), col(key)), F.lit("Callees:"), F.when(lines != "", lines), F.lit("Code:"), col(code))
-
-
 def loaded_graph(nodes: DataFrame, edges: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): of rows of one id the last by seq wins, paths get slashes, a summary is the index's, else the node's, else empty."""
     last = nodes.groupBy("id").agg(F.max_by(F.struct(*[c for c in nodes.columns if c != "id"]), "seq").alias("x")).select("id", "x.*").drop("seq")

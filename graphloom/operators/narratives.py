@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +170,60 @@ def external_results(results: DataFrame, queue: DataFrame, worklist: DataFrame,
     return rows.select("entry_id", "symbol_key", F.coalesce(outcome, F.lit("applied")).alias("outcome"))
 
 
+# The version, schema and texts of the prompt, and the callers it names.
+PROMPT_VERSION, MOST_CALLERS = "v2", 5
+FIELDS = ("summary", "behavior", "sideEffects", "errors", "contracts", "changeNotes", "mentions")
+SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": list(FIELDS),
+    "properties": {"summary": {"type": "string", "pattern": r"^\s*(?:\S+(?:\s+\S+){0,24})?\s*$"}, "changeNotes": {"type": "string"}} | {x: {"type": "array", "items": {"type": "string"}} for x in LISTS},
+}
+HEAD_CALLEES = "Callee one-line summaries (canonical symbol keys):"
+HEAD_CALLERS = "Top callers (at most 5; caller-supplied deterministic order, not ranked by semantic importance):"
+HEAD_FILE, HEAD_RULES, HEAD_IMPORTS, HEAD_CODE = "File card summary:", "Relevant project rules:", "Context (imports):", "Code:"
+HEAD_OUTPUT = "Output contract: reply with a single JSON object that matches this schema exactly (no prose outside JSON):"
+HEAD_KEYS = 'Mentionable symbol keys (every "mentions" entry must be one of these canonical keys):'
+IN_ENGLISH = "Write all descriptive explanation fields in English, regardless of source comments or conversation language. Preserve code, identifiers, paths, tags and structured keys exactly."
+
+
+def first_line(text: Column) -> Column:
+    return F.trim(F.substring_index(text, "\n", 1))
+
+
+def filled(x: Column) -> Column:
+    """A trimmed text; null for one without more than white space."""
+    return F.when(F.trim(F.coalesce(x, F.lit(""))) != "", F.trim(x))
+
+
+def prompts(rows: DataFrame) -> DataFrame:
+    """symbol_key and prompt of symbols (symbol_key, name, kind, language, path, start_line, end_line, signature, role, layer, confidence: a text, code, imports,
+    file_summary, and in the order to be shown callees: key and summary, callers: key, name and role, rules, keys that may be mentioned).
+
+    Entries without a canonical key, or without what is to be said of them, are left out; of callers the first five usable ones are named. Null texts and lists
+    are absent ones.
+    """
+    c = F.col
+    lines = lambda items, none: F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise(none)
+    some = lambda name, kind: F.coalesce(name, F.array().cast(kind))
+    callees = F.filter(some("callees", "array<struct<key:string,summary:string>>"), lambda x: canonical_key(x["key"]) & filled(x["summary"]).isNotNull())
+    callers = F.filter(some("callers", "array<struct<key:string,name:string,role:string>>"), lambda x: canonical_key(x["key"]) & filled(x["name"]).isNotNull())
+    rules = F.filter(some("rules", "array<string>"), lambda x: filled(x).isNotNull())
+    evidence = F.concat_ws(", ", F.concat(F.lit("layer: "), F.when(filled(c("layer")).isNotNull(), c("layer"))), F.concat(F.lit("confidence: "), c("confidence")))
+    role = F.when(filled(c("role")).isNull(), "Role: (unclassified)").otherwise(F.concat(F.lit("Role: "), filled(c("role")), F.when(evidence != "", F.concat(F.lit(" ("), evidence, F.lit(")"))).otherwise("")))
+    code = F.coalesce("code", F.lit(""))
+    signature = F.coalesce(filled(c("signature")), F.when(first_line(code) != "", first_line(code)), F.lit("(not available)"))
+    say = lambda label, x: F.concat(F.lit(f"{label}: "), x)
+    parts = [
+        say("Symbol", c("name")), say("Kind", c("kind")), say("Language", c("language")), F.concat(F.lit("Location: "), c("path"), F.lit(":"), c("start_line").cast("string"), F.lit("-"), c("end_line").cast("string")),
+        F.lit(f"Prompt version: {PROMPT_VERSION}"), role, say("Signature", signature), F.lit(""),
+        F.lit(HEAD_CALLEES), lines(F.transform(callees, lambda x: F.concat(F.lit("- "), x["key"], F.lit(": "), first_line(x["summary"]))), "(none)"), F.lit(""),
+        F.lit(HEAD_CALLERS), lines(F.transform(F.slice(callers, 1, MOST_CALLERS), lambda x: F.concat(F.lit("- "), F.trim(x["name"]), F.lit(" — role: "), F.coalesce(filled(x["role"]), F.lit("unclassified")))), "(none)"), F.lit(""),
+        F.lit(HEAD_FILE), F.coalesce(filled(c("file_summary")), F.lit("(not available)")), F.lit(""), F.lit(HEAD_RULES), lines(F.transform(rules, lambda x: F.concat(F.lit("- "), F.trim(x))), "(none declared)"), F.lit(""),
+        F.lit(HEAD_IMPORTS), F.when(F.coalesce("imports", F.lit("")) != "", c("imports")).otherwise("(none)"), F.lit(""), F.lit(HEAD_CODE), code, F.lit(""), F.lit(HEAD_OUTPUT), F.lit(json.dumps(SCHEMA, indent=2)), F.lit(""),
+        F.lit(HEAD_KEYS), lines(F.transform(F.array_distinct(some("keys", "array<string>")), lambda x: F.concat(F.lit("- "), x)), "(none)"), F.lit(""), F.lit(IN_ENGLISH),
+    ]
+    return rows.select("symbol_key", F.concat_ws("\n", *parts).alias("prompt"))
+
+
 #: Outcomes that leave the queue's entry as it is, and those after which the symbol is stale.
 UNTOUCHED, STALE_AFTER = ("not-found", "already-done"), ("invalid-evidence", "evidence-of-another-key", "evidence-of-another-version", "source-unavailable", "fingerprint-mismatch")
 

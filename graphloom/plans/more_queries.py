@@ -397,13 +397,6 @@ def graph_delta_merge(spark, d):
     return nodes.withColumn("part", F.lit("node")).unionByName(edges.select(F.col("source").cast("long").alias("id"), F.col("target").alias("label"), F.lit("edge").alias("part")))
 
 
-@FOUND("top_callers_and_prompts", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'a,b' ELSE 'a,b,x,y,z' END AS callers, 'Prompt v2' || chr(10) || 'Symbol: ' || o_orderpriority || chr(10) || 'Callees:' || chr(10) || '- c1' || chr(10) || 'Code:' || chr(10) || 'x' AS prompt FROM orders""")
-def top_callers_and_prompts(spark, d):
-    k = F.col("o_orderkey")
-    some = F.when(k % 2 == 0, F.array(F.lit("a"), F.lit(" "), F.lit("b"))).otherwise(F.array(*[F.lit(x) for x in "abxyzqr"]))
-    return table(spark, d, "orders").select(k.alias("k"), F.array_join(ledger.top_callers(some), ",").alias("callers"), ledger.narrative_prompt(F.col("o_orderpriority"), F.lit("x"), F.array(F.lit("c1")), "v2").alias("prompt"))
-
-
 @FOUND("context_markdown", "SELECT n_nationkey AS k, '# ' || n_name || chr(10) || chr(10) || '## Region' || chr(10) || chr(10) || n_regionkey AS doc FROM nation")
 def context_markdown(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), ledger.context_markdown(F.col("n_name"), {"Region": text_of("n_regionkey"), "Empty": F.lit(" ")}).alias("doc"))

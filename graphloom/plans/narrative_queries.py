@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import narratives
@@ -146,3 +148,33 @@ def narrative_acceptance(spark, d):
     told = base.join(members.select(F.col("key").alias("symbol_key")), "symbol_key", "left_semi").select(F.col("c_nationkey").alias("community"), "symbol_key", content(F.lit(False)).alias("content"))
     shown = narratives.rolled_up(narratives.community_cards(files, nodes, told, base).where("part <> 'rejected'"), "community")
     return shown.select(F.col("community").cast("long").alias("community"), "text", "members", F.size("rejected").alias("rejected"))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+N = narratives
+PROMPT_SQL = " || chr(10) || ".join([
+    "'Symbol: f' || c_custkey", "'Kind: function'", "'Language: ts'", "'Location: src/c' || c_custkey || '.ts:' || (c_custkey % 9 + 1) || '-' || (c_custkey % 9 + 3)", "'Prompt version: v2'",
+    "CASE WHEN c_custkey % 5 = 0 THEN 'Role: (unclassified)' ELSE 'Role: service' || CASE WHEN c_custkey % 2 = 0 THEN ' (layer: core, confidence: 0.8)' ELSE ' (confidence: 0.8)' END END", "'Signature: ' || CASE WHEN c_custkey % 3 = 0 THEN 'f(x)' ELSE 'function f' || c_custkey || '() {' END", "''",
+    quoted(N.HEAD_CALLEES), "CASE WHEN c_custkey % 4 = 0 THEN '(none)' ELSE '- ts|a|f|e|callee|0: does ' || c_custkey END", "''",
+    quoted(N.HEAD_CALLERS), "CASE WHEN c_custkey % 8 = 0 THEN '(none)' ELSE (SELECT string_agg('- caller' || i || ' — role: ' || CASE WHEN i % 2 = 0 THEN 'unclassified' ELSE 'r' || i END, chr(10) ORDER BY i) FROM range(1, least(c_custkey % 8, 5) + 1) t(i)) END", "''",
+    quoted(N.HEAD_FILE), "CASE WHEN c_custkey % 7 = 0 THEN '(not available)' ELSE c_mktsegment END", "''", quoted(N.HEAD_RULES), "'- Keep it'", "''", quoted(N.HEAD_IMPORTS), "'(none)'", "''",
+    quoted(N.HEAD_CODE), "'function f' || c_custkey || '() {' || chr(10) || '}'", "''", quoted(N.HEAD_OUTPUT), quoted(json.dumps(N.SCHEMA, indent=2)), "''", quoted(N.HEAD_KEYS), f"'- ' || {KEY_SQL}", "''", quoted(N.IN_ENGLISH),
+])
+
+
+@FOUND("narrative_prompts", f"SELECT {KEY_SQL} AS symbol_key, {PROMPT_SQL} AS prompt FROM customer")
+def narrative_prompts(spark, d):
+    n = k()
+    text = n.cast("string")
+    callee = F.struct(F.when(n % 4 == 0, "no key").otherwise("ts|a|f|e|callee|0").alias("key"), F.concat(F.lit("does "), text, F.lit("\nand more")).alias("summary"))
+    blank = F.array(F.struct(F.lit("ts|a|f|e|x|0").alias("key"), F.lit(" ").alias("name"), F.lit("r").alias("role")))
+    named = F.transform(F.sequence(F.lit(1), F.greatest(n % 8, F.lit(1))), lambda i: F.struct(F.when(n % 8 == 0, "bad").otherwise("ts|a|f|e|c|0").alias("key"), F.concat(F.lit("caller"), i.cast("string")).alias("name"), F.when(i % 2 == 1, F.concat(F.lit("r"), i.cast("string"))).alias("role")))
+    rows = table(spark, d, "customer").select(
+        n, key().alias("symbol_key"), F.concat(F.lit("f"), text).alias("name"), F.lit("function").alias("kind"), F.lit("ts").alias("language"), F.concat(F.lit("src/c"), text, F.lit(".ts")).alias("path"), (n % 9 + 1).alias("start_line"), (n % 9 + 3).alias("end_line"),
+        F.when(n % 3 == 0, " f(x) ").alias("signature"), F.when(n % 5 != 0, "service").alias("role"), F.when(n % 2 == 0, "core").alias("layer"), F.lit("0.8").alias("confidence"), F.concat(F.lit("function f"), text, F.lit("() {\n}")).alias("code"), F.lit(None).cast("string").alias("imports"),
+        F.when(n % 7 != 0, F.col("c_mktsegment")).alias("file_summary"), F.array(callee).alias("callees"), F.concat(blank, named).alias("callers"), F.array(F.lit(" Keep it "), F.lit("  ")).alias("rules"), F.array(key()).alias("keys"),
+    )
+    return narratives.prompts(rows)
