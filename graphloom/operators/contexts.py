@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import invalidated_kinds
 from graphloom.operators import delta
 
-# Title, tags, source files (None: those given), mode and confidence of the documents by kind; texts where nothing is known.
+# Title, tags, source files (None: those given; ``{declared}``: the folder of declared documents), mode and confidence of the documents by kind;
+# texts where nothing is known.
 DOCUMENTS = {
     "stack-runtime": ("Project stack and runtime", ("stack",), ("package.json", "tsconfig.json"), "detected", "high"),
     "dependencies-summary": ("Dependency summary", ("dependencies",), ("package.json",), "detected", "high"),
     "integrations-summary": ("Integration summary", ("integrations",), ("src",), "detected", "medium"),
     "architecture-current": ("Current architecture", ("architecture", "current-state"), None, "detected", "medium"),
-    "architecture-target": ("Target architecture", ("architecture", "target-state"), (".planning/project-memory-context/project-context/declared/architecture-target.json",), "declared", "high"),
+    "architecture-target": ("Target architecture", ("architecture", "target-state"), ("{declared}/architecture-target.json",), "declared", "high"),
     "structure-summary": ("Project structure summary", ("structure",), None, "detected", "high"),
     "technical-rules": ("Technical rules", ("rules",), ("README.md",), "merged", "medium"),
-    "project-requirements": ("Project requirements", ("requirements",), (".planning/project-memory-context/project-context/declared/project-requirements.json",), "declared", "high"),
-    "known-issues-and-fixes": ("Known issues and fixes", ("issues",), (".planning/project-memory-context/project-context/declared/known-issues-and-fixes.json",), "declared", "high"),
+    "project-requirements": ("Project requirements", ("requirements",), ("{declared}/project-requirements.json",), "declared", "high"),
+    "known-issues-and-fixes": ("Known issues and fixes", ("issues",), ("{declared}/known-issues-and-fixes.json",), "declared", "high"),
 }
 NO_VALUES, NO_TARGET, NO_REQUIREMENTS, NO_ISSUES = "Not detected", "No target architecture declared.", "- No declared requirements.", "- No known issues recorded."
 ENTRY_POINT = r"(?:^|/)(?:main|app)\.[cm]?[jt]sx?$"
@@ -47,10 +48,10 @@ def bullets(items: Column, none: str = "") -> Column:
     return F.when(text == "", none).otherwise(text)
 
 
-def base_documents(facts: DataFrame) -> DataFrame:
+def base_documents(facts: DataFrame, declared: str = ".planning/project-context/declared") -> DataFrame:
     """Project, kind, title, summary, body, tags, source_files, mode, confidence and content_hash of the nine documents of each project (FACTS).
 
-    The hash is sha-256 of the JSON of all that the document holds, so it changes with its content only. Null lists are empty ones.
+    ``declared`` is where the project keeps its declared documents. The hash is sha-256 of the JSON of all that the document holds, so it changes with its content only. Null lists are empty ones.
     """
     words = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     rules = F.concat(values("declared_rules"), values("found_rules"))
@@ -74,7 +75,7 @@ def base_documents(facts: DataFrame) -> DataFrame:
         summary, body = texts[kind]
         own = [
             F.lit(title).alias("title"), summary.alias("summary"), body.alias("body"), F.concat(F.array(F.lit("project-context"), F.concat(F.lit("project:"), F.col("project"))), F.array(*map(F.lit, tags))).alias("tags"),
-            (given[kind] if files is None else F.array(*map(F.lit, files))).alias("sourceFiles"), (values("graph_refs") if kind == "architecture-current" else empty).alias("graphRefs"), F.lit(mode).alias("sourceMode"), F.lit(confidence).alias("confidence"),
+            (given[kind] if files is None else F.array(*[F.lit(x.format(declared=declared)) for x in files])).alias("sourceFiles"), (values("graph_refs") if kind == "architecture-current" else empty).alias("graphRefs"), F.lit(mode).alias("sourceMode"), F.lit(confidence).alias("confidence"),
             empty.alias("detectedSources"), empty.alias("declaredSources"),
         ]
         out.append(F.struct(F.lit(kind).alias("kind"), F.struct(*own).alias("d")))
