@@ -23,6 +23,8 @@ FIRST_ROUND = 16
 BLOCK = 4096
 #: Bytes of a token's hash that are kept with a line, and low bits of a posting's key, which hold the line's size.
 TOKEN_BYTES, SIZE_BITS = 5, 30
+#: Numbers of a posting (key, doc_id, line and place, two of the bitmap), postings of a bucket, about, and of what a task deals out at once.
+POSTING, BUCKET, DEALT = 5, 1 << 15, 1 << 19
 #: Slots for the line keys that a task has posted, and keys that it has posted twice, which it posts no third time.
 SEEN_BITS, HELD_KEYS = 22, 65_536
 
@@ -212,12 +214,17 @@ def posting_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out | {"token": bytes_token(raw), "place": np.arange(int(size.sum())) - np.repeat(begin, size)}
 
 
+def block_counts(counts: np.ndarray, noise: int) -> np.ndarray:
+    """Into how many blocks the lines of tokens of these counts are dealt."""
+    return np.maximum(1, -(-np.maximum(counts.astype(np.int64) - noise, 0) // BLOCK))
+
+
 def token_blocks(counts: np.ndarray):
     """A function of (tokens, docs, lines): into how many blocks each token's lines are dealt, and the line's own block."""
     noise = int(np.median(counts))
 
     def blocks(held, col):
-        k = np.maximum(1, -(-np.maximum(held[slot(col["token"])].astype(np.int64) - noise, 0) // BLOCK))
+        k = block_counts(held[slot(col["token"])], noise)
         return k, (mix(col["doc_id"].view(np.uint64) + col["line"].astype(np.uint64) * np.uint64(31)) % k.astype(np.uint64)).astype(np.int64)
 
     return blocks
@@ -270,16 +277,37 @@ def token_counts(classes: DataFrame) -> np.ndarray:
     return count_sketch(classes.select("tokens"), lambda batch: [bytes_token(text_bytes(batch, "tokens")[0])])
 
 
+def dealt_postings(posts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """bucket and the packed postings of each bucket that has any of ``posts`` (a row a posting, its key first): a cell is whole in one bucket."""
+    own = (mix((posts[:, 0] >> SIZE_BITS).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    at = np.append(starts, own.size) * (8 * POSTING)
+    packed = pa.Array.from_buffers(pa.binary(), starts.size, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(posts[order])])
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(own[starts].astype(np.int32)), "posts": packed})
+
+
 def candidates(classes: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """First-round pairs (b later, a earlier) of classes that share a prefix token; a null a marks a b that has had more.
 
     A token that more than BLOCK classes have in their prefixes is dealt into pairs of blocks. A posting's key is one long, the token's
-    high bits and the line's size: the cells come together and are sorted by size by this one number.
+    high bits and the line's size: sorted by this one number, cells are runs in order of size. Postings move packed by buckets of whole
+    cells, a row for all that a task has for a bucket, and the task that gets a bucket sorts it; the number of buckets follows that of postings.
     """
     held, blocks = classes.sparkSession.sparkContext.broadcast(counts), token_blocks(counts)
     low = np.uint64(SIZE_BITS)
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    buckets = max(6 * parts, int((counts * block_counts(counts, int(np.median(counts)))).sum()) // BUCKET)
 
     def post(batches):
+        kept, rows = [], 0
+
+        def sent():
+            posts = np.concatenate(kept)
+            for at in range(0, rows, DEALT):
+                yield dealt_postings(posts[at : at + DEALT], buckets)
+
         for whole in batches:
             for batch in slices(whole, 1 << 14):
                 col = posting_columns(batch)
@@ -290,17 +318,23 @@ def candidates(classes: DataFrame, counts: np.ndarray, percent: int) -> DataFram
                 token = np.where(cell > 0, mix(col["token"][at] + cell.astype(np.uint64)), col["token"][at])
                 key = token >> low << low | col["n"][at].astype(np.uint64)
                 place = col["line"][at].astype(np.int64) << 32 | col["place"][at]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "doc_id": pa.array(col["doc_id"][at]), "at": pa.array(place), "sig": pa.array(col["sig"][at]), "sig2": pa.array(col["sig2"][at])})
+                kept.append(np.stack([key.view(np.int64), col["doc_id"][at], place, col["sig"][at], col["sig2"][at]], axis=1))
+                rows += at.size
+                if rows >= DEALT:
+                    yield from sent()
+                    kept, rows = [], 0
+        if rows:
+            yield from sent()
 
-    posts = classes.select("doc_id", "line", "n", "sig", "sig2", "tokens").mapInArrow(post, "key long, doc_id long, at long, sig long, sig2 long")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    dealt = posts.repartition(parts, F.shiftrightunsigned("key", SIZE_BITS)).sortWithinPartitions("key")
+    posts = classes.select("doc_id", "line", "n", "sig", "sig2", "tokens").mapInArrow(post, "bucket int, posts binary")
+    dealt = posts.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     def run(batches):
         kept: list[pa.Table] = []
 
         def pairs(table):
-            key, doc, at, sig, sig2 = (table.column(c).to_numpy() for c in ("key", "doc_id", "at", "sig", "sig2"))
+            posts = text_bytes(table, "posts")[0].view(np.int64).reshape(-1, POSTING)
+            key, doc, at, sig, sig2 = np.ascontiguousarray(posts[np.argsort(posts[:, 0])].T)
             token, line = key >> SIZE_BITS, (at >> 32).astype(np.int32)
             starts = np.ones(len(key), np.int64)
             starts[1:] = token[1:] != token[:-1]
@@ -310,20 +344,20 @@ def candidates(classes: DataFrame, counts: np.ndarray, percent: int) -> DataFram
                 yield pa.RecordBatch.from_pydict({"doc_b": pa.array(np.concatenate([doc[b], doc[more]])), "line_b": pa.array(np.concatenate([line[b], line[more]])), "doc_a": pa.concat_arrays([pa.array(doc[a]), pa.array(none, pa.int64())]), "line_a": pa.concat_arrays([pa.array(line[a]), pa.array(none, pa.int32())])})
 
         rows = 0
-        for batch in batches:
-            kept.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-            if rows < 1 << 16:
-                continue
-            table = pa.concat_tables(kept)
-            token = table.column("key").to_numpy() >> SIZE_BITS
-            cut = np.flatnonzero(token != token[-1])
-            whole = int(cut[-1]) + 1 if cut.size else 0  # the last token's run may go on
-            if whole:
-                yield from pairs(table.slice(0, whole))
-                kept, rows = [table.slice(whole)], table.num_rows - whole
-            else:
-                kept = [table]
+        for whole in batches:
+            for batch in slices(whole):
+                kept.append(pa.Table.from_batches([batch]))
+                rows += int(pc.sum(pc.binary_length(batch.column("posts"))).as_py() or 0) // (8 * POSTING)
+                if rows < 1 << 16:
+                    continue
+                table = pa.concat_tables(kept)
+                bucket = table.column("bucket").to_numpy()
+                cut = np.flatnonzero(bucket != bucket[-1])
+                ready = int(cut[-1]) + 1 if cut.size else 0  # the last bucket may go on
+                if ready:
+                    yield from pairs(table.slice(0, ready))
+                kept = [table.slice(ready)]
+                rows = int(pc.sum(pc.binary_length(kept[0].column("posts"))).as_py() or 0) // (8 * POSTING)
         if rows:
             yield from pairs(pa.concat_tables(kept))
 
@@ -455,7 +489,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int =
     columns = [c for c in kept.columns if c != "text"]
     # The list of lines grows with the corpus, so it is merged with the texts and never broadcast.
     joined = kept.withColumn("_id", F.col("doc_id").cast("long")).join(found.select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines")).hint("merge"), "_id", "left")
-    n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0))
+    # A search for a byte: translate() would look up each character on its own.
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i)), "\n")
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)
     return joined.select(*columns, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).alias("n_removed")).select(*kept.columns, "n_lines", "n_removed")

@@ -392,6 +392,39 @@ def test_line_dedup_of_a_line_that_all_documents_have(spark):
     assert [one(10, 0), one(9, 0), one(8, 1), one(9, 1), one(12, 0)] == [[False], [False], [False], [True], [True]]
 
 
+def test_line_dedup_moves_postings_packed_and_counts_lines_by_bytes(spark, capsys):
+    """Each posting is in one bucket, with all of its cell, and no row a posting is shuffled; lines are not counted character by character."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    posts = rng.integers(0, 1 << 62, (5000, line_dedup.POSTING))
+    posts[:, 0] = rng.integers(-40, 40, 5000) << line_dedup.SIZE_BITS | rng.integers(1, 9, 5000)
+    batch = line_dedup.dealt_postings(posts, 12)
+    parts = [np.frombuffer(x, np.int64).reshape(-1, line_dedup.POSTING) for x in batch.column("posts").to_pylist()]
+    assert sorted(map(tuple, np.concatenate(parts).tolist())) == sorted(map(tuple, posts.tolist()))
+    assert len(parts) == len(set(batch.column("bucket").to_pylist())) <= 12
+    assert sum(len(set((x[:, 0] >> line_dedup.SIZE_BITS).tolist())) for x in parts) == len(set((posts[:, 0] >> line_dedup.SIZE_BITS).tolist()))
+    rows = [(k, f"é one two three four five w{k % 50}\r\n\n日本 {k}\n") for k in range(4000)] + [(5000, ""), (5001, None), (5002, "\n"), (5003, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = line_dedup.line_classes(line_dedup.line_rows(df, np.zeros(1 << 20, np.uint32), 80, 1)).where("tokens is not null")
+    line_dedup.candidates(classes, line_dedup.token_counts(classes), 80).explain()
+    assert "posts#" in capsys.readouterr().out
+    saved = line_dedup.BUCKET, line_dedup.DEALT
+    line_dedup.BUCKET, line_dedup.DEALT = 16, 300
+    try:
+        out = line_dedup.without_repeated_lines(spark, df, least_words=1)
+        out.explain()
+        assert "translate(" not in capsys.readouterr().out
+        got = {r.doc_id: r for r in out.collect()}
+    finally:
+        line_dedup.BUCKET, line_dedup.DEALT = saved
+    gone = brute_lines([r for r in rows if r[0] < 5000], least=1)
+    for doc, text in rows:
+        lines = [] if text is None else text.split("\n")
+        assert (got[doc].n_lines, got[doc].n_removed) == (len(lines), len(gone.get(doc, ())))
+        assert got[doc].text == (None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in set(gone.get(doc, ()))))
+
+
 def naive_layers(text):
     """All texts inside a text with their character spans, by plain recursion over base64 words and escapes."""
     import base64
