@@ -334,7 +334,8 @@ def candidates(classes: DataFrame, counts: np.ndarray, percent: int) -> DataFram
 
         def pairs(table):
             posts = text_bytes(table, "posts")[0].view(np.int64).reshape(-1, POSTING)
-            key, doc, at, sig, sig2 = np.ascontiguousarray(posts[np.argsort(posts[:, 0])].T)
+            # Lines of one size are in order of doc_id in every cell, so that a group of near lines meets in the same pairs under all its tokens.
+            key, doc, at, sig, sig2 = np.ascontiguousarray(posts[np.lexsort((posts[:, 1], posts[:, 0]))].T)
             token, line = key >> SIZE_BITS, (at >> 32).astype(np.int32)
             starts = np.ones(len(key), np.int64)
             starts[1:] = token[1:] != token[:-1]
