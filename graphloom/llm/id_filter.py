@@ -17,10 +17,16 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(mix(hashes + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(HASHES)])
 
 
-def _filter(keys: DataFrame) -> tuple:
-    """(broadcast bytes, bits) of a filter of one column of long keys: each task sends its own, and they are OR-ed in parts.
+def id_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """The 64-bit keys of a batch of one long column."""
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
-    There are eight bits a key while MOST_BITS allow it; with more keys it lets more rows through, and never fewer.
+
+def _filter(keys: DataFrame, hashes_of=id_hashes) -> tuple:
+    """(broadcast bytes, bits) of a filter of the 64-bit keys that ``hashes_of`` has for the batches of ``keys``: each task sends its own, and they are OR-ed in parts.
+
+    There are eight bits a key while MOST_BITS allow it; with more keys it lets more rows through, and never fewer. Keys are hashed where
+    their bits are set: a step of its own before would take a second Python worker a task, and idle workers keep their memory.
     """
     n = keys.count()
     bits = min(MOST_BITS, max(BITS, (8 * n).bit_length()))
@@ -29,7 +35,7 @@ def _filter(keys: DataFrame) -> tuple:
     def add(batches):
         own = np.zeros(1 << bits, bool)
         for batch in batches:
-            own[_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits).ravel()] = True
+            own[_places(hashes_of(batch), bits).ravel()] = True
         cut = np.packbits(own).reshape(parts, -1)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "bits": [x.tobytes() for x in cut]})
 
@@ -87,12 +93,7 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def maybe_among(pairs: DataFrame):
     """A function of two arrays that is true for every pair of ``pairs`` (a long, an int column) and for few others."""
-
-    def keys(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"key": pa.array(pair_hash(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))).view(np.int64))})
-
-    held, bits = _filter(pairs.mapInArrow(keys, "key long"))
+    held, bits = _filter(pairs, lambda batch: pair_hash(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))))
     return lambda a, b: _test(held, bits, pair_hash(a, b))
 
 
