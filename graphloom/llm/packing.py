@@ -31,10 +31,8 @@ def token_pieces(spark: SparkSession, docs: DataFrame, path: str, size: int, end
 
     def run(batch):
         cache, out = worker_pretokens(path, "packed"), []
-        get = cache.__getitem__
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-            pieces = cache.pieces(text)
-            ids = (packed(cache.ids(text)) if pieces is None else b"".join(map(get, pieces))) + tail
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), cache.of_texts(texts(batch))):
+            ids += tail
             out += [(doc, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut_pieces(len(ids) // 4, size))]
         cols = list(zip(*out)) or [()] * 5
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "piece": pa.array(cols[1], pa.int32()), "start": pa.array(cols[2], pa.int64()), "length": pa.array(cols[3], pa.int64()), "ids_crc32": pa.array(cols[4], pa.int64())})
