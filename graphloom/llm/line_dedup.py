@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import slices, text_bytes, tuned
@@ -27,6 +27,13 @@ TOKEN_BYTES, SIZE_BITS = 5, 30
 POSTING, BUCKET, DEALT = 5, 1 << 15, 1 << 19
 #: Slots for the line keys that a task has posted, and keys that it has posted twice, which it posts no third time.
 SEEN_BITS, HELD_KEYS = 22, 65_536
+#: Rows of a file of a small intermediate table.
+FILE_ROWS = 1 << 16
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt out for one file each FILE_ROWS of its about ``rows`` rows: tables of few rows are not written in a file a task."""
+    return df.repartition(1 + rows // FILE_ROWS)
 
 
 def line_offsets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -384,10 +391,10 @@ def postings(classes: DataFrame, counts: np.ndarray, every: bool, wanted=None) -
     return classes.select("doc_id", "line", "n", "sig", "sig2", "tokens").mapInArrow(run, "doc_id long, line int, n int, sig long, sig2 long, place int, token long, block int")
 
 
-def second_round(classes: DataFrame, open_: DataFrame, counts: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
-    """All pairs (b later, a earlier) of the classes of ``open_`` (doc_b, line_b). A hot token's lines meet block by block."""
+def second_round(classes: DataFrame, open_: DataFrame, n_open: int, counts: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs (b later, a earlier) of the ``n_open`` classes of ``open_`` (doc_b, line_b). A hot token's lines meet block by block."""
     asked = classes.join(open_.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")), ["doc_id", "line"], "left_semi")
-    asked = scratch.write(postings(asked, counts, True), "open-postings")
+    asked = scratch.write(few_files(postings(asked, counts, True), 16 * n_open), "open-postings")
     b = asked.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("sig2").alias("sig2_b"), F.col("place").alias("place_b"), "token", "block")
     posts = postings(classes, counts, False, maybe_token(asked.select("token")))
     least = F.ceil((F.col("n") + F.col("n_b")) * percent / (100 + percent))
@@ -398,11 +405,13 @@ def second_round(classes: DataFrame, open_: DataFrame, counts: np.ndarray, perce
     return b.join(posts, ["token", "block"]).where(fits & earlier).select("doc_b", "line_b", F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a")).distinct()
 
 
-def line_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """doc_id, line and words (the set, as bytes) of all lines that pairs name, and of few others; no other texts are moved."""
+def line_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, rows: int | None = None) -> DataFrame:
+    """doc_id, line and words (the set, as bytes) of all lines that ``pairs`` (a written table) name, and of few others; no other texts are moved.
+
+    With ``rows``, about how many lines these are, they are written in few files.
+    """
     ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")), F.struct(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")))).alias("x")).select("x.*")
-    asked = scratch.write(ends.distinct(), f"{name}-asked")
-    wanted = maybe_among(asked.select("doc_id", "line"))
+    wanted = maybe_among(ends)  # a line that several pairs name sets the same bits again
 
     def sets(batches):
         for whole in batches:
@@ -419,11 +428,12 @@ def line_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) ->
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[own], pa.int64()), "line": pa.array(number[own], pa.int32()), "words": pa.array(found, pa.binary())})
 
     # What the filter lets through beyond the lines asked for is dropped by the joins of matched().
-    return scratch.write(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sets, "doc_id long, line int, words binary"), f"{name}-sets")
+    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sets, "doc_id long, line int, words binary")
+    return scratch.write(found if rows is None else few_files(found, rows), f"{name}-sets")
 
 
-def matched(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """(doc_b, line_b) of the pairs whose lines' word sets are similar."""
+def matched(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str, rows: int) -> DataFrame:
+    """(doc_b, line_b) of the pairs whose lines' word sets are similar, ``rows`` at most."""
     side = lambda x: sets.select(F.col("doc_id").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}"))
     joined = pairs.join(side("b"), ["doc_b", "line_b"]).join(side("a"), ["doc_a", "line_a"]).select("doc_b", "line_b", "words_b", "words_a")
 
@@ -433,7 +443,7 @@ def matched(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, n
                 ok = [similar(bytes_set(x), bytes_set(y), percent) for x, y in zip(batch.column("words_b").to_pylist(), batch.column("words_a").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("doc_b", "line_b")], names=["doc_b", "line_b"])
 
-    return scratch.write(joined.mapInArrow(check, "doc_b long, line_b int").distinct(), f"{name}-matched")
+    return scratch.write(few_files(joined.mapInArrow(check, "doc_b long, line_b int").distinct(), rows), f"{name}-matched")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, scratch: Scratch | None = None) -> DataFrame:
@@ -460,18 +470,21 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT,
 
     b, pair = ["doc_b", "line_b"], ["doc_b", "line_b", "doc_a", "line_a"]
     spread = token_counts(classes)
-    met = scratch.write(candidates(classes, spread, percent).groupBy(*pair).agg(F.count("*").alias("votes")), "met")
-    known = met.where("doc_a is not null")
+    # Pairs are dealt by their later line: votes are counted and the best candidate is told where they meet, with no shuffle of its own.
+    met = candidates(classes, spread, percent).repartition(*b).groupBy(*pair).agg(F.count("*").alias("votes"))
+    turn = F.row_number().over(Window.partitionBy(*b).orderBy(F.col("doc_a").isNull(), F.desc("votes"), F.desc("doc_a"), F.desc("line_a")))
+    met = scratch.write(met.select(*pair, (turn == 1).alias("best")), "met")
+    known, more = met.where("doc_a is not null"), met.where("doc_a is null")
     sets = line_sets(docs, known, scratch, "first")
     # The earlier line that shares most prefix tokens goes first; the other candidates matter only where that one doesn't match.
-    best = scratch.write(known.groupBy(*b).agg(F.max(F.struct("votes", "doc_a", "line_a")).alias("x")).select(*b, "x.doc_a", "x.line_a"), "best")
-    gone = matched(best, sets, percent, scratch, "best")
-    other = scratch.write(known.select(*pair).join(best, pair, "left_anti").join(gone, b, "left_anti"), "other")
-    gone = gone.unionByName(matched(other, sets, percent, scratch, "other"))
-    open_ = scratch.write(met.where("doc_a is null").select(*b).distinct().join(gone, b, "left_anti"), "open")
-    if not open_.isEmpty():
-        rest = scratch.write(second_round(classes, open_, spread, percent, scratch).join(known.select(*pair), pair, "left_anti"), "rest")
-        gone = gone.unionByName(matched(rest, line_sets(docs, rest, scratch, "second"), percent, scratch, "rest"))
+    best, other = known.where("best").select(*pair), known.where("not best").select(*pair)
+    n_best = best.count()
+    gone = matched(best, sets, percent, scratch, "best", n_best)
+    gone = gone.unionByName(matched(other.join(gone, b, "left_anti"), sets, percent, scratch, "other", n_best - gone.count()))
+    open_ = scratch.write(few_files(more.select(*b).distinct().join(gone, b, "left_anti"), more.count()), "open")
+    if n_open := open_.count():
+        rest = scratch.write(second_round(classes, open_, n_open, spread, percent, scratch).join(known.select(*pair), pair, "left_anti"), "rest")
+        gone = gone.unionByName(matched(rest, line_sets(docs, rest, scratch, "second", 2 * rest.count()), percent, scratch, "rest", n_open))
     every = lines.where("tokens is null").select("doc_id", "line").unionByName(gone.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")))
     return every.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
@@ -485,7 +498,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int =
     """
     scratch = Scratch(spark, "lines")
     found = scratch.write(repeated_lines(spark, docs, percent, least_words, scratch), "repeated")
-    scratch.drop("lines", "met", "best", "other", "open", "open-postings", "rest", *(f"{x}-{y}" for x in ("first", "second", "best", "other", "rest") for y in ("asked", "sets", "matched")))
+    scratch.drop("lines", "met", "open", "open-postings", "rest", "first-sets", "second-sets", "best-matched", "other-matched", "rest-matched")
     kept = docs.drop("n_lines", "n_removed", "_id", "_lines")
     columns = [c for c in kept.columns if c != "text"]
     # The list of lines grows with the corpus, so it is merged with the texts and never broadcast.

@@ -503,3 +503,38 @@ def test_secrets_in_long_and_packed_texts():
         assert (2, 2 + len(hidden.rstrip("=")), 0) in [(a, min(b, 2 + len(hidden.rstrip("="))), k) for a, b, k in secret_scan.find_secrets(text)[1]]
     damaged = base64.b64encode(gzip.compress(b"token=abcdef123456 " * 100 + b"\x00\x01\xff")).decode()
     assert secret_scan.find_secrets(damaged)[1] == []
+
+
+def test_line_dedup_writes_small_tables_in_few_files(spark, monkeypatch):
+    """Each file that an executor writes to a local folder is three processes that it starts: small tables of both rounds are one file at any number of partitions."""
+    import random
+
+    from graphloom.session import Scratch
+
+    # Long lines that share rare words and pass the bitmaps but don't match, and some that do: more candidates than the first round takes.
+    rng = random.Random(5)
+    lines = [[f"common{k}" for k in range(140)] + rng.sample([f"w{k}" for k in range(600)], 60) for _ in range(120)]
+    lines += [x[:-3] + [f"new{k}" for k in range(3)] for x in lines[:40:4]]
+    rows = [(doc, " ".join(x)) for doc, x in enumerate(rng.sample(lines, len(lines)))]
+    files, write = {}, Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    monkeypatch.setattr(line_dedup, "FIRST_ROUND", 1)
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    saved = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+        got = {r.doc_id: list(r.lines) for r in line_dedup.repeated_lines(spark, df).collect()}
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert got == brute_lines(rows)
+    small = {"open", "open-postings", "second-sets", "best-matched", "other-matched", "rest-matched"}
+    assert small <= files.keys() and {files[x] for x in small} == {1} and sum(files.values()) <= 24 * 3 + 12 + len(small), files
