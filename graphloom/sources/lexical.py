@@ -1,19 +1,21 @@
 """A lexical scan of source files: blocks, symbols with their ends and containers, module imports and exports.
 
 One pass over each file's characters, in Arrow batches, blanks comments and the insides of strings and pairs brackets on a stack. What
-stands where, and what belongs to what, is then found by patterns, windows and joins.
+stands where, and what belongs to what, is then found by patterns and joins. What a scan gives has no size that the planner could know,
+and is many times the files' own: its joins are merge joins, as a broadcast would go through the driver.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import MODULE_EXTENSIONS, language
+from graphloom.session import Scratch
 
 #: Kinds of tokens by language: comments, strings, and what opens or closes. A string that is not closed ends with its line.
 QUOTED = r"\"(?:\\.|[^\"\\\n])*+\"?|'(?:\\.|[^'\\\n])*+'?"
@@ -264,6 +266,11 @@ def lexed(files: DataFrame) -> DataFrame:
     return known.mapInArrow(run, LEXED)
 
 
+def kept(scanned: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``lexed`` (some columns, or all), written once: whoever reads them several times would scan the files as often."""
+    return Scratch(scanned.sparkSession, "lexed").write(scanned.select(*columns or scanned.columns), "files")
+
+
 def to_arrow() -> pa.Schema:
     i, s, b = pa.int32(), pa.string(), pa.bool_()
     rows = lambda *fields: pa.list_(pa.struct(fields))
@@ -274,30 +281,41 @@ def to_arrow() -> pa.Schema:
     ])
 
 
+def symbols_of(rules: list, lines: list[dict], blocks: list[dict], marks: list[dict]):
+    """(kind, name, start_line, end_line, container) of one file's declared symbols."""
+    places, ends, found, holders = [m["at"] for m in marks], {b["block"]: b["end_line"] for b in blocks}, [], {}
+    for l in lines:
+        kind, name = next(((kind, m[1]) for kind, pattern in rules if (m := pattern.search(l["code"])) and m[1]), (None, None))
+        if name is None:
+            continue
+        k = bisect_left(places, l["at"] + len(l["code"]) - len(l["code"].lstrip(" \t\n\x0b\f\r")))
+        body = marks[k]["block"] if k < len(marks) else -1
+        end = ends.get(body, marks[k]["line"] if k < len(marks) else l["line"])
+        found.append((kind, name, l["line"], end, l["around"]))
+        if body >= 0:
+            holders[body] = (l["at"], name)
+    for kind, name, line, end, around in found:
+        yield kind, name, line, end, max((holders[b] for b in around if b in holders), default=(0, None))[1]
+
+
 def symbol_blocks(scanned: DataFrame, declarations: dict) -> DataFrame:
     """Path, language, kind, name, start_line, end_line and container of the declared symbols of ``lexed`` files.
 
     A symbol ends where the block closes that opens first behind its declaration, or with a statement that ends before one opens. Its
-    container is the name of the innermost symbol whose block it stands in.
+    container is the name of the innermost symbol whose block it stands in. Each file is done where its row is: nothing is shuffled.
     """
-    lines = scanned.select("path", "language", F.explode("lines").alias("l")).select("path", "language", "l.*")
-    found = []
-    for lang, rules in declarations.items():
-        for kind, pattern in rules:
-            name = F.regexp_extract("code", pattern, 1)
-            found.append(F.when((F.col("language") == lang) & (name != ""), F.struct(F.lit(kind).alias("kind"), name.alias("name"))))
-    place = F.col("at") + F.length(F.regexp_extract(F.col("code"), r"^\s*", 0))
-    declared = lines.withColumn("x", F.coalesce(*found)).where("x is not null").select("path", "language", "x.kind", "x.name", "line", place.alias("at"), "around")
-    marks = scanned.select("path", F.explode("marks").alias("m")).select("path", "m.at", F.struct("m.line", "m.block").alias("mark"))
-    both = declared.withColumn("mark", F.lit(None).cast("struct<line:int,block:int>")).unionByName(marks, allowMissingColumns=True)
-    after = Window.partitionBy("path").orderBy("at", F.col("mark").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    bodies = both.withColumn("next", F.first("mark", ignorenulls=True).over(after)).where("name is not null")
-    blocks = scanned.select("path", F.explode("blocks").alias("b")).select("path", F.col("b.block").alias("body"), F.col("b.end_line").alias("_end"))
-    ended = bodies.withColumn("body", F.when(F.col("next.block") >= 0, F.col("next.block"))).join(blocks, ["path", "body"], "left")
-    ended = ended.withColumn("end_line", F.coalesce("_end", "next.line", "line"))
-    holders = ended.where("body is not null").select("path", F.col("body").alias("_around"), F.col("name").alias("_holder"), F.col("at").alias("_at"))
-    inner = ended.select("path", "at", F.explode("around").alias("_around")).join(holders, ["path", "_around"]).groupBy("path", "at").agg(F.max_by("_holder", "_at").alias("container"))
-    return ended.join(inner, ["path", "at"], "left").select("path", "language", "kind", "name", F.col("line").alias("start_line"), "end_line", "container")
+    rules = {lang: [(kind, re.compile(pattern, re.A)) for kind, pattern in of] for lang, of in declarations.items()}
+
+    def run(batches):
+        schema = pa.schema([("path", pa.string()), ("language", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("container", pa.string())])
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                rows = []
+                for path, lang, *facts in zip(*(batch.slice(k, 64).column(c).to_pylist() for c in range(5))):
+                    rows += [(path, lang, *x) for x in symbols_of(rules.get(lang, ()), *facts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+    return scanned.select("path", "language", "lines", "blocks", "marks").mapInArrow(run, "path string, language string, kind string, name string, start_line int, end_line int, container string")
 
 
 def joined_path(path, specifier):
@@ -314,24 +332,33 @@ def module_imports(scanned: DataFrame, files: DataFrame) -> DataFrame:
     several, has a reason and no target. A path that occurs twice is a collision.
     """
     facts = scanned.select("path", F.explode("imports").alias("i")).select("path", "i.*")
-    base = joined_path("path", "specifier")
+    relative = (F.col("form") == "import") & F.col("top") & (F.startswith("specifier", F.lit("./")) | F.startswith("specifier", F.lit("../")))
+    base = F.when(relative, joined_path("path", "specifier"))
     own = F.regexp_extract("base", r"(\.[^./]+)$", 1).isin(*MODULE_EXTENSIONS)
-    guesses = F.when(own, F.array("base")).otherwise(F.array_distinct(F.concat(F.array("base"), *[F.array(F.concat("base", F.lit(x)), F.concat("base", F.lit("/index" + x))) for x in MODULE_EXTENSIONS])))
     spec = F.col("specifier")
     reason = (
         F.when(F.col("form") == "reexport", "unsupported-reexport").when(F.col("form") == "dynamic", "dynamic-import").when(F.col("form") == "require", "unsupported-commonjs").when(~F.col("top"), "invalid-syntax")
         .when(spec.isNull() | spec.rlike(r"[\\\x00-\x1f\x7f?#]"), "unsupported-specifier").when(~spec.startswith("./") & ~spec.startswith("../"), "external-module").when(F.col("base").isNull(), "outside-project")
     )
-    keyed = facts.withColumn("base", base).withColumn("reason", reason).withColumn("id", F.xxhash64("path", "start_line", "end_line", "specifier", "form"))
+    keyed = facts.withColumn("base", base).withColumn("reason", reason)
+    open_ = keyed.where("reason is null")
+    bases = open_.select("base", own.alias("_own")).distinct()
     inventory = files.groupBy("path").agg(F.count("*").alias("_files"))
-    wanted = keyed.where("reason is null").select("id", "path", F.explode(guesses).alias("guess")).distinct()
-    hits = wanted.join(inventory.withColumnRenamed("path", "guess"), "guess").groupBy("id", "path").agg(F.count("*").alias("_n"), F.min("guess").alias("_target"), F.max("_files").alias("_files"))
+    # A file is offered under each base that may stand for it: three rows at most, where each base would try eleven paths.
+    short = lambda end: F.when(F.endswith("path", F.lit(end)), F.expr(f"left(path, length(path) - {len(end)})"))
+    way = lambda whole, x: F.struct(F.lit(whole).alias("whole"), x.alias("base"))
+    ways = F.array(way(True, F.col("path")), *[way(False, short(e + x)) for x in MODULE_EXTENSIONS for e in ("", "/index")])
+    offers = inventory.select("path", "_files", F.explode(F.filter(ways, lambda w: w["base"].isNotNull())).alias("w")).select("path", "_files", F.col("w.whole").alias("_whole"), F.col("w.base").alias("base"))
+    met = bases.join(offers.hint("merge"), "base").where("_whole or not _own")
+    hits = met.groupBy("base").agg(F.count("*").alias("_n"), F.min("path").alias("_target"), F.max("_files").alias("_files"))
     late = (
         F.when(F.col("_n").isNull(), "missing-module").when(F.col("_n") > 1, "ambiguous-module").when(F.col("_files") > 1, "file-collision")
         .when(~F.regexp_extract("_target", r"(\.[^./]+)$", 1).isin(*MODULE_EXTENSIONS), "unsupported-language")
     )
-    whole = keyed.join(hits, ["id", "path"], "left").withColumn("reason", F.coalesce("reason", late))
-    return whole.select("path", "form", "specifier", "type_only", "start_line", "end_line", "bindings", F.when(F.col("reason").isNull(), F.col("_target")).alias("target"), "reason")
+    out = ["path", "form", "specifier", "type_only", "start_line", "end_line", "bindings"]
+    settled = keyed.where("reason is not null").select(*out, F.lit(None).cast("string").alias("target"), "reason")
+    tried = open_.join(hits.hint("merge"), "base", "left").withColumn("reason", late)
+    return settled.unionByName(tried.select(*out, F.when(F.col("reason").isNull(), F.col("_target")).alias("target"), "reason"))
 
 
 def bound_names(imports: DataFrame, scanned: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -342,7 +369,7 @@ def bound_names(imports: DataFrame, scanned: DataFrame, symbols: DataFrame) -> D
     names = imports.where("target is not null").select("path", "target", F.explode("bindings").alias("b")).select("path", "target", "b.*")
     exports = scanned.select(F.col("path").alias("target"), F.explode("exports").alias("e")).select("target", F.col("e.exported").alias("imported"), "e.local").groupBy("target", "imported").agg(F.count("*").alias("_n"), F.min("local").alias("_own"))
     tops = symbols.where("container is null").groupBy(F.col("path").alias("target"), F.col("name").alias("_own")).agg(F.count("*").alias("_m"))
-    hits = names.join(exports, ["target", "imported"], "left").join(tops, ["target", "_own"], "left")
+    hits = names.join(exports.hint("merge"), ["target", "imported"], "left").join(tops.hint("merge"), ["target", "_own"], "left")
     one = (F.col("imported") != "*") & (F.col("_n") == 1) & (F.col("_m") == 1)
     reason = F.when(F.col("imported") == "*", "namespace-import").when(~F.coalesce(one, F.lit(False)), "unresolved-export")
     return hits.select("path", "target", "imported", "local", "type_only", F.when(reason.isNull(), F.col("_own")).alias("symbol"), reason.alias("reason"))

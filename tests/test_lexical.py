@@ -71,3 +71,18 @@ def test_long_inputs_take_linear_time():
 
         module_facts(s)
         assert time.perf_counter() - began < 5, text[:10]
+
+
+def test_a_file_is_scanned_once_and_no_scan_goes_through_the_driver(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    for name, scans in (("bound_names", 1),):  # the file scan is written by then; what is left reads each file's symbols
+        plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("MapInArrow") == scans, plan
+
+
+def test_a_path_twice_and_what_a_base_may_stand_for(spark):
+    files = [("src/m.ts", "import './x'\nimport './y.ts'\nimport './z'\nimport './d'\nimport './q.js'\nimport './t.d'"), ("src/x.ts", ""), ("src/x.ts", ""), ("src/y.ts.ts", ""), ("src/z", ""), ("src/d/index.tsx", ""), ("src/d.mjs", ""), ("src/q.js/index.ts", ""), ("src/t.d.ts", "class A {}")]
+    df = spark.createDataFrame(files, "path string, content string")
+    got = {r.specifier: (r.target, r.reason) for r in module_imports(lexed(df), df).collect()}
+    assert got == {"./x": (None, "file-collision"), "./y.ts": (None, "missing-module"), "./z": (None, "unsupported-language"), "./d": (None, "ambiguous-module"), "./q.js": (None, "missing-module"), "./t.d": ("src/t.d.ts", None)}
