@@ -60,7 +60,7 @@ UNION ALL SELECT k, n, 'import', './late', 11 + n, 11 + n, 1, NULL, 'invalid-syn
 SELECT 'src/m' || k || '.ts' AS path, form, specifier, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, CAST(bindings AS INTEGER) AS bindings, target, reason FROM f""")
 def import_facts_multiline(spark, d):
     files = modules(spark, d)
-    return lexical.module_imports(lexical.lexed(files), files).select("path", "form", "specifier", "start_line", "end_line", F.size("bindings").alias("bindings"), "target", "reason")
+    return lexical.module_imports(lexical.kept(lexical.lexed(files), "path", "imports"), files).select("path", "form", "specifier", "start_line", "end_line", F.size("bindings").alias("bindings"), "target", "reason")
 
 
 @FOUND("bound_names", """WITH p AS (SELECT p_partkey AS k FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = a.p_partkey + 1))
