@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +107,117 @@ def cosine_pairs(left: DataFrame, right: DataFrame, least: float, block: int = 4
     x = a.join(cells, key).select(*key, own("na").alias("i"), every("nb").alias("j"), F.lit(True).alias("first"), "id", "vector")
     y = b.join(cells, key).select(*key, every("na").alias("i"), own("nb").alias("j"), F.lit(False).alias("first"), "id", "vector")
     return x.unionByName(y).groupBy(*key, "i", "j").applyInPandas(compare(least), "a long, b long, cosine double")
+
+
+#: Pairs of a left row that a task keeps, right rows that it compares at once, and how far a product of matrices may be off.
+KEPT, SLICE, OFF = 64, 512, 1e-9
+
+
+def squares(x: np.ndarray) -> np.ndarray:
+    """Sums of squares, term by term."""
+    out = np.zeros(len(x))
+    for c in x.T:
+        out += c * c
+    return out
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows and no bit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def best_pairs(vectors: list, least: float):
+    """A function of batches (id, vector): k (the place in ``vectors``), b, cosine and more of the ``KEPT`` best rows of each vector, with a cosine of ``least`` or more.
+
+    Cosines are summed term by term, so equal vectors have equal ones wherever they stand. ``more`` is at the last pair kept where others were left out.
+    """
+    dims: dict[int, list[int]] = {}
+    for k, v in enumerate(vectors):
+        dims.setdefault(len(v), []).append(k)
+    known = {}
+    for dim, ks in dims.items():
+        x = scaled(np.array([vectors[k] for k in ks], float))
+        known[dim] = (np.array(ks), x, squares(x))
+    count = len(vectors)
+
+    def pairs(batch, floor):
+        lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        for dim, (ks, x, xx) in known.items():
+            here = np.flatnonzero(lengths == dim)
+            if not len(here):
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[here]
+            y = scaled(batch.column(1).take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+            yy = squares(y)
+            u, v, xt, yt = x / np.sqrt(xx)[:, None], y / np.sqrt(yy)[:, None], np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+            for s in range(0, len(y), SLICE):
+                i, j = np.nonzero(u @ v[s : s + SLICE].T >= floor[ks][:, None] - OFF)
+                j, dot = j + s, np.zeros(len(i))
+                for d in range(dim):
+                    dot += xt[d][i] * yt[d][j]
+                cos = np.clip(dot / np.sqrt(xx[i] * yy[j]), -1, 1)
+                fit = cos >= least
+                yield ks[i[fit]], ids[j[fit]], cos[fit]
+
+    def best(held, floor, cut):
+        k, b, c = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((b, -c, k))
+        k, b, c = k[order], b[order], c[order]
+        rank = np.arange(len(k)) - np.searchsorted(k, k)
+        over, last = k[rank == KEPT], rank == KEPT - 1
+        cut[over] = True
+        floor[k[last]] = np.where(cut[k[last]], c[last], floor[k[last]])
+        keep = rank < KEPT
+        return k[keep], b[keep], c[keep], last[keep] & cut[k[keep]]
+
+    def run(batches):
+        floor, cut, held, size = np.full(count, least), np.zeros(count, bool), [], 0
+        for batch in batches:
+            for found in pairs(batch, floor):
+                held.append(found)
+                size += len(found[0])
+                if size > 2 * KEPT * count + 1_000_000:
+                    held = [best(held, floor, cut)[:3]]
+                    size = len(held[0][0])
+        if held:
+            k, b, c, more = best(held, floor, cut)
+            for s in range(0, len(k), 65_536):
+                part = slice(s, s + 65_536)
+                yield pa.RecordBatch.from_arrays([pa.array(k[part], pa.int64()), pa.array(b[part], pa.int64()), pa.array(c[part]), pa.array(more[part])], ["k", "b", "cosine", "more"])
+
+    return run
+
+
+def in_turn(ids: list[int]):
+    """A function of batches (k, b, cosine, more), sorted: each k takes the first b that none before it took, as rows (a, b, cosine) with a from ``ids``.
+
+    Where that may be a pair that was left out, it ends with a row that has only ``stop``, the k that is still open.
+    """
+
+    def run(batches):
+        used, decided, stop = set(), -1, None
+        for batch in batches:
+            if stop is not None or not batch.num_rows:
+                continue
+            k, b, c, more = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(4))
+            starts = np.flatnonzero(np.diff(k, prepend=-1))
+            a = []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(k)]):
+                if k[s] == decided:
+                    continue
+                for r in range(s, e):
+                    if b[r] not in used:
+                        used.add(b[r])
+                        decided = k[s]
+                        a.append(r)
+                        break
+                    if more[r]:
+                        stop = int(k[s])
+                        break
+                if stop is not None:
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in k[a]], pa.int64()), pa.array(b[a], pa.int64()), pa.array(c[a], pa.float64()), pa.nulls(len(a), pa.int64())], ["a", "b", "cosine", "stop"])
+        if stop is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([stop], pa.int64())], ["a", "b", "cosine", "stop"])
+
+    return run

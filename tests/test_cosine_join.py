@@ -43,3 +43,42 @@ def test_compares_a_small_part_of_clustered_vectors(spark):
     key = ["dim", "pivot", "ring"]
     n = a.groupBy(*key).count().withColumnRenamed("count", "x").join(b.groupBy(*key).count().withColumnRenamed("count", "y"), key).agg(F.sum(F.col("x") * F.col("y"))).first()[0]
     assert n < 0.1 * 2000 * 2000
+
+
+def in_order(left, right, least):
+    """The sequential rule on lists of (id, vector)."""
+    free, out = dict(right), set()
+    for a, v in sorted(left):
+        best = max(((float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))), -b) for b, w in free.items()), default=(-2, 0))
+        if best[0] >= least:
+            out.add((a, -best[1]))
+            free.pop(-best[1])
+    return out
+
+
+def test_greedy_match_takes_few_rounds_where_many_rows_want_the_same(spark, monkeypatch):
+    """Equal vectors and long chains of rows that wait for each other: a round a row before, a round a block now."""
+    from graphloom.operators import search
+    from graphloom.session import Scratch
+
+    rng = np.random.default_rng(3)
+    kinds = np.round(rng.normal(size=(6, 8)) * 4)  # whole numbers: sums are exact in any order
+    left, right = ([(2 * k + side, kinds[k % 6] if k % 3 else np.round(rng.normal(size=8) * 4) + 0.5) for k in range(300)] for side in (0, 1))
+    a, b = (spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows], "id long, vector array<double>") for rows in (left, right))
+    written = []
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, f=Scratch.write: written.append(name) or f(self, df, name))
+    want = in_order(left, right, 0.3)
+    for block, most in ((4096, 8), (64, 20)):
+        written.clear()
+        assert {(r.a, r.b) for r in search.greedy_match(spark, a, b, 0.3, block).collect()} == want
+        assert len(written) < most, written
+
+
+def test_pairs_left_out_are_found_in_a_later_block(spark, monkeypatch):
+    from graphloom.operators import search
+
+    rows = [(k, [1.0, 2.0]) for k in range(400)] + [(900, [2.0, 4.0, 1.0]), (901, None), (902, [0.0, 0.0])]
+    a, b = (spark.createDataFrame([(2 * k + s, v) for k, v in rows], "id long, vector array<double>") for s in (0, 1))
+    got = {(r.a, r.b, r.cosine) for r in search.greedy_match(spark, a, b.coalesce(1), 0.5).collect()}
+    assert {x[:2] for x in got} == {(2 * k, 2 * k + 1) for k in [*range(400), 900]}
+    assert search.greedy_match(spark, a.limit(0), b).isEmpty() and search.greedy_match(spark, a, b.limit(0)).isEmpty()
