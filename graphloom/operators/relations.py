@@ -25,13 +25,30 @@ def resolved(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     No node in the file: ``no-file-node``; none of that name: ``no-label-match``; several equally near: ``ambiguous``; else the
     one whose line is nearest.
     """
+    key = ["path", "name"]
     files = nodes.select("path").distinct().withColumn("_file", F.lit(True))
-    n = nodes.select("path", "name", F.col("line").alias("_line"), "node_id")
-    met = symbols.join(n, ["path", "name"], "left").withColumn("_d", F.abs(F.col("line") - F.col("_line")))
-    least = F.min("_d").over(Window.partitionBy("id"))
-    near = met.withColumn("_best", least).where("node_id is null or _d = _best").groupBy("id", "path").agg(F.count_distinct("node_id").alias("_n"), F.min("node_id").alias("_node"))
-    reason = F.when(F.col("_file").isNull(), "no-file-node").when(F.col("_n") == 0, "no-label-match").when(F.col("_n") > 1, "ambiguous")
-    return near.join(files, "path", "left").select("id", F.when(reason.isNull(), F.col("_node")).alias("node_id"), reason.alias("reason"))
+    names = nodes.groupBy(*key).agg(F.max(F.col("node_id").isNull()).alias("_hole"))  # a node without an id counts as met at any line
+    lines = nodes.where("line is not null and path is not null and name is not null").groupBy(*key, "line").agg(F.min("node_id").alias("lo"), F.max("node_id").alias("hi"))
+    # Nodes of one line are one row, and symbols of one place: the nearest lines are those before and after in the order of all, so no pairs are made.
+    spots = symbols.select(*key, "line").distinct()
+    both = spots.unionByName(lines.select(*key, "line", F.struct("line", "lo", "hi").alias("at")), allowMissingColumns=True)
+    until = lambda order: Window.partitionBy(*key).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("a", F.last("at", True).over(until(F.asc("line")))).withColumn("b", F.last("at", True).over(until(F.desc("line")))).where("at is null").drop("at")
+    far = lambda x: F.abs(F.col("line") - F.col(f"{x}.line"))
+    d = F.when(F.col("line").isNotNull(), F.least(far("a"), far("b")))
+    pick = lambda f, end: f(*[F.when(far(x) == F.col("_d"), F.col(f"{x}.{end}")) for x in "ab"])
+    spots = near.withColumn("_d", d).select(*key, "line", "_d", pick(F.least, "lo").alias("_lo"), pick(F.greatest, "hi").alias("_hi"))
+    spots = spots.join(names, key, "left").join(files, "path", "left")
+    s, t = symbols.alias("s"), spots.alias("t")
+    same = F.lit(True)
+    for c in (*key, "line"):
+        same &= F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
+    met = s.join(t, same).select("s.id", "s.path", "_d", "_lo", "_hi", "_hole", "_file")
+    met = met.withColumn("_best", F.min("_d").over(Window.partitionBy("id"))).where("_hole is null or _hole or _d = _best")
+    least = F.col("_d") == F.col("_best")
+    found = met.groupBy("id", "path").agg(F.min(F.when(least, F.col("_lo"))).alias("_lo"), F.max(F.when(least, F.col("_hi"))).alias("_hi"), F.max("_file").alias("_file"))
+    reason = F.when(F.col("_file").isNull(), "no-file-node").when(F.col("_lo").isNull(), "no-label-match").when(F.col("_lo") != F.col("_hi"), "ambiguous")
+    return found.select("id", F.when(reason.isNull(), F.col("_lo")).alias("node_id"), reason.alias("reason"))
 
 
 def resolver_report(rows: DataFrame) -> DataFrame:

@@ -249,3 +249,39 @@ def test_impact_and_walks_on_a_small_known_graph(spark):
         kg.stop_at_role(spark, g, "g", "king")
     with pytest.raises(LookupError):
         kg.relations(spark, g, "zzz")
+
+
+def resolved_by_pairs(symbols, nodes):
+    """J2 by all pairs: what the rule says, row by row."""
+    met = [(i, p, n, abs(line - y) if i is not None and line is not None and y is not None else None) for i, p, name, line in symbols for n, q, m, y in nodes if (q, m) == (p, name) and None not in (p, name)]
+    met += [(i, p, None, None) for i, p, name, line in symbols if None in (p, name) or not any((q, m) == (p, name) for _, q, m, _ in nodes)]
+    out = {}
+    for i, p, n, d in met:
+        best = min((x[3] for x in met if x[0] == i and x[3] is not None), default=None)
+        if n is None or d is not None and d == best:
+            out.setdefault((i, p), set()).update({n} - {None})
+    said = lambda p, found: "no-file-node" if p is None or p not in {q for _, q, _, _ in nodes} else "no-label-match" if not found else "ambiguous" if len(found) > 1 else None
+    return sorted(((i, min(found) if said(p, found) is None else None, said(p, found)) for (i, p), found in out.items()), key=str)
+
+
+def test_nearest_nodes_are_found_without_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    one = lambda xs: rng.choice(xs)
+    symbols = [(rng.randrange(150), one(["a", "b", "c", None]), one(["f", "g", "h", None]), one([None, *range(30)])) for _ in range(200)]
+    nodes = [(one([None, *(f"n{k}" for k in range(40))]), one(["a", "b", None]), one(["f", "g", None]), one([None, *range(0, 60, 3)])) for _ in range(40)]
+    s, n = spark.createDataFrame(symbols, "id int, path string, name string, line int"), spark.createDataFrame(nodes, "node_id string, path string, name string, line bigint")
+    for nodes_, df in ((nodes, n), ([], n.limit(0)), (nodes[:9], spark.createDataFrame(nodes[:9], n.schema))):
+        assert sorted((tuple(r) for r in relations.resolved(s, df).collect()), key=str) == resolved_by_pairs(symbols, nodes_)
+    # 3,000 symbols and 3,000 nodes of one name in one file were nine million pairs: of two sides that meet, one has each key once
+    s, n = (spark.range(3000).selectExpr(f"cast(id as string) as {x}", "'p' as path", "'x' as name", "id as line") for x in ("id", "node_id"))
+    found = relations.resolved(s, n)
+
+    def sides(plan):
+        return [plan.children().apply(k) for k in range(plan.children().size())]
+
+    def raw(plan):
+        return plan.nodeName() == "Join" and not any("Aggregate" in x.toString() for x in sides(plan)) or any(map(raw, sides(plan)))
+
+    assert not raw(found._jdf.queryExecution().optimizedPlan()) and found.where("id = node_id").count() == 3000
