@@ -275,37 +275,81 @@ def file_facts(file_edges: DataFrame) -> DataFrame:
     return both.withColumn("tests", F.filter("imported_by", test_file))
 
 
+def forced_paths(scratch: Scratch, tag: str, only: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """Where the paths of nodes with one way out lead, by pointer jumping: (node, to, low, over) at the end, the tables of all rounds, nodes of cycles with their component.
+
+    ``only`` has (node, to) of these nodes. ``to`` is 2^k steps on in round k, or the first node with none or several ways out (``over``); ``low`` is the smallest
+    node passed. Paths that never end run into cycles: then a round changes neither the smallest nodes nor the number of nodes that paths get to.
+    """
+    more = only.select(F.col("node").alias("to"), F.lit(True).alias("_more"))
+    at = only.join(more, "to", "left").select("node", "to", F.col("node").alias("low"), F.col("_more").isNull().alias("over"), F.col("_more").isNotNull().alias("moved"))
+    at = scratch.write(at, f"{tag}-0")
+    rounds, ends = [at], None
+    while True:
+        n, moved, now = at.where("not over").agg(F.count("*"), F.count_if("moved"), F.count_distinct("to")).first()
+        if not n:
+            return at, rounds, None
+        if not moved and now == ends:
+            break
+        ends, k = now, len(rounds)
+        a, b = at.where("not over").alias("a"), at.alias("b")
+        low = F.least("a.low", "b.low")
+        on = a.join(b, F.col("a.to") == F.col("b.node")).select("a.node", "b.to", low.alias("low"), "b.over", (low < F.col("a.low")).alias("moved"))
+        at = scratch.write(on.unionByName(at.where("over").withColumn("moved", F.lit(False))), f"{tag}-{k}")
+        rounds.append(at)
+    cycles = at.join(at.where("not over").select(F.col("to").alias("node")).distinct(), "node", "left_semi").where("not over")
+    return at, rounds, scratch.write(cycles.select("node", F.col("low").alias("component")), f"{tag}-cycles")
+
+
 def components_by_cycle(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Node and component (its smallest member) of the strongly connected components of (source, target) edges.
 
-    Each round spreads the smallest key forwards among the nodes left (the colour), then backwards within a colour from
-    the node that gave it: what both reach is a component and leaves. Nodes without incoming or outgoing edges leave at once.
+    Nodes without a way out, or in, are alone. Those with one are drawn together with the node where their path branches, forwards and backwards in turn, so a path or
+    cycle of any length takes as many rounds as its length has bits. In what is left, a round spreads the smallest key forwards (the colour), then
+    backwards within a colour from the node that gave it: what both reach is a component and leaves. Then nodes that were drawn together get
+    the component of their branch if a path comes back to them from it.
     """
     scratch = Scratch(spark, "scc")
-    live = scratch.write(edges.select("source", "target").distinct(), "e0")
-    nodes = scratch.write(live.select(F.explode(F.array("source", "target")).alias("node")).distinct(), "n0")
-    done, turn = [], 0
+    live = scratch.write(edges.where("source <> target").select("source", "target").distinct(), "e0")
+    nodes = scratch.write(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct(), "n0")
+    alone = lambda df: df.select("node", F.col("node").alias("component"))
+    found, drawn, turn, idle = [[]], [], 0, 0
     while not nodes.isEmpty():
         turn += 1
-        inner = live.where("source <> target")
-        both = inner.select(F.col("source").alias("node")).distinct().join(inner.select(F.col("target").alias("node")).distinct(), "node")
-        core = scratch.write(both, f"core{turn}")
-        done.append(scratch.write(nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component")), f"alone{turn}"))
-        inside = scratch.write(inner.join(core.select(F.col("node").alias("source")), "source", "left_semi").join(core.select(F.col("node").alias("target")), "target", "left_semi"), f"i{turn}")
-        if core.isEmpty():
-            break
-        if core.count() < nodes.count():  # leaves first: they are cheap and shorten what follows
-            nodes, live = core, inside
+        if idle < 2:
+            live = live.select(F.col("target").alias("source"), F.col("source").alias("target"))
+            out = scratch.write(nodes.join(live.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("ways"), F.min("target").alias("to")), "node", "left"), f"out{turn}")
+            every, few = out.agg(F.count("*"), F.count_if(F.expr("ways is null or ways = 1"))).first()
+            if few * 100 < every:
+                idle += 1
+                continue
+            idle = 0
+            at, rounds, cycles = forced_paths(scratch, f"path{turn}", out.where("ways = 1").select("node", "to"))
+            rest = out.where("ways > 1").select("node")
+            held = scratch.write(at.where("over").select("node", "to").join(rest.select(F.col("node").alias("to")), "to", "left_semi").select("node", "to"), f"held{turn}")
+            gone = rest.unionByName(held.select("node"))
+            if cycles is not None:
+                found[-1].append(cycles)
+                gone = gone.unionByName(cycles.select("node"))
+            found[-1].append(scratch.write(alone(nodes.join(gone, "node", "left_anti")), f"alone{turn}"))
+            own = live.join(rest.select(F.col("node").alias("source")), "source", "left_semi")
+            into = scratch.write(own.join(held.select(F.col("node").alias("target"), "to"), "target"), f"into{turn}")
+            drawn.append((held, rounds, into))
+            found.append([])
+            straight = own.join(rest.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target")
+            live = scratch.write(straight.unionByName(into.select("source", F.col("to").alias("target"))).where("source <> target").distinct(), f"e{turn}")
+            nodes = scratch.write(rest, f"n{turn}")
             continue
-        colour, k, changed = scratch.write(core.select("node", F.col("node").alias("colour")), f"c{turn}-0"), 0, True
+        idle = 0
+        colour, k, changed = scratch.write(nodes.select("node", F.col("node").alias("colour")), f"c{turn}-0"), 0, True
         while changed:
             k += 1
-            sent = inside.join(colour.select(F.col("node").alias("source"), "colour"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("got"))
+            sent = live.join(colour.select(F.col("node").alias("source"), "colour"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("got"))
             new = colour.join(sent, "node", "left").select("node", F.least("colour", "got").alias("colour"), (F.col("got") < F.col("colour")).alias("moved"))
             after = scratch.write(new, f"c{turn}-{k}")
             changed = not after.where("moved").isEmpty()
             colour = after.select("node", "colour")
-        same = inside.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target").where("a = b").select("source", "target")
+        same = live.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target").where("a = b").select("source", "target")
         same = scratch.write(same, f"same{turn}")
         start = colour.where("node = colour").select(F.col("node").alias("id"), F.lit(0).alias("hop"), "colour")
 
@@ -313,14 +357,27 @@ def components_by_cycle(spark: SparkSession, edges: DataFrame) -> DataFrame:
             met = same.join(frontier.select(F.col("id").alias("target"), "colour"), "target").select(F.col("source").alias("id"), "colour").distinct()
             return met.join(reached.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "colour")
 
-        found = frontier_loop(scratch, start, back, None, f"back{turn}").select(F.col("id").alias("node"), F.col("colour").alias("component"))
-        done.append(found)
-        nodes = scratch.write(nodes.join(found, "node", "left_anti"), f"n{turn}")
-        live = scratch.write(inside.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi"), f"e{turn}")
-    out = nodes.select("node", F.col("node").alias("component")).limit(0)
-    for x in done:
-        out = out.unionByName(x)
-    return out
+        done = frontier_loop(scratch, start, back, None, f"back{turn}").select(F.col("id").alias("node"), F.col("colour").alias("component"))
+        found[-1].append(done)
+        nodes = scratch.write(nodes.join(done, "node", "left_anti"), f"n{turn}")
+        live = scratch.write(live.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi"), f"e{turn}")
+    of = alone(nodes)
+    for level in range(len(found) - 1, -1, -1):
+        if level < len(drawn) and not drawn[level][2].isEmpty():
+            held, rounds, into = drawn[level]
+            a, b = of.select(F.col("node").alias("source"), F.col("component").alias("a")), of.select(F.col("node").alias("to"), F.col("component").alias("b"))
+            back_ = scratch.write(into.join(a, "source").join(b, "to").where("a = b").select(F.col("target").alias("node")).distinct(), f"back{level}-0")
+            for k, jump in enumerate(rounds):
+                back_ = scratch.write(back_.unionByName(jump.where("not over").join(back_, "node", "left_semi").select(F.col("to").alias("node"))).distinct(), f"back{level}-{k + 1}")
+            mine = held.join(back_, "node", "left_semi").join(b, "to").select("node", F.col("b").alias("component"))
+            of = of.unionByName(mine).unionByName(alone(held.join(back_, "node", "left_anti")))
+        elif level < len(drawn):
+            of = of.unionByName(alone(drawn[level][0]))
+        for x in found[level]:
+            of = of.unionByName(x)
+        of = scratch.write(of, f"of{level}")
+    least = of.groupBy("component").agg(F.min("node").alias("least"))
+    return of.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def call_levels(spark: SparkSession, edges: DataFrame) -> DataFrame:

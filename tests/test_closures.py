@@ -43,3 +43,39 @@ def test_paths_and_many_seeds(spark, monkeypatch):
         reach.setdefault(r.seed, {})[r.id] = r.hop
     assert reach == {s: {k: v[0] for k, v in plain(pairs, [s], 4).items()} for s in many}
     assert graph.reach_of_many(spark, walk, spark.createDataFrame([], "id string")).count() == 0
+
+
+def plain_components(edges):
+    """Strongly connected components by reachability of all pairs."""
+    nodes = sorted({x for e in edges for x in e})
+    reach = {n: {n} for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if not reach[b] <= reach[a]:
+                reach[a] |= reach[b]
+                changed = True
+    return {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+
+
+def test_components_of_odd_graphs(spark):
+    rng = random.Random(6)
+    for n, m in ((20, 28), (25, 80)):
+        edges, name = set(), lambda k: f"{k:03d}"
+        for g in range(12):  # twelve graphs in one
+            edges |= {(name(100 * g + rng.randrange(n)) if g < 10 else f"x{g}{rng.randrange(n)}", name(100 * g + rng.randrange(n)) if g < 10 else f"x{g}{rng.randrange(n)}") for _ in range(m)}
+        # paths between nodes of different graphs, a loop on a path, a tail into a cycle, a path from a cycle to itself
+        edges |= {("000", "p0"), ("p0", "p1"), ("p1", "p1"), ("p1", "p2"), ("p2", "105"), ("q0", "q1"), ("q1", "q2"), ("q2", "q3"), ("q3", "q2"), ("u0", "u1"), ("u1", "u0"), ("u1", "v0"), ("v0", "v1"), ("v1", "u0"), ("t0", "v0"), ("s0", "s0")}
+        got = {r.node: r.component for r in graph.components_by_cycle(spark, spark.createDataFrame(sorted(edges), "source string, target string")).collect()}
+        assert got == plain_components(edges)
+
+
+def test_a_long_cycle_takes_as_many_rounds_as_its_length_has_bits(spark, monkeypatch):
+    from graphloom.session import Scratch
+
+    written = []
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, f=Scratch.write: written.append(name) or f(self, df, name))
+    rows = [(f"{k}", f"{(k + 1) % 300}") for k in range(300)] + [(f"a{k}", f"a{k + 1}") for k in range(200)] + [("17", "a0")]
+    got = {r.node: r.component for r in graph.components_by_cycle(spark, spark.createDataFrame(rows, "source string, target string")).collect()}
+    assert len(got) == 501 and all(c == ("0" if n[0] != "a" else n) for n, c in got.items()) and len(written) < 60, written
