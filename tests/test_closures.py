@@ -79,3 +79,13 @@ def test_a_long_cycle_takes_as_many_rounds_as_its_length_has_bits(spark, monkeyp
     rows = [(f"{k}", f"{(k + 1) % 300}") for k in range(300)] + [(f"a{k}", f"a{k + 1}") for k in range(200)] + [("17", "a0")]
     got = {r.node: r.component for r in graph.components_by_cycle(spark, spark.createDataFrame(rows, "source string, target string")).collect()}
     assert len(got) == 501 and all(c == ("0" if n[0] != "a" else n) for n, c in got.items()) and len(written) < 60, written
+
+
+def test_levels_over_a_long_cycle(spark, monkeypatch):
+    from graphloom.session import Scratch
+
+    written = []
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, f=Scratch.write: written.append(name) or f(self, df, name))
+    rows = [(f"{k}", f"{(k + 1) % 100}") for k in range(100)] + [("a", "5"), ("b", "a"), ("b", "7"), ("9", "z")]
+    got = {r.node: (r.component, r.level) for r in graph.call_levels(spark, spark.createDataFrame(rows, "source string, target string")).collect()}
+    assert got == {f"{k}": ("0", 1) for k in range(100)} | {"a": ("a", 2), "b": ("b", 3), "z": ("z", 0)} and len(written) < 80, written
